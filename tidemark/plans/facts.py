@@ -1 +1,449 @@
-"""Queries."""
+"""Queries over financial facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import fixed_values as fv
+from tidemark.functions import amounts as am, periods as pd_, text as tx
+from tidemark.functions.classify import metric_table
+from tidemark.operators import facts as fx
+from tidemark.operators.joins import upper_median
+from tidemark.plans.scalars import ALIASES_SQL, METRICS_SQL, format_sql
+from tidemark.registry import query
+
+c = F.col
+
+AGREE_SQL = "(CASE WHEN {u} = 'USD/share' THEN abs({a} - {b}) <= 0.005 WHEN {a} = 0 AND {b} = 0 THEN true ELSE abs({a} - {b}) / (CASE WHEN {a} <> 0 THEN abs({a}) ELSE abs({b}) END) <= 0.005 END)"
+
+
+def agree_sql(a: str, b: str, u: str = "'USD'") -> str:
+    return AGREE_SQL.format(a=a, b=b, u=u)
+
+
+# Facts in their metric's unit, then the pieces of the gap-fill, each as one CTE.
+F_CTE = f"""f AS (SELECT f.*, d.key, d.metric_unit, d.alias_rank FROM facts f JOIN {ALIASES_SQL} ON d.element = f.namespace || ':' || f.concept
+    WHERE f.unit = CASE WHEN d.metric_unit = 'USD/share' THEN 'USD/shares' ELSE 'USD' END)"""
+_INCOME = "['" + "', '".join(fv.INCOME_KEYS) + "']"
+BAND = "CASE {d} WHEN 'P3M' THEN date_diff('day', start_date, end_date) BETWEEN 80 AND 100 WHEN 'P1Y' THEN date_diff('day', start_date, end_date) BETWEEN 350 AND 380 ELSE false END"
+PERIOD_CTE = f"""anchor AS (SELECT *, list_position({_INCOME}, key) AS no FROM f WHERE list_contains({_INCOME}, key)),
+  first_no AS (SELECT cik, accession, min(no) AS no, min(fp) AS fp, min(fy) AS fy FROM anchor GROUP BY ALL),
+  dur AS (SELECT *, CASE WHEN fp = 'FY' THEN 'P1Y' ELSE 'P3M' END AS duration FROM first_no),
+  period AS (SELECT a.cik, a.accession, d.fp, d.fy, d.duration, CASE WHEN d.fp = 'FY' THEN 'FY ' || d.fy ELSE d.fp || ' ' || d.fy END AS label, max(a.end_date) AS period_end
+    FROM anchor a JOIN dur d ON a.accession = d.accession AND a.no = d.no WHERE {BAND.format(d='d.duration')} GROUP BY ALL)"""
+PICK_CTE = f"""cand AS (SELECT f.*, p.duration, p.label, p.period_end, f.key IN ('cash_and_equivalents', 'total_assets') AS instant FROM f JOIN period p USING (accession) WHERE f.key <> 'operating_cash_flow'),
+  fit AS (SELECT *, CASE WHEN instant THEN start_date IS NULL ELSE {BAND.format(d='duration')} END AS fits, date_diff('day', end_date, period_end) AS gap,
+      coalesce(instant AND start_date IS NULL AND end_date = make_date(year(period_end) - 1, 12, 31), false) AS year_end FROM cand),
+  cur AS (SELECT cik, accession, key, metric_unit, duration, label, period_end, start_date, end_date, val FROM fit WHERE fits AND end_date = period_end
+    QUALIFY row_number() OVER (PARTITION BY accession, key ORDER BY alias_rank, start_date, val) = 1),
+  prior AS (SELECT accession, key, val AS prior_value, end_date AS prior_end FROM fit WHERE year_end OR (fits AND gap BETWEEN 350 AND 380)
+    QUALIFY row_number() OVER (PARTITION BY accession, key ORDER BY (NOT year_end)::INT, abs(gap - 365), alias_rank, start_date, val) = 1),
+  picks AS (SELECT c.*, p.prior_value, p.prior_end FROM cur c LEFT JOIN prior p USING (accession, key))"""
+VOTE_CTE = """pairs AS (SELECT p.cik, p.accession, p.key, o.val / p.val AS ratio FROM picks p JOIN f o ON o.cik = p.cik AND o.key = p.key AND o.end_date = p.end_date
+      AND o.start_date IS NOT DISTINCT FROM p.start_date AND o.accession <> p.accession AND o.val <> 0 WHERE p.val <> 0 AND p.metric_unit = 'USD'),
+  votes AS (SELECT cik, accession, key, count(*) AS peers, count(*) FILTER (abs(ratio - 1) <= 0.005) AS same, count(*) FILTER (abs(ratio - 1000) / 1000 <= 0.005) AS thousandfold,
+      count(*) FILTER (abs(ratio - 0.001) / 0.001 <= 0.005) AS thousandth FROM pairs GROUP BY ALL),
+  tally AS (SELECT cik, accession, sum(same + thousandth) AS v1, sum(thousandfold) AS v1000, sum(peers - same - thousandfold - thousandth) AS vo FROM votes GROUP BY ALL),
+  scale AS (SELECT *, vo > 0 OR (v1 > 0 AND v1000 > 0) AS bad, CASE WHEN NOT (vo > 0 OR (v1 > 0 AND v1000 > 0)) AND v1000 > 0 THEN 1000.0 ELSE 1.0 END AS factor FROM tally)"""
+FLOOR_CTE = """mags AS (SELECT cik, key, list_sort(list(abs(val))) AS m FROM f WHERE val <> 0 GROUP BY ALL),
+  floors AS (SELECT cik, key, m[len(m) // 2 + 1] AS median, len(m) AS n, m[len(m) // 2 + 1] / 100 AS lowest FROM mags WHERE len(m) >= 3)"""
+LINES_CTE = f"""graded AS (SELECT p.*, CASE WHEN p.metric_unit = 'USD' THEN coalesce(s.factor, 1.0) ELSE 1.0 END AS factor,
+      p.metric_unit = 'USD' AND coalesce(s.bad, false) AS withheld, coalesce(v.peers, 0) AS peers, fl.lowest IS NULL OR abs(p.val) >= fl.lowest AS plausible
+    FROM picks p LEFT JOIN scale s USING (cik, accession) LEFT JOIN votes v USING (cik, accession, key) LEFT JOIN floors fl USING (cik, key)),
+  lines AS (SELECT cik, accession, key, metric_unit, duration, label, period_end, val * factor AS value, prior_value * factor AS prior_value, prior_end, key IN ('cash_and_equivalents', 'total_assets') AS instant,
+      CASE WHEN withheld THEN 'suspect' WHEN peers > 0 THEN 'verified' WHEN NOT plausible THEN 'suspect' ELSE 'single_source' END AS confidence FROM graded)"""
+ALL_FILL = ",\n".join([F_CTE, PERIOD_CTE, PICK_CTE, VOTE_CTE, FLOOR_CTE, LINES_CTE])
+
+
+@query("flt06_metric_unit", views="facts", sql=f"WITH {F_CTE} SELECT accession, key, unit, count(*) AS n FROM f GROUP BY ALL")
+def flt06(t):
+    return fx.in_metric_unit(fx.with_metric(t.facts)).groupBy("accession", "key", "unit").agg(F.count("*").alias("n"))
+
+
+@query("flt08_publishable", views="facts", sql=f"WITH {ALL_FILL} SELECT accession, key, confidence FROM lines WHERE confidence IN ('verified', 'single_source')")
+def flt08(t):
+    return fx.gap_fill_lines(t.facts).where(am.publishable(c("confidence"))).select("accession", "key", "confidence")
+
+
+@query("win03_best_alias", views="facts", sql=f"WITH {F_CTE} SELECT accession, key, CAST(min(alias_rank) AS INTEGER) AS alias_rank, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY accession, key ORDER BY alias_rank) AS r FROM f) WHERE r = 1 GROUP BY ALL")
+def win03(t):
+    k = fx.collapse(t.facts)
+    return k.groupBy("accession", "key", "alias_rank").agg(F.sum("n_rows").alias("n")).groupBy("accession", "key").agg(
+        F.min("alias_rank").alias("alias_rank"), F.min_by("n", "alias_rank").alias("n"))
+
+
+@query("win04_repeated_values", views="facts", sql=f"WITH {F_CTE} SELECT accession, key, alias_rank, start_date::VARCHAR AS start_date, end_date::VARCHAR AS end_date, count(*) AS n_rows, count(DISTINCT val) AS n_values, count(DISTINCT val) > 1 AS ambiguous FROM f GROUP BY ALL")
+def win04(t):
+    g = ["accession", "key", "alias_rank", "start_date", "end_date"]
+    return (fx.collapse(t.facts).groupBy(*g).agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_values"))
+            .withColumn("ambiguous", c("n_values") > 1).withColumn("start_date", c("start_date").cast("string")).withColumn("end_date", c("end_date").cast("string")))
+
+
+@query("win05_filing_period", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE} SELECT accession, label, duration, fp AS focus, period_end::VARCHAR AS period_end FROM period")
+def win05(t):
+    return fx.filing_period(fx.collapse(t.facts)).select("accession", "label", "duration", "focus", c("period_end").cast("string").alias("period_end"))
+
+
+@query("jn07_prior_comparable", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE} SELECT accession, key, val AS value, prior_value, prior_end::VARCHAR AS prior_end FROM picks WHERE key NOT IN ('cash_and_equivalents', 'total_assets')")
+def jn07(t):
+    k = fx.collapse(t.facts)
+    return fx.picked(k, fx.filing_period(k)).where(~fx.is_instant(c("key"))).select("accession", "key", "value", "prior_value", c("prior_end").cast("string").alias("prior_end"))
+
+
+@query("dq16_instant_comparable", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE} SELECT accession, key, prior_value, prior_end::VARCHAR AS prior_end FROM picks WHERE key IN ('cash_and_equivalents', 'total_assets')")
+def dq16(t):
+    k = fx.collapse(t.facts)
+    return fx.picked(k, fx.filing_period(k)).where(fx.is_instant(c("key"))).select("accession", "key", "prior_value", c("prior_end").cast("string").alias("prior_end"))
+
+
+@query("jn09_same_span_peers", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE}, {VOTE_CTE} SELECT accession, key, peers, same, thousandfold, thousandth FROM votes")
+def jn09(t):
+    k = fx.collapse(t.facts)
+    return (fx.scale_votes(k, fx.picked(k, fx.filing_period(k))).where("peers > 0")
+            .select("accession", "key", *[c(x).cast("bigint").alias(x) for x in ("peers", "same", "thousandfold", "thousandth")]))
+
+
+@query("agg15_scale_votes", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE}, {VOTE_CTE} SELECT accession, CAST(v1 AS BIGINT) AS votes_1, CAST(v1000 AS BIGINT) AS votes_1000, CAST(vo AS BIGINT) AS votes_other FROM scale")
+def agg15(t):
+    k = fx.collapse(t.facts)
+    v = fx.scale_votes(k, fx.picked(k, fx.filing_period(k))).where("peers > 0")
+    return fx.scale_resolution(v).select("accession", *[c(x).cast("bigint").alias(x) for x in ("votes_1", "votes_1000", "votes_other")])
+
+
+@query("dq09_scale_factor", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE}, {VOTE_CTE} SELECT accession, CAST(factor AS DOUBLE) AS factor, bad AS irreconcilable FROM scale")
+def dq09(t):
+    k = fx.collapse(t.facts)
+    v = fx.scale_votes(k, fx.picked(k, fx.filing_period(k))).where("peers > 0")
+    return fx.scale_resolution(v).select("accession", "factor", "irreconcilable")
+
+
+@query("agg16_upper_median", views="facts", sql=f"WITH {F_CTE}, {FLOOR_CTE} SELECT cik, key, median, CAST(n AS BIGINT) AS n FROM floors")
+def agg16(t):
+    return fx.magnitude_floor(fx.collapse(t.facts)).select("cik", "key", "median", c("n").cast("bigint").alias("n"))
+
+
+@query("agg16_median_by_supplier", sql="""
+    SELECT l_suppkey, m[len(m) // 2 + 1] AS median, CAST(len(m) AS BIGINT) AS n FROM (SELECT l_suppkey, list_sort(list(l_extendedprice - 20000)) AS m FROM lineitem GROUP BY ALL)""")
+def agg16_sup(t):
+    return upper_median(t.lineitem.withColumn("v", c("l_extendedprice") - 20000), ["l_suppkey"], "v").withColumn("n", c("n").cast("bigint"))
+
+
+@query("dq10_gap_fill_grade", views="facts", sql=f"WITH {ALL_FILL} SELECT confidence, key, count(*) AS n FROM lines GROUP BY ALL")
+def dq10(t):
+    return fx.gap_fill_lines(t.facts).groupBy("confidence", "key").agg(F.count("*").alias("n"))
+
+
+@query("dq11_gap_fill", views="facts", sql=f"""
+    WITH {ALL_FILL} SELECT cik, accession, key, label, period_end::VARCHAR AS period_end, CAST(value AS DOUBLE) AS value, {format_sql('value', 'metric_unit')} AS value_text, CAST(prior_value AS DOUBLE) AS prior_value,
+      CASE WHEN instant AND prior_end IS NOT NULL THEN 'vs ' || prior_end::VARCHAR END AS prior_label, CAST(CASE WHEN NOT instant AND prior_value > 0 THEN round((value / prior_value - 1) * 1000) / 10 END AS DOUBLE) AS yoy, confidence FROM lines""")
+def dq11(t):
+    return fx.gap_fill_lines(t.facts).select("cik", "accession", "key", "label", c("period_end").cast("string").alias("period_end"), "value", "value_text",
+                                             "prior_value", "prior_label", "yoy", "confidence")
+
+
+# ---- gaps: which filings have local figures, which can be filled ----
+
+_GAP_CTES = """local AS (SELECT l_orderkey AS filing_no, bool_or(l_returnflag <> 'R') AND NOT bool_or(l_linestatus = 'O' AND l_linenumber = 7) AS ok FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1),
+  bundle AS (SELECT DISTINCT l_orderkey AS filing_no FROM lineitem WHERE l_linenumber = 1),
+  gaps AS (SELECT f.accession, f.filing_no, f.cik, CASE WHEN coalesce(l.ok, false) THEN 'has_local' WHEN b.filing_no IS NOT NULL THEN 'fillable' ELSE 'no_xbrl' END AS kind
+    FROM filings f LEFT JOIN local l USING (filing_no) LEFT JOIN bundle b USING (filing_no) WHERE f.category IN ('quarterly_results', 'annual_report'))"""
+
+
+def _gaps(t):
+    local = t.lineitem.where("l_linenumber >= 4").select(
+        c("l_orderkey").cast("string").alias("accession"), F.lit("income").alias("statement"),
+        F.when(c("l_returnflag") != "R", F.lit(fv.FROM_BOTH)).otherwise(F.lit(fv.FROM_COMPANY_FACTS)).alias("source"),
+        F.when((c("l_linestatus") == "O") & (c("l_linenumber") == 7), F.lit(fv.SUSPECT)).otherwise(F.lit(fv.VERIFIED)).alias("confidence"))
+    bundle = t.lineitem.where("l_linenumber = 1").select(c("l_orderkey").cast("string").alias("accession"))
+    return fx.classify_gaps(t.filings, local, bundle)
+
+
+@query("jn17_gap_kind", views="filings", sql=f"WITH {_GAP_CTES} SELECT accession, kind FROM gaps")
+def jn17(t):
+    return _gaps(t).select("accession", "kind")
+
+
+@query("agg24_gaps_by_kind", views="filings", sql=f"WITH {_GAP_CTES} SELECT kind, count(*) AS n FROM gaps GROUP BY kind")
+def agg24(t):
+    return _gaps(t).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("agg27_fill_report", views="filings facts", sql=f"""
+    WITH {_GAP_CTES}, {ALL_FILL}, per AS (SELECT accession, count(*) FILTER (confidence = 'suspect') AS w FROM lines GROUP BY 1)
+    SELECT count(*) FILTER (kind = 'fillable' AND w IS NOT NULL) AS filled, count(*) FILTER (kind = 'no_xbrl' OR (kind = 'fillable' AND w IS NULL)) AS no_facts,
+      count(*) FILTER (kind = 'has_local') AS skipped_local, CAST(coalesce(sum(w) FILTER (kind = 'fillable'), 0) AS BIGINT) AS withheld FROM gaps LEFT JOIN per USING (accession)""")
+def agg27(t):
+    return fx.fill_report(_gaps(t), fx.gap_fill_lines(t.facts))
+
+
+@query("dq17_no_fact_reason", views="filings facts", sql=f"""
+    WITH {_GAP_CTES}, {ALL_FILL} SELECT g.accession, CASE WHEN kind = 'no_xbrl' THEN 'no XBRL in the filing' WHEN g.accession NOT IN (SELECT accession FROM f) THEN 'no facts for this filing' ELSE 'no reporting period or headline metric' END AS reason
+    FROM gaps g WHERE kind <> 'has_local' AND g.accession NOT IN (SELECT accession FROM lines)""")
+def dq17(t):
+    return fx.no_fact_records(_gaps(t), fx.gap_fill_lines(t.facts), fx.collapse(t.facts)).select("accession", "reason")
+
+
+@query("set01_local_wins", views="filings facts", sql=f"""
+    WITH {ALL_FILL}, loc AS (SELECT * FROM lines WHERE CAST(accession AS BIGINT) % 3 = 0) SELECT accession, key, 'local' AS origin FROM loc
+    UNION ALL SELECT accession, key, 'filled' FROM lines WHERE accession NOT IN (SELECT accession FROM loc)""")
+def set01(t):
+    lines = fx.gap_fill_lines(t.facts).select("accession", "key")
+    local = lines.where(c("accession").cast("bigint") % 3 == 0).withColumn("origin", F.lit("local"))
+    return fx.local_wins(local, lines.withColumn("origin", F.lit("filled")))
+
+
+# ---- single rules on line items ----
+
+_PAIR_SRC = """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 5 THEN 'USD/share' ELSE 'USD' END AS unit, CASE WHEN l_partkey % 17 = 0 THEN 0.0 ELSE l_extendedprice END AS a,
+    CASE WHEN l_partkey % 34 = 0 THEN 0.0 WHEN l_linenumber = 5 THEN l_extendedprice + 0.002 WHEN l_partkey % 3 = 0 THEN l_extendedprice * 1.004 ELSE l_extendedprice * 1.01 END AS b FROM lineitem"""
+
+
+@query("dq01_agree", src=_PAIR_SRC, sql=f"SELECT l_orderkey, l_linenumber, l_partkey, {agree_sql('a', 'b', 'unit')} AS same FROM src")
+def dq01(t, src):
+    return src.select("l_orderkey", "l_linenumber", "l_partkey", am.agree(c("a"), c("b"), c("unit")).alias("same"))
+
+
+@query("dq02_implausible_tag", src="""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 'INF' WHEN 1 THEN '0' WHEN 2 THEN '-3' WHEN 3 THEN ' 2' WHEN 4 THEN '' ELSE '+1' END AS decimals,
+      l_extendedprice * l_quantity AS v, CASE WHEN l_linenumber = 5 THEN 'USD/share' ELSE 'USD' END AS unit FROM lineitem""",
+       sql="SELECT l_orderkey, l_linenumber, l_partkey, unit = 'USD' AND l_partkey % 6 IN (1, 3, 5) AND abs(v) < 1e6 AS fires FROM src")
+def dq02(t, src):
+    return src.select("l_orderkey", "l_linenumber", "l_partkey", am.implausible_tag(c("decimals"), c("v"), c("unit")).alias("fires"))
+
+
+@query("dq03_grade", src="""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_extendedprice END AS inst,
+      CASE WHEN l_partkey % 5 = 0 THEN CAST(NULL AS DOUBLE) WHEN l_partkey % 3 = 0 THEN l_extendedprice * 1000.0 ELSE l_extendedprice END AS rend, CASE WHEN l_suppkey % 9 = 0 THEN 1 ELSE 0 END AS n FROM lineitem""", sql=f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n > 0 THEN 'suspect/xbrl_instance' WHEN inst IS NOT NULL AND rend IS NOT NULL THEN CASE WHEN {agree_sql('inst', 'rend')} THEN 'verified/both' ELSE 'suspect/both' END
+      WHEN inst IS NOT NULL THEN 'single_source/xbrl_instance' WHEN rend IS NOT NULL THEN 'single_source/rendered_html' ELSE 'suspect/xbrl_instance' END AS grade FROM src""")
+def dq03(t, src):
+    g = am.grade_by_two_sources(c("inst"), c("rend"), F.lit("USD"), c("n"))
+    return src.select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("/", g["confidence"], g["source"]).alias("grade"))
+
+
+# ---- the filing's own tagged document ----
+
+_CTX_ID = "coalesce(CAST(start_date AS {s}), 'i') || '_' || CAST(end_date AS {s}) || '_d' || CAST(dim_no AS {s}) || CASE WHEN dim_no > 0 THEN 'm' || CAST(supp_no % 3 AS {s}) ELSE '' END"
+_T_CTE = f"""tl AS (SELECT *, {_CTX_ID.format(s='VARCHAR')} AS context_id, CASE dim_no WHEN 1 THEN 'ax:Segments' WHEN 2 THEN 'ax:Regions' END AS axis,
+      CASE WHEN dim_no > 0 THEN 'co:Area' || CAST(supp_no % 3 AS VARCHAR) || 'Member' END AS member,
+      (part_no * 100000 + supp_no) * 10 + back AS fact_no FROM tagged_lines),
+  tg AS (SELECT tl.*, d.key, d.metric_unit, d.alias_rank FROM tl JOIN {ALIASES_SQL} ON tl.element = d.element),
+  ctx AS (SELECT DISTINCT accession, context_id, start_date, CASE WHEN start_date IS NOT NULL THEN end_date END AS end_date, CASE WHEN start_date IS NULL THEN end_date END AS instant, CASE WHEN dim_no > 0 THEN 1 ELSE 0 END AS n_dims FROM tl),
+  dei AS (SELECT DISTINCT accession, own_end AS period_end, fp, fy, CASE WHEN fp = 'FY' THEN 'P1Y' ELSE 'P3M' END AS duration, CASE WHEN fp = 'FY' THEN 'FY ' || fy ELSE fp || ' ' || fy END AS label FROM tl),
+  cx AS (SELECT c.*, d.period_end, d.duration, d.label, instant IS NULL AND {BAND.format(d='d.duration')} AS fits, date_diff('day', c.end_date, d.period_end) AS gap FROM ctx c JOIN dei d USING (accession) WHERE n_dims = 0),
+  chosen AS (SELECT accession, any_value(period_end) AS period_end, any_value(duration) AS duration, any_value(label) AS label, min(context_id) FILTER (fits AND end_date = period_end) AS cur_span,
+      (list(context_id ORDER BY abs(gap - 365), context_id) FILTER (fits AND gap BETWEEN 350 AND 380))[1] AS prior_span, min(context_id) FILTER (instant = period_end) AS cur_instant,
+      min(context_id) FILTER (instant = make_date(year(period_end) - 1, 12, 31)) AS prior_instant FROM cx GROUP BY accession HAVING cur_span IS NOT NULL),
+  sl AS (SELECT t.*, CASE WHEN t.context_id = CASE WHEN key IN ('cash_and_equivalents', 'total_assets') THEN cur_instant ELSE cur_span END THEN 'cur'
+        WHEN t.context_id = CASE WHEN key IN ('cash_and_equivalents', 'total_assets') THEN prior_instant ELSE prior_span END THEN 'prior' END AS slot FROM tg t JOIN chosen USING (accession) WHERE dim_no = 0),
+  fc AS (SELECT accession, key, any_value(metric_unit) AS metric_unit, arg_min(element, fact_no) FILTER (slot = 'cur') AS element, arg_min(value, fact_no) FILTER (slot = 'cur') AS value, arg_min(decimals, fact_no) FILTER (slot = 'cur') AS decimals,
+      count(DISTINCT value) FILTER (slot = 'cur') AS n_cand, arg_min(value, fact_no) FILTER (slot = 'prior') AS prior_value FROM sl WHERE slot IS NOT NULL GROUP BY accession, key HAVING count(*) FILTER (slot = 'cur') > 0),
+  rend AS (SELECT accession, element, max(value * CASE WHEN part_no % 19 = 0 THEN 1.02 ELSE 1.0 END) AS rv FROM tl WHERE dim_no = 0 AND back = 0 AND supp_no % 4 > 0 GROUP BY ALL),
+  g0 AS (SELECT fc.*, r.rv, d.statement, d.display, d.metric_rank, c.period_end, c.duration, c.label, n_cand > 1 AS e, metric_unit = 'USD' AND decimals IN ('0') AND abs(value) < 1e6 AS b
+    FROM fc LEFT JOIN rend r USING (accession, element) JOIN {METRICS_SQL.replace('metric_unit', 'mu')} ON fc.key = d.key JOIN chosen c ON fc.accession = c.accession),
+  g1 AS (SELECT * EXCLUDE (e, b), e, b, CASE WHEN e OR b THEN 'suspect' WHEN rv IS NOT NULL THEN CASE WHEN {agree_sql('value', 'rv', 'metric_unit')} THEN 'verified' ELSE 'suspect' END ELSE 'single_source' END AS confidence,
+      CASE WHEN e OR b THEN 'xbrl_instance' WHEN rv IS NOT NULL THEN 'both' ELSE 'xbrl_instance' END AS source, NOT (e OR b) AND rv IS NOT NULL AND NOT {agree_sql('value', 'rv', 'metric_unit')} AS a FROM g0),
+  brk AS (SELECT accession FROM g1 WHERE confidence <> 'suspect' GROUP BY accession HAVING abs((max(value) FILTER (key = 'total_revenues') - max(value) FILTER (key = 'cost_of_revenues')) - max(value) FILTER (key = 'gross_profit')) > 1),
+  g2 AS (SELECT g1.* EXCLUDE (confidence), CASE WHEN brk.accession IS NOT NULL AND key IN ('total_revenues', 'cost_of_revenues', 'gross_profit') THEN 'suspect' ELSE confidence END AS confidence,
+      brk.accession IS NOT NULL AND key IN ('total_revenues', 'cost_of_revenues', 'gross_profit') AS cc FROM g1 LEFT JOIN brk USING (accession)),
+  co AS (SELECT DISTINCT accession, cik FROM tl)"""
+_CHAIN_CTE = f"""gl AS (SELECT g2.*, co.cik FROM g2 JOIN co USING (accession)),
+  rev AS (SELECT cik, accession, duration, period_end, value, prior_value, b FROM gl WHERE key = 'total_revenues'),
+  one AS (SELECT cik, duration, period_end, max(accession) AS accession FROM gl GROUP BY 1, 2, 3),
+  then_ AS (SELECT o.cik, o.duration, o.period_end AS te, o.accession AS ta, r.value AS tv, r.b AS tb FROM one o LEFT JOIN rev r ON r.accession = o.accession),
+  nr AS (SELECT r.*, t.ta, t.tv, t.tb FROM rev r JOIN then_ t ON t.cik = r.cik AND t.duration = r.duration AND date_diff('day', make_date(year(r.period_end) - 1, month(r.period_end), day(r.period_end)), t.te) BETWEEN -14 AND 14
+      WHERE r.prior_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r.accession ORDER BY t.te) = 1),
+  bad AS (SELECT *, tb AND NOT b AS only_then, b AND NOT tb AS only_now FROM nr WHERE tv IS NOT NULL AND NOT {agree_sql('prior_value', 'tv')}),
+  hit AS (SELECT accession FROM bad WHERE NOT only_then UNION SELECT ta FROM bad WHERE NOT only_now),
+  fin AS (SELECT gl.* EXCLUDE (confidence), CASE WHEN gl.accession IN (SELECT accession FROM hit) AND key = 'total_revenues' THEN 'suspect' ELSE confidence END AS confidence, gl.accession IN (SELECT accession FROM hit) AND key = 'total_revenues' AS dd FROM gl)"""
+_SEG_CTE = f"""tot AS (SELECT accession, value AS total FROM g1 WHERE key = 'total_revenues' AND confidence <> 'suspect'),
+  sg AS (SELECT t.accession, t.axis, t.member, arg_min(value, fact_no) AS value FROM tg t JOIN chosen c USING (accession) WHERE dim_no > 0 AND key = 'total_revenues'
+      AND coalesce(CAST(t.start_date AS VARCHAR), 'i') || '_' || CAST(t.end_date AS VARCHAR) || '_d0' = c.cur_span GROUP BY ALL),
+  ax AS (SELECT accession, axis, sum(value) AS s, count(*) AS n FROM sg GROUP BY ALL),
+  pk AS (SELECT ax.*, coalesce(total, 0) AS total FROM ax LEFT JOIN tot USING (accession) QUALIFY row_number() OVER (PARTITION BY accession ORDER BY abs(s - coalesce(total, 0)), axis) = 1)"""
+
+
+def _tagged(t):
+    """Facts, contexts, units and declared periods of the tagged documents, as the reader of XBRL files gives them."""
+    base = t.tagged_lines
+    dim = c("dim_no") > 0
+    ctx_id = F.expr(_CTX_ID.format(s="STRING"))
+    b = (base.withColumn("context_id", ctx_id).withColumn("axis", F.when(c("dim_no") == 1, F.lit("ax:Segments")).when(c("dim_no") == 2, F.lit("ax:Regions")))
+         .withColumn("member", F.when(dim, F.concat(F.lit("co:Area"), c("supp_no") % 3, F.lit("Member"))))
+         .withColumn("fact_no", (c("part_no") * 100000 + c("supp_no")) * 10 + c("back")))
+    facts = b.select("accession", "element", "context_id", "unit_id", "decimals", "value", "fact_no")
+    contexts = b.select("accession", "context_id", "start_date", F.when(c("start_date").isNotNull(), c("end_date")).alias("end_date"),
+                        F.when(c("start_date").isNull(), c("end_date")).alias("instant"), dim.cast("int").alias("n_dims"), "axis", "member").distinct()
+    units = b.select("accession", "unit_id", F.when(c("unit_id") == "usd", F.lit("usd")).otherwise(F.lit("usd_per_share")).alias("kind")).distinct()
+    dei = b.select("accession", c("own_end").alias("period_end"), c("fp").alias("focus"), "fy").distinct()
+    wrong = F.when(c("part_no") % 19 == 0, 1.02).otherwise(1.0)
+    statement = F.when(c("line_no") >= 6, F.lit("balance")).otherwise(F.lit("income"))
+    rendered = (b.where("dim_no = 0 AND back = 0 AND supp_no % 4 > 0").groupBy("accession", statement.alias("statement"), "element")
+                .agg(F.max(c("value") * wrong).alias("rendered_value")))
+    company = b.select("accession", "cik").distinct()
+    return facts, contexts, units, dei, rendered, company
+
+
+@query("flt07_consolidated_only", views="tagged_lines", sql="SELECT accession, element, count(*) AS n FROM tagged_lines WHERE dim_no = 0 GROUP BY ALL")
+def flt07(t):
+    facts, contexts, units, *_ = _tagged(t)
+    return fx.star(facts, contexts, units).where("n_dims = 0").groupBy("accession", "element").agg(F.count("*").alias("n"))
+
+
+@query("flt20_segment_facts", views="tagged_lines", sql=f"WITH {_T_CTE}, {_SEG_CTE} SELECT accession, axis, member, value FROM sg")
+def flt20(t):
+    facts, contexts, units, dei, *_ = _tagged(t)
+    tagged, chosen = fx.star(facts, contexts, units), fx.own_contexts(contexts, dei)
+    # every axis is kept here: the choice among axes is agg13
+    rows = tagged.where("n_dims = 1 AND kind = 'usd' AND element = 'ifrs-full:Revenue'").join(chosen.select("accession", "span_start", "span_end"), "accession")
+    return (rows.where((c("start_date") == c("span_start")) & (c("end_date") == c("span_end"))).groupBy("accession", "axis", "member")
+            .agg(F.min_by("value", "fact_no").alias("value")))
+
+
+@query("jn05_fact_star", views="tagged_lines", sql=f"WITH {_T_CTE} SELECT accession, element, context_id, start_date::VARCHAR AS start_date, CASE WHEN unit_id = 'usd' THEN 'usd' ELSE 'usd_per_share' END AS kind, count(*) AS n, min(value) AS lowest FROM tl GROUP BY ALL")
+def jn05(t):
+    facts, contexts, units, *_ = _tagged(t)
+    return fx.star(facts, contexts, units).groupBy("accession", "element", "context_id", c("start_date").cast("string").alias("start_date"), "kind").agg(
+        F.count("*").alias("n"), F.min("value").alias("lowest"))
+
+
+@query("jn06_two_sources", views="tagged_lines", sql=f"WITH {_T_CTE} SELECT accession, key, value, CAST(rv AS DOUBLE) AS rendered_value FROM g1")
+def jn06(t):
+    facts, contexts, units, dei, rendered, _ = _tagged(t)
+    chosen = fx.own_contexts(contexts, dei)
+    return fx.graded_lines(fx.pick_candidates(fx.star(facts, contexts, units), chosen), rendered, chosen).select("accession", "key", "value", "rendered_value")
+
+
+def _graded(t):
+    facts, contexts, units, dei, rendered, company = _tagged(t)
+    chosen = fx.own_contexts(contexts, dei)
+    lines = fx.graded_lines(fx.pick_candidates(fx.star(facts, contexts, units), chosen), rendered, chosen)
+    return lines.join(company, "accession"), chosen, fx.star(facts, contexts, units)
+
+
+@query("dq06_ambiguous_fact", views="tagged_lines", sql=f"WITH {_T_CTE} SELECT accession, key, n_cand AS n_candidates FROM g1 WHERE n_cand > 1")
+def dq06(t):
+    return _graded(t)[0].where(F.array_contains("notes", F.lit(fv.DETECTOR_E))).select("accession", "key", "n_candidates")
+
+
+@query("dq04_arithmetic", views="tagged_lines", sql=f"WITH {_T_CTE} SELECT accession, key, confidence FROM g2 WHERE cc")
+def dq04(t):
+    return fx.mark_arithmetic(_graded(t)[0]).where(F.array_contains("notes", F.lit(fv.DETECTOR_C))).select("accession", "key", "confidence")
+
+
+@query("jn08_chain_neighbours", views="tagged_lines", sql=f"WITH {_T_CTE}, {_CHAIN_CTE} SELECT accession FROM hit")
+def jn08(t):
+    return fx.chain_breaks(fx.mark_arithmetic(_graded(t)[0])).select("accession")
+
+
+@query("dq05_chain_break", views="tagged_lines", sql=f"WITH {_T_CTE}, {_CHAIN_CTE} SELECT accession, key, confidence FROM fin WHERE dd")
+def dq05(t):
+    return fx.mark_chain(fx.mark_arithmetic(_graded(t)[0])).where(F.array_contains("notes", F.lit(fv.DETECTOR_D))).select("accession", "key", "confidence")
+
+
+@query("agg13_segment_axis", views="tagged_lines", sql=f"WITH {_T_CTE}, {_SEG_CTE} SELECT accession, axis, n AS n_members FROM pk")
+def agg13(t):
+    lines, chosen, tagged = _graded(t)
+    totals = lines.where((c("key") == "total_revenues") & am.publishable(c("confidence")))
+    return fx.segments(tagged, chosen, totals).select("accession", "axis", "n_members").distinct()
+
+
+@query("dq08_segments_reconcile", views="tagged_lines", sql=f"WITH {_T_CTE}, {_SEG_CTE} SELECT s.accession, s.member, s.value, pk.n >= 2 AND total <> 0 AND {agree_sql('pk.s', 'total')} AS reconciles FROM sg s JOIN pk USING (accession, axis)")
+def dq08(t):
+    lines, chosen, tagged = _graded(t)
+    totals = lines.where((c("key") == "total_revenues") & am.publishable(c("confidence")))
+    return fx.segments(tagged, chosen, totals).select("accession", "member", "value", "reconciles")
+
+
+@query("top07_segments_by_value", views="tagged_lines", sql=f"WITH {_T_CTE}, {_SEG_CTE} SELECT s.accession, 'Area' || substr(member, 8, 1) AS name, s.value, row_number() OVER (PARTITION BY s.accession ORDER BY value DESC, member) AS position FROM sg s JOIN pk USING (accession, axis)")
+def top07(t):
+    from pyspark.sql import Window as W
+    lines, chosen, tagged = _graded(t)
+    totals = lines.where((c("key") == "total_revenues") & am.publishable(c("confidence")))
+    order = W.partitionBy("accession").orderBy(F.desc("value"), "member")
+    return fx.segments(tagged, chosen, totals).withColumn("position", F.row_number().over(order).cast("bigint")).select("accession", "name", "value", "position")
+
+
+@query("dq18_local_extraction", views="tagged_lines", sql=f"""
+    WITH {_T_CTE}, {_CHAIN_CTE} SELECT accession, key, statement, element, label, value, {format_sql('value', 'metric_unit')} AS value_text, prior_value, CASE WHEN statement <> 'balance' AND prior_value > 0 THEN round((value / prior_value - 1) * 1000) / 10 END AS yoy, confidence, source,
+      concat_ws(',', CASE WHEN e THEN 'E' END, CASE WHEN b THEN 'B' END, CASE WHEN a THEN 'A' END, CASE WHEN cc THEN 'C' END, CASE WHEN dd THEN 'D' END) AS fired FROM fin""")
+def dq18(t):
+    facts, contexts, units, dei, rendered, company = _tagged(t)
+    lines, _ = fx.extract_filings(facts, contexts, units, dei, rendered, company)
+    letters = F.array_join(F.transform("notes", lambda n: F.regexp_extract(n, "^detector_([A-F])_", 1)), ",")
+    return lines.select("accession", "key", "statement", "element", "label", "value", am.format_value(c("value"), c("metric_unit")).alias("value_text"),
+                        "prior_value", "yoy", "confidence", "source", letters.alias("fired"))
+
+
+@query("agg14_suspects", views="tagged_lines", sql=f"WITH {_T_CTE}, {_CHAIN_CTE} SELECT count(*) AS metrics, count(DISTINCT accession) AS filings FROM fin WHERE confidence = 'suspect' AND statement IN ('income', 'balance')")
+def agg14(t):
+    facts, contexts, units, dei, rendered, company = _tagged(t)
+    return fx.suspects(fx.extract_filings(facts, contexts, units, dei, rendered, company)[0])
+
+
+_SHOWN = "CASE WHEN confidence <> 'suspect' THEN " + format_sql("value", "metric_unit") + " ELSE 'WITHHELD' END"
+
+
+@query("agg30_report_table", views="tagged_lines", sql=f"""
+    WITH {_T_CTE}, {_CHAIN_CTE}, sh AS (SELECT *, {_SHOWN} AS shown FROM fin)
+    SELECT accession, max(shown) FILTER (key = 'total_revenues') AS revenue, max({format_sql('prior_value', "'USD'")}) FILTER (key = 'total_revenues') AS prior,
+      max(CASE WHEN prior_value > 0 THEN round((value / prior_value - 1) * 1000) / 10 END) FILTER (key = 'total_revenues') AS yoy, max(shown) FILTER (key = 'net_income') AS net_income, max(shown) FILTER (key = 'eps_basic') AS eps,
+      max(shown) FILTER (key = 'cash_and_equivalents') AS cash FROM sh GROUP BY accession""")
+def agg30(t):
+    facts, contexts, units, dei, rendered, company = _tagged(t)
+    return fx.report_table(fx.extract_filings(facts, contexts, units, dei, rendered, company)[0])
+
+
+@query("scl45_line_display", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE} SELECT accession, p.key, d.display, {format_sql('val', 'p.metric_unit')} AS shown FROM picks p JOIN {METRICS_SQL} ON d.key = p.key")
+def scl45(t):
+    k = fx.collapse(t.facts)
+    names = metric_table(t.spark).select("key", "display")
+    return fx.picked(k, fx.filing_period(k)).join(F.broadcast(names), "key").select("accession", "key", "display", am.format_value(c("value"), c("metric_unit")).alias("shown"))
+
+
+@query("top06_metric_rank", views="facts", sql=f"WITH {F_CTE}, {PERIOD_CTE}, {PICK_CTE} SELECT accession, p.key, row_number() OVER (PARTITION BY accession, d.statement ORDER BY d.metric_rank, d.metric_no) AS position FROM picks p JOIN {METRICS_SQL} ON d.key = p.key")
+def top06(t):
+    from pyspark.sql import Window as W
+    k = fx.collapse(t.facts)
+    names = metric_table(t.spark).select("key", "statement", "metric_rank", "metric_no")
+    order = W.partitionBy("accession", "statement").orderBy("metric_rank", "metric_no")
+    return (fx.picked(k, fx.filing_period(k)).join(F.broadcast(names), "key")
+            .select("accession", "key", F.row_number().over(order).cast("bigint").alias("position")))
+
+
+@query("win13_first_per_key", sql="SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) = 1")
+def win13(t):
+    from tidemark.operators.joins import first_match
+    return first_match(t.lineitem, ["l_orderkey", "l_linenumber"], [c("l_shipdate"), c("l_partkey"), c("l_suppkey")], ["l_partkey"])
+
+
+# ---- disputed figures ----
+
+_CONV_SRC = r"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'total_revenues' WHEN 1 THEN 'net_income' WHEN 2 THEN 'eps_basic' ELSE 'cash_and_equivalents' END AS metric,
+    text || ' Total revenues were $' || CAST(conv_id + 1 AS STRING) || '.5 million in the year. Table 1 22 333 net income $5 million! Net income of $2 billion? ' || text || ' We earned $0.10 per share. Our cash position is $7 million.' AS text FROM conversations"""
+
+
+@query("flt14_evidence", src=_CONV_SRC, sql=r"""
+    WITH s AS (SELECT conv_id, turn, metric, unnest(regexp_split_to_array(text, '(?:[.!?])\s+')) AS raw, generate_subscripts(regexp_split_to_array(text, '(?:[.!?])\s+'), 1) - 1 AS position FROM src),
+    k AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence FROM s),
+    q AS (SELECT *, CASE metric WHEN 'total_revenues' THEN contains(lower(sentence), 'revenue') WHEN 'net_income' THEN contains(lower(sentence), 'net income') OR contains(lower(sentence), 'net loss') OR contains(lower(sentence), 'net earnings')
+        WHEN 'eps_basic' THEN contains(lower(sentence), 'per share') ELSE contains(lower(sentence), 'cash and cash equivalents') OR contains(lower(sentence), 'cash position') END AS hit FROM k
+      WHERE sentence <> '' AND regexp_matches(sentence, '(?i)\$\s?[\d.,]+\s*(million|billion)|per share') AND NOT regexp_matches(sentence, '\d[\d,.]*\s+\d[\d,.]*\s+\d[\d,.]*'))
+    SELECT conv_id, turn, metric, CAST(position AS INTEGER) AS position, sentence, CAST(chars AS BIGINT) AS chars FROM (SELECT *, sum(strlen(sentence)) OVER (PARTITION BY conv_id, turn, metric ORDER BY position) AS chars FROM q WHERE hit) WHERE chars <= 4000""")
+def flt14(t, src):
+    from tidemark.operators.evidence import evidence_sentences
+    return evidence_sentences(src, ["conv_id", "turn"], "text", "metric").select("conv_id", "turn", "metric", "position", "sentence", c("chars").cast("bigint").alias("chars"))
+
+
+_ANSWER_SRC = """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS value, CASE l_partkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END AS choice,
+    CASE WHEN l_partkey % 6 = 2 THEN l_extendedprice * 1000 WHEN l_partkey % 6 = 3 THEN l_extendedprice + 1 ELSE l_extendedprice END AS answer_value,
+    'Sales  of ' || CAST(l_suppkey AS STRING) || ' were  fine' AS evidence, CASE WHEN l_suppkey % 5 = 0 THEN 'invented' WHEN l_suppkey % 5 = 1 THEN '' ELSE ' of ' || CAST(l_suppkey AS STRING) || ' were' END AS quote,
+    CASE WHEN l_linenumber = 3 THEN 'Low' ELSE 'high' END AS answer_confidence FROM lineitem"""
+
+
+@query("dq14_answer_check", src=_ANSWER_SRC, sql="""
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN choice = 'none' THEN 'declined' WHEN choice = 'C' THEN 'unknown_choice' WHEN l_partkey % 6 = 3 THEN 'value_mismatch' WHEN l_suppkey % 5 < 2 THEN 'quote_not_found' WHEN l_linenumber = 3 THEN 'low_confidence' ELSE 'usable' END AS verdict
+    FROM (SELECT src.*, CAST(regexp_extract(evidence, '[0-9]+') AS BIGINT) AS l_suppkey FROM src)""")
+def dq14(t, src):
+    from tidemark.operators.evidence import answer_problem, adjudication_candidates
+    shaped = adjudication_candidates(src.withColumn("confidence", F.lit(fv.SUSPECT)).withColumn("metric_unit", F.lit(fv.USD)))
+    p = answer_problem(c("candidates"), c("evidence"), c("choice"), c("answer_value"), c("quote"), c("answer_confidence"))
+    return shaped.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(p, F.lit("usable")).alias("verdict"))

@@ -18,7 +18,7 @@ _CATEGORY_CASE = """CASE o_orderkey % 16
     WHEN 12 THEN 'investor_relations' WHEN 13 THEN 'ownership_disclosure' WHEN 14 THEN 'press_note'
     ELSE '' END"""
 
-_N = "((cik_no * 7919 + {m} * 104729 + (year(end_date) * 12 + month(end_date)) * 15485863) % 900000 + 100000)"
+_N = "((cik_no * 7919 + {m} * 104729 + CAST(year(end_date) * 12 + month(end_date) AS BIGINT) * 15485863) % 900000 + 100000)"
 
 # name -> (text, tables or views it reads)
 RAW_VIEWS: dict[str, tuple[str, list[str]]] = {}
@@ -106,13 +106,13 @@ SELECT cik_no, cik, accession, filing_no, filed, fp, fy,
             WHEN fp = 'FY' OR back = 2 THEN make_date(year(end_date), 1, 1)
             ELSE make_date(year(end_date), month(end_date) - 2, 1) END AS start_date,
        end_date,
-       CASE WHEN line_no = 5 THEN ({_N.format(m=5)} % 500 - 100) / 100.0
+       CASE WHEN line_no = 5 THEN ({_N.format(m=5)} % 500 - 100) / 100.0E0
             ELSE (CASE line_no WHEN 1 THEN {_N.format(m=1)} * 1000 WHEN 2 THEN {_N.format(m=1)} * 600
                        WHEN 3 THEN {_N.format(m=1)} * 400 + CASE WHEN part_no % 29 = 0 THEN 5000 ELSE 0 END
                        WHEN 4 THEN ({_N.format(m=4)} - 400000) * 100
                        WHEN 6 THEN {_N.format(m=6)} * 500 ELSE {_N.format(m=7)} * 5000 END)
-                 * (CASE WHEN part_no % 37 = 0 THEN 1.25 ELSE 1.0 END)
-                 / (CASE WHEN filing_no % 23 = 0 THEN 1000.0 ELSE 1.0 END) END AS val
+                 * (CASE WHEN part_no % 37 = 0 THEN 1.25E0 ELSE 1.0E0 END)
+                 / (CASE WHEN filing_no % 23 = 0 THEN 1000.0E0 ELSE 1.0E0 END) END AS val
 FROM (SELECT cik_no, cik, accession, filing_no, filed, line_no, part_no, supp_no, back, fp, fy, end_date
       FROM fact_spans) AS s
 """, "fact_spans")
@@ -130,12 +130,12 @@ SELECT accession, cik, filing_no, fp, fy, own_end, line_no, part_no, supp_no, ba
             WHEN 6 THEN 'ifrs-full:CashAndCashEquivalents' ELSE 'ifrs-full:Assets' END AS element,
        CASE part_no % 4 WHEN 0 THEN '0' WHEN 1 THEN 'INF' ELSE '-3' END AS decimals,
        CASE WHEN line_no = 5 THEN 'usdPershares' ELSE 'usd' END AS unit_id,
-       CASE WHEN line_no = 5 THEN ({_N.format(m=5)} % 500 - 100) / 100.0
+       CASE WHEN line_no = 5 THEN ({_N.format(m=5)} % 500 - 100) / 100.0E0
             ELSE (CASE line_no WHEN 1 THEN {_N.format(m=1)} * 1000 WHEN 2 THEN {_N.format(m=1)} * 600
                        WHEN 3 THEN {_N.format(m=1)} * 400 + CASE WHEN part_no % 29 = 0 THEN 5000 ELSE 0 END
                        WHEN 4 THEN ({_N.format(m=4)} - 400000) * 100
                        WHEN 6 THEN {_N.format(m=6)} * 500 ELSE {_N.format(m=7)} * 5000 END)
-                 / (CASE WHEN filing_no % 23 = 0 THEN 1000.0 ELSE 1.0 END) END AS value
+                 / (CASE WHEN filing_no % 23 = 0 THEN 1000.0E0 ELSE 1.0E0 END) END AS value
 FROM (SELECT accession, cik, cik_no, filing_no, fp, fy, own_end, line_no, part_no, supp_no, back, end_date
       FROM fact_spans) AS s
 """, "fact_spans")
