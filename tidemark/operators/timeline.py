@@ -37,7 +37,7 @@ def metric_highlights(lines: DataFrame) -> DataFrame:
     """
     ranks = metric_table(lines.sparkSession).where(c("key").isin(fv.METRIC_RANK)).select("key", "display", "metric_rank")
     first = (lines.where(am.publishable(c("confidence")) & c("key").isin(fv.METRIC_RANK)).groupBy("accession", "key")
-             .agg(F.min_by(F.struct("value", "metric_unit", "yoy", "prior_value", "prior_label"), c("position")).alias("l")))
+             .agg(F.min_by(F.struct("value", "metric_unit", "yoy", "prior_value", "prior_label"), F.struct("position", "value")).alias("l")))
     shown = am.format_value(c("l.value"), c("l.metric_unit"))
     text = (F.when(c("l.yoy").isNotNull(), F.concat(shown, F.lit(" ("), am.signed_percent(c("l.yoy")), F.lit(" YoY)")))
             .when((F.coalesce(c("l.prior_label"), F.lit("")) != "") & c("l.prior_value").isNotNull(),

@@ -1 +1,103 @@
-"""Queries."""
+"""Queries over analyst estimates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import estimates as es
+from tidemark.plans.scalars import scl43  # noqa: F401  (the normalising query lives with the scalars)
+from tidemark.registry import query
+
+c = F.col
+_ROW_SRC = """SELECT event_id, lpad(CAST(user_id AS STRING), 10, '0') AS cik, CASE event_id % 4 WHEN 0 THEN '' ELSE '2024-03-31' END AS period_end, CASE event_id % 5 WHEN 0 THEN ' ' ELSE 'P3M' END AS duration,
+    CASE event_id % 3 WHEN 0 THEN '' ELSE '2024-01-15' END AS consensus_date FROM events"""
+
+
+@query("flt11_estimates_with_period", src=_ROW_SRC, sql="SELECT cik, count(*) FILTER (event_id % 4 > 0 AND event_id % 5 > 0 AND event_id % 3 > 0) AS kept, count(*) FILTER (NOT (event_id % 4 > 0 AND event_id % 5 > 0 AND event_id % 3 > 0)) AS dropped FROM src GROUP BY cik")
+def flt11(t, src):
+    return es.count_dropped(src, ["cik"])
+
+
+@query("flt12_consensus_range", views="estimates", sql="SELECT event_id, cik FROM estimates WHERE consensus_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'")
+def flt12(t):
+    return t.estimates.where(c("consensus_date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"))).select("event_id", "cik")
+
+
+@query("jn10_estimate_before", views="estimates reports", sql="""
+    SELECT r.event_id, e.consensus_date::VARCHAR AS consensus_date, e.eps_estimate FROM reports r LEFT JOIN LATERAL (SELECT * FROM estimates e WHERE e.cik = r.cik AND e.source = r.source AND e.period_end = r.period_end AND e.duration = r.duration
+      AND e.consensus_date < r.report_date ORDER BY consensus_date DESC, event_id DESC LIMIT 1) e ON true""")
+def jn10(t):
+    return es.estimate_before(t.reports, t.estimates, "report_date").select("event_id", c("consensus_date").cast("string").alias("consensus_date"), "eps_estimate")
+
+
+_OWN_SQL = "(SELECT cik, period_end, duration, max_by(eps_actual, event_id) AS own_eps FROM reports WHERE event_id % 3 > 0 GROUP BY ALL)"
+
+
+def _own(t):
+    lines = t.reports.where("event_id % 3 > 0").select("cik", "period_end", "duration", c("event_id").alias("accession"), c("eps_actual").alias("value"),
+                                                        F.lit("eps_basic").alias("key"), F.lit("verified").alias("confidence"))
+    return es.own_eps(lines)
+
+
+@query("jn11_own_eps", views="estimates reports", sql=f"SELECT e.event_id, o.own_eps FROM estimates e LEFT JOIN {_OWN_SQL} o USING (cik, period_end, duration)")
+def jn11(t):
+    return es.with_basis(t.estimates.withColumn("eps_actual", c("eps_estimate")), _own(t)).select("event_id", "own_eps")
+
+
+@query("dq13_eps_basis", views="estimates reports", sql=f"""
+    SELECT e.event_id, CASE WHEN own_eps IS NULL THEN 'unknown' WHEN abs(e.eps_estimate - own_eps) / abs(own_eps) <= 0.05 THEN 'reported' ELSE 'street' END AS basis FROM estimates e LEFT JOIN {_OWN_SQL} o USING (cik, period_end, duration)""")
+def dq13(t):
+    return es.with_basis(t.estimates.withColumn("eps_actual", c("eps_estimate")), _own(t)).select("event_id", "basis")
+
+
+@query("top09_estimate_order", views="estimates", sql="SELECT cik, event_id, row_number() OVER (PARTITION BY cik ORDER BY period_end, consensus_date, event_id) AS position FROM estimates")
+def top09(t):
+    from pyspark.sql import Window as W
+    order = W.partitionBy("cik").orderBy("period_end", "consensus_date", "event_id")
+    return t.estimates.select("cik", "event_id", F.row_number().over(order).cast("bigint").alias("position"))
+
+
+@query("cov05_quota_plan", views="companies estimates", sql="SELECT c.cik, coalesce(n, 0) AS existing, 4 AS expected, 3 AS calls FROM companies c LEFT JOIN (SELECT cik, count(*) AS n FROM estimates GROUP BY cik) e USING (cik)")
+def cov05(t):
+    return es.quota_plan(t.companies.select("cik"), t.estimates, True)
+
+
+@query("qry05_estimates_view", views="companies estimates", sql="""
+    SELECT c.cik, CASE WHEN cik_no % 2 = 0 THEN 'vendor' ELSE 'other' END AS source, e.event_id FROM companies c LEFT JOIN estimates e ON e.cik = c.cik AND e.source = CASE WHEN cik_no % 2 = 0 THEN 'vendor' ELSE 'other' END""")
+def qry05(t):
+    coverage = t.companies.select("cik", F.when(c("cik_no") % 2 == 0, F.lit("vendor")).otherwise(F.lit("other")).alias("provider"))
+    return es.estimates_view(coverage, t.estimates).select("cik", "source", "event_id")
+
+
+_KEYED = """SELECT lpad(CAST(user_id AS STRING), 10, '0') AS cik, 'vendor' AS source, '2024' AS fiscal_year, 'Q' || CAST(1 + event_id % 4 AS STRING) AS fiscal_period, 'P3M' AS duration, CAST(CAST(ts AS DATE) AS STRING) AS consensus_date,
+    value AS eps_estimate, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'EUR' END AS currency, event_id AS fetched_at, event_id AS created_at FROM events"""
+
+
+@query("snk03_estimate_upsert", src=_KEYED, sql="""
+    WITH c AS (SELECT *, 0 AS nw FROM src WHERE fetched_at % 3 > 0), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cik, source, fiscal_year, fiscal_period, duration, consensus_date ORDER BY fetched_at DESC) = 1),
+    u AS (SELECT * FROM k UNION ALL SELECT * REPLACE (CASE WHEN currency = '' THEN 'USD' ELSE currency END AS currency), 1 AS nw FROM src WHERE fetched_at % 3 = 0)
+    SELECT cik, fiscal_period, consensus_date, arg_max(eps_estimate, (nw, fetched_at)) AS eps_estimate, arg_max(currency, (nw, fetched_at)) AS currency, min(created_at) AS created_at FROM u GROUP BY cik, source, fiscal_year, fiscal_period, duration, consensus_date""")
+def snk03(t, src):
+    from tidemark.operators.joins import first_match
+    stored = src.where("fetched_at % 3 > 0")
+    rest = ["eps_estimate", "currency", "fetched_at", "created_at"]
+    current = first_match(stored, es.ESTIMATE_KEYS, [-c("fetched_at")], rest)
+    return es.upsert_estimates(current, src.where("fetched_at % 3 = 0")).select("cik", "fiscal_period", "consensus_date", "eps_estimate", "currency", "created_at")
+
+
+@query("qry08_collect_estimates", views="companies", src="""SELECT event_id, lpad(CAST(user_id AS STRING), 10, '0') AS cik, value AS eps_actual, CAST(1 + event_id % 5 AS INT) AS quarter, CAST(CAST(ts AS DATE) AS STRING) AS period FROM events WHERE event_type = 'purchase'""", sql="""
+    WITH j AS (SELECT s.*, c.fye, CASE WHEN quarter = 5 THEN 'FY' ELSE 'Q' || quarter END AS fp FROM src s JOIN companies c USING (cik)),
+    d AS (SELECT *, CASE WHEN fye <> '' THEN make_date(2024, CAST(substr(fye, 1, 2) AS INT), 1) - CASE fp WHEN 'Q3' THEN 3 WHEN 'Q2' THEN 6 WHEN 'Q1' THEN 9 ELSE 0 END * INTERVAL 1 MONTH + CAST(CAST(substr(fye, 3, 2) AS INT) - 1 AS INT) * INTERVAL 1 DAY END AS dd FROM j),
+    n AS (SELECT *, coalesce(strftime(dd, '%Y-%m-%d'), period) AS period_end, CASE WHEN fp = 'FY' THEN 'P1Y' ELSE 'P3M' END AS duration FROM d)
+    SELECT cik, fp AS fiscal_period, period AS consensus_date, duration, arg_max(period_end, event_id) AS period_end, arg_max(eps_actual, event_id) AS eps_actual FROM n GROUP BY cik, fp, period, duration""")
+def qry08(t, src):
+    from tidemark.operators.prices import upsert
+    from tidemark.sources.decoders import earnings_rows
+    docs = src.select("cik", "event_id", F.to_json(F.array(F.struct(
+        c("eps_actual").alias("actual"), c("eps_actual").alias("estimate"), c("period").alias("period"), F.lit(2024).alias("year"),
+        F.when(c("quarter") == 5, 0).otherwise(c("quarter")).alias("quarter")))).alias("doc"))
+    rows = earnings_rows(docs, "doc").join(t.companies.select("cik", "fye"), "cik")
+    good = es.with_period(es.normalize_estimates(rows))
+    keys = ["cik", "fiscal_period", "consensus_date", "duration"]
+    new = good.select(*keys, "period_end", "eps_actual", "event_id")
+    return upsert(new.where("false"), new, keys, ["event_id"]).drop("event_id")

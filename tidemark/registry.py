@@ -69,6 +69,8 @@ def _check_sql(sql: str, views: tuple[str, ...], src: str | None) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + sql[15:]
     if sql[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
