@@ -12,6 +12,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions import amounts as am, periods as pd_
 from tidemark.functions.classify import metric_aliases, metric_table
 from tidemark.operators.joins import ratio_counts, upper_median
+from tidemark.session import written
 
 c = F.col
 
@@ -108,24 +109,26 @@ def scale_votes(collapsed: DataFrame, picks: DataFrame) -> DataFrame:
     Counted per distinct value, then the filing's own rows are taken off: no pair of filings is formed.
     """
     group = ["cik", "key", "_start", "end_date"]
-    rows = (collapsed.where((c("val") != 0) & (c("metric_unit") == fv.USD))
-            .withColumn("_start", F.coalesce("start_date", F.lit("0001-01-01").cast("date"))))
-    own = (picks.where((c("value") != 0) & (c("metric_unit") == fv.USD))
-           .withColumn("_start", F.coalesce("start_date", F.lit("0001-01-01").cast("date"))))
+    started = F.coalesce("start_date", F.lit("0001-01-01").cast("date"))
+    money = c("metric_unit") == fv.USD
+    rows = collapsed.where((c("val") != 0) & money).withColumn("_start", started).select("accession", *group, "val", "n_rows")
+    # Only spans that more than one filing reports have anything to compare.
+    shared = (rows.groupBy(*group).agg(F.sum("n_rows").alias("n_group"), F.min("accession").alias("_a"), F.max("accession").alias("_z"))
+              .where("_a <> _z").drop("_a", "_z"))
+    own = (picks.where((c("value") != 0) & money).withColumn("_start", started)
+           .select("accession", *group, c("value").alias("val")).join(shared, group))
+    values = rows.join(own.select(*group).distinct(), group, "left_semi").groupBy(*group, "val").agg(F.sum("n_rows").alias("k"))
     targets = {"same": 1.0, "thousandfold": 1000.0, "thousandth": 0.001}
-    values = rows.groupBy(*group, "val").agg(F.sum("n_rows").alias("k"))
-    counted = ratio_counts(values, group, "val", "k", targets, fv.SCALE_TOLERANCE)
+    counted = ratio_counts(own.select(*group, "val").distinct(), values, group, "val", "k", targets, fv.SCALE_TOLERANCE)
     # The filing's own facts for that span, classed against its pick.
-    self_rows = rows.select("accession", *group, c("val").alias("_v"), "n_rows").join(
-        own.select("accession", *group, "value"), ["accession", *group])
-    ratio = c("_v") / c("value")
-    mine = self_rows.groupBy("accession", *group).agg(
+    ratio = c("_v") / c("val")
+    mine = (rows.withColumnRenamed("val", "_v").join(own.select("accession", *group, "val"), ["accession", *group])
+            .groupBy("accession", *group).agg(
         *[F.coalesce(F.sum(F.when(am.close_to(ratio, r), c("n_rows"))), F.lit(0)).alias(f"_{k}") for k, r in targets.items()],
-        F.sum("n_rows").alias("_all"))
-    j = (own.select("accession", "duration", "period_end", *group, c("value").alias("val"))
-         .join(counted, [*group, "val"]).join(mine, ["accession", *group]))
+        F.sum("n_rows").alias("_all")))
+    j = own.join(counted, [*group, "val"]).join(mine, ["accession", *group])
     out = j.select("cik", "accession", "key", *[(c(k) - c(f"_{k}")).alias(k) for k in targets],
-                   (c("n_group") - c("_all")).alias("peers"))
+                   (c("n_group") - c("_all")).alias("peers")).where("peers > 0")
     return out.withColumn("irreconcilable", c("peers") - c("same") - c("thousandfold") - c("thousandth"))
 
 
@@ -148,9 +151,9 @@ def magnitude_floor(collapsed: DataFrame) -> DataFrame:
 
 def gap_fill_lines(facts: DataFrame) -> DataFrame:
     """Graded metric lines per filing from Company Facts: period, scale, pick, comparable, growth, grade."""
-    collapsed = collapse(facts)
-    picks = picked(collapsed, filing_period(collapsed))
-    votes = scale_votes(collapsed, picks)
+    collapsed = written(collapse(facts), "collapsed_facts")
+    picks = written(picked(collapsed, filing_period(collapsed)), "picked_facts")
+    votes = written(scale_votes(collapsed, picks), "scale_votes")
     scale = scale_resolution(votes).select("cik", "accession", "irreconcilable", "factor")
     peers = votes.select("cik", "accession", "key", "peers")
     floors = magnitude_floor(collapsed).select("cik", "key", "floor")
@@ -363,12 +366,12 @@ def segments(tagged: DataFrame, chosen: DataFrame, totals: DataFrame) -> DataFra
 def extract_filings(facts: DataFrame, contexts: DataFrame, units: DataFrame, dei: DataFrame, rendered: DataFrame,
                     company_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The full local extraction: graded lines and reconciled revenue segments of every filing."""
-    tagged = star(facts, contexts, units)
-    chosen = own_contexts(contexts, dei)
-    lines = graded_lines(pick_candidates(tagged, chosen), rendered, chosen).join(company_of, "accession")
+    tagged = written(star(facts, contexts, units), "tagged_facts")
+    chosen = written(own_contexts(contexts, dei), "own_contexts")
+    lines = written(graded_lines(pick_candidates(tagged, chosen), rendered, chosen).join(company_of, "accession"), "graded_lines")
     totals = lines.where((c("key") == "total_revenues") & am.publishable(c("confidence")))
     segs = segments(tagged, chosen, totals).where("reconciles")
-    return mark_chain(mark_arithmetic(lines)), segs
+    return mark_chain(written(mark_arithmetic(lines), "checked_lines")), segs
 
 
 def suspects(lines: DataFrame) -> DataFrame:

@@ -72,34 +72,31 @@ def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median
             .select(*keys, F.col("_v").alias(name), "n"))
 
 
-def ratio_counts(values: DataFrame, group: list[str], value: str, count: str, targets: dict[str, float],
-                 tolerance: float) -> DataFrame:
-    """For each distinct value of a group: how many rows lie at each target ratio to it.
+def ratio_counts(asked: DataFrame, values: DataFrame, group: list[str], value: str, count: str,
+                 targets: dict[str, float], tolerance: float) -> DataFrame:
+    """For each asked value of a group: how many rows of the group lie at each target ratio to it.
 
-    ``values`` has one row per group and distinct non-zero value with its row count. A value is compared
-    only with values in the size buckets a target ratio can reach, never with its whole group. Adds one
-    column per target and ``n_group``, all counts of rows and including the value's own rows.
+    ``asked`` has distinct non-zero values per group, ``values`` one row per group and distinct non-zero
+    value with its row count. A value is compared only with values in the size buckets a target ratio can
+    reach, never with its whole group. Adds one column per target; values that reach nothing are left out.
     """
-    width = 2.2 * tolerance
-    log_size = F.log(F.abs(F.col(value))) / F.lit(width)
-    home = F.floor(log_size).cast("bigint")
-    base = values.withColumn("_s", F.signum(F.col(value))).withColumn("_h", home)
-    reach = []
-    for label, ratio in targets.items():
-        shift = F.floor(log_size + F.lit(math.log(ratio) / width)).cast("bigint")
-        for step in (-1, 0, 1):
-            reach.append(F.struct(F.lit(label).alias("label"), F.lit(float(ratio)).alias("ratio"),
-                                  (shift + step).alias("h")))
-    asks = base.select(*group, F.col(value).alias("_own"), "_s", F.explode(F.array(*reach)).alias("_r"))
-    others = base.select(*group, F.col(value).alias("_other"), F.col(count).alias("_k"), "_s", "_h")
-    asks = asks.select(*group, "_own", "_s", F.col("_r.label").alias("_label"), F.col("_r.ratio").alias("_ratio"),
-                       F.col("_r.h").alias("_h"))
+    width, slack = 0.25, 1.1 * tolerance
+    log_size = F.log(F.abs(F.col(value)))
+    bucket = lambda x: F.floor(x / F.lit(width)).cast("bigint")
+
+    def probes(label: str, ratio: float) -> Column:
+        at = log_size + F.lit(math.log(ratio))
+        return F.transform(F.array_distinct(F.array(bucket(at - slack), bucket(at + slack))), lambda h: F.struct(
+            F.lit(label).alias("_label"), F.lit(float(ratio)).alias("_ratio"), h.alias("_h")))
+    reach = [probes(label, ratio) for label, ratio in targets.items()]
+    asks = asked.select(*group, F.col(value).alias("_own"), F.signum(F.col(value)).alias("_s"),
+                        F.inline(F.concat(*reach)))
+    others = values.select(*group, F.col(value).alias("_other"), F.col(count).alias("_k"),
+                           F.signum(F.col(value)).alias("_s"), bucket(log_size).alias("_h"))
     near = asks.join(others, [*group, "_s", "_h"]).where(
         F.abs(F.col("_other") / F.col("_own") - F.col("_ratio")) / F.col("_ratio") <= tolerance)
-    hits = near.groupBy(*group, "_own").agg(
+    return near.groupBy(*group, F.col("_own").alias(value)).agg(
         *[F.coalesce(F.sum(F.when(F.col("_label") == label, F.col("_k"))), F.lit(0)).alias(label) for label in targets])
-    totals = values.groupBy(*group).agg(F.sum(count).alias("n_group"))
-    return hits.join(totals, group).withColumnRenamed("_own", value)
 
 
 def first_match(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:

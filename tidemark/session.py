@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidemark", cores: str | int = "*", shuffle_partitions: int | None = None,
@@ -42,3 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tidemark-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` from a table written to the shared scratch folder.
+
+    For results that several branches of one job read: they are computed once, the lineage ends there, and
+    the branches see real sizes when Spark picks their joins. A lost executor only re-reads files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
