@@ -55,7 +55,8 @@ class Tables:
 
     def select(self, text: str, *reads: str) -> DataFrame:
         """Run one SELECT over the named tables or views."""
-        return self.spark.sql(_mark(for_spark(text), reads), **{n: getattr(self, n) for n in reads})
+        inputs = {n: self._spread(getattr(self, n)) if n in ("lineitem", "documents", "pages") else getattr(self, n) for n in reads}
+        return self.spark.sql(_mark(for_spark(text), reads), **inputs)
 
 
 @dataclass(frozen=True)
