@@ -242,7 +242,7 @@ def src15(t, src):
 
 
 @query("src16_body_snippet", src="SELECT page_id, url, html FROM pages", sql=r"""
-    WITH x AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS txt FROM src)
+    WITH x AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS txt FROM src)
     SELECT page_id, lower(substr(txt, 1, 2000)) AS snippet FROM x WHERE length(txt) > 80""")
 def src16(t, src):
     docs = src.select("page_id", F.lit(1).alias("position"), "html").unionByName(src.select("page_id", F.lit(0).alias("position"), F.lit("<p>short</p>").alias("html")))
