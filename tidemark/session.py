@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "tidemark", cores: str | int = "*", shuffle_partitions: int | None = None,
                   driver_memory: str | None = None) -> SparkSession:
@@ -36,12 +37,16 @@ def pin_runtime(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder path on the shared storage the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a machine-local folder is used.
+    A local session without that setting gets one temporary folder of its own, where driver and workers are one
+    machine. On a cluster there is no safe default: other executors would not see the files, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL[spark.sparkContext.applicationId] = base
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
