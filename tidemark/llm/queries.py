@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exactdup, quality, sharding, warc
+from tidemark.llm import exactdup, packing, quality, sharding, tokencount, warc
 from tidemark.llm.common import table
 
 EXACT_SQL = """
@@ -29,11 +30,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_dedup(docs, exactdup.earlier_half(docs))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op5_exact_dedup": op5_exact_dedup, "op9_warc_revisits": op9_warc_revisits,
+    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op9_warc_revisits": op9_warc_revisits,
 }
 LLM_SQL: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op9_warc_revisits": warc.REVISITS_SQL}
