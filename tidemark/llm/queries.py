@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exactdup, packing, quality, sharding, tokencount, warc
+from tidemark.llm import exactdup, packing, pii, quality, sharding, tokencount, warc
 from tidemark.llm.common import table
 
 EXACT_SQL = """
@@ -42,8 +42,13 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), "query key", count="n_replaced").select("doc_id", "text", "n_replaced")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op9_warc_revisits": op9_warc_revisits,
+    "op10_surrogates": op10_surrogates,
 }
 LLM_SQL: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op9_warc_revisits": warc.REVISITS_SQL}
