@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exactdup, packing, pii, quality, sharding, tokencount, warc
+from tidemark.llm import exactdup, neardup, packing, pii, quality, sharding, substring, tokencount, warc
 from tidemark.llm.common import table
 
 EXACT_SQL = """
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exactdup.exact_dedup(docs, exactdup.earlier_half(docs))
@@ -38,6 +42,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits_of_pages(table(spark, sf_dir, "pages"))
 
@@ -47,8 +55,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op5_exact_dedup": op5_exact_dedup,
-    "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op9_warc_revisits": op9_warc_revisits,
+    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op4_near_dedup": op4_near_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_warc_revisits": op9_warc_revisits,
     "op10_surrogates": op10_surrogates,
 }
-LLM_SQL: dict[str, str] = {"op5_exact_dedup": EXACT_SQL, "op9_warc_revisits": warc.REVISITS_SQL}
+LLM_SQL: dict[str, str] = {"op4_near_dedup": neardup.NEAR_SQL, "op5_exact_dedup": EXACT_SQL, "op8_substring_dedup": substring.REPEATS_SQL,
+    "op9_warc_revisits": warc.REVISITS_SQL}
