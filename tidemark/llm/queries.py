@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exactdup, neardup, packing, pii, quality, sharding, substring, tokencount, warc
+from tidemark.llm import exactdup, neardup, packing, pieces, pii, quality, sharding, substring, tokencount, warc
 from tidemark.llm.common import table
 
 EXACT_SQL = """
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_totals(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -55,7 +59,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op4_near_dedup": op4_near_dedup,
+    "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op3_sentencepiece": op3_sentencepiece, "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_warc_revisits": op9_warc_revisits,
     "op10_surrogates": op10_surrogates,
