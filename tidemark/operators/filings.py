@@ -143,12 +143,16 @@ def search(companies: DataFrame, text: str, limit: int = fv.MAX_SEARCH_RESULTS)
     return scored.where("score > 0").orderBy(F.desc("score"), "name", "cik").limit(limit)
 
 
-def facet_list(counts: DataFrame, keys: list[str], top: int, last: str = fv.UNKNOWN_CATEGORY) -> DataFrame:
-    """Values of a facet by falling count with a bar width; the unknown value is listed last."""
+def facet_list(counts: DataFrame, keys: list[str], top: int | None = None, last: str = fv.UNKNOWN_CATEGORY) -> DataFrame:
+    """Values of a facet by falling count with a bar width; the unknown value is listed last.
+
+    ``top`` is the size of a collapsed view; without it every value is listed.
+    """
     whole = W.partitionBy(*keys)
     order = W.partitionBy(*keys).orderBy((F.col("value") == last).cast("int"), F.desc("n"), "value")
-    return (counts.withColumn("bar", F.greatest(F.lit(1), F.floor(100 * F.col("n") / F.max("n").over(whole) + 0.5)).cast("bigint"))
-            .withColumn("position", F.row_number().over(order)).where(F.col("position") <= top))
+    out = (counts.withColumn("bar", F.greatest(F.lit(1), F.floor(100 * F.col("n") / F.max("n").over(whole) + 0.5)).cast("bigint"))
+           .withColumn("position", F.row_number().over(order)))
+    return out if top is None else out.where(F.col("position") <= top)
 
 
 # ---- what to fetch ----

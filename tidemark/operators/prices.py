@@ -83,20 +83,24 @@ def delta_ranges(coverage: DataFrame, as_of: Column) -> DataFrame:
             .where(c("from") <= c("to")))
 
 
-def backward_chunks(companies: DataFrame, to: str, first_trade: str, years: int) -> DataFrame:
+def backward_chunks(companies: DataFrame, to: str, first_trade: str, years: int, floor: str) -> DataFrame:
     """Download stretches of ``years`` years, newest first, back to the first trade date.
 
-    Each stretch ends the day before the one after it starts; the last one reaches the first trade date.
+    Each stretch ends the day before the one after it starts; the last one reaches the first trade date. Where that date is
+    unknown the walk goes on to ``floor`` (a date before any listing) and open_ended is true: the run stops at the first
+    stretch that the vendor has nothing for.
     """
-    limit = F.greatest(F.lit(0), F.ceil(F.months_between(c(to), c(first_trade)) / (12 * years)).cast("int"))
+    known = F.coalesce(c(first_trade), F.lit(floor).cast("date"))
+    limit = F.greatest(F.lit(0), F.ceil(F.months_between(c(to), known) / (12 * years)).cast("int"))
     n = F.explode(F.sequence(F.lit(0), limit)).alias("chunk")
     rows = companies.select("*", n)
     # Starts move back year by year; the one-day steps accumulate before each year shift.
     walked = F.aggregate(F.sequence(F.lit(0), c("chunk")), F.struct(c(to).alias("e"), shift_years(c(to), -years).alias("s")),
                          lambda acc, i: F.when(i == 0, acc).otherwise(F.struct(
                              F.date_sub(acc["s"], 1).alias("e"), shift_years(F.date_sub(acc["s"], 1), -years).alias("s"))))
-    out = rows.withColumn("_w", walked).withColumn("chunk_from", c("_w.s")).withColumn("chunk_to", c("_w.e"))
-    return out.where((c("chunk") == 0) | (F.date_add("chunk_to", 1) > c(first_trade))).drop("_w")
+    out = (rows.withColumn("_w", walked).withColumn("chunk_from", c("_w.s")).withColumn("chunk_to", c("_w.e"))
+           .withColumn("open_ended", c(first_trade).isNull()))
+    return out.where((c("chunk") == 0) | (F.date_add("chunk_to", 1) > known)).drop("_w")
 
 
 def step_outcome(coverage: DataFrame, bars: DataFrame) -> DataFrame:

@@ -312,18 +312,30 @@ def top05(t):
     return activity.recent(t.log_events, "created_at", "event_id", 20).select("event_id", "project_id", "stage")
 
 
-@query("top08_tree_order", views="filings", sql="SELECT form, n, row_number() OVER (ORDER BY n DESC, form) AS position FROM (SELECT form, count(*) AS n FROM filings GROUP BY form)")
+@query("top08_tree_order", views="filings", sql="SELECT form, n FROM (SELECT form, count(*) AS n FROM filings GROUP BY form) ORDER BY n DESC, form")
 def top08(t):
-    counts = t.filings.groupBy(c("form").alias("value")).agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
-    return fl.facet_list(counts, ["k"], 1000).select(c("value").alias("form"), "n", c("position").cast("bigint").alias("position"))
+    return t.filings.groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form")
 
 
-@query("top12_facets", views="filings", sql="""
-    WITH n AS (SELECT cik, CASE WHEN category = '' THEN 'unknown' ELSE category END AS value, count(*) AS n FROM filings GROUP BY ALL)
-    SELECT cik, value, n, CAST(greatest(1, floor(100 * n / max(n) OVER (PARTITION BY cik) + 0.5)) AS BIGINT) AS bar FROM n
-    QUALIFY row_number() OVER (PARTITION BY cik ORDER BY (value = 'unknown')::INT, n DESC, value) <= 8""")
+def _facet_sql(value, limit=""):
+    return f"""
+    WITH n AS (SELECT cik, {value} AS value, count(*) AS n FROM filings GROUP BY ALL)
+    SELECT cik, value, n, CAST(greatest(1, floor(100 * n / max(n) OVER (PARTITION BY cik) + 0.5)) AS BIGINT) AS bar FROM n {limit}"""
+
+
+@query("top12_facets", views="filings", sql=_facet_sql("CASE WHEN category = '' THEN 'unknown' ELSE category END"))
 def top12(t):
-    return fl.facet_list(fl.count_by(t.filings, "category", blank="unknown"), ["cik"], 8).select("cik", "value", "n", "bar")
+    return fl.facet_list(fl.count_by(t.filings, "category", blank="unknown"), ["cik"]).select("cik", "value", "n", "bar")
+
+
+@query("top12_form_facets", views="filings", sql=_facet_sql("form"))
+def top12_forms(t):
+    return fl.facet_list(fl.count_by(t.filings, "form"), ["cik"]).select("cik", "value", "n", "bar")
+
+
+@query("top12_form_facets_collapsed", views="filings", sql=_facet_sql("form", "QUALIFY row_number() OVER (PARTITION BY cik ORDER BY n DESC, value) <= 8"))
+def top12_collapsed(t):
+    return fl.facet_list(fl.count_by(t.filings, "form"), ["cik"], top=8).select("cik", "value", "n", "bar")
 
 
 @query("set04_distinct_years", views="filings", sql="SELECT DISTINCT cik, year FROM filings")

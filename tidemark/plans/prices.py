@@ -53,12 +53,12 @@ def cov02(t, src):
     return pr.delta_ranges(src, now()).select("cik", c("from").cast("string").alias("date_from"), c("to").cast("string").alias("date_to"))
 
 
-@query("cov03_backward_chunks", src="SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS cik, CASE WHEN c_custkey % 3 = 0 THEN make_date(2024, 2, 29) ELSE make_date(2024, 7, 15) END AS to_date, make_date(CAST(1980 + c_custkey % 45 AS INT), CAST(1 + c_custkey % 12 AS INT), 3) AS first_trade FROM customer", sql="""
-    WITH RECURSIVE w(cik, first_trade, chunk, e, s) AS (SELECT cik, first_trade, 0, to_date, make_date(year(to_date) - 5, month(to_date), 1) + (CAST(day(to_date) AS INT) - 1) FROM src UNION ALL
-      SELECT cik, first_trade, chunk + 1, s - 1, make_date(year(s - 1) - 5, month(s - 1), 1) + (CAST(day(s - 1) AS INT) - 1) FROM w WHERE s > first_trade)
-    SELECT cik, CAST(chunk AS INTEGER) AS chunk, s::VARCHAR AS chunk_from, e::VARCHAR AS chunk_to FROM w""")
+@query("cov03_backward_chunks", src="SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS cik, CASE WHEN c_custkey % 3 = 0 THEN make_date(2024, 2, 29) ELSE make_date(2024, 7, 15) END AS to_date, CASE WHEN c_custkey % 7 = 2 THEN CAST(NULL AS DATE) ELSE make_date(CAST(1980 + c_custkey % 45 AS INT), CAST(1 + c_custkey % 12 AS INT), 3) END AS first_trade FROM customer", sql="""
+    WITH RECURSIVE w(cik, first_trade, chunk, e, s, open_ended) AS (SELECT cik, coalesce(first_trade, DATE '1970-01-01'), 0, to_date, make_date(year(to_date) - 5, month(to_date), 1) + (CAST(day(to_date) AS INT) - 1), first_trade IS NULL FROM src UNION ALL
+      SELECT cik, first_trade, chunk + 1, s - 1, make_date(year(s - 1) - 5, month(s - 1), 1) + (CAST(day(s - 1) AS INT) - 1), open_ended FROM w WHERE s > first_trade)
+    SELECT cik, CAST(chunk AS INTEGER) AS chunk, s::VARCHAR AS chunk_from, e::VARCHAR AS chunk_to, open_ended FROM w""")
 def cov03(t, src):
-    return pr.backward_chunks(src, "to_date", "first_trade", 5).select("cik", c("chunk").cast("int").alias("chunk"), c("chunk_from").cast("string").alias("chunk_from"), c("chunk_to").cast("string").alias("chunk_to"))
+    return pr.backward_chunks(src, "to_date", "first_trade", 5, "1970-01-01").select("cik", c("chunk").cast("int").alias("chunk"), c("chunk_from").cast("string").alias("chunk_from"), c("chunk_to").cast("string").alias("chunk_to"), "open_ended")
 
 
 @query("cov04_step_outcome", src=_COV_SRC, views="bars", sql="""

@@ -14,7 +14,7 @@ c = F.col
 
 
 @query("snk01_write_once", src="SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS value FROM orders", sql="""
-    SELECT o_orderkey, year, CASE WHEN o_orderkey % 3 = 0 THEN value ELSE value + 1 END AS value FROM src""")
+    SELECT o_orderkey, CASE WHEN o_orderkey % 55 = 0 THEN 1900 ELSE year END AS year, CASE WHEN o_orderkey % 5 = 0 THEN value + 20 WHEN o_orderkey % 3 = 0 THEN value ELSE value + 1 END AS value FROM src""")
 def snk01(t, src):
     path = scratch_path(t.spark, "artifacts")
     sk.write_new(src.where("o_orderkey % 3 = 0"), path, ["o_orderkey"], partition=["year"])
@@ -22,6 +22,8 @@ def snk01(t, src):
     sk.write_new(later, path, ["o_orderkey"], partition=["year"])
     sk.write_new(later.withColumn("value", c("value") + 5), path, ["o_orderkey"], dry_run=True)
     sk.write_new(later.withColumn("value", c("value") + 9), path, ["o_orderkey"], partition=["year"])
+    forced = src.where("o_orderkey % 5 = 0").withColumn("value", c("value") + 20).withColumn("year", F.when(c("o_orderkey") % 55 == 0, 1900).otherwise(c("year")))
+    sk.write_new(forced.union(forced), path, ["o_orderkey"], partition=["year"], force=True)
     return t.spark.read.parquet(path).select("o_orderkey", c("year").cast("int").alias("year"), "value")
 
 

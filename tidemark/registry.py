@@ -39,23 +39,15 @@ class Tables:
         elif name in SPARK_VIEWS:
             text, needs = SPARK_VIEWS[name]
             inputs = {n: getattr(self, n) for n in needs}
-            if name == "fact_lines":
-                inputs["lineitem"] = self._spread(self.lineitem.select(
-                    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
             df = self.spark.sql(_mark(text, needs), **inputs)
         else:
             raise AttributeError(name)
         self.__dict__[name] = df
         return df
 
-    def _spread(self, scan: DataFrame) -> DataFrame:
-        """Spread a scan's rows over all cores where it has fewer splits than that (small input files only)."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
     def select(self, text: str, *reads: str) -> DataFrame:
         """Run one SELECT over the named tables or views."""
-        inputs = {n: self._spread(getattr(self, n)) if n in ("lineitem", "documents", "pages") else getattr(self, n) for n in reads}
+        inputs = {n: getattr(self, n) for n in reads}
         return self.spark.sql(_mark(for_spark(text), reads), **inputs)
 
 

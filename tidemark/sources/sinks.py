@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.session import written
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -21,17 +23,43 @@ def new_only(incoming: DataFrame, existing: DataFrame, keys: list[str], force: b
 
 def write_new(df: DataFrame, path: str, keys: list[str], *, force: bool = False, dry_run: bool = False,
               partition: list[str] = ()) -> None:
-    """Write artifacts that do not exist yet; ``force`` replaces their partitions, ``dry_run`` writes nothing."""
+    """Write artifacts that do not exist yet; ``force`` replaces those that do, ``dry_run`` writes nothing.
+
+    One row per key is written; of incoming rows with one key any may be it. A forced write leaves other artifacts alone: it
+    rewrites only the partitions that hold a forced key, before or after, from their other rows and the incoming ones. The
+    merged rows are written beside the table first, so that no file is read while it is replaced.
+    """
     if dry_run:
         return
     spark = df.sparkSession
-    if force and partition:
-        w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition)
-        w.parquet(path)
+    df = df.dropDuplicates(keys)
+    if not exists(spark, path):
+        (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
+        return
+    stored = spark.read.parquet(path)
+    if not force:
+        df = new_only(df, stored, keys)
+        (df.write.mode("append").partitionBy(*partition) if partition else df.write.mode("append")).parquet(path)
+        return
+    if partition:
+        replaced = stored.join(df.select(*keys), keys, "left_semi")
+        touched = replaced.select(*partition).union(df.select(*partition)).distinct()
+        same = [stored[p].eqNullSafe(touched[p]) for p in partition]
+        others = stored.join(touched, same, "left_semi")
+    else:
+        replaced, others = None, stored
+    merged = written(others.join(df.select(*keys), keys, "left_anti").select(*df.columns).unionByName(df), "merged")
+    if not partition:
+        merged.write.mode("overwrite").parquet(path)
         return
-    if exists(spark, path):
-        df = new_only(df, spark.read.parquet(path), keys, force)
-    (df.write.mode("append").partitionBy(*partition) if partition else df.write.mode("append")).parquet(path)
+    # a partition that only held forced keys which move elsewhere has no row left to overwrite it with
+    kept = [merged[p].eqNullSafe(touched[p]) for p in partition]
+    emptied = touched.join(merged.select(*partition).distinct(), kept, "left_anti").collect()
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    for row in emptied:
+        folder = "/".join(f"{p}={row[p]}" if row[p] is not None else f"{p}=__HIVE_DEFAULT_PARTITION__" for p in partition)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class KeyedTable:
