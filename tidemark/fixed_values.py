@@ -167,6 +167,9 @@ MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 # ---- Fixed values: field types and confidence levels of document schemas ----
 FIELD_TYPES = ["string", "number", "date", "boolean", "array", "object"]
 CONFIDENCE_LEVELS = ["high", "medium", "low"]
+#: Fixed value: the estimate source that is read where none is asked for and none served the company.
+DEFAULT_ESTIMATE_SOURCE = "finnhub"
+
 CONVERGENCE_METRICS = ["field_stability", "confidence_trend", "new_field_rate", "type_consistency"]
 
 # ---- Fixed values: text patterns ----

@@ -206,8 +206,9 @@ def add_excluded(excluded: DataFrame, new: DataFrame) -> DataFrame:
 def merge_schema(current: DataFrame, proposed: DataFrame, hints: DataFrame, excluded: DataFrame) -> DataFrame:
     """Next version of each type's schema: hinted fields, then proposed ones, then those carried or deprecated.
 
-    Inputs: current(type_id, name, type, confidence, provenance, absence_streak), proposed(type_id, name, type,
-    confidence, position), hints(type_id, label, hint_type, required), excluded(type_id, excluded).
+    Inputs: current(type_id, name, type, confidence, provenance, absence_streak, required), proposed(type_id, name, type,
+    confidence, position), hints(type_id, label, hint_type, required), excluded(type_id, excluded). A carried field keeps its
+    required flag. place orders the parts of the result: user fields 0, model fields 1, deprecated ones 2.
     """
     proposal = without_excluded(proposed, excluded)
     hinted = resolve_hints(hints, proposal)
@@ -227,9 +228,9 @@ def merge_schema(current: DataFrame, proposed: DataFrame, hints: DataFrame, excl
     new = user.unionByName(model)
     carried = (without_excluded(current.join(new.select("type_id", "name"), ["type_id", "name"], "left_anti"), excluded)
                .withColumn("absence_streak", c("absence_streak") + 1).select(
-        "type_id", "name", "type", tx.downgrade(c("confidence")).alias("confidence"), "provenance", F.lit(False).alias("required"),
+        "type_id", "name", "type", tx.downgrade(c("confidence")).alias("confidence"), "provenance", "required",
         "absence_streak", (c("absence_streak") > 3).alias("deprecated"), F.lit("").alias("note")))
-    return new.unionByName(carried)
+    return new.unionByName(carried).withColumn("place", F.when(c("deprecated"), 2).when(c("provenance") == "user", 0).otherwise(1))
 
 
 def proposal_errors(fields: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -245,13 +246,13 @@ def proposal_errors(fields: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 
 def proposal_questions(proposals: DataFrame) -> DataFrame:
-    """Problems of a proposal as a whole: no fields, no strategy, missing or unnamed questions."""
+    """Problems of a proposal as a whole: no fields, no strategy, missing questions, and one per unnamed question."""
     codes = F.array_compact(F.array(
         F.when(c("n_fields").isNull(), F.lit("nil_fields")),
         F.when(~c("use_ocr") & ~c("convert_to_image") & ~c("multi_pass") & (F.coalesce("rationale", F.lit("")) == ""), F.lit("empty_strategy")),
-        F.when(c("needs_help") & (F.size("question_ids") == 0), F.lit("missing_questions")),
-        F.when(F.exists("question_ids", lambda q: q == ""), F.lit("empty_question_id"))))
-    return proposals.withColumn("code", F.explode(codes))
+        F.when(c("needs_help") & (F.size("question_ids") == 0), F.lit("missing_questions"))))
+    unnamed = F.transform(F.filter("question_ids", lambda q: q == ""), lambda q: F.lit("empty_question_id"))
+    return proposals.withColumn("code", F.explode(F.concat(codes, F.coalesce(unnamed, F.array().cast("array<string>")))))
 
 
 def strategy_consensus(analyses: DataFrame, n: int = 5) -> DataFrame:
@@ -299,27 +300,35 @@ def duplicate_samples(incoming: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def register_samples(samples: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Sample registry after a batch: repeats raise the count and last-seen time, new documents are added.
+    """Sample registry after a batch: repeats raise the count and last-seen time and bring their file, new documents are added.
 
-    A stored blank hash is filled from the repeat. New documents that repeat each other become one sample,
-    by hash, else by size and name.
+    A stored blank hash is filled from the first repeat that has one. New documents that repeat each other become one sample: by
+    the hash of a new sample, else, hash or not, by size and name without case. A new sample has the first hash of its size and
+    name; of new samples with one hash the first counts.
     """
     matched = duplicate_samples(incoming, samples)
     hits = matched.where("sample_id IS NOT NULL").groupBy("type_id", "sample_id").agg(
-        F.count("*").alias("_k"), F.max("seen_at").alias("_seen"),
+        F.count("*").alias("_k"), F.max("seen_at").alias("_seen"), F.max_by("doc_id", F.struct("seen_at", "doc_id")).alias("_file"),
         F.min_by("content_hash", F.when(c("content_hash") != "", F.struct("seen_at", "doc_id"))).alias("_hash"))
     old = samples.join(hits, ["type_id", "sample_id"], "left").select(
-        "type_id", "sample_id", "original_name", "size_bytes",
+        "type_id", "sample_id", F.coalesce("_file", "file_id").alias("file_id"), "original_name", "size_bytes",
         F.when((c("content_hash") == "") & c("_hash").isNotNull(), c("_hash")).otherwise(c("content_hash")).alias("content_hash"),
         "first_seen_at", F.greatest("last_seen_at", "_seen").alias("last_seen_at"),
         (c("analysis_count") + F.coalesce("_k", F.lit(0))).alias("analysis_count"))
-    ident = F.when(c("content_hash") != "", c("content_hash")).otherwise(
-        F.concat_ws("|", c("size_bytes").cast("string"), F.lower(F.trim("original_name"))))
-    new = (matched.where("sample_id IS NULL").groupBy("type_id", ident.alias("_id")).agg(
-        F.min_by(F.struct("doc_id", "original_name", "size_bytes", "content_hash"), F.struct("seen_at", "doc_id")).alias("f"),
+    at = F.struct("seen_at", "doc_id")
+    fresh = matched.where("sample_id IS NULL").withColumn("_n", F.lower(F.trim("original_name")))
+    named = fresh.groupBy("type_id", "size_bytes", "_n").agg(
+        F.min(at).alias("_at"), F.min_by("content_hash", F.when(c("content_hash") != "", at)).alias("_h"))
+    hashed = named.where("_h IS NOT NULL").groupBy("type_id", c("_h").alias("content_hash")).agg(F.min("_at").alias("_first"))
+    group = (named.join(hashed.withColumnRenamed("content_hash", "_h"), ["type_id", "_h"], "left")
+             .select("type_id", "size_bytes", "_n", c("_h").alias("_hash"), F.coalesce("_first", "_at").alias("_by_name")))
+    new = (fresh.join(group, ["type_id", "size_bytes", "_n"]).join(hashed, ["type_id", "content_hash"], "left")
+           .withColumn("_id", F.coalesce("_first", "_by_name"))
+           .groupBy("type_id", "_id").agg(
+        F.min_by(F.struct("doc_id", "original_name", "size_bytes", "_hash"), at).alias("f"), F.max_by("doc_id", at).alias("file_id"),
         F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("analysis_count"))
-        .select("type_id", c("f.doc_id").alias("sample_id"), F.trim("f.original_name").alias("original_name"), c("f.size_bytes").alias("size_bytes"),
-                c("f.content_hash").alias("content_hash"), "first_seen_at", "last_seen_at", "analysis_count"))
+        .select("type_id", c("f.doc_id").alias("sample_id"), "file_id", F.trim("f.original_name").alias("original_name"), c("f.size_bytes").alias("size_bytes"),
+                F.coalesce("f._hash", F.lit("")).alias("content_hash"), "first_seen_at", "last_seen_at", "analysis_count"))
     return old.unionByName(new)
 
 

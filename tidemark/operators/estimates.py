@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.functions import amounts as am, periods as pd_
 from tidemark.functions.ids import blank_to_null
 from tidemark.operators.joins import asof_join
@@ -74,6 +75,6 @@ def quota_plan(targets: DataFrame, estimates: DataFrame, with_snapshot: bool) ->
 
 
 def estimates_view(coverage: DataFrame, estimates: DataFrame, source: str = "") -> DataFrame:
-    """Coverage with the periods of the asked source, else of the source that served the company."""
-    chosen = F.coalesce(F.lit(source) if source else F.lit(None).cast("string"), c("provider"))
+    """Coverage with the periods of the asked source, else of the source that served the company, else of the default source."""
+    chosen = F.lit(source) if source else F.coalesce(blank_to_null(c("provider")), F.lit(fv.DEFAULT_ESTIMATE_SOURCE))
     return (coverage.withColumn("source", chosen).join(estimates, ["cik", "source"], "left"))

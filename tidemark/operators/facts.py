@@ -175,15 +175,14 @@ def gap_fill_lines(facts: DataFrame) -> DataFrame:
         F.lit(fv.FROM_COMPANY_FACTS).alias("source"))
 
 
-def no_fact_records(gaps: DataFrame, lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Filings that stay without figures, with the reason."""
-    have = lines.select("accession").distinct().withColumn("_line", F.lit(True))
-    seen = known.select("accession").distinct().withColumn("_known", F.lit(True))
-    j = gaps.join(have, "accession", "left").join(seen, "accession", "left").where("_line IS NULL")
-    reason = (F.when(c("kind") == "no_xbrl", F.lit("no XBRL in the filing"))
-              .when(c("_known").isNull(), F.lit("no facts for this filing"))
-              .otherwise(F.lit("no reporting period or headline metric")))
-    return j.where("kind <> 'has_local'").withColumn("reason", reason).drop("_line", "_known")
+def no_fact_records(gaps: DataFrame, lines: DataFrame, known: DataFrame, periods: DataFrame) -> DataFrame:
+    """Filings that stay without figures, with the reason: not tagged, no facts, no own period, or no headline metric for it."""
+    flags = (known.select("accession", F.lit(1).alias("_s")).unionByName(periods.select("accession", F.lit(2).alias("_s")))
+             .unionByName(lines.select("accession", F.lit(3).alias("_s"))).groupBy("accession").agg(F.max("_s").alias("_s")))
+    j = gaps.join(flags, "accession", "left").where("coalesce(_s, 0) < 3 AND kind <> 'has_local'")
+    reason = (F.when(c("kind") == "no_xbrl", F.lit("no XBRL in the filing")).when(c("_s") == 1, F.lit("no reporting period"))
+              .when(c("_s") == 2, F.lit("no headline metric for the period")).otherwise(F.lit("no facts for this filing")))
+    return j.withColumn("reason", reason).drop("_s")
 
 
 def classify_gaps(filings: DataFrame, local_lines: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -167,9 +167,9 @@ def dq15(t, src):
 
 
 @query("dq15_proposal_questions", src="SELECT event_id, event_id % 3 = 0 AS ocr, event_id % 5 = 0 AS help, event_id % 4 AS k FROM events", sql="""
-    SELECT event_id, code FROM (SELECT event_id, 'empty_strategy' AS code FROM src WHERE NOT ocr AND k > 0 UNION ALL SELECT event_id, 'missing_questions' FROM src WHERE help AND k < 2 UNION ALL SELECT event_id, 'empty_question_id' FROM src WHERE k = 3 UNION ALL SELECT event_id, 'nil_fields' FROM src WHERE k = 1)""")
+    SELECT event_id, code FROM (SELECT event_id, 'empty_strategy' AS code FROM src WHERE NOT ocr AND k > 0 UNION ALL SELECT event_id, 'missing_questions' FROM src WHERE help AND k < 2 UNION ALL SELECT event_id, 'empty_question_id' FROM src, (VALUES (1), (2)) twice(i) WHERE k = 3 UNION ALL SELECT event_id, 'nil_fields' FROM src WHERE k = 1)""")
 def dq15_questions(t, src):
-    q = F.when(c("k") == 3, F.array(F.lit("q1"), F.lit(""))).when(c("k") == 2, F.array(F.lit("q1"))).otherwise(F.array().cast("array<string>"))
+    q = F.when(c("k") == 3, F.array(F.lit("q1"), F.lit(""), F.lit(""))).when(c("k") == 2, F.array(F.lit("q1"))).otherwise(F.array().cast("array<string>"))
     shaped = src.select("event_id", F.when(c("k") != 1, F.lit(2)).alias("n_fields"), c("ocr").alias("use_ocr"), F.lit(False).alias("convert_to_image"), F.lit(False).alias("multi_pass"),
                         F.when(c("k") == 0, F.lit("why")).alias("rationale"), c("help").alias("needs_help"), q.alias("question_ids"))
     return dr.proposal_questions(shaped).select("event_id", "code")
@@ -205,7 +205,7 @@ def top11(t):
     return dr.by_emphasis(dr.field_rows(top.withColumn("required", F.lit(False)), t.select(_OVR, "doc_fields"), stats)).select("type_id", "name", "emphasis")
 
 
-_CUR = "SELECT type_id, name, max_by(type, version) AS type, max_by(confidence, version) AS confidence, CASE WHEN name = 'paid' THEN 'user' ELSE 'llm' END AS provenance, CASE WHEN name IN ('vendor', 'lines') THEN 3 ELSE 0 END AS absence_streak FROM schema_fields WHERE version < 25 GROUP BY type_id, name"
+_CUR = "SELECT type_id, name, max_by(type, version) AS type, max_by(confidence, version) AS confidence, CASE WHEN name = 'paid' THEN 'user' ELSE 'llm' END AS provenance, CASE WHEN name IN ('vendor', 'lines') THEN 3 ELSE 0 END AS absence_streak, name IN ('vendor', 'paid') AS required FROM schema_fields WHERE version < 25 GROUP BY type_id, name"
 
 
 @query("set05_merge_schema", views="doc_fields schema_fields", sql=f"""
@@ -215,10 +215,10 @@ _CUR = "SELECT type_id, name, max_by(type, version) AS type, max_by(confidence,
     us AS (SELECT hn.type_id, hn.label AS name, coalesce(mtp, CASE WHEN hint_type <> '' THEN hint_type ELSE 'string' END) AS type, coalesce(mc, 'low') AS confidence, 'user' AS provenance, mapped IS NOT NULL OR required AS required, false AS deprecated FROM hn LEFT JOIN hm USING (type_id, label)),
     mo AS (SELECT p.type_id, p.name, p.type, p.confidence, 'llm' AS provenance, false AS required, false AS deprecated FROM ptop p WHERE NOT EXISTS (SELECT 1 FROM hn WHERE hn.type_id = p.type_id AND hn.label = p.name) AND NOT EXISTS (SELECT 1 FROM hm WHERE hm.type_id = p.type_id AND hm.mapped = p.name)),
     ne AS (SELECT * FROM us UNION ALL SELECT * FROM mo)
-    SELECT * FROM ne UNION ALL SELECT c.type_id, c.name, c.type, CASE c.confidence WHEN 'high' THEN 'medium' ELSE 'low' END, c.provenance, false, c.absence_streak + 1 > 3 FROM cu c WHERE NOT EXISTS (SELECT 1 FROM ne WHERE ne.type_id = c.type_id AND ne.name = c.name) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.type_id = c.type_id AND {similar_sql('c.name', 'ex.excluded')})""")
+    SELECT *, CASE WHEN deprecated THEN 2 WHEN provenance = 'user' THEN 0 ELSE 1 END AS place FROM (SELECT * FROM ne UNION ALL SELECT c.type_id, c.name, c.type, CASE c.confidence WHEN 'high' THEN 'medium' ELSE 'low' END, c.provenance, c.required, c.absence_streak + 1 > 3 FROM cu c WHERE NOT EXISTS (SELECT 1 FROM ne WHERE ne.type_id = c.type_id AND ne.name = c.name) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.type_id = c.type_id AND {similar_sql('c.name', 'ex.excluded')}))""")
 def set05(t):
     merged = dr.merge_schema(t.select(_CUR, "schema_fields"), _latest(t).select("type_id", "name", "type", "confidence", "position"), t.select(_HINTS, "doc_fields"), t.select(_EXCL, "doc_fields"))
-    return merged.select("type_id", "name", "type", "confidence", "provenance", "required", "deprecated")
+    return merged.select("type_id", "name", "type", "confidence", "provenance", "required", "deprecated", "place")
 
 
 @query("qry09_type_summaries", views="doc_fields schema_fields", sql=f"SELECT type_id, any_value(version) AS version, count(*) AS fields, any_value(n) AS files_analyzed FROM {_TOP} JOIN (SELECT type_id, count(*) AS n FROM doc_fields GROUP BY 1) USING (type_id) GROUP BY type_id")
@@ -241,7 +241,7 @@ def qry11(t):
 # ---- samples ----
 
 _IN = "SELECT type_id, doc_id, original_name, size_bytes, CASE WHEN doc_id % 5 = 0 THEN '' ELSE content_hash END AS content_hash, doc_id AS seen_at FROM samples WHERE doc_id % 2 = 1"
-_STORED = "SELECT type_id, doc_id AS sample_id, original_name, size_bytes, known_hash AS content_hash, doc_id AS first_seen_at, doc_id AS last_seen_at, 1 AS analysis_count FROM samples WHERE doc_id % 2 = 0"
+_STORED = "SELECT type_id, doc_id AS sample_id, doc_id AS file_id, original_name, size_bytes, known_hash AS content_hash, doc_id AS first_seen_at, doc_id AS last_seen_at, 1 AS analysis_count FROM samples WHERE doc_id % 2 = 0"
 _DUP_CTE = f"""inc AS ({_IN}), sto AS ({_STORED}), bh AS (SELECT type_id, content_hash, min(sample_id) AS ex FROM sto WHERE content_hash <> '' GROUP BY ALL), bn AS (SELECT type_id, size_bytes, lower(original_name) AS n, min(sample_id) AS nm FROM sto GROUP BY ALL),
   dm AS (SELECT i.*, CASE WHEN ex IS NOT NULL THEN 'exact' WHEN nm IS NOT NULL THEN 'name_size' END AS match_type, coalesce(ex, nm) AS sample_id FROM inc i LEFT JOIN bh ON bh.type_id = i.type_id AND bh.content_hash = i.content_hash LEFT JOIN bn ON bn.type_id = i.type_id AND bn.size_bytes = i.size_bytes AND bn.n = lower(trim(i.original_name)))"""
 
@@ -252,11 +252,16 @@ def jn15(t):
 
 
 @query("snk06_register_samples", views="samples", sql=f"""
-    WITH {_DUP_CTE}, hi AS (SELECT type_id, sample_id, count(*) AS k, max(seen_at) AS sn, arg_min(content_hash, seen_at) FILTER (content_hash <> '') AS h FROM dm WHERE sample_id IS NOT NULL GROUP BY ALL)
-    SELECT s.type_id, s.sample_id, CASE WHEN s.content_hash = '' AND h IS NOT NULL THEN h ELSE s.content_hash END AS content_hash, s.first_seen_at, greatest(s.last_seen_at, coalesce(sn, s.last_seen_at)) AS last_seen_at, CAST(s.analysis_count + coalesce(k, 0) AS BIGINT) AS analysis_count FROM sto s LEFT JOIN hi USING (type_id, sample_id)
-    UNION ALL SELECT type_id, min(doc_id), arg_min(content_hash, seen_at), min(seen_at), max(seen_at), count(*) FROM dm WHERE sample_id IS NULL GROUP BY type_id, CASE WHEN content_hash <> '' THEN content_hash ELSE size_bytes || '|' || lower(trim(original_name)) END""")
+    WITH {_DUP_CTE}, hi AS (SELECT type_id, sample_id, count(*) AS k, max(seen_at) AS sn, arg_max(doc_id, seen_at) AS fl, arg_min(content_hash, seen_at) FILTER (content_hash <> '') AS h FROM dm WHERE sample_id IS NOT NULL GROUP BY ALL),
+    fr AS (SELECT *, lower(trim(original_name)) AS nm FROM dm WHERE sample_id IS NULL),
+    gr AS (SELECT type_id, size_bytes, nm, min(doc_id) AS first_doc, arg_min(content_hash, doc_id) FILTER (content_hash <> '') AS stored FROM fr GROUP BY ALL),
+    root AS (SELECT type_id, stored, min(first_doc) AS root FROM gr WHERE stored IS NOT NULL GROUP BY ALL),
+    who AS (SELECT fr.*, coalesce(own.root, other.root, gr.first_doc) AS sample FROM fr JOIN gr USING (type_id, size_bytes, nm) LEFT JOIN root own ON own.type_id = fr.type_id AND own.stored = fr.content_hash LEFT JOIN root other ON other.type_id = gr.type_id AND other.stored = gr.stored),
+    made AS (SELECT type_id, sample, min(seen_at) AS fs, max(seen_at) AS ls, max(doc_id) AS fl, count(*) AS n FROM who GROUP BY ALL)
+    SELECT s.type_id, s.sample_id, coalesce(fl, s.file_id) AS file_id, CASE WHEN s.content_hash = '' AND h IS NOT NULL THEN h ELSE s.content_hash END AS content_hash, s.first_seen_at, greatest(s.last_seen_at, coalesce(sn, s.last_seen_at)) AS last_seen_at, CAST(s.analysis_count + coalesce(k, 0) AS BIGINT) AS analysis_count FROM sto s LEFT JOIN hi USING (type_id, sample_id)
+    UNION ALL SELECT m.type_id, m.sample, m.fl, coalesce(g.stored, ''), m.fs, m.ls, m.n FROM made m JOIN fr ON fr.doc_id = m.sample JOIN gr g ON g.type_id = fr.type_id AND g.size_bytes = fr.size_bytes AND g.nm = fr.nm""")
 def snk06(t):
-    return dr.register_samples(t.select(_STORED, "samples"), t.select(_IN, "samples")).select("type_id", "sample_id", "content_hash", "first_seen_at", "last_seen_at", c("analysis_count").cast("bigint").alias("analysis_count"))
+    return dr.register_samples(t.select(_STORED, "samples"), t.select(_IN, "samples")).select("type_id", "sample_id", "file_id", "content_hash", "first_seen_at", "last_seen_at", c("analysis_count").cast("bigint").alias("analysis_count"))
 
 
 @query("agg22_sample_backfill", views="samples", sql="SELECT type_id, lower(original_name) AS name, size_bytes, min(doc_id) AS file_id, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS analysis_count FROM samples s JOIN labels USING (doc_id) GROUP BY ALL")

@@ -63,10 +63,12 @@ def cov05(t):
 
 
 @query("qry05_estimates_view", views="companies estimates", sql="""
-    SELECT c.cik, CASE WHEN cik_no % 2 = 0 THEN 'vendor' ELSE 'other' END AS source, e.event_id FROM companies c LEFT JOIN estimates e ON e.cik = c.cik AND e.source = CASE WHEN cik_no % 2 = 0 THEN 'vendor' ELSE 'other' END""")
+    WITH w AS (SELECT cik, CASE WHEN cik_no % 4 = 0 THEN 'vendor' WHEN cik_no % 4 = 2 THEN 'other' ELSE 'finnhub' END AS source FROM companies), x AS (SELECT cik, CASE WHEN event_id % 3 = 0 THEN 'finnhub' ELSE source END AS source, event_id FROM estimates)
+    SELECT w.cik, w.source, x.event_id FROM w LEFT JOIN x ON x.cik = w.cik AND x.source = w.source""")
 def qry05(t):
-    coverage = t.companies.select("cik", F.when(c("cik_no") % 2 == 0, F.lit("vendor")).otherwise(F.lit("other")).alias("provider"))
-    return es.estimates_view(coverage, t.estimates).select("cik", "source", "event_id")
+    coverage = t.companies.select("cik", F.when(c("cik_no") % 4 == 0, F.lit("vendor")).when(c("cik_no") % 4 == 2, F.lit("other")).when(c("cik_no") % 4 == 1, F.lit("")).alias("provider"))
+    stored = t.estimates.withColumn("source", F.when(c("event_id") % 3 == 0, F.lit("finnhub")).otherwise(c("source")))
+    return es.estimates_view(coverage, stored).select("cik", "source", "event_id")
 
 
 _KEYED = """SELECT lpad(CAST(user_id AS STRING), 10, '0') AS cik, 'vendor' AS source, '2024' AS fiscal_year, 'Q' || CAST(1 + event_id % 4 AS STRING) AS fiscal_period, 'P3M' AS duration, CAST(CAST(ts AS DATE) AS STRING) AS consensus_date,

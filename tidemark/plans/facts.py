@@ -177,10 +177,11 @@ def agg27(t):
 
 
 @query("dq17_no_fact_reason", views="filings facts", sql=f"""
-    WITH {_GAP_CTES}, {ALL_FILL} SELECT g.accession, CASE WHEN kind = 'no_xbrl' THEN 'no XBRL in the filing' WHEN g.accession NOT IN (SELECT accession FROM f) THEN 'no facts for this filing' ELSE 'no reporting period or headline metric' END AS reason
+    WITH {_GAP_CTES}, {ALL_FILL} SELECT g.accession, CASE WHEN kind = 'no_xbrl' THEN 'no XBRL in the filing' WHEN g.accession NOT IN (SELECT accession FROM f) THEN 'no facts for this filing' WHEN g.accession NOT IN (SELECT accession FROM period) THEN 'no reporting period' ELSE 'no headline metric for the period' END AS reason
     FROM gaps g WHERE kind <> 'has_local' AND g.accession NOT IN (SELECT accession FROM lines)""")
 def dq17(t):
-    return fx.no_fact_records(_gaps(t), fx.gap_fill_lines(t.facts), fx.collapse(t.facts)).select("accession", "reason")
+    collapsed = fx.collapse(t.facts)
+    return fx.no_fact_records(_gaps(t), fx.gap_fill_lines(t.facts), collapsed, fx.filing_period(collapsed)).select("accession", "reason")
 
 
 @query("set01_local_wins", views="filings facts", sql=f"""
