@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import drift as dr, estimates as es, filings as fl, prices as pr
 from tidemark.session import scratch_path
 from tidemark.sources import sinks as sk
+from tidemark.streaming import jobs as st
 
 
 def stored(spark, path):
@@ -69,3 +70,43 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
             master = "spark://host:7077"
     with pytest.raises(ValueError):
         scratch_path(Cluster, "x")
+
+
+def test_streams_over_three_batches(spark, tmp_path):
+    """Late and repeated rows, state carried across batches, and only touched buckets rewritten."""
+    schema = "cik string, trade_date date, close double, fetched_at int"
+    days = [dt.date(2024, 1, d) for d in range(1, 10)]
+    batches = [[("1", days[3], 1.0, 1), ("1", days[3], 2.0, 2), ("2", days[0], 1.0, 1)], [("1", days[1], 3.0, 3)], [("1", days[3], 9.0, 4), ("1", days[3], 9.0, 4), ("3", days[5], 1.0, 1)]]
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        folder.mkdir(exist_ok=True)
+        part = next((tmp_path / f"b{i}").glob("part-*.parquet"))
+        part.rename(folder / f"{i}.parquet")
+        stream = st.file_stream(spark, str(folder), "*.parquet", spark.createDataFrame([], schema).schema)
+        if i == 0:
+            bars = sk.KeyedTable(spark, str(tmp_path / "bars"), ["cik"], 8)
+            coverage = sk.KeyedTable(spark, str(tmp_path / "cov"), ["cik"], 8)
+            first = sk.KeyedTable(spark, str(tmp_path / "first"), ["cik"], 8)
+        st.run_available(stream, st.bars_into(bars, coverage), str(tmp_path / "ck1"))
+        st.run_available(stream, st.new_only_into(first, ["cik"], ["fetched_at", "close"]), str(tmp_path / "ck2"))
+    assert {(r.cik, r.trade_date, r.close) for r in bars.read().collect()} == {("1", days[1], 3.0), ("1", days[3], 9.0), ("2", days[0], 1.0), ("3", days[5], 1.0)}
+    assert {(r.cik, r.earliest, r.latest, r.n) for r in coverage.read().collect()} == {("1", days[1], days[3], 2), ("2", days[0], days[0], 1), ("3", days[5], days[5], 1)}
+    assert {(r.cik, r.close) for r in first.read().collect()} == {("1", 1.0), ("2", 1.0), ("3", 1.0)}
+    assert len(list((tmp_path / "bars").glob("v*/_bucket=*"))) <= 5
+
+
+def test_call_times_carry_over_batches(spark, tmp_path):
+    schema = "project_id long, stage string, outcome string, created_at timestamp"
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    batches = [[(1, "llm_request", "ok", at(5)), (1, "llm_done", "", at(9))], [(1, "llm_request", "ok", at(3))], [(1, "llm_request", "error", at(30)), (1, "llm_request", "ok", at(20)), (2, "llm_call", "", at(1))]]
+    table = sk.KeyedTable(spark, str(tmp_path / "t"), ["project_id"], 4)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        next((tmp_path / f"b{i}").glob("part-*.parquet")).rename(folder / f"{i}.parquet")
+        stream = st.call_timing_stream(st.file_stream(spark, str(folder), "*.parquet", spark.createDataFrame([], schema).schema))
+        st.run_available(stream, st.latest_into(table, ["project_id"], ["start_us", "end_us"]), str(tmp_path / "ck"), "update")
+    us = lambda s: int(dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert {tuple(r) for r in table.read().select("project_id", "start_us", "end_us").collect()} == {(1, us(20), us(9)), (2, -1, us(1))}

@@ -60,19 +60,6 @@ def test_ratio_counts(spark):
             assert got[v][name] == sum(1 + i % 3 for i, o in enumerate(vals) if abs(o / v - ratio) / ratio <= 0.005)
 
 
-def test_admission_matches_a_walk(spark):
-    rnd = random.Random(2)
-    rows = [(0 if i % 3 == 0 else rnd.randrange(1, 5), i, rnd.randrange(0, 2_000_000)) for i in range(600)]
-    got = {r.i: r.admitted for r in ac.admitted(spark.createDataFrame(rows, "k int, i int, at bigint"), "k", "at", "i", 2, 30_000).collect()}
-    for k in {r[0] for r in rows}:
-        end, n = None, 0
-        for _, i, at in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
-            if end is None or at > end:
-                end, n = at + 30_000, 0
-            n += 1
-            assert got[i] == (n <= 2)
-
-
 def test_greedy_match_uses_each_name_once(spark):
     pairs = spark.createDataFrame([("s", "amount", 1, "Amount", 1), ("s", "amount", 1, "amount_due", 3), ("s", "amount_due", 2, "amount_due", 1), ("s", "amt", 3, "Amount", 3)],
                                   "s string, name string, position int, found string, tier int")

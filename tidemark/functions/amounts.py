@@ -37,18 +37,24 @@ def fixed_text(x: Column, places: int) -> Column:
                     F.lpad((n - whole * scale).cast("string"), places, "0"))
 
 
-def _shorthand(size: Column, prefix: Column, thousand_places: int = 1) -> Column:
-    return (F.when(size >= 1e9, F.concat(prefix, fixed_text(size / 1e9, 1), F.lit("B")))
-            .when(size >= 1e6, F.concat(prefix, fixed_text(size / 1e6, 1), F.lit("M")))
-            .when(size >= 1e3, F.concat(prefix, fixed_text(size / 1e3, thousand_places), F.lit("K"))))
+def _once(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(x), use)[0]
 
 
 def format_value(v: Column, unit: Column) -> Column:
-    size = F.abs(v)
-    minus = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    money = F.coalesce(_shorthand(size, F.concat(minus, F.lit("$"))),
-                       F.concat(minus, F.lit("$"), fixed_text(size, 0)))
-    return F.when(unit == fv.USD_PER_SHARE, F.concat(F.lit("$"), minus, fixed_text(size, 2))).otherwise(money)
+    """Display text of an amount: divisor, places and suffix are chosen first, then one number is rounded."""
+    def shape(a: Column) -> Column:
+        size, share = F.abs(a["v"]), F.coalesce(a["unit"] == fv.USD_PER_SHARE, F.lit(False))
+        step = F.when(share | (size < 1e3), 1.0).when(size < 1e6, 1e3).when(size < 1e9, 1e6).otherwise(1e9)
+        return F.struct((size / step).alias("x"), step.alias("step"), share.alias("share"), F.when(a["v"] < 0, F.lit("-")).otherwise(F.lit("")).alias("minus"))
+
+    def text(m: Column) -> Column:
+        digits = F.when(m["share"], fixed_text(m["x"], 2)).when(m["step"] == 1.0, fixed_text(m["x"], 0)).otherwise(fixed_text(m["x"], 1))
+        suffix = F.when(m["step"] == 1e3, F.lit("K")).when(m["step"] == 1e6, F.lit("M")).when(m["step"] == 1e9, F.lit("B")).otherwise(F.lit(""))
+        front = F.when(m["share"], F.concat(F.lit("$"), m["minus"])).otherwise(F.concat(m["minus"], F.lit("$")))
+        return F.concat(front, digits, suffix)
+    return _once(_once(F.struct(v.alias("v"), unit.alias("unit")), shape), text)
 
 
 def parse_amount(cell: Column) -> Column:

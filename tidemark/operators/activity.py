@@ -124,45 +124,3 @@ def document_status(projects: DataFrame, events: DataFrame, snippet: str, as_of:
                     F.when(c("status") == "error", F.coalesce("message", F.lit(""))).otherwise(F.lit("")).alias("error"),
                     F.coalesce("duration_sec", F.lit(0.0)).alias("duration_sec"),
                     F.coalesce("in_progress", F.lit(False)).alias("in_progress"), F.coalesce("model", F.lit("")).alias("model"))
-
-
-def admission_windows(requests: DataFrame, key: str, time_ms: str, window_ms: int) -> DataFrame:
-    """Admission windows per key: one opens at the first request after the end of the one before.
-
-    Requests are reduced to distinct clock ticks first. A gap longer than a window always starts a new
-    window, so ticks are cut into runs at such gaps (found on one row per key and slot) and each run is
-    walked on its own, jumping from window to window.
-    """
-    slot = F.floor(c(time_ms) / window_ms)
-    ticks = requests.groupBy(key, slot.alias("_slot"), time_ms).agg(F.lit(1).alias("_one")).drop("_one")
-    edges = ticks.groupBy(key, "_slot").agg(F.min(time_ms).alias("_lo"), F.max(time_ms).alias("_hi"))
-    along = W.partitionBy(key).orderBy("_slot")
-    gap = c("_lo") - F.lag("_hi").over(along)
-    starts = edges.withColumn("_new", (F.coalesce(gap, F.lit(window_ms + 1)) > window_ms).cast("int"))
-    runs = starts.withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    keyed = ticks.join(runs.select(key, "_slot", "_run"), [key, "_slot"]).select(key, "_run", time_ms)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf[time_ms].to_numpy())
-        opened, i = [], 0
-        while i < len(at):
-            opened.append(at[i])
-            i = int(np.searchsorted(at, at[i] + window_ms, side="right"))
-        return pd.DataFrame({key: pdf[key].iloc[0], "opened": opened})
-    kind = requests.schema[key].dataType.simpleString()
-    return keyed.groupBy(key, "_run").applyInPandas(walk, f"{key} {kind}, opened bigint")
-
-
-def admitted(requests: DataFrame, key: str, time_ms: str, tie: str, rate: int, window_ms: int) -> DataFrame:
-    """Which requests a fixed admission window lets through: the first ``rate`` of each window."""
-    windows = admission_windows(requests, key, time_ms, window_ms)
-    # A request's window opened in its own time slot or in the one before.
-    reach = windows.select(key, "opened", F.explode(F.array(F.floor(c("opened") / window_ms),
-                                                            F.floor(c("opened") / window_ms) + 1)).alias("_slot"))
-    placed = (requests.select(key, time_ms, tie).withColumn("_slot", F.floor(c(time_ms) / window_ms))
-              .join(reach, [key, "_slot"]).where(c(time_ms).between(c("opened"), c("opened") + window_ms)).drop("_slot"))
-    first = W.partitionBy(key, "opened").orderBy(time_ms, tie)
-    passed = placed.withColumn("_n", F.row_number().over(first)).where(c("_n") <= rate)
-    return (requests.select(key, time_ms, tie)
-            .join(passed.select(key, tie, F.lit(True).alias("admitted")), [key, tie], "left")
-            .withColumn("admitted", F.coalesce("admitted", F.lit(False))))

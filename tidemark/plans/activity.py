@@ -51,16 +51,3 @@ def agg21(t):
     FROM projects p LEFT JOIN {TIMING_SQL} t USING (project_id) LEFT JOIN {ERROR_SQL} e USING (project_id) LEFT JOIN {CALL_SQL} i USING (project_id)""")
 def qry12(t):
     return ac.document_status(t.projects, t.log_events.withColumn("snippet", F.expr(SNIPPET)), "snippet", as_of())
-
-
-# Windows one after the other, then the first three requests of each.
-ADMISSION_SQL = """
-    WITH RECURSIVE r AS (SELECT client, event_id, at_ms FROM src), w(client, opened) AS (SELECT client, min(at_ms) FROM r GROUP BY client UNION ALL
-      SELECT w.client, (SELECT min(r.at_ms) FROM r WHERE r.client = w.client AND r.at_ms > w.opened + 60000) FROM w WHERE (SELECT min(r.at_ms) FROM r WHERE r.client = w.client AND r.at_ms > w.opened + 60000) IS NOT NULL),
-    n AS (SELECT r.*, row_number() OVER (PARTITION BY r.client, w.opened ORDER BY at_ms, event_id) AS k FROM r JOIN w ON r.client = w.client AND r.at_ms BETWEEN w.opened AND w.opened + 60000)
-    SELECT client, event_id, at_ms, k <= 3 AS admitted FROM n"""
-
-
-@query("str05_admission_batch", src="SELECT user_id % 7 AS client, event_id, CAST(event_id * 997 AS BIGINT) AS at_ms FROM events", sql=ADMISSION_SQL)
-def str05_batch(t, src):
-    return ac.admitted(src, "client", "at_ms", "event_id", 3, 60000)

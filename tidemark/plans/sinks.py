@@ -33,7 +33,7 @@ _BAR_SRC = "SELECT lpad(CAST(user_id AS STRING), 10, '0') AS cik, CASE WHEN even
 @query("snk02_bar_upsert", src=_BAR_SRC, sql="""
     SELECT cik, trade_date::VARCHAR AS trade_date, arg_max(close, (CASE WHEN fetched_at % 2 = 0 THEN 0 ELSE 1 END, fetched_at)) AS close FROM src WHERE trade_date IS NOT NULL GROUP BY ALL""")
 def snk02(t, src):
-    table = sk.KeyedTable(t.spark, scratch_path(t.spark, "bars"))
+    table = sk.KeyedTable(t.spark, scratch_path(t.spark, "bars"), ["cik"])
     table.merge(src.where("fetched_at % 2 = 0"), pr.upsert_bars)
     table.merge(src.where("fetched_at % 2 = 1"), pr.upsert_bars)
     table.merge(src.where("fetched_at % 2 = 1"), pr.upsert_bars)

@@ -63,33 +63,61 @@ def write_new(df: DataFrame, path: str, keys: list[str], *, force: bool = False,
 
 
 class KeyedTable:
-    """A keyed table kept as numbered snapshots: a merge writes the next one and never touches the one it reads.
+    """A keyed table in buckets of its key, kept as numbered versions of the buckets that a merge touches.
 
-    Readers use the newest complete snapshot (one with a _SUCCESS file), so a lost executor or a failed write
-    leaves the table as it was, and running a merge again is safe.
+    A merge reads and writes only the buckets of its incoming keys and never a folder that it reads. A version counts once it
+    has its _SUCCESS file, so a lost executor or a failed write leaves the table as it was, and running a merge again is safe.
+    Bucket folders that were already superseded before the last merge are deleted; readers of the version before keep theirs.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
 
-    def _snapshots(self) -> list[int]:
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        glob = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
-        found = glob.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
-        return sorted(int(s.getPath().getParent().getName()[1:]) for s in found)
-
-    def read(self) -> DataFrame | None:
-        n = self._snapshots()
-        return self.spark.read.parquet(f"{self.path}/v{n[-1]}") if n else None
-
-    def replace(self, df: DataFrame) -> None:
-        n = self._snapshots()
-        df.write.mode("overwrite").parquet(f"{self.path}/v{(n[-1] if n else 0) + 1}")
+        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _glob(self, pattern: str) -> list:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        return [x.getPath() for x in self._fs().globStatus(p) or []]
+
+    def _state(self) -> tuple[int, dict[int, list[tuple[int, object]]]]:
+        """The newest complete version, and for each bucket its (version, folder) from old to new."""
+        done = {int(p.getParent().getName()[1:]) for p in self._glob("v*/_SUCCESS")}
+        folders: dict[int, list[tuple[int, object]]] = {}
+        for p in self._glob("v*/_bucket=*"):
+            version = int(p.getParent().getName()[1:])
+            if version in done:
+                folders.setdefault(int(p.getName().split("=")[1]), []).append((version, p))
+        return max(done, default=0), {b: sorted(v, key=lambda x: x[0]) for b, v in folders.items()}
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets of some rows: at most ``buckets`` numbers."""
+        return [r[0] for r in rows.select(self._bucket()).distinct().collect()]
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of all buckets, or of some; None where nothing is stored."""
+        _, folders = self._state()
+        paths = [v[-1][1].toString() for b, v in folders.items() if buckets is None or b in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def merge(self, incoming: DataFrame, combine) -> None:
-        """``combine(current, incoming) -> next``; the first merge starts from an empty table."""
-        current = self.read()
-        self.replace(combine(incoming.where(F.lit(False)) if current is None else current, incoming))
+        """``combine(current, incoming) -> next`` must work key by key; the first merge of a key starts from an empty table."""
+        incoming = written(incoming, "incoming")
+        touched = self.buckets_of(incoming)
+        if not touched:
+            return
+        newest, before = self._state()
+        current = self.read(touched)
+        merged = combine(incoming.where(F.lit(False)) if current is None else current, incoming)
+        (merged.withColumn("_bucket", self._bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket")
+         .parquet(f"{self.path}/v{newest + 1}"))
+        for folders in before.values():
+            for _, folder in folders[:-1]:
+                self._fs().delete(folder, True)
 
 
 def write_report(df: DataFrame, path: str) -> None:
