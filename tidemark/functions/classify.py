@@ -16,10 +16,6 @@ def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
-def category_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fv.CATEGORY_RULES, "category string, weight string, is_event boolean, why string")
-
-
 def metric_aliases(spark: SparkSession) -> DataFrame:
     """One row per known element: its metric key, unit and alias rank."""
     rows = [(el, key, display, unit, rank) for key, display, unit, els in fv.METRICS for rank, el in enumerate(els)]

@@ -25,11 +25,6 @@ def squeeze_spaces(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
-def cell_text(markup: Column) -> Column:
-    """Text of one table cell: tags out, references resolved, spaces squeezed."""
-    return tidy(unescape_entities(F.regexp_replace(markup, TAG, "")))
-
-
 def tidy(text: Column) -> Column:
     """One space per run of plain white space; any white space, also the non-breaking one, off the ends."""
     return F.regexp_replace(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), r"(?U)^\s+|\s+$", "")

@@ -21,7 +21,6 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     are decided by the greatest ``tie_break``.
     """
     tie = F.struct(*[F.col(x) for x in tie_break or values])
-    found = F.struct(F.col(right_time).alias("at"), *[F.col(v) for v in values])
     candidates = (right.where(F.col(right_time).isNotNull()).groupBy(*keys, right_time)
                   .agg(F.max_by(F.struct(*values), tie).alias("v"))
                   .select(*keys, F.col(right_time).alias("_t"),
@@ -103,8 +102,3 @@ def first_match(df: DataFrame, keys: list[str], order: list[Column], columns: li
     """One row per key: the columns of its first row in a total order (combined before the shuffle)."""
     return (df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_f"))
             .select(*keys, *[F.col(f"_f.{x}").alias(x) for x in columns]))
-
-
-def distinct_count_flag(value: Column) -> Column:
-    """True when a group holds more than one distinct value."""
-    return F.min(value) != F.max(value)

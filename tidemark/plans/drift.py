@@ -96,7 +96,7 @@ def agg19(t):
 
 @query("jn14_match_fields", src=f"SELECT type_id, version, found_name, count(*) AS n FROM doc_fields GROUP BY type_id, version, found_name")
 def jn14(t, src):
-    """Greedy assignment over each version's names; checked against brute force in the tests."""
+    """Greedy assignment over each version's names; the tests have one fixed case, and there is no SQL for it."""
     canonical = t.select(_CANON, "doc_fields").withColumn("position", F.row_number().over(W.partitionBy("type_id").orderBy("name")))
     names = dr.name_pairs(canonical, src, "name", "found_name")
     pairs = src.select("type_id", "version", "found_name").join(names, ["type_id", "found_name"]).join(canonical, ["type_id", "name"])

@@ -28,7 +28,7 @@ def build_session(app: str = "tidemark", cores: str | int = "*", shuffle_partiti
 
 
 def pin_runtime(spark: SparkSession) -> SparkSession:
-    """All dates and times in the data are UTC."""
+    """All dates and times in the data are UTC: the entry of every registered query sets the session's zone so."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
