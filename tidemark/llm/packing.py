@@ -9,12 +9,15 @@ island's best packing migrates to the next island of its cell; the best one of a
 from __future__ import annotations
 
 import random
+import string
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +31,84 @@ MAX_TOKENS = 2048
 CELL = 16_384
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 3, 3
 #: Encoded words that a worker keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
-_STORE: dict[str, dict[bytes, bytes]] = {}
+KEPT_WORDS = 300_000
+_STORE: dict[str, dict[str, bytes]] = {}
 
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, each text's ids followed by id 0.
+@lru_cache(4)
+def _word_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a pre-token, in a vocabulary that marks these."""
+    vocabulary = load(path).get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+    return ends if ends.any() else None
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its blank-separated words in order;
-    each distinct word is encoded once while it is stored.
+
+def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """The ids of each word as little-endian unsigned 32-bit numbers.
+
+    Words go to the library in long texts. Words of letters are single pre-tokens, whose ends the ids show; the others are parted
+    by a special string, which the library splits off before anything else.
+    """
+    tokenizer, ends = load(path), _word_ends(path)
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+    part = next(iter(special), None)
+    out: dict[str, bytes] = {}
+
+    def run(group: list[str], ids: np.ndarray, cuts: np.ndarray, skip: int) -> None:
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(group, (4 * cuts).tolist()):
+            out[w] = raw[begin:end]
+            begin = end + 4 * skip
+
+    letters = [w for w in words if ends is not None and w.isalpha()]
+    groups = [letters[i:i + 1000] for i in range(0, len(letters), 1000)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(group):  # else a letter that this library does not know as one
+            run(group, ids, cuts, 0)
+    rest = [w for w in words if w not in out]
+    joined = [w for w in rest if part is not None and not any(s in w for s in special)]
+    groups = [joined[i:i + 1000] for i in range(0, len(joined), 1000)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast([part.join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        run(group, ids, np.append(np.flatnonzero(ids == special[part]), len(ids)), 1)
+    alone = [w for w in rest if w not in out]
+    for w, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        out[w] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each text's followed by id 0, and where each text ends.
+
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its blank-separated words in order; and
+    the ids of letters followed by ASCII signs are those of both parts. Arrow splits and numbers the words; each distinct part is
+    encoded once while it is stored.
     """
     store = _STORE.setdefault(path, {})
-    words = [text.encode().split() for text in texts]
     if len(store) > KEPT_WORDS:
         store.clear()
-    new = list({w for ws in words for w in ws}.difference(store))
-    for lo in range(0, len(new), 10_000):
-        part = new[lo:lo + 10_000]
-        for w, e in zip(part, load(path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            store[w] = np.array(e.ids, "<u4").tobytes()
-    for ws in words:
-        yield b"".join(map(store.__getitem__, ws)) + b"\0\0\0\0"
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    stem = pc.utf8_rtrim(coded.dictionary, string.punctuation)
+    letters = pc.utf8_is_alpha(stem)
+    tail = pc.if_else(letters, pc.struct_field(pc.extract_regex(coded.dictionary, "(?P<tail>[!-/:-@\\[-`{-~]*)$"), "tail"), "")
+    stem, tail = pc.if_else(letters, stem, coded.dictionary).dictionary_encode(), tail.dictionary_encode()
+    parts = stem.dictionary.to_pylist() + tail.dictionary.to_pylist()
+    store.update(encode_words(list({w for w in parts if w not in store}), path))
+    store[""] = b""
+    ids_of = [store[w] for w in parts] + [b"\0\0\0\0"]
+    starts = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids_of])])
+    pool = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(ids_of), "<u4")))
+    word = coded.indices.to_numpy()
+    order = np.empty(2 * len(word), np.int64)  # each word's stem and tail, and the closing id behind each text
+    order[0::2], order[1::2] = stem.indices.to_numpy()[word], tail.indices.to_numpy()[word] + len(stem.dictionary)
+    ends = 2 * (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()).astype(np.int64)
+    found = pool.take(pa.array(np.insert(order, ends, len(parts))))
+    text_ends = found.offsets.to_numpy()[ends + np.arange(1, len(ends) + 1)] - found.offsets[0].as_py()
+    return found.flatten().to_numpy(), text_ends
 
 
 def pieces_of(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -61,9 +121,12 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=16 << 20):
             out: list[list] = [[] for _ in names]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes([t or "" for t in batch.column(1).to_pylist()], path)):
+            flat, ends = token_ids(batch.column(1), path)
+            flat = flat.tobytes()
+            for doc_id, begin, end in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                ids = flat[4 * begin:4 * end]
                 for piece, lo in enumerate(range(0, len(ids), step)):
                     part = ids[lo:lo + step]
                     values = [doc_id, piece, lo // 4, len(part) // 4, zlib.crc32(part), row, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None]
