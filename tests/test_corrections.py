@@ -110,3 +110,12 @@ def test_call_times_carry_over_batches(spark, tmp_path):
         st.run_available(stream, st.latest_into(table, ["project_id"], ["start_us", "end_us"]), str(tmp_path / "ck"), "update")
     us = lambda s: int(dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.timezone.utc).timestamp() * 1e6)
     assert {tuple(r) for r in table.read().select("project_id", "start_us", "end_us").collect()} == {(1, us(20), us(9)), (2, -1, us(1))}
+
+
+def test_name_pairs_equal_all_pairs(spark):
+    names = ["Vendor", "vendor_name", "VENDOR NAME", "vend", "total", "Total Amount", "amount", "a", "", " ", "totals", "tota lamount", "invoice-no", "invoices", "no"]
+    df = spark.createDataFrame([(t, n) for t in (1, 2) for n in names] + [(3, "vendor")], "type_id int, l string")
+    other = df.withColumnRenamed("l", "r")
+    every = df.distinct().join(other.distinct(), "type_id").withColumn("tier", dr.match_tier(F.col("l"), F.col("r"))).where("tier IS NOT NULL")
+    rows = lambda x: {tuple(r) for r in x.select("type_id", "l", "r", "tier").collect()}
+    assert rows(dr.name_pairs(df, other, "l", "r")) == rows(every)

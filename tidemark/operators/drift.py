@@ -149,13 +149,27 @@ def match_tier(a: Column, b: Column) -> Column:
             .when(tx.names_similar(a, b), 3))
 
 
+def _match_keys(name: Column, whole: str, part: str, trim: bool = True) -> Column:
+    """Keys of which two names that match in some tier share one: lower case, normal form, its first four characters,
+    and for one name inside the other the ``whole`` name there and the ``part`` (every substring) here."""
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    form, low = tx.name_form(name), F.lower(F.trim(name) if trim else name)
+    n = F.length(low)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(F.lit(1), n - i + 1), lambda k: key(part, F.substring(low, i, k)))))
+    base = F.array(key("lower", F.lower(name)), key("form", form), key("stem", F.substring(form, 1, 4)), key(whole, low))
+    return F.array_distinct(F.concat(base, F.when(n > 0, parts).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))))
+
+
 def name_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of distinct names of one type that match in some tier.
 
-    Names of one type are few (a schema), so pairs are formed on distinct names only, never on rows.
+    Candidates share a key, so names of a type that have nothing in common are never paired.
     """
-    l, r = left.select("type_id", a).distinct(), right.select("type_id", b).distinct()
-    return l.join(r, "type_id").withColumn("tier", match_tier(c(a), c(b))).where("tier IS NOT NULL")
+    l = left.select("type_id", a).distinct().withColumn("_k", F.explode(_match_keys(c(a), "left whole", "right whole")))
+    r = right.select("type_id", b).distinct().withColumn("_k", F.explode(_match_keys(c(b), "right whole", "left whole")))
+    pairs = l.join(r, ["type_id", "_k"]).select("type_id", a, b).distinct()
+    return pairs.withColumn("tier", match_tier(c(a), c(b))).where("tier IS NOT NULL")
 
 
 def match_once(pairs: DataFrame, keys: list[str], canonical: str, found: str, position: str) -> DataFrame:
@@ -181,7 +195,10 @@ def resolve_hints(hints: DataFrame, fields: DataFrame) -> DataFrame:
     h, f = F.lower("label"), F.lower("name")
     tier = (F.when(h == f, 1).when(tx.name_form(c("label")) == tx.name_form(c("name")), 2)
             .when(F.contains(f, h) | F.contains(h, f), 3))
-    pairs = (hints.join(fields.select("type_id", "name", "position", "confidence"), "type_id").withColumn("tier", tier)
+    one = hints.select("type_id", "label").distinct().withColumn("_k", F.explode(_match_keys(c("label"), "label whole", "name whole", trim=False)))
+    two = fields.select("type_id", "name").distinct().withColumn("_k", F.explode(_match_keys(c("name"), "name whole", "label whole", trim=False)))
+    near = one.join(two, ["type_id", "_k"]).select("type_id", "label", "name").distinct()
+    pairs = (hints.join(near, ["type_id", "label"]).join(fields.select("type_id", "name", "position", "confidence"), ["type_id", "name"]).withColumn("tier", tier)
              .where("tier IS NOT NULL").groupBy("type_id", "label")
              .agg(F.min_by(F.struct("name", "confidence"), F.struct("tier", "position")).alias("_m")))
     return (hints.join(pairs, ["type_id", "label"], "left")
