@@ -52,6 +52,21 @@ def count_by(filings: DataFrame, dimension: str, *, blank: str | None = None, sk
     return filings.groupBy("cik", value.alias("value")).agg(F.count("*").alias("n"))
 
 
+def company_summary(filings: DataFrame) -> DataFrame:
+    """Per company the years on disk and the filings by form, category and tier, each a list of (value, n) by value.
+
+    Blank forms, tiers and years are not counted, blank categories are unknown. All facets are counted in one shuffle.
+    """
+    facet = lambda name, value: F.struct(F.lit(name).alias("facet"), value.alias("value"))
+    year = F.when(F.col("year") > 0, F.col("year").cast("string"))
+    facets = F.array(facet("year", year), facet("form", blank_to_null(F.col("form"))), facet("tier", blank_to_null(F.col("tier_label"))),
+                     facet("category", F.coalesce(blank_to_null(F.col("category")), F.lit(fv.UNKNOWN_CATEGORY))))
+    counts = (filings.select("cik", F.explode(facets).alias("f")).select("cik", "f.*").where("value IS NOT NULL")
+              .groupBy("cik", "facet", "value").agg(F.count("*").alias("n")))
+    pick = lambda name: F.array_sort(F.collect_list(F.when(F.col("facet") == name, F.struct("value", "n"))))
+    return counts.groupBy("cik").agg(pick("year").alias("years"), pick("form").alias("by_form"), pick("category").alias("by_category"), pick("tier").alias("by_tier"))
+
+
 def filing_counts(filings: DataFrame) -> DataFrame:
     """Counts by form, category and tier label in long form, from one pass over the filings."""
     pairs = F.array(

@@ -345,18 +345,24 @@ def set04(t):
 
 # ---- composites ----
 
+def _counts_sql(name, value, keep):
+    return f"(SELECT cik, string_agg(v || ':' || n, ',' ORDER BY v) AS {name} FROM (SELECT cik, {value} AS v, count(*) AS n FROM disk WHERE {keep} GROUP BY ALL) GROUP BY cik)"
+
+
 @query("qry01_company_detail", views="companies filings", sql=f"""
+    WITH disk AS (SELECT * FROM filings WHERE filing_no IN ({_ON_DISK}))
     SELECT c.cik, c.name, CAST(v.earliest AS VARCHAR) AS earliest, CAST(v.latest AS VARCHAR) AS latest, coalesce(v.total, 0) AS total, coalesce(v.wf, 0) AS with_financials, coalesce(m.missing, 0) AS missing,
-      coalesce(v.forms, '') AS forms
-    FROM companies c LEFT JOIN (SELECT cik, min(filing_date) AS earliest, max(filing_date) AS latest, count(*) AS total, count(*) FILTER (has_financials) AS wf,
-        array_to_string(list_sort(list(DISTINCT form)), ',') AS forms FROM filings WHERE filing_no IN ({_ON_DISK}) GROUP BY cik) v ON c.cik = v.cik
-    LEFT JOIN (SELECT cik, count(*) AS missing FROM filings WHERE filing_no NOT IN ({_ON_DISK}) GROUP BY cik) m ON c.cik = m.cik""")
+      coalesce(years, '') AS years, coalesce(by_form, '') AS by_form, coalesce(by_category, '') AS by_category, coalesce(by_tier, '') AS by_tier
+    FROM companies c LEFT JOIN (SELECT cik, min(filing_date) AS earliest, max(filing_date) AS latest, count(*) AS total, count(*) FILTER (has_financials) AS wf FROM disk GROUP BY cik) v ON c.cik = v.cik
+    LEFT JOIN (SELECT cik, count(*) AS missing FROM filings WHERE filing_no NOT IN ({_ON_DISK}) GROUP BY cik) m ON c.cik = m.cik
+    LEFT JOIN {_counts_sql('years', 'CAST(year AS VARCHAR)', 'year > 0')} y ON c.cik = y.cik LEFT JOIN {_counts_sql('by_form', 'form', "form <> ''")} f ON c.cik = f.cik
+    LEFT JOIN {_counts_sql('by_category', "CASE WHEN category = '' THEN 'unknown' ELSE category END", 'true')} g ON c.cik = g.cik LEFT JOIN {_counts_sql('by_tier', 'tier_label', "tier_label <> ''")} t ON c.cik = t.cik""")
 def qry01(t):
     disk = t.filings.join(t.lineitem.where("l_linenumber <= 2").select(c("l_orderkey").alias("filing_no")), "filing_no", "left_semi")
-    forms = disk.groupBy("cik").agg(F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms"))
-    return (fl.company_detail(t.companies, disk, t.filings).join(forms, "cik", "left")
+    text = lambda name: F.coalesce(F.array_join(F.transform(c(name), lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), ","), F.lit("")).alias(name)
+    return (fl.company_detail(t.companies, disk, t.filings).drop("years").join(fl.company_summary(disk), "cik", "left")
             .select("cik", "name", c("earliest").cast("string").alias("earliest"), c("latest").cast("string").alias("latest"), "total", "with_financials",
-                    "missing", F.coalesce("forms", F.lit("")).alias("forms")))
+                    "missing", text("years"), text("by_form"), text("by_category"), text("by_tier")))
 
 
 @query("qry07_peer_fetch_plan", src=_PEER_SRC, sql=f"""
