@@ -79,6 +79,24 @@ def prices_in_window(bars: DataFrame, windows: DataFrame) -> DataFrame:
                     F.coalesce("volume", F.lit(0)).alias("volume")))
 
 
+def timeline_head(companies: DataFrame, windows: DataFrame, events: DataFrame, prices: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row per company with a window: ticker, window, events and price points in it, and the state of its stored prices.
+
+    ``companies`` has cik and tickers (the first one counts), ``coverage`` cik, status, earliest and latest. A company without a
+    ticker has no prices, whatever is stored, and the status no_symbol.
+    """
+    ticker = F.coalesce(F.get("tickers", F.lit(0)), F.lit(""))
+    n_events = events.groupBy("cik").agg(F.count("*").alias("events"))
+    n_prices = prices.groupBy("cik").agg(F.count("*").alias("prices"))
+    state = coverage.select("cik", c("status").alias("price_status"), c("earliest").alias("price_earliest"), c("latest").alias("price_latest"))
+    j = (companies.withColumn("ticker", ticker).join(windows.where("window_ok"), "cik").join(n_events, "cik", "left")
+         .join(n_prices, "cik", "left").join(state, "cik", "left"))
+    known = c("ticker") != ""
+    return j.select("cik", "ticker", "from", "to", F.coalesce("events", F.lit(0)).alias("events"), F.when(known, F.coalesce("prices", F.lit(0))).otherwise(F.lit(0)).alias("prices"),
+                    F.when(known, c("price_status")).otherwise(F.lit("no_symbol")).alias("price_status"),
+                    F.when(known, c("price_earliest")).alias("price_earliest"), F.when(known, c("price_latest")).alias("price_latest"))
+
+
 def snap_forward(events: DataFrame, bars: DataFrame, date: str = "filing_date") -> DataFrame:
     """Add the trading day an event shows on: its own, else the next; events after the last bar are dropped."""
     days = bars.select("cik", c("trade_date").alias("snapped"))

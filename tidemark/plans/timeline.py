@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import facts as fx, filings as fl, timeline as tl
+from tidemark.operators import facts as fx, filings as fl, prices as pr, timeline as tl
 from tidemark.plans.scalars import METRICS_SQL, RULES_SQL, format_sql
 from tidemark.registry import query
 
@@ -105,6 +105,24 @@ def qry02(t, src):
     return ev.select("accession", "form", "category", "weight", "why", F.when(c("highlights").isNotNull(), _joined(c("highlights"))).alias("highlights"))
 
 
+# Bars are moved 25 years back, into the years of the filings.
+@query("qry02_timeline_head", views="companies filings bars", sql=rf"""
+    WITH {_WIN_CTE}, b AS (SELECT cik, trade_date - 9131 AS d FROM bars), tk AS (SELECT cik, CASE WHEN ticker_a <> '' THEN ticker_a ELSE ticker_b END AS ticker FROM companies),
+    e AS (SELECT win.cik, count(*) AS n FROM filings f JOIN win ON f.cik = win.cik AND f.filing_date BETWEEN win.f AND win.t GROUP BY 1), p AS (SELECT win.cik, count(*) AS n FROM b JOIN win ON b.cik = win.cik AND d BETWEEN win.f AND win.t GROUP BY 1),
+    cov AS (SELECT cik, CASE WHEN CAST(cik AS BIGINT) % 4 = 1 THEN 'error' ELSE 'ok' END AS status, min(d) AS lo, max(d) AS hi FROM b GROUP BY cik)
+    SELECT tk.cik, ticker, win.f::VARCHAR AS date_from, win.t::VARCHAR AS date_to, coalesce(e.n, 0) AS events, CASE WHEN ticker = '' THEN 0 ELSE coalesce(p.n, 0) END AS prices, CASE WHEN ticker = '' THEN 'no_symbol' ELSE status END AS price_status,
+      CASE WHEN ticker <> '' THEN lo::VARCHAR END AS price_earliest, CASE WHEN ticker <> '' THEN hi::VARCHAR END AS price_latest
+    FROM tk JOIN win ON win.cik = tk.cik LEFT JOIN e ON e.cik = tk.cik LEFT JOIN p ON p.cik = tk.cik LEFT JOIN cov ON cov.cik = tk.cik""")
+def qry02_head(t):
+    windows = tl.company_windows(fl.coverage(t.filings), F.lit(None).cast("date"), F.when(c("cik").cast("bigint") % 3 == 0, F.lit("1999-06-30").cast("date")))
+    bars = t.bars.withColumn("trade_date", F.date_sub("trade_date", 9131))
+    companies = t.companies.select("cik", F.filter(F.array("ticker_a", "ticker_b"), lambda x: x != "").alias("tickers"))
+    coverage = pr.bar_coverage(bars).withColumn("status", F.when(c("cik").cast("bigint") % 4 == 1, F.lit("error")).otherwise(F.lit("ok")))
+    head = tl.timeline_head(companies, windows, tl.events_in_window(t.filings, windows, "all"), tl.prices_in_window(bars, windows), coverage)
+    text = lambda x, n: c(x).cast("string").alias(n)
+    return head.select("cik", "ticker", text("from", "date_from"), text("to", "date_to"), "events", "prices", "price_status", text("price_earliest", "price_earliest"), text("price_latest", "price_latest"))
+
+
 @query("qry02_timeline_prices", views="bars", sql="""
     SELECT cik, trade_date::VARCHAR AS trade_date, close, coalesce(adj_close, 0) AS adj_close, coalesce(volume, 0) AS volume FROM bars WHERE trade_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""")
 def qry02_prices(t):
