@@ -29,7 +29,7 @@ def words_of(text):
 def test_pieces_equal_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(4)
-    texts = [None, "", " ", "  a", "a ", "\n", "a\tb", "▁a", "ﬁ① x", "x" * 300, "     many    spaces  ", "日本語😀" * 30, "thetheatre of ints \x00",
+    texts = [None, "", " ", "  a", "a ", "\n", "a\tb", "▁a", "ﬁ① x", "m².x, (a)b.c ²²..", "--(x)!!y", "x" * 300, "     many    spaces  ", "日本語😀" * 30, "thetheatre of ints \x00",
              *("".join(rng.choice("  etaoinshr▁dlu.é") for _ in range(rng.randint(1, 60))) for _ in range(60)), "word " * 20_000]
     df = table(spark, texts)
     encoded = pieces.encode_documents(df, MODEL)
@@ -46,18 +46,18 @@ def test_pieces_equal_the_library(spark):
 
 def test_merge_order_is_watched(spark):
     """A model where a merge makes a better piece possible late: the lattice hands the word to the merge queue."""
-    table_ = {c: (i, -100.0) for i, c in enumerate("▁abcd")} | {"bc": (10, -5.0), "abc": (11, -1.0), "cd": (12, -2.0), "▁a": (13, -6.0)}
+    table_ = {c: (i, -100.0) for i, c in enumerate(" abcd")} | {"bc": (10, -5.0), "abc": (11, -1.0), "cd": (12, -2.0), " a": (13, -6.0)}
     model = pieces.Model(table_, {}, {}, 99, False, True)
-    words = ["▁abc", "▁abcd", "▁bcd", "▁dcba", "▁bcbc"]
+    words = [" abc", " abcd", " bcd", " dcba", " bcbc"]
     got = {r.term: r.ids for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "term string"), model).collect()}
     assert got == {w: pieces.merge_word(w, model) for w in words}
 
 
 def test_unigram_lattice(spark):
     rng = random.Random(9)
-    table_ = {c: (i, -rng.random() * 4 - 2) for i, c in enumerate("▁abc")} | {x: (10 + i, -rng.random() * 5) for i, x in enumerate(["ab", "bc", "abc", "▁a", "ca", "bca"])}
+    table_ = {c: (i, -rng.random() * 4 - 2) for i, c in enumerate(" abc")} | {x: (10 + i, -rng.random() * 5) for i, x in enumerate(["ab", "bc", "abc", " a", "ca", "bca"])}
     model = pieces.Model(table_, {}, {}, 99, True, True)
-    words = ["▁" + "".join(rng.choice("abcx") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    words = [" " + "".join(rng.choice("abcx") for _ in range(rng.randint(0, 9))) for _ in range(40)]
     got = {r.term: r.ids for r in pieces.encode_words(spark.createDataFrame([(w,) for w in sorted(set(words))], "term string"), model).collect()}
     assert got == {w: pieces.best_word(w, model) for w in words}
 
@@ -191,7 +191,7 @@ def test_automaton_statistics():
 
 def test_surrogates(spark):
     texts = ["Mail Bob.Smith@Mail5.Example.com or bob.smith@mail5.example.com.", "call +1 (017) 555-7713, +10175557713; card 4432507379035540 or 4432-5073-7903-5540",
-             "Mr John Smith, MRS Smith, Mrs. Anna Smith and Herr Smith. Госпожа Анна Иванова", "no 10.0.0.300, ip 233.254.104.120, v 1.2.3.4.5, 1234567890123",
+             "Mr John Smith, Mrs SMITH, Mrs. Anna Smith and Herr Smith. Госпожа Анна Иванова", "no 10.0.0.300, ip 233.254.104.120, v 1.2.3.4.5, 1234567890123",
              'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and "quoted words"', None, "", "plain 12345 it's", "bob.smith@mail5.example.com " * 3000]
     df = table(spark, texts, [(0, texts[0]), (None, texts[1])])
     rows = pii.pseudonymize(df, "k", count="n").collect()
@@ -205,9 +205,9 @@ def test_surrogates(spark):
     p, q, c, d = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1\d{10}); card (4\d{15}) or (4\d{3}-\d{4}-\d{4}-\d{4})", by[1].text).groups()
     assert re.sub(r"\D", "", p) == q[1:] and d.replace("-", "") == c and sum(sum(map(int, str(int(x) * (1 + i % 2)))) for i, x in enumerate(reversed(c))) % 10 == 0
     assert by[None].text == by[1].text
-    names = re.fullmatch(r"Mr (\w+) (\w+), MRS (\w+), Mrs\. (\w+) (\w+) and Herr (\w+)\. Госпожа (\w+) (\w+)", by[2].text)
+    names = re.fullmatch(r"Mr (\w+) (\w+), Mrs (\w+), Mrs\. (\w+) (\w+) and Herr (\w+)\. Госпожа (\w+) (\w+)", by[2].text)
     john, s1, s2, anna, s3, s4, ana, iva = names.groups() if names else [None] * 8
-    assert names and s1 == s3 == s4 and "Smith" not in by[2].text
+    assert names and s2 == s1.upper() and s1 == s3 == s4 and "Smith" not in by[2].text
     assert john in pii.GIVEN["latin", "m"] and anna in pii.GIVEN["latin", "f"] and ana in pii.GIVEN["cyrillic", "f"] and re.fullmatch("[А-я]+", iva)
     assert by[3].text.startswith("no 10.0.0.300, ip ") and by[3].text.endswith(", v 1.2.3.4.5, 1234567890123") and "233.254.104.120" not in by[3].text
     assert re.fullmatch(r'token = "[0-9a-f]{40}" and "quoted words"', by[4].text) and "04dbebab" not in by[4].text

@@ -2,8 +2,9 @@
 
 A document is the set of 64-bit hashes of its distinct word shingles. One permutation gives all bins: the hash's high bits
 choose the bin and the smallest hash in a bin is its value; an empty bin takes the value of a filled one found along its own
-sequence of probes. Bands of bins are bucket keys. In each bucket every document is paired with the smallest id only, links are
-confirmed on the full sets, and what stays apart after linking is compared across, so that no link within a bucket is lost.
+sequence of probes. Bands of bins are bucket keys. In each bucket every document is paired with the smallest id, the hub, only, and links
+are confirmed on the full sets. Where a bucket then still holds several components, the documents outside the hub's component are
+compared with those of other components, each pair once, so that no link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
@@ -88,14 +89,14 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=4 << 20):
                 n, digests, keys = [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingle_set(text, width, known)
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                                                  ["doc_id", "n_shingles", "digest", "keys"])
@@ -107,9 +108,9 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=4 << 20):
                 sets = [shingle_set(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "node long, hashes binary")
@@ -118,7 +119,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, texts=2, max_bytes=4 << 20):
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -130,6 +131,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
+def across(crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) in buckets that are of different components and not with the hub; each pair in its first bucket only."""
+    crowded = crowded.join(crowded.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # at most one key per band
+    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"), F.col("keys").alias("u_keys"))
+    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), F.col("keys").alias("v_keys"), "hub_component")
+    first = F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys"))
+    once = (F.col("u") > F.col("v")) | (F.col("v_c") == F.col("hub_component"))
+    return (apart.join(others, "key").where((F.col("u_c") != F.col("v_c")) & _alike(F.col("u_n"), F.col("v_n"), percent) & once & first)
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Sets of these sizes can be linked."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest linked doc_id), kept (it is that document).
 
@@ -143,26 +160,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     rows_ = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = rows_.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows_.join(shared, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    stars = members.where((F.col("node") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    stars = members.where((F.col("node") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id")
     sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
     links = written(confirmed(stars, sets, percent), "links")
     linked = written(components(links), "components")
 
-    # in buckets of several components: those outside the hub's component against all of other components
+    # links between other documents than the hub, in buckets that still hold several components
     label = F.coalesce(F.col("component"), F.col("node")).alias("component")
-    crowded = members.where("size > 2").join(linked, "node", "left").select("key", "node", "n", "hub", label)
-    hubs = crowded.where("node = hub").select("key", F.col("component").alias("hub_component"))
-    crowded = crowded.join(hubs, "key")
-    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"))
-    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), "hub_component")
-    across = (apart.join(others, "key").where((F.col("u_c") != F.col("v_c")) & alike(F.col("u_n"), F.col("v_n"))
-                                              & ((F.col("u") > F.col("v")) | (F.col("v_c") == F.col("hub_component"))))
-              .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    more = written(confirmed(across, sets, percent), "links_across")
+    crowded = members.where("size > 2").join(linked, "node", "left").select("key", "node", "n", "hub", "size", label)
+    mixed = crowded.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("hub_component"),
+                                       F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key", "hub_component")
+    crowded = written(crowded.join(mixed, "key"), "crowded")
+    more = written(confirmed(across(crowded, percent).distinct(), sets, percent), "links_across")
     if not more.isEmpty():
         linked = written(components(links.unionByName(more)), "components")
 
