@@ -31,7 +31,7 @@ MAX_TOKENS = 2048
 CELL = 16_384
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 3, 3
 #: Encoded words that a worker keeps; the store is emptied when full.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _STORE: dict[str, dict[str, bytes]] = {}
 
 
@@ -121,7 +121,7 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, max_bytes=16 << 20):
+        for batch in slices(batches, max_bytes=12 << 20):
             out: list[list] = [[] for _ in names]
             flat, ends = token_ids(batch.column(1), path)
             flat = flat.tobytes()
