@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding of the corpus through a relational lattice over its distinct words.
 
-A word is a run of U+2581 (the model's space) and what follows; no piece crosses the start of a word. All substrings of a distinct
+A word is a run of spaces (U+2581 to the model, plain spaces here) with the signs or the other characters that follow; no piece
+crosses the border of two words, which is checked when the model is read. All substrings of a distinct
 word up to the longest piece's length are exploded and joined to the piece table; the matches, grouped by word, are the edges of
 its lattice, and a higher-order aggregate folds them into the best path. For a unigram model the fold is Viterbi over positions
 with summed scores. A BPE model defines its best path by merges, not by sums: there the fold takes edges in order of score and
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,18 +31,22 @@ SPACE = "▁"
 LONGEST = 48
 #: Pieces that are broadcast at most; the table of a larger model is joined by a shuffle.
 BROADCAST_PIECES = 1_000_000
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_SIGNS = re.escape(string.punctuation)
+_WORD = re.compile(f" *[{_SIGNS}]+| *[^{_SIGNS} ]+| +")
+_WHOLE_WORD = re.compile(" *[^ ]+| +")
 
 
 @dataclass(frozen=True)
 class Model:
-    """What encoding needs of a model file."""
+    """What encoding needs of a model file; pieces are written with plain spaces. ``mixing``: characters that stand next to an
+    ASCII sign in some piece, other than signs and spaces."""
     pieces: dict[str, tuple[int, float]]
     byte_ids: dict[int, int]
     names: dict[int, str]
     unknown: int
     unigram: bool
     prefix: bool
+    mixing: str = ""
 
     @property
     def longest(self) -> int:
@@ -56,23 +62,28 @@ def load(path: str) -> Model:
     if m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or not m.normalizer_spec.escape_whitespaces:
         raise ValueError("only models with the identity normalizer are supported")
     kinds = proto.ModelProto.SentencePiece
-    pieces = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-    if any(SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE)) for p in pieces):
+    pieces = {p.piece.replace(SPACE, " "): (i, p.score) for i, p in enumerate(m.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+    if any(" " in p.lstrip(" ") or (p.startswith("  ") and p.strip(" ")) for p in pieces):
         raise ValueError("a piece spans words")
+    signs = set(string.punctuation)
+    mixing = {x if y in signs else y for p in pieces for x, y in zip(p.strip(" "), p.strip(" ")[1:]) if (x in signs) != (y in signs)}
     return Model(pieces, {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}, {i: p.piece for i, p in enumerate(m.pieces)},
-                 next(i for i, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN), m.trainer_spec.model_type == 1, m.normalizer_spec.add_dummy_prefix)
+                 next(i for i, p in enumerate(m.pieces) if p.type == kinds.UNKNOWN), m.trainer_spec.model_type == 1, m.normalizer_spec.add_dummy_prefix,
+                 "".join(sorted(mixing)))
 
 
 class Words:
     """Splits a text into words as the model sees them."""
 
-    def __init__(self, prefix: bool):
-        self.prefix = prefix
+    def __init__(self, model: Model):
+        self.prefix, self.mixing = model.prefix, model.mixing
 
     def __call__(self, text: str) -> list[str]:
         if not text:
             return []
-        return _WORD.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+        text = (" " if self.prefix else "") + text.replace(SPACE, " ")
+        whole = self.mixing and any(c in text for c in self.mixing)
+        return (_WHOLE_WORD if whole else _WORD).findall(text)
 
 
 def merge_word(word: str, model: Model) -> list[int]:
@@ -144,38 +155,62 @@ def _bounded(table: DataFrame, model: Model) -> DataFrame:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(term, edges): the edges (order, s, e, id, score) of each distinct word, sorted by score, start and end.
+    """(term, edges): the edges of each distinct word, sorted by score, start and end.
 
-    Positions count from 1; e is behind the last character. Words over LONGEST have no edges. The words are dealt by term
-    already, and substrings stay with their word, so grouping them needs no further shuffle.
+    Positions count from 1; e is behind the last character. For BPE an edge is one number, see ``_edge``; for unigram models it is
+    a struct (cost, s, e, id). Words over LONGEST have no edges. The words are dealt by term already, and substrings stay with
+    their word, so grouping them needs no further shuffle.
     """
     n = F.length("term")
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s + 1)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring("term", s, k).alias("piece")))))
-    exploded = words.select("term", F.explode(F.when(n <= LONGEST, subs).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece"))))).alias("x")).select("term", "x.*")
-    joined = exploded.join(_bounded(piece_table(words.sparkSession, model), model), "piece", "left").where("id is not null or s <= 1 and e <= 2")
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))
-    return joined.groupBy("term").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    starts = words.select("term", F.explode(F.when(n <= LONGEST, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0)))).alias("s"))
+    ends = starts.select("term", "s", F.explode(F.sequence(F.least(F.lit(1), "s"), F.least(F.lit(model.longest), n - F.col("s") + 1) * F.least(F.lit(1), "s"))).alias("k"))
+    subs = ends.select("term", "s", "k", F.when(F.col("s") > 0, F.substring("term", F.col("s"), F.col("k"))).alias("piece"))
+    pieces = piece_table(words.sparkSession, model)
+    if not model.unigram:
+        order = {score: i for i, score in enumerate(sorted({score for _, score in model.pieces.values()}, reverse=True))}
+        schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("code", T.LongType())])
+        pieces = words.sparkSession.createDataFrame([(p, order[score] << 36 | i) for p, (i, score) in model.pieces.items()], schema)
+        edge = F.col("code") + F.col("s").cast("long") * (1 << 30) + (F.col("s") + F.col("k")).cast("long") * (1 << 24)
+    else:
+        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id"))
+    joined = subs.join(_bounded(pieces, model), "piece", "left").withColumn("edge", edge).where("edge is not null or s <= 1 and k <= 1")
+    return joined.groupBy("term").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+
+def _edge(x: Column) -> dict[str, Column]:
+    """The parts of a BPE edge: order of its score, start (6 bits), end (6 bits) and id (24 bits)."""
+    part = lambda shift, mask: F.shiftright(x, shift).bitwiseAND(F.lit(mask)).cast("int")
+    return {"s": part(30, 63), "e": part(24, 63), "id": x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")}
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
+def _once(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once: a column mentioned inside a lambda is computed anew for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
 def _merged(edges: Column, n: Column) -> Column:
     """The fold of a BPE lattice: struct of a bit per boundary and whether an edge came too late."""
-    known = F.transform(edges, lambda x, i: F.struct(i.alias("i"), (_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+    def spans(x: Column, i: Column) -> Column:
+        s, e = _bit(_edge(x)["s"]), _bit(_edge(x)["e"])
+        return F.struct(i.alias("i"), (s + e).alias("ends"), (e - s - s).alias("inner"))
+
+    bits = F.transform(edges, spans)
+    start = F.struct((_bit(n + 2) - F.lit(2)).alias("mask"), F.lit(False).alias("late"))
 
     def joins(mask: Column, x: Column) -> Column:
         return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        after = acc["mask"].bitwiseAND(F.bitwise_not(x["inner"]))
-        late = F.exists(known, lambda y: (y["i"] < x["i"]) & joins(after, y))
-        return F.when(joins(acc["mask"], x), F.struct(after.alias("mask"), (acc["late"] | late).alias("late"))).otherwise(acc)
-
-    start = F.struct((_bit(n + 2) - F.lit(2)).alias("mask"), F.lit(False).alias("late"))
-    return F.aggregate(F.filter(known, lambda x: x["inner"] != 0), start, step)
+    def fold(known: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            after = acc["mask"].bitwiseAND(F.bitwise_not(x["inner"]))
+            late = acc["late"] | F.exists(known, lambda y: (y["i"] < x["i"]) & joins(after, y))
+            return F.when(joins(acc["mask"], x), F.struct(after.alias("mask"), late.alias("late"))).otherwise(acc)
+        return F.aggregate(known, start, step)
+    return _once(F.filter(bits, lambda x: x["inner"] != 0), fold)
 
 
 def _viterbi(edges: Column, n: Column, least: float) -> Column:
@@ -198,20 +233,26 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     n = F.length("term")
     edges = lattice(words, model)
     fold = _viterbi(F.col("edges"), n, min(s for _, s in model.pieces.values()) - 10) if model.unigram else _merged(F.col("edges"), n)
-    folded = edges.withColumn("fold", F.when(n <= LONGEST, fold))
-    cuts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: F.col("fold.mask").bitwiseAND(_bit(i)) != 0)
-    spans = F.zip_with(F.slice(F.col("cuts"), F.lit(1), F.size("cuts") - 1), F.slice(F.col("cuts"), F.lit(2), F.size("cuts") - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     byte = sorted(model.byte_ids.items())
     byte_ids = F.array(*(F.lit(i) for _, i in byte)) if len(byte) == 256 else None
 
-    def piece_ids(x: Column) -> Column:
-        found = F.transform(F.filter("edges", lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), lambda y: y["id"])
-        raw = F.hex(F.substring("term", x["s"], x["e"] - x["s"]).cast("binary"))
+    def piece_ids(s: Column, e: Column) -> Column:
+        if model.unigram:
+            found = F.transform(F.filter("edges", lambda y: (y["s"] == s) & (y["e"] == e)), lambda y: y["id"])
+        else:
+            at = s.cast("long") * 64 + e
+            found = F.transform(F.filter("edges", lambda y: F.shiftright(y, 24).bitwiseAND(F.lit(4095)) == at), lambda y: _edge(y)["id"])
+        raw = F.hex(F.substring("term", s, e - s).cast("binary"))
         rest = F.array(F.lit(model.unknown)) if byte_ids is None else F.transform(
             F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
-        return F.when(F.size(found) > 0, found).otherwise(rest)
+        return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(rest))
+
+    def ids(f: Column) -> Column:
+        cuts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: f["mask"].bitwiseAND(_bit(i)) != 0)
+        spans = _once(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: piece_ids(c[k], c[k + 1]))))
+        return F.when(~f["late"], spans)
 
-    done = folded.withColumn("cuts", cuts).select("term", F.when(F.col("fold.late") == False, F.flatten(F.transform(spans, piece_ids))).alias("ids"))  # noqa: E712
+    done = edges.select("term", F.when(n <= LONGEST, _once(fold, ids)).alias("ids"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = best_word if model.unigram else merge_word
@@ -231,14 +272,20 @@ def decode(rows: DataFrame, key: str, model: Model, prefix: bool | None = None)
     whether one leading space goes, as the encoder added it (default: as the model says). Null and empty ids give an empty text.
     Rows must have distinct keys.
     """
+    strip = model.prefix if prefix is None else prefix
+    text = F.col("text")
+    return _spelled(rows, key, model).select(key, (F.regexp_replace(text, "^ ", "") if strip else text).alias("text"))
+
+
+def _spelled(rows: DataFrame, key: str, model: Model) -> DataFrame:
+    """(key, text, n_pieces, id_sum) of rows with an array column ids, by a join of the ids with the piece table."""
     spark = rows.sparkSession
     known = {i: "".join(f"{b:02X}" for b in p.encode()) for p, (i, _) in model.pieces.items()} | {i: f"{b:02X}" for b, i in model.byte_ids.items()}
     table = spark.createDataFrame(list(known.items()), "id int, bytes string")
     joined = rows.select(key, F.posexplode_outer("ids").alias("at", "id")).join(_bounded(table, model), "id", "left")
-    text = F.decode(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), F.struct("at", "bytes")))), lambda x: x["bytes"]), "")), "UTF-8")
-    spaced = F.regexp_replace(text, SPACE, " ")
-    strip = model.prefix if prefix is None else prefix
-    return joined.groupBy(key).agg((F.regexp_replace(spaced, "^ ", "") if strip else spaced).alias("text"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), F.struct("at", "bytes"))))
+    return joined.groupBy(key).agg(parts.alias("parts"), F.count("id").alias("n_pieces"), F.coalesce(F.sum("id"), F.lit(0)).alias("id_sum")).select(
+        key, F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["bytes"]), "")), "UTF-8").alias("text"), "n_pieces", "id_sum")
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -247,7 +294,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFra
     Needs a row per word of the corpus in one shuffle; where only counts are asked for, use ``piece_totals``.
     """
     model = load(path)
-    split = Words(model.prefix)
+    split = Words(model)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,19 +307,16 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFra
 
 
 def piece_totals(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_words, n_pieces, id_sum (sum of its ids) and round_trip.
+    """One row per document: doc_id, n_bytes, n_pieces, id_sum (sum of its ids) and round_trip.
 
     Every distinct word of the corpus is encoded and decoded once; round_trip says that each word of the document came back as it
     was. Null and empty texts have no words. Rows that repeat an id or lack one are answered one by one. Extra columns are
     ignored; an empty table gives an empty result.
     """
     model = load(path)
-    split = Words(model.prefix)
+    split = Words(model)
     encoded = encode_words(distinct_terms(docs, split), model)
-    back = decode(encoded, "term", model, prefix=False)
-    # the space sign and a space are one character for the model, so words are compared with spaces
-    same = back.select("term", (F.col("text") != F.regexp_replace("term", SPACE, " ")).cast("long").alias("wrong"))
-    sums = encoded.select("term", F.size("ids").cast("long").alias("n_pieces"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
-    table = sums.join(same, "term").select("term", F.lit(1).alias("n_words"), "n_pieces", "id_sum", "wrong")
-    out = sum_by_document(postings(docs, split), table, ["n_words", "n_pieces", "id_sum", "wrong"])
-    return out.select("doc_id", "n_bytes", "n_words", "n_pieces", "id_sum", (F.col("wrong") == 0).alias("round_trip"))
+    spelled = _spelled(encoded, "term", model)
+    table = spelled.select("term", "n_pieces", "id_sum", (F.col("text") != F.col("term")).cast("long").alias("wrong"))
+    out = sum_by_document(postings(docs, split), table, ["n_pieces", "id_sum", "wrong"])
+    return out.select("doc_id", "n_bytes", "n_pieces", "id_sum", (F.col("wrong") == 0).alias("round_trip"))
