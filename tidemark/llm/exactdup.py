@@ -101,11 +101,6 @@ def _look_up(key, incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def digests_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): the SHA-256 of each text's UTF-8 bytes, null as empty."""
-    return docs.select("doc_id", F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("digest"))
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     """Distinct digests with winner and count; combined before the shuffle, so a hot digest is a few rows per task."""
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
