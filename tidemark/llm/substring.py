@@ -158,7 +158,7 @@ def anchor_rows(docs: DataFrame, window: int, width: int) -> DataFrame:
     """(key, anchor): the anchors of each document, one row per region."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in slices(batches):
+            for batch in slices(batches, max_bytes=5 << 20):
                 t = Texts(batch.column(1), window, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(t.document, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(t.anchor))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "anchors"])
