@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 
 #: Bytes of text in a slice, and documents in it (a place has 16 bits).
-SLICE_BYTES, SLICE_DOCS = 32 << 20, 1 << 16
-_ENTRY = np.dtype([("place", "<u2"), ("times", "u1")])
+SLICE_BYTES, SLICE_DOCS = 24 << 20, 1 << 16
+#: A posting is one number, 8 * (distance to the place before) + times; more than 7 times are several postings of one place.
+_TIMES = 7
+_HEAD = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8")])
+_NAMES = ["term", "slice", "entries"]
+#: Begins the term of a slice's head row; no term may begin so.
+HEAD = "\0\0slice "
 _TERMS = Callable[[str], Iterable[str]]
 
 
@@ -42,6 +47,29 @@ def _capped(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tup
         yield ids, texts
 
 
+def write_numbers(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 2^28 in groups of seven bits, the high bit set but in the last; and the bytes that each takes."""
+    lengths = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21)
+    out = np.zeros(int(lengths.sum()), np.uint8)
+    at = np.cumsum(lengths) - lengths
+    for k in range(4):
+        more = lengths > k
+        out[at[more] + k] = (values[more] >> (7 * k) & 127) | ((lengths[more] > k + 1) << 7)
+    return out.tobytes(), lengths
+
+
+def read_numbers(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a stream, and the position behind each."""
+    b = np.frombuffer(stream, np.uint8)
+    ends = np.flatnonzero(b < 128) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    values = np.zeros(len(ends), np.int64)
+    for k in range(4):
+        more = starts + k < ends
+        values[more] |= (b[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+    return values, ends
+
+
 def distinct_terms(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The distinct terms of all texts (columns doc_id, text), one row each."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,12 +77,12 @@ def distinct_terms(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTE
             found: set[str] = set()
             for text in texts:
                 found.update(terms(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["term"])
     return docs.select("doc_id", "text").mapInArrow(gather, "term string").distinct()
 
 
 def postings(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Rows (term, slice, entries) and, per slice, one row with doc_ids and n_bytes instead of entries."""
+    """Rows (term, slice, entries) and, per slice, one head row: its term starts with HEAD, its entries are ids and byte counts."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for ids, texts in _capped(batches, slice_bytes):
@@ -65,33 +93,32 @@ def postings(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTES) ->
                 owner.append(np.fromiter((named.setdefault(t, len(named)) for t in counts), np.int64, len(counts)))
                 times.append(np.fromiter(counts.values(), np.int64, len(counts)))
                 place.append(np.full(len(counts), at, np.int64))
-            owner, times, place = np.concatenate(owner), np.concatenate(times), np.concatenate(place)
+            terms_here = sorted(named)  # neighbours that look alike are cheaper to move
+            rank = np.empty(len(named), np.int64)
+            rank[[named[t] for t in terms_here]] = np.arange(len(named))
+            owner, times, place = rank[np.concatenate(owner)] if owner else np.empty(0, np.int64), np.concatenate(times), np.concatenate(place)
             order = np.argsort(owner, kind="stable")
             owner, times, place = owner[order], times[order], place[order]
-            if (times > 255).any():  # a large frequency is several entries
-                parts = -(-times // 255)
+            if (times > _TIMES).any():
+                parts = -(-times // _TIMES)
                 owner, place = np.repeat(owner, parts), np.repeat(place, parts)
-                last = np.cumsum(parts) - 1
-                full = np.full(len(owner), 255, np.int64)
-                full[last] = times - 255 * (parts - 1)
+                full = np.full(len(owner), _TIMES, np.int64)
+                full[np.cumsum(parts) - 1] = times - _TIMES * (parts - 1)
                 times = full
-            entries = np.empty(len(owner), _ENTRY)
-            entries["place"], entries["times"] = place, times
-            ends = np.cumsum(np.bincount(owner, minlength=len(named))) * _ENTRY.itemsize
-            packed = pa.Array.from_buffers(pa.binary(), len(named), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(entries.tobytes())])
-            names = pa.array(list(named), pa.string())
+            gaps = np.diff(place, prepend=0)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            gaps[first] = place[first]
+            stream, lengths = write_numbers(8 * gaps + times)
+            ends = np.cumsum(np.bincount(owner, lengths, len(named))).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(named), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends])), pa.py_buffer(stream)])
+            names = pa.array(terms_here, pa.string())
             for lo in range(0, len(named), 20_000):
                 n = min(20_000, len(named) - lo)
-                yield pa.RecordBatch.from_arrays([names.slice(lo, n), pa.array(np.full(n, number)), packed.slice(lo, n), *([pa.nulls(n, pa.binary())] * 3)], _NAMES)
-            null = np.array([i is None for i in ids], np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([f"\0{number}"]), pa.array([number]), pa.nulls(1, pa.binary()),
-                pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), pa.array([null], pa.binary()),
-                pa.array([np.array([len(t.encode()) for t in texts], np.int64).tobytes()], pa.binary())], _NAMES)
+                yield pa.RecordBatch.from_arrays([names.slice(lo, n), pa.array(np.full(n, number)), packed.slice(lo, n)], _NAMES)
+            head = np.array([(i or 0, i is not None, len(t.encode())) for i, t in zip(ids, texts)], _HEAD)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{HEAD}{number}"]), pa.array([number]), pa.array([head.tobytes()], pa.binary())], _NAMES)
             number += 1
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary, doc_ids binary, no_id binary, n_bytes binary")
-
-
-_NAMES = ["term", "slice", "entries", "doc_ids", "no_id", "n_bytes"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary")
 
 
 def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_slices: int = 64) -> DataFrame:
@@ -101,7 +128,7 @@ def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_s
     one row per slice; where these are many, Spark splits the skewed partition, as the join needs no order above it.
     """
     k = len(values)
-    names = ["slice", "sums", "doc_ids", "no_id", "n_bytes"]
+    names = ["slice", "head", "entries"]
     entry = np.dtype([("place", "<u2"), ("sum", "<i8", (k,))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,25 +142,30 @@ def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_s
                 out["place"], out["sum"] = at, sums[at]
                 packed.append(out.tobytes())
             n = len(packed)
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary()), *([pa.nulls(n, pa.binary())] * 3)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([False] * n), pa.array(packed, pa.binary())], names)
             held.clear()
             return batch
 
         for batch in batches:
-            heads = batch.filter(pc.is_valid(batch.column("doc_ids")))
+            is_head = pc.starts_with(batch.column("term"), HEAD)
+            heads = batch.filter(is_head)
             if heads.num_rows:
-                yield pa.RecordBatch.from_arrays([heads.column("slice"), pa.nulls(heads.num_rows, pa.binary()), *(heads.column(c) for c in names[2:])], names)
-            batch = batch.filter(pc.is_valid(batch.column("entries")))
+                yield pa.RecordBatch.from_arrays([heads.column("slice"), pa.array([True] * heads.num_rows), heads.column("entries")], names)
+            batch = batch.filter(pc.invert(is_head))
             if not batch.num_rows:
                 continue
             batch = batch.take(pa.array(np.argsort(batch.column("slice").to_numpy(), kind="stable")))
             entries = batch.column("entries")
-            lengths = pc.binary_length(entries).to_numpy() // _ENTRY.itemsize
-            flat = np.frombuffer(b"".join(entries.to_pylist()), _ENTRY)
-            place = flat["place"].astype(np.int64)
-            weights = [np.repeat(pc.fill_null(batch.column(v), 0).to_numpy().astype(float), lengths) * flat["times"] for v in values]
+            found, behind = read_numbers(b"".join(entries.to_pylist()))
+            rows_end = np.searchsorted(behind, np.cumsum(pc.binary_length(entries).to_numpy()), side="right")
+            lengths = np.diff(rows_end, prepend=0)
+            gaps, times = found >> 3, found & 7
+            run = np.cumsum(gaps)
+            head = rows_end - lengths
+            place = run - np.repeat(run[head] - gaps[head], lengths)
+            weights = [np.repeat(pc.fill_null(batch.column(v), 0).to_numpy().astype(float), lengths) * times for v in values]
             numbers, first = np.unique(batch.column("slice").to_numpy(), return_index=True)
-            cuts = np.append(np.concatenate([[0], np.cumsum(lengths)])[first], len(flat))
+            cuts = np.append(head[first], len(found))
             for number, lo, hi in zip(numbers.tolist(), cuts[:-1], cuts[1:]):
                 if number not in held:
                     if len(held) >= held_slices:
@@ -146,18 +178,15 @@ def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_s
             yield flush()
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["doc_ids"].notna()].iloc[0]
-        ids = np.frombuffer(head["doc_ids"], np.int64)
+        head = np.frombuffer(pdf.loc[pdf["head"], "entries"].iloc[0], _HEAD)
         sums = np.zeros((SLICE_DOCS, k), np.int64)
-        for blob in pdf["sums"].dropna():
+        for blob in pdf.loc[~pdf["head"], "entries"]:
             part = np.frombuffer(blob, entry)
             sums[part["place"]] += part["sum"]
-        no_id = np.frombuffer(head["no_id"], np.uint8).astype(bool)
-        out = {"doc_id": pd.array(ids, "Int64"), "n_bytes": np.frombuffer(head["n_bytes"], np.int64)}
-        out["doc_id"][no_id] = pd.NA
-        return pd.DataFrame(out | {v: sums[:len(ids), j] for j, v in enumerate(values)})
+        ids = pd.array(head["doc_id"], "Int64")
+        ids[~head["has_id"]] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "n_bytes": head["n_bytes"]} | {v: sums[:len(head), j] for j, v in enumerate(values)})
 
     joined = rows.join(table.select("term", *(F.col(v).cast("long").alias(v) for v in values)), "term", "left")
-    partial = joined.select("slice", "entries", "doc_ids", "no_id", "n_bytes", *values).mapInArrow(
-        gather, "slice long, sums binary, doc_ids binary, no_id binary, n_bytes binary")
+    partial = joined.select("term", "slice", "entries", *values).mapInArrow(gather, "slice long, head boolean, entries binary")
     return partial.groupBy("slice").applyInPandas(finish, "doc_id long, n_bytes long, " + ", ".join(f"{v} long" for v in values))
