@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,6 +60,17 @@ def test_ids_come_along(docs):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in rows)
 
 
+def test_every_letter_before_a_sign():
+    """Words end in each letter there is, then in signs; some letters become letter and mark, which joins the signs."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha()]
+    words = ["TATİLİ.", "TATİLİ,b", "\u09dc\u09dd).", *(f"ab{c}." for c in letters), *(f"{c}'s?!" for c in letters[::7])]
+    ids, ends = packing.token_ids(pa.array(words), path)
+    for w, lo, hi, e in zip(words, [0, *ends[:-1]], ends, t.encode_batch(words, add_special_tokens=False)):
+        assert ids[lo:hi].tolist() == e.ids + [0], w
+
+
 def fewest(sizes, capacity):
     best = len(sizes)
     for owner in product(*(range(i + 1) for i in range(len(sizes)))):

@@ -80,11 +80,23 @@ def encode_words(words: list[str], path: str) -> dict[str, bytes]:
     return out
 
 
+@lru_cache(1 << 17)
+def _parts_at_sign(letter: str, path: str) -> bool:
+    """Whether the tokenizer parts this letter from any ASCII sign behind it.
+
+    It does not where its normalizer makes the letter end in a mark (capital I with dot, many Indic letters), or where it does not
+    know the letter as one.
+    """
+    tokenizer = load(path)
+    norm = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    return all(tokenizer.pre_tokenizer.pre_tokenize_str(norm(letter + sign))[-1][1][0] == len(norm(letter + sign)) - 1 for sign in string.punctuation)
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after another, each text's followed by id 0, and where each text ends.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its blank-separated words in order; and
-    the ids of letters followed by ASCII signs are those of both parts. Arrow splits and numbers the words; each distinct part is
+    the ids of letters followed by ASCII signs are those of both parts, if it parts the last letter from a sign. Arrow splits and numbers the words; each distinct part is
     encoded once while it is stored.
     """
     store = _STORE.setdefault(path, {})
@@ -93,7 +105,9 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = lists.flatten().dictionary_encode()
     stem = pc.utf8_rtrim(coded.dictionary, string.punctuation)
-    letters = pc.utf8_is_alpha(stem)
+    last = pc.utf8_slice_codeunits(stem, -1).dictionary_encode()
+    parted = pa.array([len(c) == 1 and c.isalpha() and _parts_at_sign(c, path) for c in last.dictionary.to_pylist()], pa.bool_())
+    letters = pc.and_(pc.utf8_is_alpha(stem), parted.take(last.indices))
     tail = pc.if_else(letters, pc.struct_field(pc.extract_regex(coded.dictionary, "(?P<tail>[!-/:-@\\[-`{-~]*)$"), "tail"), "")
     stem, tail = pc.if_else(letters, stem, coded.dictionary).dictionary_encode(), tail.dictionary_encode()
     parts = stem.dictionary.to_pylist() + tail.dictionary.to_pylist()
