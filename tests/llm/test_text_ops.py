@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tidemark.llm import graph, neardup, pieces, pii, substring
 
@@ -116,6 +117,20 @@ def test_links_that_no_star_has(spark):
     assert rows == {0: 0, 1: 1, 2: 1}
 
 
+def test_texts_of_one_id_are_linked_each_by_its_own_set(spark):
+    words = {c: [f"{c}{i}" for i in range(40)] for c in "abcd"}
+    text = {c: " ".join(w) for c, w in words.items()} | {c.upper(): " ".join(w + ["more"]) for c, w in words.items()}
+    rows = [(5, text["a"]), (5, text["b"]), (5, text["c"]), (9, text["A"]), (9, text["B"]), (2, text["C"]), (2, text["d"]), (2, text["D"])]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.key): (r.component_id, r.kept) for r in neardup.near_duplicates(table(spark, [], order), 2, 80, key=F.col("text")).collect()}
+        assert {k: v for k, v in got.items() if k[1] not in (text["d"], text["D"])} == {
+            (5, text["a"]): (5, True), (5, text["b"]): (5, True), (5, text["c"]): (2, False),
+            (9, text["A"]): (5, False), (9, text["B"]): (5, False), (2, text["C"]): (2, True)}
+        assert got[2, text["d"]] == (2, True) and got[2, text["D"]] == (2, False)  # linked and of one id: the smaller key
+        plain = neardup.near_duplicates(table(spark, [], order), 2, 80)
+        assert plain.columns == ["doc_id", "n_shingles", "component_id", "kept"] and plain.where("kept").count() == 4
+
+
 def test_recall_of_small_sets():
     """Sets of every size at similarity just over 0.8 share a bucket."""
     rng = np.random.default_rng(0)

@@ -85,7 +85,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set and band keys (null for an empty set)."""
+    """doc_id, key, n_shingles, digest of the whole set and band keys (null for an empty set); ``docs`` as ``_keyed`` gives them."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
@@ -98,22 +98,42 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                     keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
                 if len(known) > 100_000:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                                 ["doc_id", "n_shingles", "digest", "keys"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                                 ["doc_id", "key", "n_shingles", "digest", "keys"])
+    return docs.select("doc_id", "text", "key").mapInArrow(sign, f"doc_id long, key {docs.schema['key'].dataType.simpleString()}, n_shingles long, digest binary, keys array<long>")
+
+
+def _keyed(docs: DataFrame, key: Column | None) -> DataFrame:
+    """doc_id, text and the column that tells apart the texts of one doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.xxhash64("text") if key is None else key).alias("key"))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Classes with a number of their own, node: the smallest doc_id; where classes share it, all but one get a hash instead."""
+    shared = written(classes.groupBy(F.col("first.doc_id").alias("_id")).agg(F.min("digest").alias("_owner"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared_ids")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("first.doc_id"))
+    told = classes.join(shared, F.col("first.doc_id") == F.col("_id"), "left")
+    for salt in range(100):
+        out = written(told.withColumn("node", F.when(F.col("_owner") != F.col("digest"), F.xxhash64("digest", F.lit(salt))).otherwise(F.col("first.doc_id")))
+                      .drop("_id", "_owner", "_n"), "classes")
+        if out.groupBy("node").count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("no free numbers for classes")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(node, hashes): the sorted shingle hashes of documents as bytes."""
+    """(node, hashes): the sorted shingle hashes as bytes, of the rows (node, text, digest) whose set has that digest."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
             for batch in slices(batches, max_bytes=4 << 20):
                 sets = [shingle_set(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
+                own = [hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(sets, batch.column(2).to_pylist())]
                 if len(known) > 100_000:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "node long, hashes binary")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"]).filter(pa.array(own, pa.bool_()))
+    return docs.select("node", "text", "digest").mapInArrow(gather, "node long, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,23 +167,26 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: Column | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest linked doc_id), kept (it is that document).
 
-    Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id count as one document. A row
-    without an id links with nothing, has no component_id and stays. Extra columns are ignored; an empty table gives an empty
-    result. Texts with equal sets are one class, whatever their number; only classes are compared.
+    Null, empty and blank texts have an empty set and link with nothing. Rows that repeat a doc_id with other texts are linked each
+    by its own text; where several of one component have its smallest doc_id, those of one text stay, the one with the smallest
+    ``key`` (a column computed from the text, by default a hash of it; one that is given is carried to the result). Rows with the
+    same id and text all count as kept. A row without an id links with nothing, has no component_id and stays. Extra columns are
+    ignored; an empty table gives an empty result. Texts with equal sets are one class, whatever their number; only classes are
+    compared.
     """
-    signed = written(signatures(docs, width, bands, rows), "signatures")
+    texts = _keyed(docs, key)
+    signed = written(signatures(texts, width, bands, rows), "signatures")
     live = signed.where("doc_id is not null and n_shingles > 0")
-    classes = written(live.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = _numbered(written(live.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes"))
     rows_ = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = rows_.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows_.join(shared, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
     stars = members.where((F.col("node") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id")
-    sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
+    involved = classes.select("node", "digest", "first.doc_id", "first.key").join(members.select("node").distinct(), "node")
+    sets = written(sets_of(texts.join(involved, ["doc_id", "key"]), width).dropDuplicates(["node"]), "sets")
     links = written(confirmed(stars, sets, percent), "links")
     linked = written(components(links), "components")
 
@@ -177,10 +200,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     if not more.isEmpty():
         linked = written(components(links.unionByName(more)), "components")
 
-    group = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("_c"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(group, "digest", "left")
-    component = F.coalesce("_c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # nodes are numbers only: the row that stays is the smallest (doc_id, key) of a component's classes
+    group = classes.select("digest", "node", "first").join(linked, "node", "left")
+    stays = group.where("component is not null").groupBy("component").agg(F.min("first").alias("_stays"))
+    group = group.join(stays, "component", "left").select("digest", F.coalesce("_stays", "first").alias("_stays"))
+    out = signed.select("doc_id", "key", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(group, "digest", "left")
+    kept = F.coalesce((F.col("doc_id") == F.col("_stays.doc_id")) & (F.col("key") == F.col("_stays.key")), F.lit(True))
+    return out.select("doc_id", "n_shingles", F.coalesce("_stays.doc_id", "doc_id").alias("component_id"), kept.alias("kept"), *(["key"] if key is not None else []))
 
 
 #: The links of op4 in SQL: all pairs that share a shingle.
