@@ -1,41 +1,53 @@
 """The corpus pipeline: quality rules, exact copies, near copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of ``documents``. Nulls: a null text fails the quality rules. Stages work on all rows they get.
+All but the last return the columns of ``documents``. Nulls: a null text fails the quality rules. Stages work on all rows they get,
+also those that lack an id or repeat one: each is judged by its own text, and of rows equal in id and text the dedup stages leave one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exactdup, neardup, packing, pii, quality
-from tidemark.llm.common import table
+from tidemark.llm.common import table, text_of
 from tidemark.session import scratch_path
 
 KEY = "pipeline key"
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(text_of().cast("binary"), 256))
+
+
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose verdict (doc_id, kept) is to stay; ids are those of ``documents``, one row each."""
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows whose own verdict (doc_id, _digest, kept) is to stay, null ids included; of rows with equal id and text, one.
+
+    The row keys are doc_id and text digest. Where such rows differ in other columns, the smallest row stays.
+    """
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.col("doc_id").isNull()}
+    kept = verdicts.where("kept").withColumns(keys).select(*keys, "_digest").distinct()
+    rows = docs.withColumns({**keys, "_digest": _digest()}).join(kept, [*keys, "_digest"], "left_semi")
+    return rows.groupBy(*keys, "_digest").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the quality rules keep."""
-    return _only(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")))
+    """Stage 1: rows that the quality rules keep, each judged by its own text."""
+    return quality.good_rows(docs, quality.fit(quality.fit_sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of equal texts, the document with the largest id."""
-    return _only(docs, exactdup.exact_dedup(docs, exactdup.earlier_half(docs)))
+    """Stage 2: of equal texts, one row: the one with the largest id, or without an id where none has one."""
+    verdicts = exactdup.exact_dedup(docs, exactdup.earlier_half(docs))
+    return _only(docs, verdicts.select("doc_id", F.unhex("text_sha256").alias("_digest"), "kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of linked documents (five-word shingles, similarity 0.8), the one with the smallest id."""
-    return _only(docs, neardup.near_duplicates(docs, width=5, percent=80))
+    """Stage 3: of linked rows (five-word shingles, similarity 0.8), the one with the smallest id; rows without an id link with nothing."""
+    verdicts = neardup.near_duplicates(docs, width=5, percent=80, key=_digest())
+    return _only(docs, verdicts.select("doc_id", F.col("key").alias("_digest"), "kept"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The pipeline and the query contracts on the smallest tables, against brute force."""
 
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -71,6 +72,39 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_judge_rows_without_an_id_or_with_a_repeated_one(spark, tmp_path):
+    """Every stage's verdict is a row's own; of rows equal in id and text the dedup stages leave one."""
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice(["river", "stone", "garden", "window", "letter", "morning", "paper", "silver", "forest", "table"]) + str(rng.randrange(30)) for _ in range(60)) for _ in range(5)]
+    like = plain[2] + " tail"  # one added word: a near copy
+    a, b, c, d, e = plain
+    schema = "doc_id long, text string, lang string"
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def run(stage, rows):
+        df = spark.createDataFrame([(i, t, "x") for i, t in rows], schema).repartition(3)
+        if stage is corpus_pipeline.good_documents:  # the field is fitted on the given documents
+            df = df.unionByName(given.select("doc_id", "text", F.lit("given").alias("lang")))
+        df.write.parquet(str(tmp_path / f"in{stage.__name__}"))
+        out = stage(spark, spark.read.parquet(str(tmp_path / f"in{stage.__name__}")), str(tmp_path))
+        assert out.columns == ["doc_id", "text", "lang"]
+        return Counter((r.doc_id, r.text) for r in out.where("lang = 'x'").collect())
+
+    good = max((r.text for r in corpus_pipeline.good_documents(spark, given, SF).collect()), key=len)
+    assert run(corpus_pipeline.good_documents, [(None, good), (None, good), (7, good), (7, "no"), (None, None), (None, "")]) == Counter({(None, good): 2, (7, good): 1})
+    rows = [(None, a), (None, a), (None, b), (5, b), (5, b), (4, b), (6, c), (6, d), (9, d), (-1, e), (None, e), (0, None), (None, "")]
+    assert run(corpus_pipeline.without_copies, rows) == Counter([(None, a), (5, b), (6, c), (9, d), (-1, e), (0, None)])
+    rows = [(None, a), (None, a), (None, like), (3, c), (8, like), (8, d), (8, d), (9, c), (2, e), (2, e.upper()), (2, b), (1, a), (1, a + " tail"), (None, None), (0, ""), (0, "")]
+    got = run(corpus_pipeline.without_near_copies, rows)
+    twice = {x: sum(got[(i, t)] for i, t in x) for x in [((2, e), (2, e.upper())), ((1, a), (1, a + " tail"))]}
+    assert set(twice.values()) == {1}  # the same id and linked: one of them
+    for x in twice:
+        for k in x:
+            del got[k]
+    assert got == Counter([(None, a), (None, like), (3, c), (8, d), (2, b), (None, None), (0, "")])
+
+
 def test_contract_columns(spark):
     first = {
         "op1_shards": "doc_id size text_crc32 law shard slot grown_shard", "op2_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",

@@ -221,6 +221,23 @@ def assess(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE)
                "kept boolean, n_content_words long, n_lines long, n_content_lines long")
 
 
+def good_rows(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns; each row is judged by its own text, whatever its id."""
+    scores, move = field.scores().tolist(), field.move
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, texts=at):
+            keep = []
+            for text in batch.column(at).to_pylist():
+                base, codes, sizes = measure(text)
+                content = sum(n for n, label in zip(sizes, viterbi(codes, scores, move)) if label)
+                keep.append(not base_fails(base["n_words"], base["n_repeat_words"]) and content >= content_share * base["n_words"])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def line_labels(text: str | None, field: Field) -> list[tuple[str, bool]]:
     """The lines with words of one text, each with whether it is content."""
     _, codes, _ = measure(text)
