@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import graph, neardup, pieces, pii, substring
+from tidemark.llm.queries import LLM_QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, component_id string, text2 string"
@@ -45,6 +47,24 @@ def test_pieces_equal_the_library(spark):
     assert pieces.piece_totals(df.limit(0), MODEL).count() == 0
 
 
+def test_documents_are_encoded_and_decoded(spark):
+    """Ids in order, the decoded text and the round trip of whole documents, against the library."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [None, "", " ", "b a", "a b", "▁a", " ▁ a", "日本語😀 x\n\ty", "the word " * 3000, "a.b (c) m²."]
+    df = table(spark, texts, [(3, "a b"), (3, "a b"), (None, "no id"), (None, "▁")]).repartition(3)
+
+    def wanted(text):
+        ids = sp.encode(text or "")
+        return (len((text or "").encode()), len(ids), sum(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), sp.decode(ids) == (text or ""))
+    want = Counter((r.doc_id, *wanted(r.text)) for r in df.collect())
+    assert Counter(tuple(r) for r in pieces.encode_and_decode(df, MODEL).collect()) == want
+    assert not wanted("▁a")[-1] and wanted("a b")[2:4] != wanted("b a")[2:4]
+    assert pieces.encode_and_decode(df.limit(0), MODEL).count() == 0
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = LLM_QUERIES["op3_sentencepiece"](spark, "/root/testdata/sf0.001").collect()
+    assert Counter(tuple(r) for r in rows) == Counter((r.doc_id, *wanted(r.text)) for r in given.collect())
+
+
 def test_merge_order_is_watched(spark):
     """A model where a merge makes a better piece possible late: the lattice hands the word to the merge queue."""
     table_ = {c: (i, -100.0) for i, c in enumerate(" abcd")} | {"bc": (10, -5.0), "abc": (11, -1.0), "cd": (12, -2.0), " a": (13, -6.0)}

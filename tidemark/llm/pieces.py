@@ -11,20 +11,23 @@ already, or is a word longer than LONGEST, the word is encoded by the merge queu
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tidemark.llm.postings import distinct_terms, postings, sum_by_document
+from tidemark.llm.postings import distinct_terms, in_order, places, postings, sum_by_document
 
 SPACE = "▁"
 #: Characters of a word that the lattice takes: its positions are bits of one long.
@@ -306,6 +309,49 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFra
     return words.join(table, "term", "left").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_pieces, id_sum, ids_crc32, text_sha256 and round_trip.
+
+    Every document is encoded, and its ids are decoded: ids_crc32 is that of its ids in order as little-endian unsigned 32-bit
+    numbers, text_sha256 that of the decoded text, and round_trip says that this text is the original (it is not where a text has
+    U+2581, which decodes to a space). Null texts are empty. Rows that repeat an id or lack one are answered one by one. Extra columns are ignored; an
+    empty table gives an empty result.
+
+    Each distinct word is encoded once; a slice of documents has a row per distinct word with all its places, from which the ids of
+    its documents are put in order.
+    """
+    model = load(path)
+    split, strip = Words(model), model.prefix
+    spelled = [b""] * len(model.names)
+    for known in ({i: p.encode() for p, (i, _) in model.pieces.items()}, {i: bytes([b]) for b, i in model.byte_ids.items()}):
+        for i, raw in known.items():
+            spelled[i] = raw
+    table = encode_words(distinct_terms(docs, split), model)
+    names = ["doc_id", "n_bytes", "n_pieces", "id_sum", "ids_crc32", "text_sha256", "round_trip"]
+    types = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
+
+    def answer(rows: pa.Table) -> pa.Table:
+        head, ids, ends = in_order(rows)
+        pool = pa.array(spelled, pa.large_binary()).take(pa.array(ids))
+        bounds = np.frombuffer(pool.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = pool.buffers()[2].to_pybytes() if len(ids) else b""
+        out: list[list] = [[] for _ in names]
+        for doc, lo, hi in zip(head, [0, *ends[:-1].tolist()], ends.tolist()):
+            part = ids[lo:hi]
+            raw = data[bounds[lo]:bounds[hi]]
+            if strip and raw.startswith(b" "):
+                raw = raw[1:]
+            digest = hashlib.sha256(raw)
+            values = [int(doc["doc_id"]) if doc["has_id"] else None, int(doc["n_bytes"]), hi - lo, int(part.sum(dtype=np.int64)),
+                      zlib.crc32(part.astype("<u4").tobytes()), digest.hexdigest(), digest.digest() == doc["sha256"].tobytes()]
+            for column, value in zip(out, values):
+                column.append(value)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
+    return places(docs, split).join(table, "term", "left").groupBy("slice").applyInArrow(
+        answer, "doc_id long, n_bytes long, n_pieces long, id_sum long, ids_crc32 long, text_sha256 string, round_trip boolean")
+
+
 def piece_totals(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_pieces, id_sum (sum of its ids) and round_trip.
 

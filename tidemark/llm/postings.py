@@ -7,6 +7,7 @@ carries its document ids.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,6 +27,9 @@ SLICE_BYTES, SLICE_DOCS = 24 << 20, 1 << 16
 _TIMES = 7
 _HEAD = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8")])
 _NAMES = ["term", "slice", "entries"]
+_ORDERED = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8"), ("n_words", "<i8"), ("sha256", "u1", (32,))])
+#: Bytes of text in a slice whose documents are put together again.
+ORDERED_BYTES = 8 << 20
 #: Begins the term of a slice's head row; no term may begin so.
 HEAD = "\0\0slice "
 _TERMS = Callable[[str], Iterable[str]]
@@ -121,6 +125,54 @@ def postings(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTES) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary")
 
 
+def places(docs: DataFrame, terms: _TERMS, slice_bytes: int = ORDERED_BYTES) -> DataFrame:
+    """Rows (term, slice, entries) with all places of a term among the terms of a slice, and one head row per slice about its documents."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for ids, texts in _capped(batches, slice_bytes):
+            named: dict[str, int] = {}
+            head, owner = np.zeros(len(ids), _ORDERED), []
+            for at, (i, text) in enumerate(zip(ids, texts)):
+                owner.append(np.array([named.setdefault(t, len(named)) for t in terms(text)], np.int32))
+                raw = text.encode()
+                head[at] = (i or 0, i is not None, len(raw), len(owner[-1]), np.frombuffer(hashlib.sha256(raw).digest(), np.uint8))
+            owner = np.concatenate(owner)
+            order = np.argsort(owner, kind="stable")
+            owner = owner[order]
+            gaps = np.diff(order, prepend=0)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            gaps[first] = order[first]
+            stream, lengths = write_numbers(gaps)
+            ends = np.cumsum(np.bincount(owner, lengths, len(named))).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(named), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends])), pa.py_buffer(stream)])
+            names = pa.array(list(named), pa.string())
+            for lo in range(0, len(named), 20_000):
+                n = min(20_000, len(named) - lo)
+                yield pa.RecordBatch.from_arrays([names.slice(lo, n), pa.array(np.full(n, number)), packed.slice(lo, n)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{HEAD}{number}"]), pa.array([number]), pa.array([head.tobytes()], pa.binary())], _NAMES)
+            number += 1
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary")
+
+
+def in_order(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice's ``places`` with a column ids: its head, the ids of all its documents in order, and where each document ends."""
+    is_head = pc.starts_with(rows.column("term"), HEAD)
+    head = np.frombuffer(rows.filter(is_head).column("entries")[0].as_py(), _ORDERED)
+    rows = rows.filter(pc.invert(is_head))
+    if not rows.num_rows:
+        return head, np.empty(0, np.int32), np.zeros(len(head), np.int64)
+    entries = rows.column("entries")
+    gaps, behind = read_numbers(b"".join(entries.to_pylist()))
+    rows_end = np.searchsorted(behind, np.cumsum(pc.binary_length(entries).to_numpy()), side="right")
+    lengths = np.diff(rows_end, prepend=0)
+    run, begin = np.cumsum(gaps), rows_end - lengths
+    row_at = np.empty(len(gaps), np.int64)
+    row_at[run - np.repeat(run[begin] - gaps[begin], lengths)] = np.repeat(np.arange(len(lengths)), lengths)
+    found = pa.concat_arrays(rows.column("ids").chunks).take(pa.array(row_at))
+    bounds = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py()
+    return head, found.flatten().to_numpy(), bounds[np.cumsum(head["n_words"])]
+
+
 def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_slices: int = 64) -> DataFrame:
     """doc_id, n_bytes and the frequency-weighted sum of each value column of ``table`` (column term and the values), per document.
 
