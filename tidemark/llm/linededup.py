@@ -3,7 +3,7 @@
 A run is an immutable table of line hashes with the number of documents that hold the line, bucketed and sorted by hash. Each batch
 of documents is reduced to its distinct hashes, merge-anti-joined with the hashes that the runs already hold often enough, and the
 rest becomes a run of its own on level 0. When a level has ``FAN`` runs they are merged into one run of the next level, so a hash is
-rewritten once per level. All runs of a store have the same buckets, so the joins with a batch do not shuffle the runs.
+rewritten once per level. Hashes do not compress, so runs are written plain. All runs of a store have the same buckets, so the joins with a batch do not shuffle the runs.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         capped = rows.select(*_HASH, F.least("n", F.lit(self.limit)).cast("int").alias("n"))
-        (capped.write.format("parquet").bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", f"{self.path}/{name}").saveAsTable(name))
+        (capped.write.format("parquet").option("compression", "none").bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", f"{self.path}/{name}").saveAsTable(name))
         return name
 
     def add(self, counts: DataFrame, batch: str) -> None:
@@ -158,7 +158,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> D
     return done.select(*(F.col("new" if c in new else "row").getField(c).alias(c) for c in [*docs.columns, *(c for c in new if c not in docs.columns)]))
 
 
-def drop_frequent_lines(docs: DataFrame, limit: int = 10, min_chars: int = 1, batches: int = 8, buckets: int | None = None) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, limit: int = 10, min_chars: int = 1, batches: int = 4, buckets: int | None = None) -> DataFrame:
     """Drop the lines whose key has at least ``min_chars`` code points and is found in at least ``limit`` documents.
 
     The rows are dealt into ``batches`` by a hash, which go through the levelled runs one after the other; neither the number of
@@ -168,7 +168,7 @@ def drop_frequent_lines(docs: DataFrame, limit: int = 10, min_chars: int = 1, ba
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64(text_of()), F.lit(batches)).alias("batch")
     path = scratch_path(spark, "line_batches")
-    line_counts(docs, batch, min_chars=min_chars).write.partitionBy("batch").parquet(path)
+    line_counts(docs, batch, min_chars=min_chars).write.partitionBy("batch").option("compression", "none").parquet(path)
     staged = spark.read.schema("h1 long, h2 long, n long, batch long").parquet(path)
     if buckets is None:
         want = staged.count() // PER_BUCKET + 1
