@@ -143,16 +143,16 @@ def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = 1) -> D
     Null texts become empty. Input columns named n_lines or n_dropped are replaced; other columns stay as they are. Positions to
     drop are found per distinct text, as one row per line and a join that Spark can split at hot lines; the texts move once.
     """
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_of().alias("text"))
-    row = row.withColumn("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    places = (row.select("id", F.posexplode(keys_of(F.col("text"))).alias("at", "key")).where(F.length("key") >= min_chars)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = docs.select(whole.alias("row"), F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("id"))
+    places = (row.select("id", F.posexplode(keys_of(F.col("row.text"))).alias("at", "key")).where(F.length("key") >= min_chars)
               .select("id", "at", *hash_of(F.col("key"))))
     gone = places.join(frequent, _HASH).groupBy("id").agg(F.collect_set("at").alias("gone"))
     lines = F.col("lines")
     # by set difference of positions: linear, where a lookup per line would be quadratic for long texts
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(
+    kept = F.when(F.col("gone").isNull(), text_of("row.text")).otherwise(F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n"))
-    done = row.join(gone, "id", "left").withColumn("lines", lines_of(F.col("text")))
+    done = row.join(gone, "id", "left").withColumn("lines", lines_of(F.col("row.text")))
     new = {"text": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
     done = done.select("row", F.struct(*(x.alias(c) for c, x in new.items())).alias("new"))  # apart, so that no input name is taken for one of these
     return done.select(*(F.col("new" if c in new else "row").getField(c).alias(c) for c in [*docs.columns, *(c for c in new if c not in docs.columns)]))
