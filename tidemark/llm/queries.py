@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exactdup, linededup, neardup, packing, pieces, pii, quality, sharding, substring, tokencount, warc
+from tidemark.llm import bitkmeans, exactdup, linededup, neardup, negatives, packing, pieces, pii, quality, sharding, substring, tokencount, warc
 from tidemark.llm.common import table
 
 EXACT_SQL = """
@@ -62,11 +62,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitkmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards, "op2_quality_rules": op2_quality_rules, "op3_sentencepiece": op3_sentencepiece, "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts, "op7_best_fit_packing": op7_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_warc_revisits": op9_warc_revisits,
     "op10_surrogates": op10_surrogates, "op11_line_dedup": op11_line_dedup,
+    "op12_centroids": op12_centroids, "op13_hard_negatives": op13_hard_negatives,
 }
 LLM_SQL: dict[str, str] = {"op4_near_dedup": neardup.NEAR_SQL, "op5_exact_dedup": EXACT_SQL, "op8_substring_dedup": substring.REPEATS_SQL,
-    "op9_warc_revisits": warc.REVISITS_SQL, "op11_line_dedup": linededup.LINES_SQL}
+    "op9_warc_revisits": warc.REVISITS_SQL, "op11_line_dedup": linededup.LINES_SQL,
+    "op12_centroids": bitkmeans.CLUSTERS_SQL, "op13_hard_negatives": negatives.NEGATIVES_SQL}
