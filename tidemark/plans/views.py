@@ -149,6 +149,13 @@ SELECT lpad(CAST(user_id AS STRING), 10, '0') AS cik, CAST(ts AS DATE) AS trade_
 FROM events GROUP BY lpad(CAST(user_id AS STRING), 10, '0'), CAST(ts AS DATE)
 """, "events")
 
+# market_bars: one row per market (nation) and day of its companies' filings: a series of several years
+_view("market_bars", """
+SELECT lpad(CAST(c_nationkey AS STRING), 10, '0') AS cik, CAST(o_orderdate AS DATE) AS trade_date,
+       avg(CAST(o_totalprice AS DOUBLE)) AS close, CAST(NULL AS DOUBLE) AS adj_close, CAST(count(*) * 1000 AS BIGINT) AS volume
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY lpad(CAST(c_nationkey AS STRING), 10, '0'), CAST(o_orderdate AS DATE)
+""", "orders", "customer")
+
 # estimates: one row per view event
 _view("estimates", """
 SELECT lpad(CAST(user_id AS STRING), 10, '0') AS cik, 'vendor' AS source,
