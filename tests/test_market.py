@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import market as mk
+from tidemark.operators import joins as jn, market as mk
 
 DAY = dt.date(2019, 12, 20)
 BARS = "cik string, trade_date date, close double, adj_close double, volume long"
@@ -86,9 +86,9 @@ def test_rolling_frames_are_complete(spark, stretch):
 def test_no_window_over_a_whole_series(spark):
     plan = mk.rolling_stats(spark.createDataFrame([("a", DAY, 1.0, None, 1)], BARS))._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and all("_m#" in line or "_s#" in line for line in windows)
+    assert windows and all("_b#" in line or "_s#" in line for line in windows)
     with pytest.raises(ValueError):
-        mk.with_halo(spark.range(1), 31, 30)
+        jn.with_halo(spark.range(1), 31, 30)
 
 
 def test_ranks_with_ties_and_a_hot_group(spark):

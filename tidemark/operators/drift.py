@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.functions import text as tx
+from tidemark.functions import documents as docs, text as tx
+from tidemark.operators.joins import asof_join, numbered, with_halo
+from tidemark.session import written
 
 c = F.col
 
@@ -88,22 +90,41 @@ def indicators(schemas: DataFrame, analyses: DataFrame) -> DataFrame:
     return share.join(files, "type_id", "left").withColumn("files_analyzed", F.coalesce("files_analyzed", F.lit(0)))
 
 
-def presence(found: DataFrame, canonical: DataFrame, seen: DataFrame) -> DataFrame:
-    """Per type and canonical field: documents that carried it, its share, last sample and other spellings.
+def assigned_names(found: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Which found name of a document stands for which canonical field: type_id, version, doc_no, name, found_name.
 
-    ``found`` has one row per document and canonical field matched (columns type_id, name, doc_no, found_name,
-    sample); ``seen`` one row per analysed document.
+    ``found`` has the names of each document (type_id, version, doc_no, found_name), ``canonical`` the fields in force for a version
+    (type_id, version, name, position). Fields in order take their best free name, each name once. Documents with the same names and
+    version are assigned together.
     """
-    docs = seen.groupBy("type_id").agg(F.countDistinct("doc_no").alias("documents"))
-    other = F.when(F.lower("found_name") != F.lower("name"), F.lower("found_name"))
-    stats = found.groupBy("type_id", "name").agg(
-        F.countDistinct("doc_no").alias("document_count"),
-        F.max_by("sample", F.when(F.trim("sample") != "", F.struct("doc_no", "found_name"))).alias("sample"),
-        F.array_sort(F.collect_set(other)).alias("aliases"))
-    return (canonical.select("type_id", "name").distinct().join(stats, ["type_id", "name"], "left").join(docs, "type_id", "left")
+    sets = found.groupBy("type_id", "version", "doc_no").agg(F.array_sort(F.collect_set("found_name")).alias("names"))
+    sets = written(sets, "name_sets")
+    pairs = written(name_pairs(canonical, found, "name", "found_name"), "name_pairs")
+    each = sets.select("type_id", "version", "names").distinct().withColumn("found_name", F.explode("names"))
+    edges = each.join(pairs, ["type_id", "found_name"]).join(canonical.select("type_id", "version", "name", "position"), ["type_id", "version", "name"])
+    picks = match_once(edges, ["type_id", "version", "names"], "name", "found_name", "position").select("type_id", "version", "names", "name", "found_name")
+    return sets.join(picks, ["type_id", "version", "names"]).select("type_id", "version", "doc_no", "name", "found_name")
+
+
+def presence(found: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Per type and canonical field: documents that carried it, its share, last sample and other spellings in order of appearance.
+
+    ``found`` has one row per document and name in it (type_id, version, doc_no, found_name, sample), ``canonical`` the fields in force
+    for each version (type_id, version, name, position). A field that has left the schema keeps its count, over all documents. Blank
+    samples do not replace one. Spellings that differ in case only are one, written as first seen; the field's own is none.
+    """
+    analysed = found.select("type_id", "doc_no").distinct().groupBy("type_id").agg(F.count("*").alias("documents"))
+    hits = assigned_names(found, canonical).join(found.select("type_id", "version", "doc_no", "found_name", F.trim("sample").alias("sample")),
+                                                 ["type_id", "version", "doc_no", "found_name"])
+    per = hits.groupBy("type_id", "name", F.lower("found_name").alias("_low")).agg(
+        F.min(F.struct("doc_no", "found_name")).alias("_first"), F.count("*").alias("_k"), F.max(F.when(c("sample") != "", F.struct("doc_no", "sample"))).alias("_last"))
+    stats = per.groupBy("type_id", "name").agg(
+        F.sum("_k").alias("document_count"), F.max("_last").alias("_last"),
+        F.transform(F.array_sort(F.collect_list(F.when(c("_low") != F.lower("name"), c("_first")))), lambda x: x["found_name"]).alias("aliases"))
+    return (canonical.select("type_id", "name").distinct().join(stats, ["type_id", "name"], "left").join(analysed, "type_id", "left")
             .select("type_id", "name", F.coalesce("document_count", F.lit(0)).alias("document_count"),
                     F.coalesce(F.try_divide(F.coalesce("document_count", F.lit(0)), "documents"), F.lit(0.0)).alias("presence_rate"),
-                    "sample", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")))
+                    c("_last.sample").alias("sample"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")))
 
 
 def absence_streaks(schemas: DataFrame, versions: DataFrame) -> DataFrame:
@@ -175,34 +196,33 @@ def name_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
 def match_once(pairs: DataFrame, keys: list[str], canonical: str, found: str, position: str) -> DataFrame:
     """Assign found names to canonical fields: fields in order take their best free match, each name once.
 
-    A greedy walk over one document's matches (at most a few dozen).
+    A fold over one key's pairs by position, tier and name: a pair is taken if neither its field nor its name is taken yet. The state
+    is the pairs taken so far, at most one per field.
     """
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        keep = []
-        for _, grp in pdf.sort_values([position, "tier", found]).groupby(position, sort=True):
-            for i, n in zip(grp.index, grp[found]):
-                if n not in used:
-                    used.add(n)
-                    keep.append(i)
-                    break
-        return pdf.loc[keep]
-    return pairs.groupBy(*keys).applyInPandas(walk, pairs.schema)
-
-
-def resolve_hints(hints: DataFrame, fields: DataFrame) -> DataFrame:
-    """Field each user hint means: equal but for case, equal in normal form, or one inside the other; first field wins."""
+    rest = [x for x in pairs.columns if x not in (*keys, position, "tier", found)]
+    edges = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(position, "tier", found, *rest))).alias("_e"))
+    taken = lambda acc, e: F.exists(acc, lambda p: (p[position] == e[position]) | (p[found] == e[found]))
+    picks = F.aggregate("_e", F.array().cast(edges.schema["_e"].dataType), lambda acc, e: F.when(taken(acc, e), acc).otherwise(F.concat(acc, F.array(e))))
+    return edges.select(*keys, F.inline(picks)).select(*pairs.columns)
+
+
+def resolve_hints(hints: DataFrame, fields: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Field each user hint means: equal but for case, equal in normal form, or one inside the other; first field wins.
+
+    With ``versions`` (type_id, version) the fields have versions and each hint is looked up in each of them.
+    """
+    by = ["type_id"] if versions is None else ["type_id", "version"]
+    asked = hints if versions is None else hints.join(versions, "type_id")
     h, f = F.lower("label"), F.lower("name")
     tier = (F.when(h == f, 1).when(tx.name_form(c("label")) == tx.name_form(c("name")), 2)
             .when(F.contains(f, h) | F.contains(h, f), 3))
     one = hints.select("type_id", "label").distinct().withColumn("_k", F.explode(_match_keys(c("label"), "label whole", "name whole", trim=False)))
     two = fields.select("type_id", "name").distinct().withColumn("_k", F.explode(_match_keys(c("name"), "name whole", "label whole", trim=False)))
-    near = one.join(two, ["type_id", "_k"]).select("type_id", "label", "name").distinct()
-    pairs = (hints.join(near, ["type_id", "label"]).join(fields.select("type_id", "name", "position", "confidence"), ["type_id", "name"]).withColumn("tier", tier)
-             .where("tier IS NOT NULL").groupBy("type_id", "label")
-             .agg(F.min_by(F.struct("name", "confidence"), F.struct("tier", "position")).alias("_m")))
-    return (hints.join(pairs, ["type_id", "label"], "left")
-            .select(*hints.columns, c("_m.name").alias("mapped_to"), c("_m.confidence").alias("confidence"),
+    near = one.join(two, ["type_id", "_k"]).select("type_id", "label", "name").distinct().withColumn("tier", tier).where("tier IS NOT NULL")
+    pairs = (near.join(fields.select(*by, "name", "position", "type", "confidence"), ["type_id", "name"]).groupBy(*by, "label")
+             .agg(F.min_by(F.struct("name", "type", "confidence"), F.struct("tier", "position")).alias("_m")))
+    return (asked.join(pairs, [*by, "label"], "left")
+            .select(*asked.columns, c("_m.name").alias("mapped_to"), c("_m.type").alias("mapped_type"), c("_m.confidence").alias("confidence"),
                     c("_m").isNotNull().alias("found")))
 
 
@@ -220,34 +240,116 @@ def add_excluded(excluded: DataFrame, new: DataFrame) -> DataFrame:
     return excluded.select("type_id", "excluded").unionByName(fresh)
 
 
+def proposed_fields(proposed: DataFrame, hints: DataFrame, excluded: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """The fields that a proposal brings into a schema: hinted ones under the user's label, then the model's that no hint means.
+
+    Inputs: proposed(type_id[, version], name, type, confidence, position), hints(type_id, label, hint_type, required[, hint_no]),
+    excluded(type_id, excluded). A hint that means no field is a field of its own with low confidence. With ``versions`` each
+    version is a proposal of its own.
+    """
+    by = ["type_id"] if versions is None else ["type_id", "version"]
+    proposal = written(without_excluded(proposed, excluded), "proposal")
+    hinted = written(resolve_hints(hints, proposal, versions), "hinted")
+    hint_no = c("hint_no").cast("bigint") if "hint_no" in hints.columns else F.lit(0).cast("bigint")
+    user = hinted.select(
+        *by, c("label").alias("name"), F.coalesce("mapped_type", F.when(c("hint_type") != "", c("hint_type")), F.lit("string")).alias("type"),
+        F.coalesce("confidence", F.lit("low")).alias("confidence"), F.lit("user").alias("provenance"), (c("found") | c("required")).alias("required"), hint_no.alias("hint_no"))
+    taken = hinted.select(*by, F.explode(F.array("label", "mapped_to")).alias("name")).where("name IS NOT NULL").distinct()
+    model = proposal.join(taken, [*by, "name"], "left_anti").select(
+        *by, "name", "type", "confidence", F.lit("llm").alias("provenance"), F.lit(False).alias("required"), F.lit(0).cast("bigint").alias("hint_no"))
+    return user.unionByName(model)
+
+
+def _place() -> Column:
+    """The part of a schema a field is in: user fields 0, model fields 1, deprecated ones 2."""
+    return F.when(c("deprecated"), 2).when(c("provenance") == "user", 0).otherwise(1)
+
+
 def merge_schema(current: DataFrame, proposed: DataFrame, hints: DataFrame, excluded: DataFrame) -> DataFrame:
     """Next version of each type's schema: hinted fields, then proposed ones, then those carried or deprecated.
 
-    Inputs: current(type_id, name, type, confidence, provenance, absence_streak, required), proposed(type_id, name, type,
-    confidence, position), hints(type_id, label, hint_type, required), excluded(type_id, excluded). A carried field keeps its
-    required flag. place orders the parts of the result: user fields 0, model fields 1, deprecated ones 2.
+    Inputs as in ``proposed_fields``, and current(type_id, name, type, confidence, provenance, absence_streak, required). A carried
+    field keeps its required flag. place orders the parts of the result.
+    """
+    current, excluded = written(current, "current"), written(excluded, "excluded")
+    new = written(proposed_fields(proposed, hints, excluded), "new_fields")
+    old = c("_o")
+    both = new.select("type_id", "name", F.struct("type", "confidence", "provenance", "required").alias("_n")).join(
+        current.select("type_id", "name", F.struct("type", "confidence", "provenance", "required", "absence_streak").alias("_o")), ["type_id", "name"], "full_outer")
+    fresh, gone = c("_n").isNotNull(), F.when(c("_n").isNull(), old["absence_streak"] + 1)
+    note = F.when((c("_n.provenance") == "llm") & (old["type"] != c("_n.type")), F.concat(F.lit("type conflict: "), old["type"], F.lit(" to "), c("_n.type"))).otherwise(F.lit(""))
+    either = lambda x: F.when(fresh, c(f"_n.{x}")).otherwise(old[x])
+    merged = both.select(
+        "type_id", "name", either("type").alias("type"), F.when(fresh, c("_n.confidence")).otherwise(tx.downgrade(old["confidence"])).alias("confidence"),
+        either("provenance").alias("provenance"), either("required").alias("required"), F.coalesce(gone, F.lit(0)).alias("absence_streak"),
+        F.coalesce(gone > 3, F.lit(False)).alias("deprecated"), note.alias("note"), fresh.alias("_fresh"))
+    carried = without_excluded(merged.where(~c("_fresh")), excluded)
+    return merged.where("_fresh").unionByName(carried).drop("_fresh").withColumn("place", _place())
+
+
+def _faded(confidence: Column, steps: Column) -> Column:
+    """A confidence after so many versions without the field."""
+    return F.when(steps <= 0, confidence).when((steps == 1) & (confidence == "high"), F.lit("medium")).otherwise(F.lit("low"))
+
+
+def refined_versions(proposed: DataFrame, hints: DataFrame, excluded: DataFrame) -> DataFrame:
+    """The schema of every version of every type, each made from the one before and the version's own proposal.
+
+    One row per type, version and field known by then: type, confidence, provenance, required, absence_streak, deprecated, place and
+    position (the order of the fields), and the field's state in the version before (old_type null: not known; old_confidence,
+    old_deprecated). i counts the versions of a type from 1.
+
+    What a step leaves of a field depends only on the last proposal that had it and on the versions since, so no step waits for the one
+    before: each appearance gives the rows up to the next one. A type with very many versions is many tasks.
+    """
+    stretch = lambda x: F.floor(x / 1000)
+    versions = written(numbered(proposed.select("type_id", "version").distinct(), ["type_id"], "version", stretch, "i"), "versions")
+    excluded = written(excluded, "excluded")
+    state = ["type", "confidence", "provenance", "required", "hint_no"]
+    here = proposed_fields(written(proposed, "proposed"), hints, excluded, versions.select("type_id", "version")).join(versions, ["type_id", "version"])
+    here = written(here.select("type_id", "i", "name", *state), "appearances")
+    top = versions.groupBy("type_id").agg(F.max("i").alias("top"))
+    seen = here.select("type_id", "name", c("i").alias("at"), c("type").alias("was_type"), c("confidence").alias("was_confidence"))
+    key = ["type_id", "name"]
+    before = asof_join(here, seen, key, "i", "at", ["was_type", "was_confidence"], bucket=stretch).withColumnRenamed("at", "was")
+    spans = asof_join(before, seen, key, "i", "at", [], forward=True, tie_break=["at"], bucket=stretch).join(top, "type_id")
+    k, since = c("i") - c("from"), c("from") - 1 - c("was")
+    rows = spans.withColumnRenamed("i", "from").withColumn("i", F.explode(F.sequence(c("from"), F.coalesce(c("at") - 1, c("top")))))
+    rows = rows.select(
+        "type_id", "i", "name", "type", _faded(c("confidence"), k).alias("confidence"), "provenance", "required", k.alias("absence_streak"), (k > 3).alias("deprecated"),
+        F.when(k > 0, c("type")).otherwise(c("was_type")).alias("old_type"),
+        F.when(k > 0, _faded(c("confidence"), k - 1)).otherwise(_faded(c("was_confidence"), since)).alias("old_confidence"),
+        F.when(k > 0, k - 1 > 3).otherwise(since > 3).alias("old_deprecated"), "hint_no")
+    rows = rows.withColumn("place", _place())
+    position = F.struct(c("place"), (c("absence_streak") > 0).alias("carried"), c("hint_no"), c("name").alias("field"))
+    return rows.withColumn("position", position).drop("hint_no").join(versions, ["type_id", "i"])
+
+
+def refinement(rows: DataFrame) -> DataFrame:
+    """One row per type and version of ``refined_versions``: differences to the version before, metrics and convergence.
+
+    Columns: version, next_version, fields (not deprecated), deprecated, added, removed (known fields that are not in force, in each
+    version), modified, confidence_changes, type_conflicts (of the model's fields), the four metrics, score and advice.
     """
-    proposal = without_excluded(proposed, excluded)
-    hinted = resolve_hints(hints, proposal)
-    by_name = proposal.select("type_id", c("name").alias("mapped_to"), c("type").alias("_t"))
-    user = (hinted.join(by_name, ["type_id", "mapped_to"], "left").select(
-        "type_id", c("label").alias("name"), F.coalesce("_t", F.when(c("hint_type") != "", c("hint_type")), F.lit("string")).alias("type"),
-        F.coalesce("confidence", F.lit("low")).alias("confidence"), F.lit("user").alias("provenance"),
-        (c("found") | c("required")).alias("required"), F.lit(0).alias("absence_streak"), F.lit(False).alias("deprecated"),
-        F.lit("").alias("note")))
-    taken = hinted.select("type_id", c("label").alias("name")).unionByName(
-        hinted.where("found").select("type_id", c("mapped_to").alias("name"))).distinct()
-    before = current.select("type_id", "name", c("type").alias("_old"))
-    model = (proposal.join(taken, ["type_id", "name"], "left_anti").join(before, ["type_id", "name"], "left").select(
-        "type_id", "name", "type", "confidence", F.lit("llm").alias("provenance"), F.lit(False).alias("required"),
-        F.lit(0).alias("absence_streak"), F.lit(False).alias("deprecated"),
-        F.when(c("_old") != c("type"), F.concat(F.lit("type conflict: "), c("_old"), F.lit(" to "), c("type"))).otherwise(F.lit("")).alias("note")))
-    new = user.unionByName(model)
-    carried = (without_excluded(current.join(new.select("type_id", "name"), ["type_id", "name"], "left_anti"), excluded)
-               .withColumn("absence_streak", c("absence_streak") + 1).select(
-        "type_id", "name", "type", tx.downgrade(c("confidence")).alias("confidence"), "provenance", "required",
-        "absence_streak", (c("absence_streak") > 3).alias("deprecated"), F.lit("").alias("note")))
-    return new.unionByName(carried).withColumn("place", F.when(c("deprecated"), 2).when(c("provenance") == "user", 0).otherwise(1))
+    live, known = ~c("deprecated"), c("old_type").isNotNull()
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    retyped = known & (c("type") != c("old_type"))
+    per = rows.groupBy("type_id", "i", "version").agg(
+        n(live).alias("fields"), n(~live).alias("deprecated"), n(live & ~known).alias("added"), n(known & ~live).alias("removed"), n(live & retyped).alias("modified"),
+        n(live & known & (c("confidence") != c("old_confidence"))).alias("confidence_changes"),
+        n(retyped & (c("provenance") == "llm") & (c("absence_streak") == 0)).alias("type_conflicts"),
+        n(live & known & ~c("old_deprecated")).alias("_both"), n(live & c("confidence").isin("high", "medium")).alias("_hi"), n(live & known).alias("_known"))
+    some = (c("i") > 1) & (c("fields") > 0)
+    per = per.withColumns({
+        "field_stability": F.when(some, c("_both") / c("fields")).otherwise(1.0), "confidence_trend": F.coalesce(F.try_divide(c("_hi"), c("fields")), F.lit(0.0)),
+        "new_field_rate": F.when(some, (c("fields") - c("_both")) / c("fields")).otherwise(0.0),
+        "type_consistency": F.when((c("i") > 1) & (c("_known") > 0), (c("_known") - c("modified")) / c("_known")).otherwise(1.0)})
+    last = W.partitionBy("type_id", "_s").orderBy("i").rowsBetween(-4, 0)
+    recent = [F.when(F.count("*").over(last) >= 2, F.avg(m).over(last)).otherwise(0.0) for m in fv.CONVERGENCE_METRICS]
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (recent[0] + recent[1] + (1.0 - recent[2]) + recent[3]) / 4.0))
+    scored = with_halo(per, 4, 1000, "i").withColumn("score", score).where("_own")
+    return scored.select("type_id", "version", (c("version") + 1).alias("next_version"), "fields", "deprecated", "added", "removed", "modified", "confidence_changes",
+                         "type_conflicts", *fv.CONVERGENCE_METRICS, "score", docs.recommendation(F.round("score", 9)).alias("advice"))
 
 
 def proposal_errors(fields: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

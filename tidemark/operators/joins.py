@@ -7,19 +7,22 @@ time or size bucket, so that one very frequent key is spread over many tasks and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
               values: list[str], *, forward: bool = False, allow_equal: bool = False,
-              tie_break: list[str] | None = None, bucket: str = "month") -> DataFrame:
+              tie_break: list[str] | None = None, bucket: str | Callable[[Column], Column] = "month") -> DataFrame:
     """Left join each row to the nearest right row before it (or after it with ``forward``).
 
     Adds ``values`` and ``right_time`` of the match; rows without a match keep NULLs. Without
     ``allow_equal`` a right row at the same time is not seen. Several right rows of one key and time
-    are decided by the greatest ``tie_break``.
+    are decided by the greatest ``tie_break``. ``bucket`` cuts the time into stretches: a unit of dates, or for
+    numbers a function that does not fall.
     """
+    stretch = bucket if callable(bucket) else lambda t: F.date_trunc(bucket, t)
     tie = F.struct(*[F.col(x) for x in tie_break or values])
     candidates = (right.where(F.col(right_time).isNotNull()).groupBy(*keys, right_time)
                   .agg(F.max_by(F.struct(*values), tie).alias("v"))
@@ -30,7 +33,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     probes = (left.select(*keys, F.col(left_time).alias("_t")).where(F.col("_t").isNotNull()).distinct()
               .select(*keys, "_t", F.lit(None).cast(kind).alias("_c"),
                       F.lit(1 if allow_equal else 0).alias("_o"), F.lit(True).alias("_probe")))
-    both = candidates.unionByName(probes).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
+    both = candidates.unionByName(probes).withColumn("_b", stretch(F.col("_t")))
     order = [F.col("_t").desc() if forward else F.col("_t").asc(), F.col("_o")]
     inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = both.withColumn("_near", F.last("_c", ignorenulls=True).over(inside))
@@ -102,3 +105,29 @@ def first_match(df: DataFrame, keys: list[str], order: list[Column], columns: li
     """One row per key: the columns of its first row in a total order (combined before the shuffle)."""
     return (df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_f"))
             .select(*keys, *[F.col(f"_f.{x}").alias(x) for x in columns]))
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, bucket: Callable[[Column], Column], name: str = "n") -> DataFrame:
+    """Add ``name``, the place of each row within its key in the order of a column, from 1. The column must be distinct within a key.
+
+    ``bucket`` cuts the order into stretches (a function of the column that does not fall). Rows are numbered within their stretch
+    and the counts of the stretches before are carried over one row per stretch, so a long key is many tasks.
+    """
+    cut = df.withColumn("_b", bucket(F.col(order)))
+    before = F.sum("_k").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_k")).select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(order))
+    return cut.join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_b", "_before")
+
+
+def with_halo(series: DataFrame, halo: int, stretch: int, n: str = "n") -> DataFrame:
+    """The rows of a numbered series in stretches (``_s``) of consecutive places, each with copies of the ``halo`` rows before it.
+
+    Copies have ``_own`` false. So a frame that looks back at most ``halo`` rows is complete within (series, stretch).
+    """
+    if stretch < halo:
+        raise ValueError("a stretch must be at least as long as its halo")
+    i = F.col(n) - 1
+    s = F.floor(i / stretch).cast("bigint")
+    places = F.when(i - s * stretch >= stretch - halo, F.array(s, s + 1)).otherwise(F.array(s))
+    return series.withColumn("_home", s).withColumn("_s", F.explode(places)).withColumn("_own", F.col("_s") == F.col("_home")).drop("_home")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.amounts import adjusted_or_raw
-from tidemark.operators.joins import asof_join
+from tidemark.operators.joins import asof_join, numbered, with_halo
 from tidemark.session import written
 
 c = F.col
@@ -29,14 +29,9 @@ def priced(bars: DataFrame, keys: list[str] = ("cik",)) -> DataFrame:
 def trading_ordinals(days: DataFrame, keys: list[str] = ("cik",), day: str = "trade_date") -> DataFrame:
     """Add ``n``, the number of the trading day within its series, from 1. Days must be distinct within a series.
 
-    Days are numbered within their month; the counts of the months before are carried over one row per month.
+    Days are numbered within their month, with the counts of the months before carried.
     """
-    keys = list(keys)
-    months = days.withColumn("_m", F.trunc(day, "month"))
-    before = F.sum("_k").over(W.partitionBy(*keys).orderBy("_m").rowsBetween(W.unboundedPreceding, -1))
-    offsets = months.groupBy(*keys, "_m").agg(F.count("*").alias("_k")).select(*keys, "_m", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_m").orderBy(day))
-    return months.join(offsets, [*keys, "_m"]).withColumn("n", (c("_before") + inside).cast("bigint")).drop("_m", "_before")
+    return numbered(days, list(keys), day, lambda d: F.trunc(d, "month"))
 
 
 def prices_at(asks: DataFrame, series: DataFrame, steps: list[int], keys: list[str] = ("cik",)) -> DataFrame:
@@ -86,19 +81,6 @@ def abnormal_return(reactions: DataFrame, benchmark: DataFrame, steps: list[int]
     return out.select(*reactions.columns, *[f"abnormal_{s}" for s in steps])
 
 
-def with_halo(series: DataFrame, halo: int, stretch: int) -> DataFrame:
-    """The rows of a numbered series in stretches (``_s``) of consecutive days, each with copies of the ``halo`` rows before it.
-
-    Copies have ``_own`` false. So a frame that looks back at most ``halo`` rows is complete within (series, stretch).
-    """
-    if stretch < halo:
-        raise ValueError("a stretch must be at least as long as its halo")
-    i = c("n") - 1
-    s = F.floor(i / stretch).cast("bigint")
-    places = F.when(i - s * stretch >= stretch - halo, F.array(s, s + 1)).otherwise(F.array(s))
-    return series.withColumn("_home", s).withColumn("_s", F.explode(places)).withColumn("_own", c("_s") == c("_home")).drop("_home")
-
-
 def rolling_stats(bars: DataFrame, back: int = 30, stretch: int = 250, keys: list[str] = ("cik",)) -> DataFrame:
     """Per trading day, from the ``back`` days before it: volatility, momentum and the volume against its mean.
 

@@ -71,40 +71,50 @@ def agg29(t):
     return dr.indicators(t.schema_fields, t.doc_fields).select("type_id", F.round("average_confidence", 9).alias("average_confidence"), "fields", "files_analyzed")
 
 
-# Canonical fields of each type: a fixed order of the names its documents use.
-_CANON = "SELECT DISTINCT type_id, found_name AS name FROM doc_fields WHERE found_name IN ('total_amount', 'invoice_number', 'vendor_name', 'due_date', 'currency', 'po-number')"
+# Canonical fields in order; one is in force before the third version only, one from the second on.
+_CANON = ["vendor", "invoice_number", "total-amount", "Vendor_Name", "currency", "due_date", "notes", "po_number"]
+_CANON_CTE = f"""ca AS (SELECT DISTINCT type_id, version, name, position FROM doc_names JOIN (VALUES {', '.join(f"('{n}', {i + 1})" for i, n in enumerate(_CANON))}) k(name, position) ON (name <> 'currency' OR version < 3) AND (name <> 'notes' OR version > 1))"""
 _TIER = f"CASE WHEN lower(name) = lower(found_name) THEN 1 WHEN translate(lower(trim(name)), ' _-', '') = translate(lower(trim(found_name)), ' _-', '') THEN 2 WHEN {similar_sql('name', 'found_name')} THEN 3 END"
-_HIT_CTE = f"""ca AS ({_CANON}), fn AS (SELECT DISTINCT type_id, found_name FROM doc_fields), pr AS (SELECT type_id, name, found_name, {_TIER} AS tier FROM ca JOIN fn USING (type_id)),
-  bt AS (SELECT type_id, found_name, arg_min(name, (tier, name)) AS name FROM pr WHERE tier IS NOT NULL GROUP BY ALL)"""
 
 
-def _found(t):
-    canonical = t.select(_CANON, "doc_fields")
-    pairs = dr.name_pairs(canonical, t.doc_fields, "name", "found_name")
-    best = pairs.groupBy("type_id", "found_name").agg(F.min_by("name", F.struct("tier", "name")).alias("name"))
-    return canonical, t.doc_fields.join(best, ["type_id", "found_name"]).withColumn("sample", c("sample_no").cast("string"))
+def _greedy_sql() -> str:
+    """Fields in order take their best name that no field before has taken: one step per field."""
+    steps = [f"ed AS (SELECT * FROM (SELECT d.type_id, d.version, d.doc_no, d.found_name, ca.name, ca.position, {_TIER} AS tier FROM doc_names d JOIN ca USING (type_id, version)) WHERE tier IS NOT NULL)"]
+    taken = "SELECT NULL::BIGINT AS type_id, NULL::BIGINT AS version, NULL::BIGINT AS doc_no, NULL::VARCHAR AS name, NULL::VARCHAR AS found_name WHERE false"
+    for i in range(1, len(_CANON) + 1):
+        steps.append(f"t{i - 1} AS ({taken})")
+        steps.append(f"p{i} AS (SELECT type_id, version, doc_no, name, arg_min(found_name, (tier, found_name)) AS found_name FROM ed WHERE position = {i} AND NOT EXISTS (SELECT 1 FROM t{i - 1} t WHERE t.type_id = ed.type_id AND t.doc_no = ed.doc_no AND t.found_name = ed.found_name) GROUP BY ALL)")
+        taken = f"SELECT * FROM t{i - 1} UNION ALL SELECT type_id, version, doc_no, name, found_name FROM p{i}"
+    return ", ".join([_CANON_CTE, *steps, f"mt AS ({taken})"])
 
 
-@query("agg19_field_presence", views="doc_fields", sql=f"""
-    WITH {_HIT_CTE}, dc AS (SELECT type_id, count(DISTINCT doc_no) AS n FROM doc_fields GROUP BY 1), ht AS (SELECT d.*, bt.name FROM doc_fields d JOIN bt USING (type_id, found_name)),
-    ss AS (SELECT type_id, name, count(DISTINCT doc_no) AS k, max_by(CAST(sample_no AS VARCHAR), doc_no) AS sample, coalesce(array_to_string(list_sort(list(DISTINCT lower(found_name)) FILTER (lower(found_name) <> lower(name))), ','), '') AS aliases FROM ht GROUP BY ALL)
-    SELECT ca.type_id, ca.name, coalesce(k, 0) AS document_count, round(coalesce(k, 0) / n, 9) AS presence_rate, sample, coalesce(aliases, '') AS aliases FROM ca LEFT JOIN ss USING (type_id, name) JOIN dc ON dc.type_id = ca.type_id""")
+_GREEDY_CTE = _greedy_sql()
+
+
+def _canonical(t):
+    fields = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(i + 1).alias("position")) for i, n in enumerate(_CANON)))
+    rows = t.doc_names.select("type_id", "version").distinct().select("type_id", "version", F.inline(fields))
+    return rows.where("(name <> 'currency' OR version < 3) AND (name <> 'notes' OR version > 1)")
+
+
+@query("agg19_field_presence", views="doc_names", sql=f"""
+    WITH {_GREEDY_CTE}, dc AS (SELECT type_id, count(DISTINCT doc_no) AS n FROM doc_names GROUP BY 1), ht AS (SELECT m.*, trim(d.sample) AS sample FROM mt m JOIN doc_names d USING (type_id, doc_no, found_name)),
+    al AS (SELECT type_id, name, lower(found_name) AS low, min((doc_no, found_name)) AS first FROM ht WHERE lower(found_name) <> lower(name) GROUP BY ALL),
+    la AS (SELECT type_id, name, string_agg(struct_extract(first, 2), ',' ORDER BY first) AS aliases FROM al GROUP BY ALL),
+    ss AS (SELECT type_id, name, count(*) AS k, max_by(sample, doc_no) FILTER (sample <> '') AS sample FROM ht GROUP BY ALL)
+    SELECT c.type_id, c.name, coalesce(k, 0) AS document_count, round(coalesce(k, 0) / n, 9) AS presence_rate, sample, coalesce(aliases, '') AS aliases
+    FROM (SELECT DISTINCT type_id, name FROM ca) c LEFT JOIN ss USING (type_id, name) LEFT JOIN la USING (type_id, name) JOIN dc ON dc.type_id = c.type_id""")
 def agg19(t):
-    canonical, found = _found(t)
-    return dr.presence(found, canonical, t.doc_fields).select("type_id", "name", "document_count", F.round("presence_rate", 9).alias("presence_rate"), "sample", F.array_join("aliases", ",").alias("aliases"))
+    return dr.presence(t.doc_names, _canonical(t)).select("type_id", "name", "document_count", F.round("presence_rate", 9).alias("presence_rate"), "sample", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("jn14_match_fields", src=f"SELECT type_id, version, found_name, count(*) AS n FROM doc_fields GROUP BY type_id, version, found_name")
-def jn14(t, src):
-    """Greedy assignment over each version's names; the tests have one fixed case, and there is no SQL for it."""
-    canonical = t.select(_CANON, "doc_fields").withColumn("position", F.row_number().over(W.partitionBy("type_id").orderBy("name")))
-    names = dr.name_pairs(canonical, src, "name", "found_name")
-    pairs = src.select("type_id", "version", "found_name").join(names, ["type_id", "found_name"]).join(canonical, ["type_id", "name"])
-    return dr.match_once(pairs.select("type_id", "version", "name", "position", "found_name", "tier"), ["type_id", "version"], "name", "found_name", "position")
+@query("jn14_match_fields", views="doc_names", sql=f"WITH {_GREEDY_CTE} SELECT type_id, version, doc_no, name, found_name FROM mt")
+def jn14(t):
+    return dr.assigned_names(t.doc_names, _canonical(t))
 
 
 _HINTS = """SELECT DISTINCT type_id, CASE found_name WHEN 'due_date' THEN 'Due Date' WHEN 'vendor' THEN 'vendor' WHEN 'paid' THEN 'shipping' WHEN 'currency' THEN 'curr' ELSE 'amount' END AS label, found_name = 'paid' AS required, CASE WHEN found_name = 'paid' THEN 'date' ELSE '' END AS hint_type
-    FROM doc_fields WHERE found_name IN ('due_date', 'vendor', 'paid', 'currency', 'total_amount') AND type_id % 2 = 0"""
+    FROM doc_fields WHERE found_name IN ('due_date', 'vendor', 'paid', 'currency', 'total_amount')"""
 _POS = "(SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY name) AS position FROM {x})"
 _HINT_CTE = f"""hn AS ({_HINTS}), fl AS (SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY name) AS position FROM {_TOP}), hp AS (SELECT h.type_id, h.label, f.name, f.confidence, f.position, CASE WHEN lower(label) = lower(name) THEN 1 WHEN translate(lower(trim(label)), ' _-', '') = translate(lower(trim(name)), ' _-', '') THEN 2
       WHEN contains(lower(name), lower(label)) OR contains(lower(label), lower(name)) THEN 3 END AS tier FROM hn h JOIN fl f USING (type_id)),
@@ -205,7 +215,7 @@ def top11(t):
     return dr.by_emphasis(dr.field_rows(top.withColumn("required", F.lit(False)), t.select(_OVR, "doc_fields"), stats)).select("type_id", "name", "emphasis")
 
 
-_CUR = "SELECT type_id, name, max_by(type, version) AS type, max_by(confidence, version) AS confidence, CASE WHEN name = 'paid' THEN 'user' ELSE 'llm' END AS provenance, CASE WHEN name IN ('vendor', 'lines') THEN 3 ELSE 0 END AS absence_streak, name IN ('vendor', 'paid') AS required FROM schema_fields WHERE version < 25 GROUP BY type_id, name"
+_CUR = "SELECT type_id, name, max_by(type, version) AS type, max_by(confidence, version) AS confidence, CASE WHEN name = 'paid' THEN 'user' ELSE 'llm' END AS provenance, CASE WHEN name IN ('vendor', 'lines') THEN 3 ELSE 0 END AS absence_streak, name IN ('vendor', 'paid') AS required FROM schema_fields GROUP BY type_id, name"
 
 
 @query("set05_merge_schema", views="doc_fields schema_fields", sql=f"""
@@ -227,15 +237,51 @@ def qry09(t):
     return top.join(t.doc_fields.groupBy("type_id").agg(F.count("*").alias("files_analyzed")), "type_id")
 
 
-@query("qry11_refine_schema", views="schema_fields", sql=f"""
-    WITH {_SCORE_CTE}, ch AS (SELECT type_id, max(version) AS version, count(*) FILTER (ot IS NULL) AS added, count(*) FILTER (nt IS NULL) AS removed FROM (SELECT * FROM sx QUALIFY rank() OVER (PARTITION BY type_id ORDER BY version DESC) = 1) WHERE NOT first GROUP BY 1)
-    SELECT type_id, version, version + 1 AS next_version, added, removed, round(CAST(score AS DOUBLE), 9) AS score, CASE WHEN score < 0.4 THEN 'needs_more_samples' WHEN score < 0.7 THEN 'continue_with_more_samples' WHEN score < 0.9 THEN 'ready_for_review' ELSE 'ready_for_production' END AS advice FROM ch JOIN sc USING (type_id)""")
+# Every document is a version: its names are the proposal, with all hints and exclusions of its type.
+_PROPOSED = "SELECT type_id, doc_no AS version, found_name AS name, type, confidence, row_number() OVER (PARTITION BY type_id, doc_no ORDER BY found_name) AS position FROM doc_names"
+_REFINE_CTE = f"""ex AS ({_EXCL}), hn AS ({_HINTS}), pr AS ({_PROPOSED}), pe AS (SELECT * FROM pr WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.type_id = pr.type_id AND {similar_sql('pr.name', 'ex.excluded')})),
+    vs AS (SELECT type_id, version, row_number() OVER (PARTITION BY type_id ORDER BY version) AS i FROM (SELECT DISTINCT type_id, version FROM pr)),
+    hp AS (SELECT h.type_id, p.version, h.label, p.name, p.type, p.confidence, p.position, CASE WHEN lower(label) = lower(name) THEN 1 WHEN translate(lower(trim(label)), ' _-', '') = translate(lower(trim(name)), ' _-', '') THEN 2
+      WHEN contains(lower(name), lower(label)) OR contains(lower(label), lower(name)) THEN 3 END AS tier FROM hn h JOIN pe p USING (type_id)),
+    hm AS (SELECT type_id, version, label, arg_min(name, (tier, position)) AS mapped, arg_min(type, (tier, position)) AS mtp, arg_min(confidence, (tier, position)) AS mc FROM hp WHERE tier IS NOT NULL GROUP BY ALL),
+    us AS (SELECT vs.type_id, vs.i, hn.label AS name, coalesce(mtp, CASE WHEN hint_type <> '' THEN hint_type ELSE 'string' END) AS type, coalesce(mc, 'low') AS confidence, 'user' AS provenance, mapped IS NOT NULL OR required AS required FROM vs JOIN hn USING (type_id) LEFT JOIN hm ON hm.type_id = vs.type_id AND hm.version = vs.version AND hm.label = hn.label),
+    mo AS (SELECT p.type_id, vs.i, p.name, p.type, p.confidence, 'llm' AS provenance, false AS required FROM pe p JOIN vs USING (type_id, version) WHERE NOT EXISTS (SELECT 1 FROM hn WHERE hn.type_id = p.type_id AND hn.label = p.name) AND NOT EXISTS (SELECT 1 FROM hm WHERE hm.type_id = p.type_id AND hm.version = p.version AND hm.mapped = p.name)),
+    ne AS (SELECT * FROM us UNION ALL SELECT * FROM mo),
+    ag AS (SELECT vs.type_id, vs.i, vs.version, coalesce(list({{'n': name, 't': type, 'c': confidence, 'p': provenance, 'r': required}}) FILTER (name IS NOT NULL), []) AS fs FROM vs LEFT JOIN ne ON ne.type_id = vs.type_id AND ne.i = vs.i GROUP BY ALL)"""
+# One step per version, each made from the state before it.
+_FOLD_CTE = """fo(type_id, i, version, st) AS (
+    SELECT type_id, i, version, list_transform(fs, lambda f: {'n': f.n, 't': f.t, 'c': f.c, 'p': f.p, 'r': f.r, 'k': 0, 'ot': NULL::VARCHAR, 'oc': NULL::VARCHAR, 'od': NULL::BOOLEAN}) FROM ag WHERE i = 1
+    UNION ALL SELECT fo.type_id, ag.i, ag.version, list_concat(
+      list_transform(ag.fs, lambda f: {'n': f.n, 't': f.t, 'c': f.c, 'p': f.p, 'r': f.r, 'k': 0, 'ot': list_filter(fo.st, lambda s: s.n = f.n)[1].t, 'oc': list_filter(fo.st, lambda s: s.n = f.n)[1].c, 'od': list_filter(fo.st, lambda s: s.n = f.n)[1].k > 3}),
+      list_transform(list_filter(fo.st, lambda s: NOT list_contains(list_transform(ag.fs, lambda f: f.n), s.n)), lambda s: {'n': s.n, 't': s.t, 'c': CASE s.c WHEN 'high' THEN 'medium' ELSE 'low' END, 'p': s.p, 'r': s.r, 'k': s.k + 1, 'ot': s.t, 'oc': s.c, 'od': s.k > 3}))
+    FROM fo JOIN ag ON ag.type_id = fo.type_id AND ag.i = fo.i + 1),
+    sr AS (SELECT type_id, i, version, unnest(st) AS s FROM fo), sf AS (SELECT type_id, i, version, s.n AS name, s.t AS type, s.c AS confidence, s.p AS provenance, s.r AS required, s.k AS streak, s.k > 3 AS dep, s.ot AS ot, s.oc AS oc, s.od AS od FROM sr)"""
+
+
+def _refined(t):
+    proposed = t.select(_PROPOSED, "doc_names")
+    return dr.refined_versions(proposed, t.select(_HINTS, "doc_fields"), t.select(_EXCL, "doc_fields"))
+
+
+@query("qry11_refine_schema", views="doc_fields doc_names", sql=f"""
+    WITH RECURSIVE {_REFINE_CTE}, {_FOLD_CTE}, nb AS (SELECT type_id, i, version, count(*) FILTER (NOT dep) AS fields, count(*) FILTER (dep) AS deprecated, count(*) FILTER (NOT dep AND ot IS NULL) AS added, count(*) FILTER (dep AND ot IS NOT NULL) AS removed,
+      count(*) FILTER (NOT dep AND ot <> type) AS modified, count(*) FILTER (NOT dep AND oc <> confidence) AS confidence_changes, count(*) FILTER (ot <> type AND provenance = 'llm' AND streak = 0) AS type_conflicts, count(*) FILTER (NOT dep AND ot IS NOT NULL AND NOT od) AS kept,
+      count(*) FILTER (NOT dep AND confidence IN ('high', 'medium')) AS hi, count(*) FILTER (NOT dep AND ot IS NOT NULL) AS known, count(*) FILTER (NOT dep AND ot = type) AS same FROM sf GROUP BY ALL),
+    me AS (SELECT *, CASE WHEN i > 1 AND fields > 0 THEN kept / fields ELSE 1.0 END AS field_stability, coalesce(hi / nullif(fields, 0), 0.0) AS confidence_trend, CASE WHEN i > 1 AND fields > 0 THEN (fields - kept) / fields ELSE 0.0 END AS new_field_rate, CASE WHEN i > 1 AND known > 0 THEN same / known ELSE 1.0 END AS type_consistency FROM nb),
+    sc AS (SELECT *, CASE WHEN count(*) OVER w >= 2 THEN (avg(field_stability) OVER w + avg(confidence_trend) OVER w + 1 - avg(new_field_rate) OVER w + avg(type_consistency) OVER w) / 4 ELSE 0.25 END AS s FROM me WINDOW w AS (PARTITION BY type_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+    SELECT type_id, version, version + 1 AS next_version, fields, deprecated, added, removed, modified, confidence_changes, type_conflicts, round(CAST(field_stability AS DOUBLE), 9) AS field_stability, round(CAST(confidence_trend AS DOUBLE), 9) AS confidence_trend, round(CAST(new_field_rate AS DOUBLE), 9) AS new_field_rate,
+      round(CAST(type_consistency AS DOUBLE), 9) AS type_consistency, round(CAST(s AS DOUBLE), 9) AS score, CASE WHEN round(s, 9) < 0.4 THEN 'needs_more_samples' WHEN round(s, 9) < 0.7 THEN 'continue_with_more_samples' WHEN round(s, 9) < 0.9 THEN 'ready_for_review' ELSE 'ready_for_production' END AS advice FROM sc""")
 def qry11(t):
-    j = dr.consecutive(t.schema_fields).where(~c("first"))
-    per = j.groupBy("type_id", "version").agg(F.count_if(c("old_type").isNull()).alias("added"), F.count_if(c("new_type").isNull()).alias("removed"))
-    last = per.groupBy("type_id").agg(F.max(F.struct("version", "added", "removed")).alias("_l")).select("type_id", "_l.*")
-    score = dr.convergence(dr.metric_rows(dr.version_metrics(t.schema_fields)))
-    return last.join(score, "type_id").select("type_id", "version", (c("version") + 1).alias("next_version"), "added", "removed", F.round("score", 9).alias("score"), docs.recommendation(c("score")).alias("advice"))
+    steps = dr.refinement(_refined(t))
+    return steps.select(*[F.round(x, 9).alias(x) if dict(steps.dtypes)[x] == "double" else c(x) for x in steps.columns])
+
+
+@query("qry11_refined_fields", views="doc_fields doc_names", sql=f"""
+    WITH RECURSIVE {_REFINE_CTE}, {_FOLD_CTE} SELECT type_id, name, type, confidence, provenance, required, streak::BIGINT AS absence_streak, dep AS deprecated, CASE WHEN dep THEN 2 WHEN provenance = 'user' THEN 0 ELSE 1 END AS place FROM sf QUALIFY i = max(i) OVER (PARTITION BY type_id)""")
+def qry11_fields(t):
+    rows = _refined(t)
+    last = rows.groupBy("type_id").agg(F.max("i").alias("i"))
+    return rows.join(last, ["type_id", "i"]).select("type_id", "name", "type", "confidence", "provenance", "required", "absence_streak", "deprecated", "place")
 
 
 # ---- samples ----

@@ -209,6 +209,15 @@ SELECT user_id % 10 AS type_id, CAST(day(ts) AS INT) AS version, event_id AS doc
 FROM events
 """, "events")
 
+# doc_names: documents of several fields (64 events each), eight to a schema version, with two spellings of one name
+_view("doc_names", """
+SELECT type_id, CAST(floor(doc_no / 64) AS BIGINT) AS doc_no, CAST(floor(doc_no / 512) AS BIGINT) + 1 AS version,
+       CASE WHEN found_name = 'vendor' AND confidence = 'high' THEN 'VENDOR' ELSE found_name END AS found_name,
+       max_by(field_type, doc_no) AS type, max_by(confidence, doc_no) AS confidence,
+       max_by(CASE WHEN sample_no % 5 = 0 THEN ' ' ELSE CAST(sample_no AS STRING) || ' ' END, doc_no) AS sample
+FROM doc_fields GROUP BY 1, 2, 3, 4
+""", "doc_fields")
+
 # schema_fields: the proposed schema of each type and version, one row per field
 _view("schema_fields", """
 SELECT type_id, version, found_name AS name, max_by(field_type, doc_no) AS type,
