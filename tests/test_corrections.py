@@ -85,22 +85,22 @@ def test_streams_over_three_batches(spark, tmp_path):
         part.rename(folder / f"{i}.parquet")
         stream = st.file_stream(spark, str(folder), "*.parquet", spark.createDataFrame([], schema).schema)
         if i == 0:
-            bars = sk.KeyedTable(spark, str(tmp_path / "bars"), ["cik"], 8)
-            coverage = sk.KeyedTable(spark, str(tmp_path / "cov"), ["cik"], 8)
-            first = sk.KeyedTable(spark, str(tmp_path / "first"), ["cik"], 8)
-        st.run_available(stream, st.bars_into(bars, coverage), str(tmp_path / "ck1"))
+            store = sk.TableStore(spark, str(tmp_path / "store"), 300)
+            first = sk.KeyedTable(spark, str(tmp_path / "first"), ["cik"])
+        st.run_available(stream, st.bars_into(store), str(tmp_path / "ck1"))
         st.run_available(stream, st.new_only_into(first, ["cik"], ["fetched_at", "close"]), str(tmp_path / "ck2"))
-    assert {(r.cik, r.trade_date, r.close) for r in bars.read().collect()} == {("1", days[1], 3.0), ("1", days[3], 9.0), ("2", days[0], 1.0), ("3", days[5], 1.0)}
-    assert {(r.cik, r.earliest, r.latest, r.n) for r in coverage.read().collect()} == {("1", days[1], days[3], 2), ("2", days[0], days[0], 1), ("3", days[5], days[5], 1)}
+    assert {(r.cik, r.trade_date, r.close) for r in store.read("bars").collect()} == {("1", days[1], 3.0), ("1", days[3], 9.0), ("2", days[0], 1.0), ("3", days[5], 1.0)}
+    assert {(r.cik, r.earliest, r.latest, r.n) for r in store.read("coverage").collect()} == {("1", days[1], days[3], 2), ("2", days[0], days[0], 1), ("3", days[5], days[5], 1)}
     assert {(r.cik, r.close) for r in first.read().collect()} == {("1", 1.0), ("2", 1.0), ("3", 1.0)}
-    assert len(list((tmp_path / "bars").glob("v*/_bucket=*"))) <= 5
+    live = sum(len(t["buckets"]) for t in store.state()["tables"].values())
+    assert len(list((tmp_path / "store" / "data").glob("*/_bucket=*"))) <= 2 * live
 
 
 def test_call_times_carry_over_batches(spark, tmp_path):
     schema = "project_id long, stage string, outcome string, created_at timestamp"
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     batches = [[(1, "llm_request", "ok", at(5)), (1, "llm_done", "", at(9))], [(1, "llm_request", "ok", at(3))], [(1, "llm_request", "error", at(30)), (1, "llm_request", "ok", at(20)), (2, "llm_call", "", at(1))]]
-    table = sk.KeyedTable(spark, str(tmp_path / "t"), ["project_id"], 4)
+    table = sk.KeyedTable(spark, str(tmp_path / "t"), ["project_id"])
     folder = tmp_path / "in"
     folder.mkdir()
     for i, rows in enumerate(batches):

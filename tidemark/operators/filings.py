@@ -21,25 +21,23 @@ def identity(companies: DataFrame) -> DataFrame:
             .drop("addresses", "formerNames"))
 
 
-def assemble_filings(filing: DataFrame, meta: DataFrame, financials: DataFrame | None = None) -> DataFrame:
-    """One row per folder with a usable filing document; its meta and financials are optional.
+def filing_columns(folders: DataFrame) -> DataFrame:
+    """Filing rows from one row per folder (cik, year, folder) with its decoded documents as structs filing, meta and financials.
 
-    All three inputs are keyed by (cik, year, folder). Year is the folder's, not the filing date's.
+    A folder without a usable filing document (form and date) is dropped; meta and financials are optional. Year is the folder's,
+    not the filing date's.
     """
-    keys = ["cik", "year", "folder"]
-    base = filing.where((F.coalesce("form", F.lit("")) != "") & (F.coalesce("filingDate", F.lit("")) != ""))
-    out = base.join(meta, keys, "left")
-    if financials is not None:
-        out = out.join(financials, keys, "left")
-    return out.select(
-        *keys, F.coalesce(blank_to_null(F.col("accessionNumber")), F.col("folder")).alias("accession"),
-        F.col("filingDate").alias("filing_date"), F.col("reportDate").alias("report_date"), "form",
-        F.coalesce(blank_to_null(F.col("category")), F.lit(fv.UNKNOWN_CATEGORY)).alias("category"),
-        F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("tierLabel", F.lit("")).alias("tier_label"),
-        F.coalesce("summary", F.lit("")).alias("summary"), "tags",
-        F.coalesce(F.col("signals.hasFinancials"), F.lit(False)).alias("has_financials"),
-        F.coalesce(F.col("signals.exhibitCount"), F.lit(0)).alias("exhibit_count"),
-        *(["financials"] if financials is not None else []))
+    f, m = F.col("filing"), F.col("meta")
+    usable = (F.coalesce(f["form"], F.lit("")) != "") & (F.coalesce(f["filingDate"], F.lit("")) != "")
+    return folders.where(usable).select(
+        "cik", "year", "folder", F.coalesce(blank_to_null(f["accessionNumber"]), F.col("folder")).alias("accession"),
+        f["filingDate"].alias("filing_date"), f["reportDate"].alias("report_date"), f["form"].alias("form"),
+        F.coalesce(blank_to_null(m["category"]), F.lit(fv.UNKNOWN_CATEGORY)).alias("category"),
+        F.coalesce(m["tier"], F.lit(0)).alias("tier"), F.coalesce(m["tierLabel"], F.lit("")).alias("tier_label"),
+        F.coalesce(m["summary"], F.lit("")).alias("summary"), m["tags"].alias("tags"),
+        F.coalesce(m["signals"]["hasFinancials"], F.lit(False)).alias("has_financials"),
+        F.coalesce(m["signals"]["exhibitCount"], F.lit(0)).alias("exhibit_count"),
+        F.when(F.col("financials").isNotNull(), F.struct(*[F.col(f"financials.{x}").alias(x) for x in ("period", "statements", "parseNotes")])).alias("financials"))
 
 
 def count_by(filings: DataFrame, dimension: str, *, blank: str | None = None, skip_blank: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import activity as ac, estimates as es, facts as fx, filings as fl
 from tidemark.registry import query
+from tidemark.session import scratch_path
 from tidemark.sources import decoders as dec, markup as mk, readers as rd
 
 c = F.col
@@ -18,20 +19,37 @@ def _json(**fields):
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
-@query("src01_filing_documents", src=_ORD, sql="""
-    SELECT accession, o_orderstatus AS form, d AS filing_date, year, CASE WHEN o_orderkey % 3 = 0 THEN 'governance' ELSE 'unknown' END AS category, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS has_financials,
-      CASE WHEN o_orderkey % 5 = 0 THEN 'FY ' || year END AS period FROM src WHERE o_orderkey % 7 > 0""")
+# One filing folder per company and year: a filing document (some broken), for every third a meta and for every fifth a financials one.
+_FOLDERS = """SELECT lpad(CAST(o_custkey AS STRING), 10, '0') AS cik, CAST(year(o_orderdate) AS INT) AS year, max(o_orderkey) AS k, count(*) AS n, CAST(CAST(max(o_orderdate) AS DATE) AS STRING) AS d
+    FROM orders GROUP BY lpad(CAST(o_custkey AS STRING), 10, '0'), CAST(year(o_orderdate) AS INT)"""
+_TREE_SQL = """SELECT cik, year, 'f-' || k AS accession, CASE WHEN k % 2 = 0 THEN '6-K' ELSE '20-F' END AS form, d AS filing_date, n AS size, CASE WHEN k % 3 = 0 THEN 'governance' ELSE 'unknown' END AS category,
+    k % 3 = 0 AND k % 2 = 0 AS has_financials, CASE WHEN k % 5 = 0 THEN 'FY ' || year END AS period FROM src WHERE k % 7 > 0"""
+
+
+def folder_documents(src):
+    """(cik, year, folder, document, body) of the folders."""
+    filing = F.when(c("k") % 7 == 0, F.lit("{broken")).otherwise(_json(filingDate=c("d"), form=F.when(c("k") % 2 == 0, "6-K").otherwise("20-F"), size=c("n"), isXBRL=F.lit(1)))
+    meta = F.when(c("k") % 3 == 0, _json(category=F.lit("governance"), tier=F.lit(2), signals=F.struct((c("k") % 2 == 0).alias("hasFinancials"))))
+    fin = F.when(c("k") % 5 == 0, _json(version=F.lit(1), period=F.struct(F.concat(F.lit("FY "), c("year")).alias("label"))))
+    docs = F.array(*[F.struct(F.lit(n).alias("document"), b.alias("body")) for n, b in (("filing.json", filing), ("meta.json", meta), ("financials.json", fin))])
+    return src.select("cik", "year", F.concat(F.lit("f-"), c("k")).alias("folder"), F.inline(docs)).where("body IS NOT NULL")
+
+
+@query("src01_filing_documents", src=_FOLDERS, sql=f"SELECT * EXCLUDE (size) FROM ({_TREE_SQL})")
 def src01(t, src):
-    keys = ["cik", "year", "folder"]
-    base = src.withColumn("folder", c("accession"))
-    filing_doc = F.when(c("o_orderkey") % 7 == 0, F.lit("{broken")).otherwise(_json(filingDate=c("d"), form=c("o_orderstatus"), size=F.lit(5), isXBRL=F.lit(1)))
-    filing = base.select(*keys, F.from_json(filing_doc, rd.FILING).alias("x")).select(*keys, "x.*")
-    meta_doc = _json(category=F.lit("governance"), tier=F.lit(2), signals=F.struct((c("o_orderkey") % 2 == 0).alias("hasFinancials")))
-    meta = (base.where("o_orderkey % 3 = 0").select(*keys, F.from_json(meta_doc, rd.META).alias("x"))
-            .select(*keys, "x.category", "x.tier", "x.tierLabel", "x.summary", "x.tags", "x.signals"))
-    fin_doc = _json(version=F.lit(1), period=F.struct(F.concat(F.lit("FY "), c("year")).alias("label")))
-    fin = base.where("o_orderkey % 5 = 0").select(*keys, F.from_json(fin_doc, rd.FINANCIALS).alias("financials"))
-    return fl.assemble_filings(filing, meta, fin).select("accession", "form", "filing_date", "year", "category", "has_financials", c("financials.period.label").alias("period"))
+    docs = folder_documents(src).withColumn("modified", F.lit(0).cast("timestamp"))
+    return rd.assemble_documents(docs).select("cik", "year", "accession", "form", "filing_date", "category", "has_financials", c("financials.period.label").alias("period"))
+
+
+# The same documents of one year per company as files, written to the shared folder and read back.
+_TREE_FOLDERS = _FOLDERS.replace("CAST(year(o_orderdate) AS INT)", "1990 + CAST(o_custkey % 10 AS INT)")
+
+
+@query("src01_filing_tree", src=_TREE_FOLDERS, sql=f"SELECT * EXCLUDE (size) FROM ({_TREE_SQL})")
+def src01_tree(t, src):
+    root = scratch_path(t.spark, "tree")
+    rd.write_tree(folder_documents(src), root)
+    return rd.read_filings(t.spark, root).select("cik", "year", "accession", "form", "filing_date", "category", "has_financials", c("financials.period.label").alias("period"))
 
 
 @query("src02_company_index", src="SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'notes' ELSE lpad(CAST(c_custkey AS STRING), 10, '0') END AS folder, c_name, c_mktsegment FROM customer",
