@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.operators import estimates as es
 from tidemark.plans.scalars import scl43  # noqa: F401  (the normalising query lives with the scalars)
 from tidemark.registry import query
+from tidemark.session import scratch_path
 
 c = F.col
 _ROW_SRC = """SELECT event_id, lpad(CAST(user_id AS STRING), 10, '0') AS cik, CASE event_id % 4 WHEN 0 THEN '' ELSE '2024-03-31' END AS period_end, CASE event_id % 5 WHEN 0 THEN ' ' ELSE 'P3M' END AS duration,
@@ -87,19 +89,54 @@ def snk03(t, src):
     return es.upsert_estimates(current, src.where("fetched_at % 3 = 0")).select("cik", "fiscal_period", "consensus_date", "eps_estimate", "currency", "created_at")
 
 
-@query("qry08_collect_estimates", views="companies", src="""SELECT event_id, lpad(CAST(user_id AS STRING), 10, '0') AS cik, value AS eps_actual, CAST(1 + event_id % 5 AS INT) AS quarter, CAST(CAST(ts AS DATE) AS STRING) AS period FROM events WHERE event_type = 'purchase'""", sql="""
-    WITH j AS (SELECT s.*, c.fye, CASE WHEN quarter = 5 THEN 'FY' ELSE 'Q' || quarter END AS fp FROM src s JOIN companies c USING (cik)),
+# Three runs: even events, where some companies fail; twelve hours later only those are due; a day later all, with the odd events.
+_RUN_SRC = """SELECT event_id, user_id, lpad(CAST(user_id AS STRING), 10, '0') AS cik, value AS eps_actual, CAST(event_id % 5 AS INT) AS quarter, CASE WHEN event_id % 9 = 0 THEN 'soon' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS period FROM events"""
+_RUN_AT = ["2024-02-01 00:00:00", "2024-02-01 12:00:00", "2024-02-02 13:00:00"]
+_WINDOW = ("2014-01-01", "2024-12-31")
+_RUN_CTE = """j AS (SELECT s.*, c.fye, c.cik_no, CASE WHEN quarter = 0 THEN 'FY' ELSE 'Q' || quarter END AS fp FROM src s JOIN companies c USING (cik)),
     d AS (SELECT *, CASE WHEN fye <> '' THEN make_date(2024, CAST(substr(fye, 1, 2) AS INT), 1) - CASE fp WHEN 'Q3' THEN 3 WHEN 'Q2' THEN 6 WHEN 'Q1' THEN 9 ELSE 0 END * INTERVAL 1 MONTH + CAST(CAST(substr(fye, 3, 2) AS INT) - 1 AS INT) * INTERVAL 1 DAY END AS dd FROM j),
-    n AS (SELECT *, coalesce(strftime(dd, '%Y-%m-%d'), period) AS period_end, CASE WHEN fp = 'FY' THEN 'P1Y' ELSE 'P3M' END AS duration FROM d)
-    SELECT cik, fp AS fiscal_period, period AS consensus_date, duration, arg_max(period_end, event_id) AS period_end, arg_max(eps_actual, event_id) AS eps_actual FROM n GROUP BY cik, fp, period, duration""")
-def qry08(t, src):
-    from tidemark.operators.prices import upsert
+    n AS (SELECT *, coalesce(strftime(dd, '%Y-%m-%d'), CASE WHEN period = 'soon' THEN '' ELSE period END) AS period_end, CASE WHEN fp = 'FY' THEN 'P1Y' ELSE 'P3M' END AS duration, CASE WHEN period = 'soon' THEN '2024-12-31' ELSE period END AS consensus_date FROM d),
+    own AS (SELECT cik, period_end, duration, arg_min(eps_actual, event_id) AS own_eps FROM n WHERE period_end <> '' GROUP BY ALL),
+    r AS (SELECT n.*, run FROM n, (VALUES (1), (2), (3)) v(run) WHERE cik_no % 7 > 0 AND CASE run WHEN 1 THEN event_id % 2 = 0 AND cik_no % 11 > 0 WHEN 2 THEN cik_no % 11 = 0 ELSE event_id % 2 = 1 END),
+    st AS (SELECT c.cik, c.cik_no, v.run, CASE WHEN c.cik_no % 7 > 0 AND c.cik_no % 11 = 0 AND v.run = 1 AND count(s.event_id) > 0 THEN 'error' WHEN count(r.event_id) = 0 THEN 'no_data' WHEN count(r.event_id) FILTER (r.period_end = '') > 0 THEN 'partial' ELSE 'ok' END AS status,
+        count(r.event_id) FILTER (r.period_end = '') AS dropped FROM companies c CROSS JOIN (VALUES (1), (2), (3)) v(run) LEFT JOIN r ON r.cik = c.cik AND r.run = v.run LEFT JOIN (SELECT cik, min(event_id) AS event_id FROM src WHERE event_id % 2 = 0 GROUP BY cik) s ON s.cik = c.cik GROUP BY c.cik, c.cik_no, v.run)"""
+
+
+def _collected(t, src):
+    """The store after the three runs."""
+    from tidemark.sources.collect import collect_run
     from tidemark.sources.decoders import earnings_rows
-    docs = src.select("cik", "event_id", F.to_json(F.array(F.struct(
-        c("eps_actual").alias("actual"), c("eps_actual").alias("estimate"), c("period").alias("period"), F.lit(2024).alias("year"),
-        F.when(c("quarter") == 5, 0).otherwise(c("quarter")).alias("quarter")))).alias("doc"))
-    rows = earnings_rows(docs, "doc").join(t.companies.select("cik", "fye"), "cik")
-    good = es.with_period(es.normalize_estimates(rows))
-    keys = ["cik", "fiscal_period", "consensus_date", "duration"]
-    new = good.select(*keys, "period_end", "eps_actual", "event_id")
-    return upsert(new.where("false"), new, keys, ["event_id"]).drop("event_id")
+    from tidemark.sources.sinks import TableStore
+    companies = t.companies.select("cik", "cik_no", "fye")
+    row = F.struct(c("eps_actual").alias("actual"), c("eps_actual").alias("estimate"), "period", F.lit(2024).alias("year"), "quarter")
+    docs = src.join(companies, "cik").select("cik", "cik_no", "fye", "event_id", c("event_id").alias("position"), F.when(c("cik_no") % 7 == 0, F.lit("[]")).otherwise(F.to_json(F.array(row))).alias("doc"), F.lit(None).cast("string").alias("error"))
+    known = es.with_period(es.normalize_estimates(earnings_rows(docs.drop("error"), "doc")))
+    own = known.groupBy("cik", "period_end", "duration").agg(F.min_by("eps_actual", "event_id").alias("own_eps"))
+    snaps = companies.select("cik", F.to_json(F.struct((c("cik_no") * 1.0).alias("targetMean"))).alias("targets_doc"), F.to_json(F.array(F.struct(F.lit(1).alias("buy"), F.lit(2).alias("sell")))).alias("ratings_doc"))
+    store = TableStore(t.spark, scratch_path(t.spark, "estimates"))
+    failing = docs.where("event_id % 2 = 0").withColumn("error", F.when((c("cik_no") % 11 == 0) & (c("cik_no") % 7 > 0), F.lit("http 500")))
+    for at, answers in zip(_RUN_AT, (failing, docs, docs.where("event_id % 2 = 1"))):
+        collect_run(store, companies.select("cik", "fye"), answers.select("cik", "position", "doc", "error"), snaps, own, F.lit(at).cast("timestamp"), "vendor", _WINDOW)
+    return store
+
+
+@query("qry08_collect_estimates", views="companies", src=_RUN_SRC, sql=f"""
+    WITH {_RUN_CTE} SELECT r.cik, '2024' AS fiscal_year, fp AS fiscal_period, r.duration, consensus_date, arg_max(r.period_end, (run, event_id)) AS period_end, arg_max(eps_actual, (run, event_id)) AS eps_actual,
+      arg_max(CASE WHEN own_eps IS NULL THEN 'unknown' WHEN CASE WHEN abs(own_eps) < 1e-9 THEN abs(eps_actual - own_eps) < 1e-9 ELSE abs(eps_actual - own_eps) / abs(own_eps) <= {fv.BASIS_TOLERANCE} END THEN 'reported' ELSE 'street' END, (run, event_id)) AS basis, min(run)::INTEGER AS created_run FROM r LEFT JOIN own ON own.cik = r.cik AND own.period_end = r.period_end AND own.duration = r.duration WHERE r.period_end <> '' GROUP BY ALL""")
+def qry08(t, src):
+    created = F.array_position(F.array(*map(F.lit, _RUN_AT)), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).cast("int")
+    return _collected(t, src).read("estimates").select("cik", "fiscal_year", "fiscal_period", "duration", "consensus_date", "period_end", "eps_actual", "basis", created.alias("created_run"))
+
+
+@query("qry08_collection_state", views="companies", src=_RUN_SRC, sql=f"""
+    WITH {_RUN_CTE}, seen AS (SELECT cik, max(run) AS last_run, max(run) FILTER (status <> 'error') AS ok_run, arg_max(status, run) AS status, arg_max(dropped, run) AS dropped FROM st WHERE run <> 2 OR cik IN (SELECT cik FROM st WHERE run = 1 AND status = 'error') GROUP BY cik)
+    SELECT cik, status, CASE status WHEN 'no_data' THEN 'no data' WHEN 'partial' THEN 'dropped ' || dropped || ' rows with underivable period_end' ELSE '' END AS note, list_extract(['{_RUN_AT[0]}', '{_RUN_AT[1]}', '{_RUN_AT[2]}'], last_run) AS last_attempt_at, list_extract(['{_RUN_AT[0]}', '{_RUN_AT[1]}', '{_RUN_AT[2]}'], ok_run) AS last_success_at FROM seen""")
+def qry08_state(t, src):
+    at = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return _collected(t, src).read("coverage").select("cik", "status", "note", at("last_attempt_at"), at("last_success_at"))
+
+
+@query("qry08_snapshots", views="companies", src=_RUN_SRC, sql=f"""
+    WITH {_RUN_CTE} SELECT DISTINCT cik, CASE WHEN run = 3 THEN '2024-02-02' ELSE '2024-02-01' END AS as_of, cik_no * 1.0::DOUBLE AS pt_mean, 1 AS buy, 2 AS sell FROM st WHERE status IN ('ok', 'partial') AND (run <> 2 OR cik IN (SELECT cik FROM st WHERE run = 1 AND status = 'error'))""")
+def qry08_snapshots(t, src):
+    return _collected(t, src).read("snapshots").select("cik", "as_of", "pt_mean", "buy", "sell")

@@ -418,20 +418,51 @@ def win13(t):
 
 # ---- disputed figures ----
 
-_CONV_SRC = r"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'total_revenues' WHEN 1 THEN 'net_income' WHEN 2 THEN 'eps_basic' ELSE 'cash_and_equivalents' END AS metric,
-    text || ' Total revenues were $' || CAST(conv_id + 1 AS STRING) || '.5 million in the year. Table 1 22 333 net income $5 million! Net income of $2 billion? ' || text || ' We earned $0.10 per share. Our cash position is $7 million.' AS text FROM conversations"""
-
-
-@query("flt14_evidence", src=_CONV_SRC, sql=r"""
-    WITH s AS (SELECT conv_id, turn, metric, unnest(regexp_split_to_array(text, '(?:[.!?])\s+')) AS raw, generate_subscripts(regexp_split_to_array(text, '(?:[.!?])\s+'), 1) - 1 AS position FROM src),
-    k AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence FROM s),
-    q AS (SELECT *, CASE metric WHEN 'total_revenues' THEN contains(lower(sentence), 'revenue') WHEN 'net_income' THEN contains(lower(sentence), 'net income') OR contains(lower(sentence), 'net loss') OR contains(lower(sentence), 'net earnings')
-        WHEN 'eps_basic' THEN contains(lower(sentence), 'per share') ELSE contains(lower(sentence), 'cash and cash equivalents') OR contains(lower(sentence), 'cash position') END AS hit FROM k
-      WHERE sentence <> '' AND regexp_matches(sentence, '(?i)\$\s?[\d.,]+\s*(million|billion)|per share') AND NOT regexp_matches(sentence, '\d[\d,.]*\s+\d[\d,.]*\s+\d[\d,.]*'))
-    SELECT conv_id, turn, metric, CAST(position AS INTEGER) AS position, sentence, CAST(chars AS BIGINT) AS chars FROM (SELECT *, sum(strlen(sentence)) OVER (PARTITION BY conv_id, turn, metric ORDER BY position) AS chars FROM q WHERE hit) WHERE chars <= 4000""")
+# The files of a filing are the turns of a conversation; two of four names are press exhibits.
+_EXHIBIT_SRC = r"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a-ex99-' || CAST(turn AS STRING) || '.htm' WHEN 1 THEN 'EX99_' || CAST(turn AS STRING) || '.htm' WHEN 2 THEN 'ex99.html' ELSE 'main.htm' END AS file_name,
+    '<html><style>p net income $1 million. </style><p>' || text || ' Total <b>revenues</b> were &#36;' || CAST(conv_id % 90 + 1 AS STRING) || '.5 million in the year. Table 1 22 333 net income $5 million! Net&amp;#32;income of $2 billion' || CASE WHEN turn % 3 = 0 THEN ' and more' ELSE '' END
+      || '? ' || repeat('Our cash position is $7 million and will be so for a long time to come. ', CAST(conv_id % 40 AS INT)) || '</p>' || CASE WHEN conv_id % 3 = 0 THEN 'We earned $0.10 per share.' ELSE '' END AS html FROM conversations"""
+_METRIC_VALUES = "(VALUES ('total_revenues'), ('net_income'), ('eps_basic'), ('cash_and_equivalents')) k(metric)"
+_PLAIN = "replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?is)<[^>]+>', '', 'g'), '&#36;', '$'), '&amp;', '&'), '\\s+', ' ', 'g'), '&#32;', ' ')"
+_EVIDENCE_CTE = rf"""fx AS (SELECT *, CASE WHEN regexp_matches(file_name, 'ex99.*\.htm$') THEN 0 WHEN regexp_matches(file_name, 'EX99.*\.htm$') THEN 1 END AS grp FROM src),
+    tx AS (SELECT conv_id, grp, file_name, trim({_PLAIN}) AS text FROM fx WHERE grp IS NOT NULL),
+    se AS (SELECT conv_id, grp, file_name, unnest(regexp_split_to_array(text, '(?:[.!?])\s+')) AS raw, generate_subscripts(regexp_split_to_array(text, '(?:[.!?])\s+'), 1) AS position FROM tx),
+    kp AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence FROM se),
+    hi AS (SELECT conv_id, metric, grp, file_name, position, sentence FROM kp, {_METRIC_VALUES} WHERE sentence <> '' AND regexp_matches(sentence, '(?i)\$\s?[\d.,]+\s*(million|billion)|per share') AND NOT regexp_matches(sentence, '\d[\d,.]*\s+\d[\d,.]*\s+\d[\d,.]*')
+      AND CASE metric WHEN 'total_revenues' THEN contains(lower(sentence), 'revenue') WHEN 'net_income' THEN contains(lower(sentence), 'net income') OR contains(lower(sentence), 'net loss') OR contains(lower(sentence), 'net earnings')
+        WHEN 'eps_basic' THEN contains(lower(sentence), 'per share') ELSE contains(lower(sentence), 'cash and cash equivalents') OR contains(lower(sentence), 'cash position') END),
+    bu AS (SELECT *, sum(strlen(sentence)) OVER (PARTITION BY conv_id, metric ORDER BY grp, file_name, position) AS chars FROM hi),
+    ev AS (SELECT conv_id, metric, string_agg(sentence || '.', ' ' ORDER BY grp, file_name, position) AS evidence, count(*) AS sentences, max(chars) AS chars FROM bu WHERE chars <= 4000 GROUP BY ALL)"""
+
+
+def _metrics(df):
+    return df.select("conv_id").distinct().select("conv_id", F.explode(F.array(*map(F.lit, ("total_revenues", "net_income", "eps_basic", "cash_and_equivalents")))).alias("metric"))
+
+
+@query("flt14_evidence", src=_EXHIBIT_SRC, sql=f"WITH {_EVIDENCE_CTE} SELECT conv_id, metric, evidence, CAST(sentences AS INTEGER) AS sentences, CAST(chars AS BIGINT) AS chars FROM ev")
 def flt14(t, src):
-    from tidemark.operators.evidence import evidence_sentences
-    return evidence_sentences(src, ["conv_id", "turn"], "text", "metric").select("conv_id", "turn", "metric", "position", "sentence", c("chars").cast("bigint").alias("chars"))
+    from tidemark.operators.evidence import gather_evidence
+    return gather_evidence(src, _metrics(src), ["conv_id"]).select("conv_id", "metric", "evidence", "sentences", c("chars").cast("bigint").alias("chars"))
+
+
+@query("dq14_apply_answers", src=_EXHIBIT_SRC, sql=f"""
+    WITH {_EVIDENCE_CTE}, ln AS (SELECT DISTINCT conv_id, metric, (conv_id % 90 + 1) * 500.0::DOUBLE AS value, CASE WHEN conv_id % 5 = 0 THEN 'verified' ELSE 'suspect' END AS confidence, CASE WHEN metric = 'eps_basic' THEN 'USD/share' ELSE 'USD' END AS unit FROM src, {_METRIC_VALUES}),
+    an AS (SELECT ln.*, evidence, confidence = 'suspect' AND unit = 'USD' AS asked, conv_id % 7 AS k FROM ln LEFT JOIN ev USING (conv_id, metric)),
+    vd AS (SELECT *, CASE WHEN NOT asked THEN NULL WHEN evidence IS NULL THEN 'no_evidence' WHEN k = 0 THEN NULL WHEN k = 1 THEN 'failed' WHEN k = 2 THEN 'declined' WHEN k = 3 THEN 'value_mismatch' WHEN NOT contains(evidence, CASE WHEN k = 4 THEN 'invented' ELSE 'million' END) THEN 'quote_not_found' WHEN k = 5 THEN 'low_confidence' END AS problem FROM an),
+    dn AS (SELECT *, coalesce(asked AND problem IS NULL AND k = 6, false) AS good FROM vd)
+    SELECT conv_id, metric, CASE WHEN good THEN value * 1000 ELSE value END AS value, CASE WHEN good THEN 'verified' ELSE confidence END AS confidence, problem,
+      CASE WHEN good THEN 'adjudicated: million|model: m' WHEN problem = 'no_evidence' THEN 'adjudication skipped: no unit-explicit evidence' WHEN problem = 'failed' THEN 'adjudication failed: timeout' WHEN problem IS NOT NULL THEN 'adjudication declined; metric withheld' ELSE '' END AS notes FROM dn""")
+def dq14_apply(t, src):
+    from tidemark.operators.evidence import apply_answers
+    k = c("conv_id") % 7
+    per_share = c("metric") == "eps_basic"
+    base = _metrics(src).withColumn("accession", c("conv_id").cast("string"))
+    lines = base.select("accession", "conv_id", c("metric").alias("key"), ((c("conv_id") % 90 + 1) * F.lit(500.0)).alias("value"), F.when(per_share, fv.USD_PER_SHARE).otherwise(fv.USD).alias("metric_unit"),
+                        F.when(c("conv_id") % 5 == 0, fv.VERIFIED).otherwise(fv.SUSPECT).alias("confidence"), F.lit("tagged").alias("source"), F.lit(None).cast("array<string>").alias("notes"))
+    answers = lines.where(k > 0).select("accession", "key", F.when(k == 2, "None").otherwise("B").alias("choice"), F.when(k == 3, 1.0).otherwise(c("value") * 1000).alias("answer_value"), F.when(k == 4, "invented").otherwise("million").alias("quote"),
+                                        F.when(k == 5, "LOW").otherwise("high").alias("answer_confidence"), F.lit("m").alias("model"), F.when(k == 1, "timeout").alias("error"))
+    done = apply_answers(lines, src.withColumn("accession", c("conv_id").cast("string")), answers)
+    return done.select("conv_id", c("key").alias("metric"), "value", "confidence", "problem", F.array_join("notes", "|").alias("notes"))
 
 
 _ANSWER_SRC = """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS value, CASE l_partkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'C' WHEN 2 THEN 'B' ELSE 'A' END AS choice,
