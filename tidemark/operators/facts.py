@@ -336,12 +336,8 @@ def mark_chain(lines: DataFrame) -> DataFrame:
     return mark(lines, chain_breaks(lines), ["total_revenues"], fv.DETECTOR_D)
 
 
-def segments(tagged: DataFrame, chosen: DataFrame, totals: DataFrame) -> DataFrame:
-    """Revenue by member of the one axis that adds up closest to the total.
-
-    Facts with exactly one dimension over the filing's own span, in dollars, of the best alias that has any.
-    """
-    from tidemark.functions.text import member_name
+def segment_facts(tagged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Revenue by axis and member: facts with exactly one dimension over the filing's own span, in dollars, of the best alias that has any."""
     aliases = metric_aliases(tagged.sparkSession).where(c("key") == "total_revenues").select("element", "alias_rank")
     rows = (tagged.where("n_dims = 1 AND kind = 'usd'").join(F.broadcast(aliases), "element")
             .join(chosen.select("accession", "span_start", "span_end"), "accession")
@@ -349,7 +345,13 @@ def segments(tagged: DataFrame, chosen: DataFrame, totals: DataFrame) -> DataFra
             .groupBy("accession", "alias_rank", "axis", "member")
             .agg(F.min_by("value", F.struct("fact_no", "value")).alias("value")))
     best = rows.groupBy("accession").agg(F.min("alias_rank").alias("alias_rank"))
-    rows = rows.join(best, ["accession", "alias_rank"])
+    return rows.join(best, ["accession", "alias_rank"])
+
+
+def segments(tagged: DataFrame, chosen: DataFrame, totals: DataFrame) -> DataFrame:
+    """Revenue by member of the one axis that adds up closest to the total."""
+    from tidemark.functions.text import member_name
+    rows = segment_facts(tagged, chosen)
     t = totals.select("accession", c("value").alias("total"))
     per_axis = rows.groupBy("accession", "axis").agg(F.sum("value").alias("axis_sum"), F.count("*").alias("n_members"))
     pick = (per_axis.join(t, "accession", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))

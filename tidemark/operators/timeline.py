@@ -8,6 +8,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions import amounts as am, periods as pd_, text as tx
 from tidemark.functions.classify import is_event, metric_table, weight_of, why_it_matters
 from tidemark.operators.joins import asof_join
+from tidemark.session import written
 
 c = F.col
 
@@ -213,7 +214,7 @@ def clusters(events: DataFrame, bars: DataFrame) -> DataFrame:
     """
     metrics = FLOW_METRICS + STOCK_METRICS
     reports = report_events(events)
-    snapped = snap_forward(reports, bars)
+    snapped = written(snap_forward(reports, bars), "snapped")
     order = F.struct("filing_date", "accession")
     values = F.struct("accession", *metrics)
     quarterly = snapped.where(~c("annual"))

@@ -190,9 +190,9 @@ _CONF = "SELECT DISTINCT type_id, CASE WHEN type_id % 4 = 0 THEN 'built' ELSE 'd
 
 @query("jn16_build_views", views="doc_fields schema_fields", sql=f"""
     SELECT t.type_id, s.version, s.fields, c.build_status, coalesce(n.k, 0) AS sample_count FROM (SELECT DISTINCT type_id FROM doc_fields) t JOIN (SELECT type_id, version, count(*) AS fields FROM {_TOP} GROUP BY ALL) s USING (type_id)
-    LEFT JOIN ({_CONF}) c USING (type_id) LEFT JOIN (SELECT type_id, count(*) AS k FROM doc_fields WHERE sample_no > 50 GROUP BY 1) n USING (type_id)""")
+    LEFT JOIN ({_CONF}) c USING (type_id) LEFT JOIN (SELECT type_id, count(*) AS k FROM doc_fields GROUP BY 1) n USING (type_id)""")
 def jn16(t):
-    return dr.build_views(t.doc_fields.select("type_id").distinct(), t.schema_fields, t.select(_CONF, "doc_fields"), t.doc_fields.where("sample_no > 50")).select(
+    return dr.build_views(t.doc_fields.select("type_id").distinct(), t.schema_fields, t.select(_CONF, "doc_fields"), t.doc_fields).select(
         "type_id", "version", "fields", "build_status", "sample_count")
 
 

@@ -144,7 +144,7 @@ def dq11(t):
 # ---- gaps: which filings have local figures, which can be filled ----
 
 _GAP_CTES = """local AS (SELECT l_orderkey AS filing_no, bool_or(l_returnflag <> 'R') AND NOT bool_or(l_linestatus = 'O' AND l_linenumber = 7) AS ok FROM lineitem WHERE l_linenumber >= 4 GROUP BY 1),
-  bundle AS (SELECT DISTINCT l_orderkey AS filing_no FROM lineitem WHERE l_linenumber = 1),
+  bundle AS (SELECT DISTINCT l_orderkey AS filing_no FROM lineitem WHERE l_linenumber < 4),
   gaps AS (SELECT f.accession, f.filing_no, f.cik, CASE WHEN coalesce(l.ok, false) THEN 'has_local' WHEN b.filing_no IS NOT NULL THEN 'fillable' ELSE 'no_xbrl' END AS kind
     FROM filings f LEFT JOIN local l USING (filing_no) LEFT JOIN bundle b USING (filing_no) WHERE f.category IN ('quarterly_results', 'annual_report'))"""
 
@@ -154,7 +154,7 @@ def _gaps(t):
         c("l_orderkey").cast("string").alias("accession"), F.lit("income").alias("statement"),
         F.when(c("l_returnflag") != "R", F.lit(fv.FROM_BOTH)).otherwise(F.lit(fv.FROM_COMPANY_FACTS)).alias("source"),
         F.when((c("l_linestatus") == "O") & (c("l_linenumber") == 7), F.lit(fv.SUSPECT)).otherwise(F.lit(fv.VERIFIED)).alias("confidence"))
-    bundle = t.lineitem.where("l_linenumber = 1").select(c("l_orderkey").cast("string").alias("accession"))
+    bundle = t.lineitem.where("l_linenumber < 4").select(c("l_orderkey").cast("string").alias("accession"))
     return fx.classify_gaps(t.filings, local, bundle)
 
 
@@ -293,10 +293,7 @@ def flt07(t):
 def flt20(t):
     facts, contexts, units, dei, *_ = _tagged(t)
     tagged, chosen = fx.star(facts, contexts, units), fx.own_contexts(contexts, dei)
-    # every axis is kept here: the choice among axes is agg13
-    rows = tagged.where("n_dims = 1 AND kind = 'usd' AND element = 'ifrs-full:Revenue'").join(chosen.select("accession", "span_start", "span_end"), "accession")
-    return (rows.where((c("start_date") == c("span_start")) & (c("end_date") == c("span_end"))).groupBy("accession", "axis", "member")
-            .agg(F.min_by("value", "fact_no").alias("value")))
+    return fx.segment_facts(tagged, chosen).select("accession", "axis", "member", "value")  # of all axes: the choice among them is agg13
 
 
 @query("jn05_fact_star", views="tagged_lines", sql=f"WITH {_T_CTE} SELECT accession, element, context_id, start_date::VARCHAR AS start_date, CASE WHEN unit_id = 'usd' THEN 'usd' ELSE 'usd_per_share' END AS kind, count(*) AS n, min(value) AS lowest FROM tl GROUP BY ALL")

@@ -62,9 +62,9 @@ def cov03(t, src):
 
 
 @query("cov04_step_outcome", src=_COV_SRC, views="bars", sql="""
-    SELECT s.cik, CASE WHEN status = 'ok' THEN 'ok' WHEN status = 'no_symbol' THEN 'skipped' ELSE 'error' END AS result, coalesce(n, 0) AS bars FROM src s LEFT JOIN (SELECT cik, count(*) AS n FROM bars WHERE volume IS NOT NULL GROUP BY cik) b USING (cik)""")
+    SELECT s.cik, CASE WHEN status = 'ok' THEN 'ok' WHEN status = 'no_symbol' THEN 'skipped' ELSE 'error' END AS result, coalesce(n, 0) AS bars FROM src s LEFT JOIN (SELECT cik, count(*) AS n FROM bars GROUP BY cik) b USING (cik)""")
 def cov04(t, src):
-    return pr.step_outcome(src, t.bars.where("volume IS NOT NULL"))
+    return pr.step_outcome(src, t.bars)
 
 
 @query("cov06_need_flags", views="filings", sql=f"""
@@ -95,9 +95,9 @@ def top10(t):
 
 @query("set02_fallback_source", views="bars", sql="""
     WITH p AS (SELECT cik, trade_date, close FROM bars WHERE (day(trade_date) // 10) % 2 = 0), s AS (SELECT DISTINCT cik, trade_date FROM p) SELECT cik, trade_date::VARCHAR AS trade_date, close, 'primary' AS source FROM p
-    UNION ALL SELECT cik, trade_date::VARCHAR, close * 2, 'fallback' FROM bars b WHERE day(trade_date) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.cik = b.cik AND s.trade_date = b.trade_date)""")
+    UNION ALL SELECT cik, trade_date::VARCHAR, close * 2, 'fallback' FROM bars b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.cik = b.cik AND s.trade_date = b.trade_date)""")
 def set02(t):
     tens = F.floor(F.dayofmonth("trade_date") / 10)
     primary = t.bars.where(tens % 2 == 0).select("cik", "trade_date", "close")
-    fallback = t.bars.where("day(trade_date) % 3 = 0").select("cik", "trade_date", (c("close") * 2).alias("close"))
+    fallback = t.bars.select("cik", "trade_date", (c("close") * 2).alias("close"))
     return pr.with_fallback(primary, fallback, ["cik", "trade_date"]).withColumn("trade_date", c("trade_date").cast("string"))

@@ -48,12 +48,14 @@ def snk04(t, src):
 
 
 @query("snk05_coverage_upsert", src=_COV_SRC, views="bars", sql="""
-    WITH a AS (SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS cik, arg_max(CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'partial' WHEN 'signup' THEN 'no_data' ELSE 'error' END, (ts, event_id)) AS st, max(ts) AS at, max(ts) FILTER (event_type IN ('view', 'click', 'signup')) AS ok FROM events WHERE event_id % 5 = 0 GROUP BY 1),
+    WITH a AS (SELECT lpad(CAST(CASE WHEN user_id % 5 = 0 THEN user_id + 500000 ELSE user_id END AS VARCHAR), 10, '0') AS cik, arg_max(CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'partial' WHEN 'signup' THEN 'no_data' ELSE 'error' END, (ts, event_id)) AS st, max(ts) AS at, max(ts) FILTER (event_type IN ('view', 'click', 'signup')) AS ok FROM events GROUP BY 1),
     b AS (SELECT cik, min(trade_date) AS e, max(trade_date) AS l FROM bars GROUP BY cik)
-    SELECT s.cik, b.e::VARCHAR AS earliest, b.l::VARCHAR AS latest, coalesce(a.st, s.status) AS status, epoch_us(coalesce(a.at, s.last_attempt_at)) AS attempt_us, epoch_us(coalesce(a.ok, s.last_success_at)) AS success_us FROM src s LEFT JOIN a USING (cik) LEFT JOIN b USING (cik)""")
+    SELECT coalesce(s.cik, a.cik) AS cik, b.e::VARCHAR AS earliest, b.l::VARCHAR AS latest, coalesce(a.st, s.status) AS status, epoch_us(coalesce(a.at, s.last_attempt_at)) AS attempt_us, epoch_us(coalesce(a.ok, s.last_success_at)) AS success_us FROM src s FULL JOIN a ON a.cik = s.cik LEFT JOIN b ON b.cik = coalesce(s.cik, a.cik)""")
 def snk05(t, src):
     new = F.when(c("event_type") == "view", F.lit("ok")).when(c("event_type") == "click", F.lit("partial")).when(c("event_type") == "signup", F.lit("no_data")).otherwise(F.lit("error"))
-    attempts = t.events.where("event_id % 5 = 0").select(F.lpad(c("user_id").cast("string"), 10, "0").alias("cik"), new.alias("new_status"), F.lit("").alias("note"),
+    # attempts at every fifth company count for one that has no coverage row yet, so that its own keeps its old state
+    company = F.when(c("user_id") % 5 == 0, c("user_id") + 500000).otherwise(c("user_id"))
+    attempts = t.events.select(F.lpad(company.cast("string"), 10, "0").alias("cik"), new.alias("new_status"), F.lit("").alias("note"),
                                                          c("ts").cast("timestamp").alias("attempted_at"), c("event_id").alias("attempt_no"))
     out = pr.refresh_coverage(_ts(src).withColumn("note", F.lit("")), t.bars, attempts)
     return out.select("cik", c("earliest").cast("string").alias("earliest"), c("latest").cast("string").alias("latest"), "status",
@@ -84,7 +86,8 @@ def snk09(t):
             .unionByName(ac.without_projects(t.log_events, doomed).select(F.lit("event").alias("part"), c("event_id").alias("id"))))
 
 
-_UPD_SRC = "SELECT user_id AS project_id, event_id, ts AS updated_at, CASE event_type WHEN 'view' THEN 'converting' WHEN 'click' THEN 'llm_done' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'uploaded' END AS new_status FROM events WHERE user_id % 4 > 0"
+# Updates of every fourth user are for a project that does not exist.
+_UPD_SRC = "SELECT CASE WHEN user_id % 4 = 0 THEN user_id + 500000 ELSE user_id END AS project_id, event_id, ts AS updated_at, CASE event_type WHEN 'view' THEN 'converting' WHEN 'click' THEN 'llm_done' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'uploaded' END AS new_status FROM events"
 
 
 @query("snk10_status_update", src=_UPD_SRC, views="projects", sql="""

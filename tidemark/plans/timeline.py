@@ -16,13 +16,14 @@ _EV_SRC = """SELECT event_id AS accession, lpad(CAST(user_id AS STRING), 10, '0'
       WHEN 6 THEN 'annual_guidance' ELSE 'unknown' END AS category,
     CASE event_id % 9 WHEN 0 THEN 'major' WHEN 1 THEN 'major' WHEN 2 THEN 'major' WHEN 3 THEN 'medium' WHEN 5 THEN 'medium' WHEN 6 THEN 'major' ELSE 'minor' END AS weight,
     'Q' || CAST(1 + CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 4 AS STRING) AS q, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k, value, event_type FROM events"""
-# Trading days: bars exist only on even days of the month, and none after the 27th.
-_DAYS = "SELECT cik, trade_date FROM bars WHERE day(trade_date) % 2 = 0 AND day(trade_date) <= 27"
+# Trading days: every bar counts, moved to an even day of the month up to the 26th, so that some events fall between days and after the last.
+_EARLY = "CASE WHEN day(trade_date) > 26 THEN trade_date - 14 ELSE trade_date END"
+_DAYS = f"SELECT DISTINCT cik, d + CAST(day(d) % 2 AS INT) AS trade_date FROM (SELECT cik, {_EARLY} AS d FROM bars) x"
 _SNAP_CTE = f"""days AS ({_DAYS}), sn AS (SELECT s.*, (SELECT min(d.trade_date) FROM days d WHERE d.cik = s.cik AND d.trade_date >= s.filing_date) AS snapped FROM src s)"""
 
 
 def _days(t):
-    return t.bars.where("day(trade_date) % 2 = 0 AND day(trade_date) <= 27")
+    return t.select(_DAYS, "bars")
 
 
 @query("jn12_next_trading_day", src=_EV_SRC, views="bars", sql=f"WITH {_SNAP_CTE} SELECT accession, snapped::VARCHAR AS snapped FROM sn WHERE snapped IS NOT NULL")
