@@ -112,11 +112,9 @@ def _bucketed(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("bucket", F.pmod(head, F.lit(buckets))).fillna({"keep_id": -(1 << 63)})
 
 
-def build_index(history: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, int]:
-    """One row per bucket of the history's distinct digests (columns doc_id, digest), and the number of buckets."""
-    groups = written(_groups(history), "digests")
-    buckets = max(1, -(-groups.count() // per_bucket))
-    return _bucketed(groups, buckets).groupBy("bucket").applyInPandas(_build_bucket, _INDEX), buckets
+def build_index(groups: DataFrame, buckets: int) -> DataFrame:
+    """One row per bucket of the history's distinct digests (``_groups``)."""
+    return _bucketed(groups, buckets).groupBy("bucket").applyInPandas(_build_bucket, _INDEX)
 
 
 def index_rows(index: DataFrame) -> DataFrame:
@@ -130,9 +128,9 @@ def index_rows(index: DataFrame) -> DataFrame:
     return index.mapInPandas(unpack, "digest binary, keep_id long, n long")
 
 
-def probe(index: DataFrame, buckets: int, incoming: DataFrame) -> DataFrame:
-    """Distinct incoming digests: joint winner and count, and whether the history has them (byte-checked)."""
-    new = _bucketed(_groups(incoming), buckets)
+def probe(index: DataFrame, buckets: int, groups: DataFrame) -> DataFrame:
+    """Distinct incoming digests (``_groups``): joint winner and count, and whether the history has them (byte-checked)."""
+    new = _bucketed(groups, buckets)
     return new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_look_up, _FOUND)
 
 
@@ -144,9 +142,11 @@ def exact_dedup(docs: DataFrame, is_history) -> DataFrame:
     and rows without an id stay only in a group without any id. Null texts count as empty. Extra columns are ignored.
     """
     rows = docs.select("doc_id", F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("digest"), F.coalesce(is_history, F.lit(False)).alias("old"))
-    index, buckets = build_index(rows.where("old"))
-    index = written(index, "digest_index")
-    found = written(probe(index, buckets, rows.where(~F.col("old"))), "digests_found")
+    history, incoming = written(_groups(rows.where("old")), "digests"), written(_groups(rows.where(~F.col("old"))), "digests_incoming")
+    # both sides of a bucket are held at once, so the larger one decides, however few the other has
+    buckets = max(1, -(-max(history.count(), incoming.count()) // PER_BUCKET))
+    index = written(build_index(history, buckets), "digest_index")
+    found = written(probe(index, buckets, incoming), "digests_found")
     repeats = found.where("member").select("digest", "keep_id", "n")
     alone = found.where(~F.col("member")).select("digest", "keep_id", "n")
     untouched = index_rows(index).join(repeats.select("digest"), "digest", "left_anti")
@@ -157,7 +157,6 @@ def exact_dedup(docs: DataFrame, is_history) -> DataFrame:
                     F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
 
 
-def earlier_half(docs: DataFrame):
-    """The condition for the earlier half of the id range: the history in the query and the pipeline."""
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    return F.lit(False) if lo is None else F.col("doc_id") <= (lo + hi) // 2
+def some_half():
+    """The condition for about half of the ids, by a hash: the history in the query and the pipeline."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0

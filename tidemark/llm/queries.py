@@ -18,7 +18,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 16, base=16)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return exactdup.exact_dedup(docs, exactdup.earlier_half(docs))
+    return exactdup.exact_dedup(table(spark, sf_dir, "documents"), exactdup.some_half())
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

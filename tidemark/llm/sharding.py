@@ -27,16 +27,19 @@ class Leaf:
     weight: float = 1.0
 
 
-def standard_tree(n_shards: int, regions: int = 4, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
-    """Shards 0 .. n-1 of weight 1: full blocks of regions x racks x per_rack shards, every further shard a region of its own.
+def standard_tree(n_shards: int, regions: int = 4, racks: int = 2, per_rack: int = 2, base: int | None = None) -> list[Leaf]:
+    """Shards 0 .. n-1 of weight 1: the ``base`` first ones in blocks of regions x racks x per_rack, every further shard a region of its own.
 
-    A shard added to a full block therefore only ever draws documents into itself.
+    With the same base, a further shard only ever draws documents into itself. Without one the base is a single block, or nothing
+    where there are fewer shards than that.
     """
     block = regions * racks * per_rack
-    full = n_shards // block * block
+    base = (block if n_shards >= block else 0) if base is None else base
+    if base > n_shards or base % block:
+        raise ValueError(f"a base of {base} is not whole blocks of {block} among {n_shards} shards")
     out = []
     for s in range(n_shards):
-        if s < full:
+        if s < base:
             b, i = divmod(s, block)
             region, rest = divmod(i, racks * per_rack)
             out.append(Leaf(f"b{b}r{region}", f"b{b}r{region}k{rest // per_rack}", s))
@@ -110,14 +113,16 @@ def numbered(df: DataFrame, group: str, key: str, order: list[str], column: str
             .drop("_block", "_own", "_g", "_b", "_first"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, tree: list[Leaf] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, tree: list[Leaf] | None = None, base: int = 0) -> DataFrame:
     """Every document with its shard, its place there, and its shard if one more were added.
 
+    The first ``base`` shards form blocks of the tree, all others are regions of their own. As long as the base stays, n + 1 shards
+    differ from n by the rows that the new shard takes. A ``tree`` of one's own gets the further shard as a region.
     size is the UTF-8 length of the text plus 1, text_crc32 its checksum; a null text counts as empty. Rows with a null or
     repeated doc_id keep their own slots. Extra columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    tree = tree or standard_tree(n_shards)
-    grown = [*tree, Leaf("_new", "_newk", 1 + max(x.shard for x in tree))] if tree != standard_tree(n_shards) else standard_tree(n_shards + 1)
+    grown = [*tree, Leaf("_new", "_newk", 1 + max(x.shard for x in tree))] if tree else standard_tree(n_shards + 1, base=base)
+    tree = tree or standard_tree(n_shards, base=base)
     rows = docs.select(F.col("doc_id"), (F.octet_length(text_of()).cast("long") + 1).alias("size"),
                        F.crc32(text_of().cast("binary")).cast("long").alias("text_crc32"), F.lit("key").alias("law"))
     rows = assign(assign(rows, tree), grown, column="grown_shard")
