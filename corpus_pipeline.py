@@ -25,12 +25,14 @@ def _digest() -> Column:
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows whose own verdict (doc_id, _digest, kept) is to stay, null ids included; of rows with equal id and text, one.
 
-    The row keys are doc_id and text digest. Where such rows differ in other columns, the smallest row stays.
+    The row keys are doc_id and text digest. Where such rows differ in other columns, the one with the smallest hash of its JSON stays.
     """
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.col("doc_id").isNull()}
-    kept = verdicts.where("kept").withColumns(keys).select(*keys, "_digest").distinct()
-    rows = docs.withColumns({**keys, "_digest": _digest()}).join(kept, [*keys, "_digest"], "left_semi")
-    return rows.groupBy(*keys, "_digest").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    keys = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "no_id": F.col("doc_id").isNull()}
+    kept = verdicts.where("kept").select(*(x.alias(k) for k, x in keys.items()), F.col("_digest").alias("digest")).distinct()
+    whole = F.struct(*(F.col(f"`{x}`") for x in docs.columns))  # apart from the keys, so that no column of docs clashes with them
+    rows = docs.select(whole.alias("row"), *(x.alias(k) for k, x in keys.items()), _digest().alias("digest")).join(kept, [*keys, "digest"], "left_semi")
+    first = rows.groupBy(*keys, "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return first.select(*(F.col("row").getField(x).alias(x) for x in docs.columns))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: of equal texts, one row: the one with the largest id, or without an id where none has one."""
-    verdicts = exactdup.exact_dedup(docs, exactdup.earlier_half(docs))
+    verdicts = exactdup.exact_dedup(docs, exactdup.some_half())
     return _only(docs, verdicts.select("doc_id", F.unhex("text_sha256").alias("_digest"), "kept"))
 
 
