@@ -156,8 +156,9 @@ def assign_surrogates(entities: DataFrame, key: str, max_attempts: int = 60) ->
     entities = written(entities.select("kind", "canon").distinct(), "entities")
     open_ones, settled = entities, None
     originals = entities.select("kind", F.col("canon").alias("surrogate"))
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as a draw costs time, not bytes
     for attempt in range(max_attempts):
-        drawn = open_ones.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key))
+        drawn = open_ones.repartition(tasks, "kind", "canon").withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key))
         firsts = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).join(originals, ["kind", "surrogate"], "left_anti")
         if settled is not None:
             firsts = firsts.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -200,21 +201,22 @@ def pseudonymize(docs: DataFrame, key: str, count: str | None = None) -> DataFra
     mentions come out unchanged. Repeated rows, null ids and extra columns do not matter. An empty table gives an empty result.
     Texts without mentions are not shuffled. The key must be kept secret; the same key gives the same surrogates on the same data.
     """
-    text = F.col("text")
-    hit = may_have(text) & text.rlike(DETECT)
+    hit = may_have(F.col("text")) & F.col("text").rlike(DETECT)
     columns = docs.columns
-    hits = docs.where(hit).withColumn("_id", F.sha2(text.cast("binary"), 256)).withColumn("_mentions", mentions_of(text))
-    wanted = hits.groupBy("_id").agg(F.first("_mentions").alias("_mentions"))  # equal texts are looked up once
-    asked = written(wanted.select("_id", F.explode(F.array_distinct(F.flatten(F.transform("_mentions", parts_of)))).alias("_p")).select("_id", "_p.*"), "mentions")
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # apart from what is added, so that no input name clashes
+    text = F.col("row.text")
+    hits = docs.where(hit).select(whole).select("row", F.sha2(text.cast("binary"), 256).alias("id"), mentions_of(text).alias("mentions"))
+    wanted = hits.groupBy("id").agg(F.first("mentions").alias("mentions"))  # equal texts are looked up once
+    asked = written(wanted.select("id", F.explode(F.array_distinct(F.flatten(F.transform("mentions", parts_of)))).alias("p")).select("id", "p.*"), "mentions")
     chosen = assign_surrogates(asked, key)
-    found = (asked.join(chosen, ["kind", "canon"]).groupBy("_id")
-             .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(_KEY, "kind", "canon"), "surrogate"))).alias("_found")))
-    answered = hits.join(found, "_id", "left").withColumn("_found", F.coalesce("_found", F.create_map().cast("map<string,string>")))
+    found = (asked.join(chosen, ["kind", "canon"]).groupBy("id")
+             .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(_KEY, "kind", "canon"), "surrogate"))).alias("found")))
+    answered = hits.join(found, "id", "left").withColumn("found", F.coalesce("found", F.create_map().cast("map<string,string>")))
     gaps = F.split(text, DETECT, -1)
-    new = F.transform("_mentions", lambda m: _rendered(m, parts_of(m), F.col("_found")))
+    new = F.transform("mentions", lambda m: _rendered(m, parts_of(m), F.col("found")))
     done = F.concat(gaps[0], F.array_join(F.zip_with(new, F.slice(gaps, F.lit(2), F.size(gaps)), lambda m, g: F.concat(m, g)), ""))
-    replaced = F.size(F.filter("_mentions", lambda m: F.size(parts_of(m)) > 0)).cast("long")
-    extra = [replaced.alias(count)] if count else []
-    first = answered.select(*(done.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns), *extra)
+    replaced = F.size(F.filter("mentions", lambda m: F.size(parts_of(m)) > 0)).cast("long")
+    answered = answered.select("row", done.alias("done"), replaced.alias("replaced"))
+    first = answered.select(*((F.col("done") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns), *([F.col("replaced").alias(count)] if count else []))
     rest = docs.where(F.coalesce(~hit, F.lit(True))).select(*(F.col(f"`{c}`") for c in columns), *([F.lit(0).cast("long").alias(count)] if count else []))
-    return rest.unionByName(first)
+    return rest.union(first)
