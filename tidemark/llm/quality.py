@@ -222,20 +222,23 @@ def assess(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE)
 
 
 def good_rows(docs: DataFrame, field: Field, content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with all their columns; each row is judged by its own text, whatever its id."""
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns; each row is judged by its own text, whatever its id.
+
+    Only the text goes to Python and only the verdict comes back.
+    """
     scores, move = field.scores().tolist(), field.move
-    at = docs.columns.index("text")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, texts=at):
-            keep = []
-            for text in batch.column(at).to_pylist():
-                base, codes, sizes = measure(text)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        keep = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), texts=0):
+            for text in part.column(0):
+                base, codes, sizes = measure(text.as_py())
                 content = sum(n for n, label in zip(sizes, viterbi(codes, scores, move)) if label)
                 keep.append(not base_fails(base["n_words"], base["n_repeat_words"]) and content >= content_share * base["n_words"])
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        return pa.array(keep, pa.bool_())
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.where(good(F.col("text")))
 
 
 def line_labels(text: str | None, field: Field) -> list[tuple[str, bool]]:
