@@ -149,20 +149,20 @@ def _digest(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _key(col: str = "doc_id"):
-    """The order of documents; rows without an id come last and share a place."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(_LAST))
+def _key():
+    """The order of documents; rows without an id come last, by a hash of the text, so that equal texts share a place."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST) - F.xxhash64("text").bitwiseAND((1 << 61) - 1))
 
 
 def anchor_rows(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """(key, anchor): the anchors of each document, one row per region."""
+    """(key, anchors): the anchors of each document, one for each region."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(batches, max_bytes=5 << 20):
                 t = Texts(batch.column(1), window, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(t.document, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(t.anchor))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "anchors"])
-    return docs.select(_key().alias("key"), "text").mapInArrow(find, "key long, anchors array<long>").select("key", F.explode("anchors").alias("anchor"))
+    return docs.select(_key().alias("key"), "text").mapInArrow(find, "key long, anchors array<long>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -273,10 +273,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR, p
 
     A word is removed if a window of ``window`` words covers it whose words also start at a smaller doc_id, or earlier in the same
     document. Null and blank texts have no words. Rows that share a doc_id share its places, so they do not remove each other's
-    windows at the same place; rows without an id come last. Extra columns are ignored; an empty table gives an empty result.
+    windows at the same place; rows without an id come last, by a hash of their text, and equal ones share a place. Extra columns are ignored; an empty table gives an empty result.
     """
-    repeated = anchor_rows(docs, window, width).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    wanted = (anchor_rows(docs, window, width).join(repeated, "anchor", "left_semi")
+    anchors = written(anchor_rows(docs, window, width), "document_anchors").select("key", F.explode("anchors").alias("anchor"))
+    repeated = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"), "repeated_anchors")
+    wanted = (anchors.join(repeated, "anchor", "left_semi")  # both sides shuffled, so that a hot anchor's rows can be split
               .groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
     found = written(_with_regions(_packed(docs).join(wanted, "key", "left"), window, width, with_text), "regions")
     places = found.where("size(places) > 0").select("key", F.explode("places").alias("r")).select("key", "r.*")
