@@ -122,18 +122,46 @@ def _numbered(classes: DataFrame) -> DataFrame:
     raise RuntimeError("no free numbers for classes")
 
 
+#: Words of a set's bitmap at most; larger sets share bins, which only makes the bound weaker.
+_BITMAP = 64
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The set's hashes in about eight bins each, one bit per bin that holds one, as 64-bit words (a power of two of them)."""
+    n = min(_BITMAP, max(1, (1 << max(0, len(hashes) - 1).bit_length()) // 8))
+    bins = hashes & np.uint64(64 * n - 1)
+    words = np.zeros(n, np.uint64)
+    np.bitwise_or.at(words, (bins >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bins & np.uint64(63)))
+    return words.view(np.int64)
+
+
+def missed(u: Column, v: Column) -> Column:
+    """A lower bound of how many hashes of the set with bitmap ``u`` the one with ``v`` does not have.
+
+    Every bin of u that is empty in v holds one at least. Of bitmaps of different sizes the larger one is looked at modulo the smaller.
+    """
+    n, m = F.size(u), F.size(v)
+
+    def other(i: Column) -> Column:
+        folded = F.aggregate(F.sequence(i, m - 1, n), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(F.get(v, j)))
+        return F.when(m > n, folded).otherwise(F.get(v, i % m))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.bit_count(F.get(u, i).bitwiseAND(F.bitwise_not(other(i)))))
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(node, hashes): the sorted shingle hashes as bytes, of the rows (node, text, digest) whose set has that digest."""
+    """(node, hashes, bits): the sorted shingle hashes as bytes and their bitmap, of the rows (node, text, digest) whose set has that digest."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
             for batch in slices(batches, max_bytes=4 << 20):
-                sets = [shingle_set(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
+                found = [shingle_set(t, width, known) for t in batch.column(1).to_pylist()]
+                sets = [x.tobytes() for x in found]
                 own = [hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(sets, batch.column(2).to_pylist())]
                 if len(known) > 100_000:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"]).filter(pa.array(own, pa.bool_()))
-    return docs.select("node", "text", "digest").mapInArrow(gather, "node long, hashes binary")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array([bitmap(x) for x in found], pa.list_(pa.int64()))],
+                                                 ["node", "hashes", "bits"]).filter(pa.array(own, pa.bool_()))
+    return docs.select("node", "text", "digest").mapInArrow(gather, "node long, hashes binary, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,13 +180,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(crowded: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) in buckets that are of different components and not with the hub; each pair in its first bucket only."""
+    """Pairs (u, v) in buckets that are of different components and not with the hub; each pair in its first bucket only.
+
+    Pairs whose bitmaps show that their sets have too little in common are left out by the join itself; no link is.
+    """
     crowded = crowded.join(crowded.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # at most one key per band
-    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"), F.col("keys").alias("u_keys"))
-    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), F.col("keys").alias("v_keys"), "hub_component")
+    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"), F.col("keys").alias("u_keys"), F.col("bits").alias("u_bits"))
+    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), F.col("keys").alias("v_keys"), F.col("bits").alias("v_bits"), "hub_component")
     first = F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys"))
     once = (F.col("u") > F.col("v")) | (F.col("v_c") == F.col("hub_component"))
-    return (apart.join(others, "key").where((F.col("u_c") != F.col("v_c")) & _alike(F.col("u_n"), F.col("v_n"), percent) & once & first)
+    both = F.least(F.col("u_n") - missed(F.col("u_bits"), F.col("v_bits")), F.col("v_n") - missed(F.col("v_bits"), F.col("u_bits")))  # at most
+    enough = 100 * both >= percent * (F.col("u_n") + F.col("v_n") - both)
+    return (apart.join(others, "key").where((F.col("u_c") != F.col("v_c")) & _alike(F.col("u_n"), F.col("v_n"), percent) & once & first & enough)
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
 
 
@@ -195,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     crowded = members.where("size > 2").join(linked, "node", "left").select("key", "node", "n", "hub", "size", label)
     mixed = crowded.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("hub_component"),
                                        F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key", "hub_component")
-    crowded = written(crowded.join(mixed, "key"), "crowded")
+    crowded = written(crowded.join(mixed, "key").join(sets.select("node", "bits"), "node"), "crowded")
     more = written(confirmed(across(crowded, percent).distinct(), sets, percent), "links_across")
     if not more.isEmpty():
         linked = written(components(links.unionByName(more)), "components")
