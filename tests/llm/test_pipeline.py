@@ -110,10 +110,10 @@ def test_contract_columns(spark):
         "op1_shards": "doc_id size text_crc32 law shard slot grown_shard", "op2_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op4_near_dedup": "doc_id n_shingles component_id kept", "op5_exact_dedup": "doc_id keep_id group_size kept text_sha256",
         "op6_token_counts": "doc_id n_bytes n_tokens over_limit", "op7_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
-        "op8_substring_dedup": "doc_id n_words n_removed kept_sha256"}
+        "op8_substring_dedup": "doc_id n_words n_removed kept_sha256", "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256"}
     n = duckdb.sql(f"select count(*) from '{SF}/documents.parquet'").fetchall()[0][0]
     for name, columns in first.items():
         df = LLM_QUERIES[name](spark, SF)
         assert df.columns[:len(columns.split())] == columns.split()
         assert df.select(F.countDistinct("doc_id")).first()[0] == n
-    assert len([x for x in LLM_QUERIES if x.startswith("op")]) == 10
+    assert len([x for x in LLM_QUERIES if x.startswith("op")]) == 13
