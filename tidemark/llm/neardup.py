@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,30 +123,30 @@ def _numbered(classes: DataFrame) -> DataFrame:
     raise RuntimeError("no free numbers for classes")
 
 
-#: Words of a set's bitmap at most; larger sets share bins, which only makes the bound weaker.
-_BITMAP = 64
+#: 64-bit words of a set's bitmap. Large sets fill it, which only makes the bound weaker; with many more words the join's generated
+#: method passes the size up to which the JVM compiles methods, and the join is many times slower.
+_BITMAP = 12
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """The set's hashes in about eight bins each, one bit per bin that holds one, as 64-bit words (a power of two of them)."""
-    n = min(_BITMAP, max(1, (1 << max(0, len(hashes) - 1).bit_length()) // 8))
-    bins = hashes & np.uint64(64 * n - 1)
-    words = np.zeros(n, np.uint64)
+    """The bins that the set's hashes are in, a bit each, as 64-bit words."""
+    bins = hashes % np.uint64(64 * _BITMAP)
+    words = np.zeros(_BITMAP, np.uint64)
     np.bitwise_or.at(words, (bins >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bins & np.uint64(63)))
     return words.view(np.int64)
 
 
-def missed(u: Column, v: Column) -> Column:
-    """A lower bound of how many hashes of the set with bitmap ``u`` the one with ``v`` does not have.
+def filled(bits: Column) -> Column:
+    """How many bins are in use."""
+    return F.aggregate(bits, F.lit(0), lambda n, w: n + F.bit_count(w))
 
-    Every bin of u that is empty in v holds one at least. Of bitmaps of different sizes the larger one is looked at modulo the smaller.
-    """
-    n, m = F.size(u), F.size(v)
 
-    def other(i: Column) -> Column:
-        folded = F.aggregate(F.sequence(i, m - 1, n), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(F.get(v, j)))
-        return F.when(m > n, folded).otherwise(F.get(v, i % m))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.bit_count(F.get(u, i).bitwiseAND(F.bitwise_not(other(i)))))
+def common_bins(u: Column, v: Column) -> Column:
+    """How many bins two bitmaps share. Written out word by word: Spark takes lambda functions out of join conditions.
+
+    Every further bin of u holds a hash that the other set does not have, so filled(u) less this many of u are not in v.
+    """
+    return reduce(lambda a, b: a + b, (F.bit_count(F.get(u, F.lit(i)).bitwiseAND(F.get(v, F.lit(i)))) for i in range(_BITMAP)))
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -185,11 +186,11 @@ def across(crowded: DataFrame, percent: int) -> DataFrame:
     Pairs whose bitmaps show that their sets have too little in common are left out by the join itself; no link is.
     """
     crowded = crowded.join(crowded.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # at most one key per band
-    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"), F.col("keys").alias("u_keys"), F.col("bits").alias("u_bits"))
-    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), F.col("keys").alias("v_keys"), F.col("bits").alias("v_bits"), "hub_component")
+    apart = crowded.where("component <> hub_component").select("key", F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("component").alias("u_c"), F.col("keys").alias("u_keys"), F.col("bits").alias("u_bits"), F.col("rest").alias("u_rest"))
+    others = crowded.where("node <> hub").select("key", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("component").alias("v_c"), F.col("keys").alias("v_keys"), F.col("bits").alias("v_bits"), F.col("rest").alias("v_rest"), "hub_component")
     first = F.col("key") == F.array_min(F.array_intersect("u_keys", "v_keys"))
     once = (F.col("u") > F.col("v")) | (F.col("v_c") == F.col("hub_component"))
-    both = F.least(F.col("u_n") - missed(F.col("u_bits"), F.col("v_bits")), F.col("v_n") - missed(F.col("v_bits"), F.col("u_bits")))  # at most
+    both = common_bins(F.col("u_bits"), F.col("v_bits")) + F.least(F.col("u_rest"), F.col("v_rest"))  # hashes in common, at most
     enough = 100 * both >= percent * (F.col("u_n") + F.col("v_n") - both)
     return (apart.join(others, "key").where((F.col("u_c") != F.col("v_c")) & _alike(F.col("u_n"), F.col("v_n"), percent) & once & first & enough)
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     crowded = members.where("size > 2").join(linked, "node", "left").select("key", "node", "n", "hub", "size", label)
     mixed = crowded.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("component"))).alias("hub_component"),
                                        F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("key", "hub_component")
-    crowded = written(crowded.join(mixed, "key").join(sets.select("node", "bits"), "node"), "crowded")
+    crowded = written(crowded.join(mixed, "key").join(sets.select("node", "bits", filled(F.col("bits")).alias("filled")), "node")
+                      .withColumn("rest", F.col("n") - F.col("filled")), "crowded")
     more = written(confirmed(across(crowded, percent).distinct(), sets, percent), "links_across")
     if not more.isEmpty():
         linked = written(components(links.unionByName(more)), "components")
