@@ -276,6 +276,8 @@ def graded_lines(picks: DataFrame, rendered: DataFrame, chosen: DataFrame) -> Da
             .withColumn("notes", F.when(disagree, F.array(F.lit(fv.DETECTOR_A))).otherwise(c("_flags")))
             .withColumn("confidence", c("_g.confidence")).withColumn("source", c("_g.source"))
             .withColumn("yoy", F.when(c("statement") != "balance", am.yoy_percent(c("value"), c("prior_value"))))
+            .withColumn("prior_label", F.when((c("statement") == "balance") & c("prior_value").isNotNull(),
+                                              F.concat(F.lit("vs "), F.make_date(F.year("period_end") - 1, F.lit(12), F.lit(31)).cast("string"))).otherwise(F.lit("")))
             .drop("_flags", "_g", "prior_instant"))
 
 

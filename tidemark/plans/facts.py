@@ -11,6 +11,7 @@ from tidemark.operators import facts as fx
 from tidemark.operators.joins import upper_median
 from tidemark.plans.scalars import ALIASES_SQL, METRICS_SQL, format_sql
 from tidemark.registry import query
+from tidemark.session import written
 
 c = F.col
 
@@ -360,15 +361,76 @@ def top07(t):
     return fx.segments(tagged, chosen, totals).withColumn("position", F.row_number().over(order).cast("bigint")).select("accession", "name", "value", "position")
 
 
-@query("dq18_local_extraction", views="tagged_lines", sql=f"""
-    WITH {_T_CTE}, {_CHAIN_CTE} SELECT accession, key, statement, element, label, value, {format_sql('value', 'metric_unit')} AS value_text, prior_value, CASE WHEN statement <> 'balance' AND prior_value > 0 THEN round((value / prior_value - 1) * 1000) / 10 END AS yoy, confidence, source,
-      concat_ws(',', CASE WHEN e THEN 'E' END, CASE WHEN b THEN 'B' END, CASE WHEN a THEN 'A' END, CASE WHEN cc THEN 'C' END, CASE WHEN dd THEN 'D' END) AS fired FROM fin""")
-def dq18(t):
-    facts, contexts, units, dei, rendered, company = _tagged(t)
-    lines, _ = fx.extract_filings(facts, contexts, units, dei, rendered, company)
+_LINES_SQL = f"""
+    WITH {_T_CTE}, {_CHAIN_CTE} SELECT accession, key, statement, element, label, value, {format_sql('value', 'metric_unit')} AS value_text, prior_value, CASE WHEN statement = 'balance' AND prior_value IS NOT NULL THEN 'vs ' || make_date(year(period_end) - 1, 12, 31) ELSE '' END AS prior_label,
+      CASE WHEN statement <> 'balance' AND prior_value > 0 THEN round((value / prior_value - 1) * 1000) / 10 END AS yoy, confidence, source,
+      concat_ws(',', CASE WHEN e THEN 'E' END, CASE WHEN b THEN 'B' END, CASE WHEN a THEN 'A' END, CASE WHEN cc THEN 'C' END, CASE WHEN dd THEN 'D' END) AS fired FROM fin"""
+
+
+def _shown_lines(lines):
     letters = F.array_join(F.transform("notes", lambda n: F.regexp_extract(n, "^detector_([A-F])_", 1)), ",")
     return lines.select("accession", "key", "statement", "element", "label", "value", am.format_value(c("value"), c("metric_unit")).alias("value_text"),
-                        "prior_value", "yoy", "confidence", "source", letters.alias("fired"))
+                        "prior_value", "prior_label", "yoy", "confidence", "source", letters.alias("fired"))
+
+
+@query("dq18_local_extraction", views="tagged_lines", sql=_LINES_SQL)
+def dq18(t):
+    facts, contexts, units, dei, rendered, company = _tagged(t)
+    return _shown_lines(fx.extract_filings(facts, contexts, units, dei, rendered, company)[0])
+
+
+def _filing_files(t):
+    """The same filings as files: a tagged document, a summary, and a rendered page for each statement that shows something; and companies."""
+    base, text = t.tagged_lines, lambda x: F.coalesce(c(x).cast("string"), F.lit(""))
+    dim, tag = c("dim_no") > 0, lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    axis = F.when(c("dim_no") == 1, F.lit("ax:Segments")).otherwise(F.lit("ax:Regions"))
+    segment = F.when(dim, F.concat(F.lit('<segment><xbrldi:explicitMember dimension="'), axis, F.lit('">co:Area'), c("supp_no") % 3, F.lit("Member</xbrldi:explicitMember></segment>"))).otherwise(F.lit(""))
+    period = F.when(c("start_date").isNull(), tag("instant", text("end_date"))).otherwise(F.concat(tag("startDate", text("start_date")), tag("endDate", text("end_date"))))
+    context = F.concat(F.lit('<context id="'), F.expr(_CTX_ID.format(s="STRING")), F.lit('"><entity>'), segment, F.lit("</entity>"), tag("period", period), F.lit("</context>"))
+    fact = F.concat(F.lit("<"), c("element"), F.lit(' contextRef="'), F.expr(_CTX_ID.format(s="STRING")), F.lit('" unitRef="'), c("unit_id"), F.lit('" decimals="'), c("decimals"), F.lit('">'),
+                    text("value"), F.lit("</"), c("element"), F.lit(">"))
+    number = (c("part_no") * 100000 + c("supp_no")) * 10 + c("back")
+    root = ('<?xml version="1.0"?><xbrl xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:ifrs-full="https://xbrl.ifrs.org/taxonomy/2023/ifrs-full" xmlns:dei="http://xbrl.sec.gov/dei/2023">'
+            '<unit id="usd"><measure>iso4217:USD</measure></unit><unit id="usdPershares"><divide><unitNumerator><measure>iso4217:USD</measure></unitNumerator><unitDenominator><measure>xbrli:shares</measure></unitDenominator></divide></unit>')
+    own = lambda x: F.max(text(x))
+    per = base.groupBy("accession").agg(
+        F.array_join(F.collect_set(context), "").alias("_c"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), fact.alias("x")))), lambda f: f["x"]), "").alias("_f"),
+        own("own_end").alias("_e"), own("fp").alias("_p"), own("fy").alias("_y"))
+    declared = F.concat(*[tag(f"dei:{name}", c(x)) for name, x in (("DocumentPeriodEndDate", "_e"), ("DocumentFiscalPeriodFocus", "_p"), ("DocumentFiscalYearFocus", "_y"))])
+    instance = per.select("accession", F.lit("report_htm.xml").alias("file_name"), F.concat(F.lit(root), c("_c"), declared, c("_f"), F.lit("</xbrl>")).alias("content"))
+    shown = _tagged(t)[4]
+    per_share = c("element") == "ifrs-full:BasicEarningsLossPerShare"
+    amount = F.format_number(F.abs("rendered_value") / F.when(per_share, 1).otherwise(1000), 8)
+    cell = F.when(c("rendered_value") < 0, F.concat(F.lit("$ ("), amount, F.lit(")"))).otherwise(amount)
+    row = F.concat(F.lit("<tr><td><a onclick=\"Show('defref_"), F.replace("element", F.lit(":"), F.lit("_")), F.lit("')\">x</a></td><td>&#160;</td><td>"), cell, F.lit("</td></tr>"))
+    # the balance pages leave their scale out, which counts as thousands
+    head = F.when(c("statement") == "income", F.lit("<table><tr><th>Income - USD ($) $ in Thousands</th></tr>")).otherwise(F.lit("<table><tr><th>Balance</th></tr>"))
+    page = shown.groupBy("accession", "statement").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("_r"))
+    name = F.when(c("statement") == "income", F.lit("R4.htm")).otherwise(F.lit("R2.htm"))
+    pages = page.select("accession", name.alias("file_name"), F.concat(head, c("_r"), F.lit("</table>")).alias("content"))
+    report = F.concat(F.lit("<Report><ShortName>Consolidated "), F.when(c("statement") == "income", F.lit("Statements of Operations")).otherwise(F.lit("Balance Sheets")),
+                      F.lit("</ShortName><HtmlFileName>"), name, F.lit("</HtmlFileName><MenuCategory>Statements</MenuCategory></Report>"))
+    listed = per.select("accession").join(page.groupBy("accession").agg(F.array_join(F.collect_list(report), "").alias("_s")), "accession", "left")
+    summary = listed.select("accession", F.lit("FilingSummary.xml").alias("file_name"), F.concat(F.lit("<FilingSummary><MyReports><Report><ShortName>Cover</ShortName><HtmlFileName>R1.htm</HtmlFileName><MenuCategory>Cover</MenuCategory></Report>"),
+                                                                                                    F.coalesce("_s", F.lit("")), F.lit("</MyReports></FilingSummary>")).alias("content"))
+    return written(instance.unionByName(pages).unionByName(summary), "filing_files"), base.select("accession", "cik").distinct()
+
+
+@query("dq18_extract_lines", views="tagged_lines", sql=_LINES_SQL)
+def dq18_lines(t):
+    from tidemark.sources.extract import extract_documents
+    return _shown_lines(extract_documents(*_filing_files(t))[0])
+
+
+@query("dq18_extract_notes", views="tagged_lines", sql=f"""
+    WITH {_T_CTE}, {_SEG_CTE}, pg AS (SELECT DISTINCT accession, CASE WHEN element IN ('ifrs-full:CashAndCashEquivalents', 'ifrs-full:Assets') THEN 'balance' ELSE 'income' END AS role FROM rend),
+    wn AS (SELECT accession, role FROM chosen, (VALUES ('income'), ('balance'), ('cashFlow')) v(role))
+    SELECT accession, 'detector_F_role_unresolved: no ' || role || ' statement' AS note FROM wn WHERE NOT EXISTS (SELECT 1 FROM pg WHERE pg.accession = wn.accession AND pg.role = wn.role)
+    UNION ALL SELECT pg.accession, 'R2.htm: no scale in caption, assumed thousands' FROM pg JOIN chosen USING (accession) WHERE role = 'balance'
+    UNION ALL SELECT accession, 'segment breakdown does not reconcile to total revenues (inter-segment eliminations); breakdown dropped' FROM pk WHERE n > 1 AND NOT (total <> 0 AND {agree_sql('s', 'total')})""")
+def dq18_notes(t):
+    from tidemark.sources.extract import extract_documents
+    return extract_documents(*_filing_files(t))[2]
 
 
 @query("agg14_suspects", views="tagged_lines", sql=f"WITH {_T_CTE}, {_CHAIN_CTE} SELECT count(*) AS metrics, count(DISTINCT accession) AS filings FROM fin WHERE confidence = 'suspect' AND statement IN ('income', 'balance')")
