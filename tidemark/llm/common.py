@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,23 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What an operator keeps in this Python worker between tasks.
+
+    A worker may serve several operators one after another; the caches of all others are dropped, so that it holds one's only.
+    """
+    others = [name for name in _KEPT if name != operator]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(operator, {})
+
+
 def slices(batches: Iterator[pa.RecordBatch], texts: int = 1, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text column number ``texts`` holds about ``max_bytes`` per piece (one row at least).
 

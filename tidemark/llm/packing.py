@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import kept, slices
 from tidemark.llm.tokencount import load
 from tidemark.session import written
 
@@ -32,7 +32,6 @@ CELL = 16_384
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 3, 3
 #: Encoded words that a worker keeps; the store is emptied when full.
 KEPT_WORDS = 150_000
-_STORE: dict[str, dict[str, bytes]] = {}
 
 
 @lru_cache(4)
@@ -99,7 +98,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     the ids of letters followed by ASCII signs are those of both parts, if it parts the last letter from a sign. Arrow splits and numbers the words; each distinct part is
     encoded once while it is stored.
     """
-    store = _STORE.setdefault(path, {})
+    store = kept("packing").setdefault(path, {})
     if len(store) > KEPT_WORDS:
         store.clear()
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, slices
+from tidemark.llm.common import BLANKS, kept, slices
 
 SYMBOLS = b"#*$%&|<>"
 #: Bounds of the sample that the field is fitted on: labelled documents, and the lines a document of it may have.
@@ -230,6 +230,7 @@ def good_rows(docs: DataFrame, field: Field, content_share: float = CONTENT_SHAR
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
+        kept("quality")  # nothing, but what other stages left in this worker goes
         keep = []
         for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), texts=0):
             for text in part.column(0):
