@@ -40,6 +40,16 @@ def filing_columns(folders: DataFrame) -> DataFrame:
         F.when(F.col("financials").isNotNull(), F.struct(*[F.col(f"financials.{x}").alias(x) for x in ("period", "statements", "parseNotes")])).alias("financials"))
 
 
+def assemble_filings(filing: DataFrame, meta: DataFrame, financials: DataFrame | None = None) -> DataFrame:
+    """Filing rows from decoded documents in tables of their own, each keyed by (cik, year, folder)."""
+    keys = ["cik", "year", "folder"]
+    packed = lambda df, name: df.select(*keys, F.struct(*[x for x in df.columns if x not in keys]).alias(name))
+    j = packed(filing, "filing").join(packed(meta, "meta"), keys, "left")
+    if financials is None:
+        return filing_columns(j.withColumn("financials", F.lit(None).cast("struct<period:string,statements:string,parseNotes:string>"))).drop("financials")
+    return filing_columns(j.join(financials.select(*keys, "financials"), keys, "left"))
+
+
 def count_by(filings: DataFrame, dimension: str, *, blank: str | None = None, skip_blank: bool = False) -> DataFrame:
     """Filings per value of one column; blanks are renamed, skipped or kept."""
     value = F.col(dimension)
