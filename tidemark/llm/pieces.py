@@ -28,12 +28,19 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from tidemark.llm.postings import distinct_terms, in_order, places, postings, sum_by_document
+from tidemark.session import written
 
 SPACE = "▁"
 #: Characters of a word that the lattice takes: its positions are bits of one long.
 LONGEST = 48
 #: Pieces that are broadcast at most; the table of a larger model is joined by a shuffle.
 BROADCAST_PIECES = 1_000_000
+#: Characters of a piece by which its possible lengths are looked up before substrings are exploded.
+HEAD_LENGTH = 3
+#: Bytes of text of which a worker gathers the distinct words at a time.
+WORDS_BYTES = 2 << 20
+#: The id in the edge of a character that is no piece: ids have 24 bits.
+NO_PIECE = (1 << 24) - 1
 _SIGNS = re.escape(string.punctuation)
 _WORD = re.compile(f" *[{_SIGNS}]+| *[^{_SIGNS} ]+| +")
 _WHOLE_WORD = re.compile(" *[^ ]+| +")
@@ -157,33 +164,59 @@ def _bounded(table: DataFrame, model: Model) -> DataFrame:
     return F.broadcast(table) if len(model.names) <= BROADCAST_PIECES else table
 
 
+def _late_able(model: Model) -> set[str]:
+    """Pieces of a BPE model with a part that is merged after them: only their edges can become possible when their turn has passed."""
+    rank = {p: score for p, (_, score) in model.pieces.items()}
+
+    def later(p: str, part: str) -> bool:  # a longer part that is no piece never stands in a path; of equal scores the leftmost goes first
+        return len(part) > 1 and part in rank and rank[part] <= rank[p]
+
+    return {p for p in rank if any(later(p, p[:i]) or later(p, p[i:]) for i in range(1, len(p)))}
+
+
+def _heads(spark: SparkSession, model: Model) -> DataFrame:
+    """(head, lengths): for the first HEAD_LENGTH characters of longer pieces, the lengths that such pieces have, and all shorter ones."""
+    lengths: dict[str, set[int]] = {}
+    for p in model.pieces:
+        if len(p) >= HEAD_LENGTH:
+            lengths.setdefault(p[:HEAD_LENGTH], set()).add(len(p))
+    schema = T.StructType([T.StructField("head", T.StringType()), T.StructField("lengths", T.ArrayType(T.IntegerType()))])
+    return spark.createDataFrame([(h, [*range(1, HEAD_LENGTH), *sorted(k)]) for h, k in lengths.items()], schema)
+
+
 def lattice(words: DataFrame, model: Model) -> DataFrame:
     """(term, edges): the edges of each distinct word, sorted by score, start and end.
 
     Positions count from 1; e is behind the last character. For BPE an edge is one number, see ``_edge``; for unigram models it is
-    a struct (cost, s, e, id). Words over LONGEST have no edges. The words are dealt by term already, and substrings stay with
-    their word, so grouping them needs no further shuffle.
+    a struct (cost, s, e, id). Words over LONGEST have no edges. Only those substrings are exploded whose length some piece with
+    the same first characters has, besides single characters; no piece is left out by that. The words are dealt by term
+    already, and substrings stay with their word, so grouping them needs no further shuffle.
     """
-    n = F.length("term")
+    spark = words.sparkSession
+    n, s = F.length("term"), F.col("s")
     starts = words.select("term", F.explode(F.when(n <= LONGEST, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0)))).alias("s"))
-    ends = starts.select("term", "s", F.explode(F.sequence(F.least(F.lit(1), "s"), F.least(F.lit(model.longest), n - F.col("s") + 1) * F.least(F.lit(1), "s"))).alias("k"))
-    subs = ends.select("term", "s", "k", F.when(F.col("s") > 0, F.substring("term", F.col("s"), F.col("k"))).alias("piece"))
-    pieces = piece_table(words.sparkSession, model)
+    headed = starts.withColumn("head", F.when(s > 0, F.substring("term", s, F.lit(HEAD_LENGTH)))).join(_bounded(_heads(spark, model), model), "head", "left")
+    short = F.array(*(F.lit(k) for k in range(1, HEAD_LENGTH)))
+    sized = headed.select("term", "s", F.explode(F.coalesce("lengths", short)).alias("k")).where((s + F.col("k") <= n + 1) | (F.col("k") == 1))
+    subs = sized.withColumn("piece", F.when(s > 0, F.substring("term", s, F.col("k"))))
+    pieces = piece_table(spark, model)
     if not model.unigram:
         order = {score: i for i, score in enumerate(sorted({score for _, score in model.pieces.values()}, reverse=True))}
+        late = _late_able(model)
         schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("code", T.LongType())])
-        pieces = words.sparkSession.createDataFrame([(p, order[score] << 36 | i) for p, (i, score) in model.pieces.items()], schema)
-        edge = F.col("code") + F.col("s").cast("long") * (1 << 30) + (F.col("s") + F.col("k")).cast("long") * (1 << 24)
+        pieces = spark.createDataFrame([(p, order[score] << 37 | (p in late) << 24 | i) for p, (i, score) in model.pieces.items()], schema)
+        code = F.when(F.col("code").isNotNull(), F.col("code")).when((F.col("k") == 1) & (s > 0), F.lit(NO_PIECE))
+        edge = code + s.cast("long") * (1 << 31) + (s + F.col("k")).cast("long") * (1 << 25)
     else:
-        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("k")).alias("e"), "id"))
+        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (s + F.col("k")).alias("e"), "id"))
     joined = subs.join(_bounded(pieces, model), "piece", "left").withColumn("edge", edge).where("edge is not null or s <= 1 and k <= 1")
-    return joined.groupBy("term").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return joined.groupBy("term").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _edge(x: Column) -> dict[str, Column]:
-    """The parts of a BPE edge: order of its score, start (6 bits), end (6 bits) and id (24 bits)."""
+    """The parts of a BPE edge: order of its score, start (6 bits), end (6 bits), whether it can come late (1 bit) and id (24 bits)."""
     part = lambda shift, mask: F.shiftright(x, shift).bitwiseAND(F.lit(mask)).cast("int")
-    return {"s": part(30, 63), "e": part(24, 63), "id": x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")}
+    return {"s": part(31, 63), "e": part(25, 63), "late": part(24, 1), "id": x.bitwiseAND(F.lit(NO_PIECE)).cast("int")}
 
 
 def _bit(i: Column) -> Column:
@@ -198,8 +231,9 @@ def _once(x: Column, use) -> Column:
 def _merged(edges: Column, n: Column) -> Column:
     """The fold of a BPE lattice: struct of a bit per boundary and whether an edge came too late."""
     def spans(x: Column, i: Column) -> Column:
-        s, e = _bit(_edge(x)["s"]), _bit(_edge(x)["e"])
-        return F.struct(i.alias("i"), (s + e).alias("ends"), (e - s - s).alias("inner"))
+        part = _edge(x)
+        s, e = _bit(part["s"]), _bit(part["e"])
+        return F.struct(i.alias("i"), (s + e).alias("ends"), (e - s - s).alias("inner"), (part["late"] == 1).alias("late"))
 
     bits = F.transform(edges, spans)
     start = F.struct((_bit(n + 2) - F.lit(2)).alias("mask"), F.lit(False).alias("late"))
@@ -208,11 +242,13 @@ def _merged(edges: Column, n: Column) -> Column:
         return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
 
     def fold(known: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            after = acc["mask"].bitwiseAND(F.bitwise_not(x["inner"]))
-            late = acc["late"] | F.exists(known, lambda y: (y["i"] < x["i"]) & joins(after, y))
-            return F.when(joins(acc["mask"], x), F.struct(after.alias("mask"), late.alias("late"))).otherwise(acc)
-        return F.aggregate(known, start, step)
+        def folded(able: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                after = acc["mask"].bitwiseAND(F.bitwise_not(x["inner"]))
+                late = acc["late"] | F.exists(able, lambda y: (y["i"] < x["i"]) & joins(after, y))
+                return F.when(joins(acc["mask"], x), F.struct(after.alias("mask"), late.alias("late"))).otherwise(acc)
+            return F.aggregate(known, start, step)
+        return _once(F.filter(known, lambda x: x["late"]), folded)
     return _once(F.filter(bits, lambda x: x["inner"] != 0), fold)
 
 
@@ -239,21 +275,37 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     byte = sorted(model.byte_ids.items())
     byte_ids = F.array(*(F.lit(i) for _, i in byte)) if len(byte) == 256 else None
 
-    def piece_ids(s: Column, e: Column) -> Column:
-        if model.unigram:
-            found = F.transform(F.filter("edges", lambda y: (y["s"] == s) & (y["e"] == e)), lambda y: y["id"])
-        else:
-            at = s.cast("long") * 64 + e
-            found = F.transform(F.filter("edges", lambda y: F.shiftright(y, 24).bitwiseAND(F.lit(4095)) == at), lambda y: _edge(y)["id"])
+    def without_piece(s: Column, e: Column) -> Column:
+        if byte_ids is None:
+            return F.array(F.lit(model.unknown))
         raw = F.hex(F.substring("term", s, e - s).cast("binary"))
-        rest = F.array(F.lit(model.unknown)) if byte_ids is None else F.transform(
-            F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
-        return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(rest))
+        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
+
+    def spelled(mask: Column) -> Column:
+        """Ids of a unigram path, span by span."""
+        def piece_ids(s: Column, e: Column) -> Column:
+            found = F.transform(F.filter("edges", lambda y: (y["s"] == s) & (y["e"] == e)), lambda y: y["id"])
+            return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(without_piece(s, e)))
+        cuts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: mask.bitwiseAND(_bit(i)) != 0)
+        return _once(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: piece_ids(c[k], c[k + 1]))))
+
+    def on_path(mask: Column) -> Column:
+        """Ids of a BPE path: of the edges from boundary to boundary with none between, by their start."""
+        def chosen(x: Column) -> Column:
+            s, e = _bit(_edge(x)["s"]), _bit(_edge(x)["e"])
+            return mask.bitwiseAND(e + e - s) == s + e
+
+        path = F.sort_array(F.transform(F.filter("edges", chosen), lambda x: x.bitwiseAND(F.lit((1 << 37) - 1))))
+
+        def named(found: Column) -> Column:
+            parts = lambda x: _edge(x)
+            plain = F.transform(found, lambda x: parts(x)["id"])
+            mixed = F.flatten(F.transform(found, lambda x: F.when(parts(x)["id"] == NO_PIECE, without_piece(parts(x)["s"], parts(x)["e"])).otherwise(F.array(parts(x)["id"]))))
+            return F.when(F.exists(found, lambda x: parts(x)["id"] == NO_PIECE), mixed).otherwise(plain)
+        return _once(path, named)
 
     def ids(f: Column) -> Column:
-        cuts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: f["mask"].bitwiseAND(_bit(i)) != 0)
-        spans = _once(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: piece_ids(c[k], c[k + 1]))))
-        return F.when(~f["late"], spans)
+        return F.when(~f["late"], spelled(f["mask"]) if model.unigram else on_path(f["mask"]))
 
     done = edges.select("term", F.when(n <= LONGEST, _once(fold, ids)).alias("ids"))
 
@@ -326,7 +378,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     for known in ({i: p.encode() for p, (i, _) in model.pieces.items()}, {i: bytes([b]) for b, i in model.byte_ids.items()}):
         for i, raw in known.items():
             spelled[i] = raw
-    table = encode_words(distinct_terms(docs, split), model)
+    # written: the words are encoded before the texts are read again, so that no worker holds parts of both jobs
+    table = written(encode_words(distinct_terms(docs, split, WORDS_BYTES), model), "pieces")
     names = ["doc_id", "n_bytes", "n_pieces", "id_sum", "ids_crc32", "text_sha256", "round_trip"]
     types = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
 

@@ -29,7 +29,7 @@ _HEAD = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8")])
 _NAMES = ["term", "slice", "entries"]
 _ORDERED = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8"), ("n_words", "<i8"), ("sha256", "u1", (32,))])
 #: Bytes of text in a slice whose documents are put together again.
-ORDERED_BYTES = 8 << 20
+ORDERED_BYTES = 4 << 20
 #: Begins the term of a slice's head row; no term may begin so.
 HEAD = "\0\0slice "
 _TERMS = Callable[[str], Iterable[str]]
