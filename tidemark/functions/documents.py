@@ -37,12 +37,14 @@ def strategy(mime: Column, size: Column, has_text: Column) -> Column:
                     tier.alias("cost_tier"))
 
 
-def token_estimate(mime: Column, size: Column, text_chars: Column, has_text: Column) -> Column:
+def token_estimate(mime: Column, size: Column, text_chars: Column, has_text: Column, passes: Column | None = None) -> Column:
+    """Tokens of a request about one document. ``passes``: how often it is read, null and less than two meaning once."""
     image = _as_image(mime, has_text)
     pages = F.when(mime.startswith("image/"), 1).otherwise(5)
     chars = F.when(text_chars == 0, size).otherwise(text_chars)
     extra = F.when(image, pages * 1000).otherwise(F.floor(chars / 4).cast("bigint"))
-    return (F.lit(1000) + extra).cast("bigint")
+    once = (F.lit(1000) + extra).cast("bigint")
+    return once if passes is None else once * F.greatest(F.lit(1), F.coalesce(passes, F.lit(1))).cast("bigint")
 
 
 def over_limit(tokens: Column, tier: Column) -> Column:

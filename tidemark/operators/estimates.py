@@ -38,10 +38,13 @@ def count_dropped(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
-def estimate_before(asks: DataFrame, estimates: DataFrame, before: str) -> DataFrame:
-    """The last estimate dated strictly before each ask, same company, source, period end and duration."""
+def estimate_before(asks: DataFrame, estimates: DataFrame, before: str, tie_break: list[str] | None = None) -> DataFrame:
+    """The last estimate dated strictly before each ask, same company, source, period end and duration.
+
+    Of several estimates of that day, the one with the greatest ``tie_break`` columns (default: the greatest estimate).
+    """
     return asof_join(asks, estimates, ["cik", "source", "period_end", "duration"], before, "consensus_date",
-                     ["eps_estimate"], tie_break=["event_id", "eps_estimate"])
+                     ["eps_estimate"], tie_break=[*(tie_break or []), "eps_estimate"])
 
 
 def own_eps(lines: DataFrame) -> DataFrame:

@@ -204,32 +204,51 @@ def resolve_peers(peers: DataFrame, tickers: DataFrame) -> DataFrame:
             .drop("_own", "_t", "_hit"))
 
 
-def fetch_plan(index: DataFrame, on_disk: DataFrame, as_of: Column, years: int) -> DataFrame:
-    """Filings to fetch per company with download, disk, request and time estimates."""
+def fetch_plan(index: DataFrame, on_disk: DataFrame, as_of: Column, years: int, peer_delay: float = 0) -> DataFrame:
+    """Filings to fetch per company with download, disk, request and time estimates.
+
+    ``forms`` lists (form, n) of the filings in the window; a null form is blank. ``peer_delay``: seconds to wait between peers, whole
+    ones count. Filings are counted per company and form first, so a company with very many filings is one row per form.
+    """
     have = on_disk.select("cik", "accession").distinct().withColumn("_have", F.lit(True))
     win = in_window(F.col("filing_date"), as_of, years)
     j = index.join(have, ["cik", "accession"], "left").withColumn("_w", win)
     flagged = (F.coalesce("is_xbrl", F.lit(0)) == 1) | (F.coalesce("is_inline_xbrl", F.lit(0)) == 1)
-    agg = j.groupBy("cik").agg(
-        F.count("*").alias("in_index"), F.count_if("_w").alias("in_window"),
-        F.count_if(F.col("_w") & F.col("_have").isNotNull()).alias("on_disk"),
-        F.count_if(F.col("_w") & F.col("_have").isNull()).alias("to_fetch"),
-        F.count_if(F.col("_w") & flagged).alias("xbrl_flagged"),
-        F.min(F.when(F.col("_w"), F.col("filing_date"))).alias("first_filing"),
-        F.max(F.when(F.col("_w"), F.col("filing_date"))).alias("last_filing"),
-        F.coalesce(F.sum(F.when(F.col("_w"), F.col("size"))), F.lit(0)).cast("bigint").alias("download_bytes"))
+    counts = {"in_index": F.count("*"), "in_window": F.count_if("_w"), "on_disk": F.count_if(F.col("_w") & F.col("_have").isNotNull()),
+              "to_fetch": F.count_if(F.col("_w") & F.col("_have").isNull()), "xbrl_flagged": F.count_if(F.col("_w") & flagged),
+              "download_bytes": F.coalesce(F.sum(F.when(F.col("_w"), F.col("size"))), F.lit(0)).cast("bigint")}
+    dated = F.when(F.col("_w"), F.col("filing_date"))
+    by_form = j.groupBy("cik", F.coalesce("form", F.lit("")).alias("form")).agg(
+        *[x.alias(k) for k, x in counts.items()], F.min(dated).alias("first_filing"), F.max(dated).alias("last_filing"))
+    agg = by_form.groupBy("cik").agg(
+        *[F.sum(k).cast("bigint").alias(k) for k in counts], F.min("first_filing").alias("first_filing"), F.max("last_filing").alias("last_filing"),
+        F.sort_array(F.collect_list(F.when(F.col("in_window") > 0, F.struct("form", F.col("in_window").alias("n"))))).alias("forms"))
     requests = (F.lit(2) + F.col("to_fetch") * fv.FILES_PER_FILING).cast("bigint")
     return (agg.withColumn("disk_bytes", (F.col("download_bytes").cast("double") * F.lit(fv.DISK_EXPANSION)).cast("bigint"))
             .withColumn("requests", requests)
-            .withColumn("seconds", (F.col("requests").cast("double") / F.lit(fv.REQUESTS_PER_SECOND)).cast("bigint")))
+            .withColumn("seconds", (F.col("requests").cast("double") / F.lit(fv.REQUESTS_PER_SECOND)).cast("bigint") + F.lit(int(peer_delay)).cast("bigint")))
+
+
+def peer_plans(peers: DataFrame, tickers: DataFrame, plans: DataFrame) -> DataFrame:
+    """A plan row per peer: planned, skipped where it has no company key, error where its company has no index.
+
+    Counts of peers that are not planned are 0 and their lists of forms empty. Columns of ``plans`` follow those of the peer.
+    """
+    j = resolve_peers(peers, tickers).join(plans, "cik", "left")
+    status = F.when(F.col("cik").isNull(), F.lit("skipped")).when(F.col("in_index").isNull(), F.lit("error")).otherwise(F.lit("planned"))
+    numbers = ["in_index", "in_window", "on_disk", "to_fetch", "xbrl_flagged", "download_bytes", "disk_bytes", "requests", "seconds"]
+    return (j.withColumn("status", status).withColumn("note", F.when(status == "error", F.lit("no index")).otherwise(F.col("note")))
+            .withColumns({x: F.coalesce(x, F.lit(0).cast("bigint")) for x in numbers})
+            .withColumn("forms", F.coalesce("forms", F.array().cast(plans.schema["forms"].dataType))))
 
 
-def plan_totals(plans: DataFrame) -> DataFrame:
+def plan_totals(plans: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Peers by status and the sums of their estimates, over all plans or per ``keys``."""
     sums = [F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(x)
             for x in ("to_fetch", "download_bytes", "disk_bytes", "requests", "seconds")]
-    return plans.agg(F.count("*").alias("peers"), F.count_if(F.col("status") == "planned").alias("planned"),
-                     F.count_if(F.col("status") == "skipped").alias("skipped"),
-                     F.count_if(F.col("status") == "error").alias("error"), *sums)
+    return plans.groupBy(*(keys or [])).agg(
+        F.count("*").alias("peers"), F.count_if(F.col("status") == "planned").alias("planned"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "error").alias("error"), *sums)
 
 
 def plan_report(plans: DataFrame) -> DataFrame:
@@ -240,6 +259,16 @@ def plan_report(plans: DataFrame) -> DataFrame:
                             human_bytes(F.col("disk_bytes")), F.lit(" ~"), human_duration(F.col("seconds")))))
 
 
+def plan_documents(plans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One report document per peer list (``keys``): its totals, and its peers in ``order`` with status, note and a text line.
+
+    A document is one row, so a list must fit a row; very many lists are spread over all tasks.
+    """
+    totals = [x for x in plan_totals(plans, keys).columns if x not in keys]
+    peers = plan_report(plans).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "status", "note", "cik", "to_fetch", "line"))).alias("peers"))
+    return plan_totals(plans, keys).select(*keys, F.struct(*totals).alias("totals")).join(peers, keys)
+
+
 def step_needs(index: DataFrame, filing_docs: DataFrame, meta_docs: DataFrame, as_of: Column, years: int) -> DataFrame:
     """Per company: must fetch (a filing in the window has no folder), must build meta (one is missing)."""
     wanted = index.where(in_window(F.col("filing_date"), as_of, years)).select("cik", "accession").distinct()

@@ -319,7 +319,7 @@ def agg22(t):
 
 @query("agg28_request_tokens", src=_DOC_SRC, sql=f"SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS files FROM {_TOKENS_SQL} GROUP BY source")
 def agg28(t, src):
-    tokens = docs.token_estimate(c("mime"), c("size"), c("chars"), c("has_text"))
+    tokens = docs.token_estimate(c("mime"), c("size"), c("chars"), c("has_text"), c("passes"))
     return src.groupBy("source").agg(F.sum(tokens).alias("tokens"), F.count("*").alias("files"))
 
 

@@ -29,7 +29,7 @@ def flt12(t):
     SELECT r.event_id, e.consensus_date::VARCHAR AS consensus_date, e.eps_estimate FROM reports r LEFT JOIN LATERAL (SELECT * FROM estimates e WHERE e.cik = r.cik AND e.source = r.source AND e.period_end = r.period_end AND e.duration = r.duration
       AND e.consensus_date < r.report_date ORDER BY consensus_date DESC, event_id DESC LIMIT 1) e ON true""")
 def jn10(t):
-    return es.estimate_before(t.reports, t.estimates, "report_date").select("event_id", c("consensus_date").cast("string").alias("consensus_date"), "eps_estimate")
+    return es.estimate_before(t.reports, t.estimates, "report_date", ["event_id"]).select("event_id", c("consensus_date").cast("string").alias("consensus_date"), "eps_estimate")
 
 
 _OWN_SQL = "(SELECT cik, period_end, duration, max_by(eps_actual, event_id) AS own_eps FROM reports WHERE event_id % 3 > 0 GROUP BY ALL)"

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import documents as docs
 from tidemark.operators import activity, filings as fl, timeline as tl
 from tidemark.plans.scalars import RULES_SQL
+from tidemark.plans.views import for_check
 from tidemark.registry import query
+from tidemark.session import scratch_path, written
+from tidemark.sources import sinks as sk
 
 c = F.col
 def as_of():
@@ -181,23 +184,28 @@ def agg03(t):
 
 
 _INDEX_SRC = """SELECT lpad(CAST(o_custkey AS STRING), 10, '0') AS cik, CAST(o_orderkey AS STRING) AS accession, CAST(o_orderdate AS DATE) AS filing_date,
-    CAST(floor(o_totalprice) AS BIGINT) AS size, CAST(o_orderkey % 3 AS INT) AS is_xbrl, CAST(o_orderkey % 5 AS INT) AS is_inline_xbrl, o_orderkey FROM orders"""
+    CAST(floor(o_totalprice) AS BIGINT) AS size, CAST(o_orderkey % 3 AS INT) AS is_xbrl, CAST(o_orderkey % 5 AS INT) AS is_inline_xbrl, o_orderpriority AS form, o_orderkey FROM orders"""
 _PLAN_SQL = f"""SELECT cik, count(*) AS in_index, count(*) FILTER (w) AS in_window, count(*) FILTER (w AND d) AS on_disk, count(*) FILTER (w AND NOT d) AS to_fetch,
       count(*) FILTER (w AND (is_xbrl = 1 OR is_inline_xbrl = 1)) AS xbrl_flagged, CAST(min(filing_date) FILTER (w) AS VARCHAR) AS first_filing, CAST(max(filing_date) FILTER (w) AS VARCHAR) AS last_filing,
       CAST(coalesce(sum(size) FILTER (w), 0) AS BIGINT) AS download_bytes, CAST(trunc(coalesce(sum(size) FILTER (w), 0)::DOUBLE * 1.4::DOUBLE) AS BIGINT) AS disk_bytes,
-      CAST(2 + 12 * count(*) FILTER (w AND NOT d) AS BIGINT) AS requests, CAST(trunc((2 + 12 * count(*) FILTER (w AND NOT d))::DOUBLE / 8.3::DOUBLE) AS BIGINT) AS seconds
-    FROM (SELECT *, year(filing_date) >= 1998 AS w, o_orderkey IN ({_ON_DISK}) AS d FROM src) GROUP BY cik"""
+      CAST(2 + 12 * count(*) FILTER (w AND NOT d) AS BIGINT) AS requests, CAST(trunc((2 + 12 * count(*) FILTER (w AND NOT d))::DOUBLE / 8.3::DOUBLE) AS BIGINT) + 2 AS seconds, coalesce(any_value(forms), '') AS forms
+    FROM (SELECT *, year(filing_date) >= 1998 AS w, o_orderkey IN ({_ON_DISK}) AS d FROM src)
+    LEFT JOIN (SELECT cik, string_agg(form || ':' || n, ',' ORDER BY form) AS forms FROM (SELECT cik, form, count(*) AS n FROM src WHERE year(filing_date) >= 1998 GROUP BY cik, form) GROUP BY cik) USING (cik) GROUP BY cik"""
 
 
 def _plan(t, src):
     disk = t.lineitem.where("l_linenumber <= 2").select(c("l_orderkey").cast("string").alias("accession"))
-    return fl.fetch_plan(src, src.select("cik", "accession").join(disk, "accession", "left_semi"), as_of(), 3)
+    return fl.fetch_plan(src, src.select("cik", "accession").join(disk, "accession", "left_semi"), as_of(), 3, peer_delay=2.5)
+
+
+def _forms():
+    return F.array_join(F.transform(c("forms"), lambda x: F.concat(x["form"], F.lit(":"), x["n"])), ",").alias("forms")
 
 
 @query("agg04_fetch_plan", src=_INDEX_SRC, sql=_PLAN_SQL)
 def agg04(t, src):
     p = _plan(t, src)
-    return p.withColumn("first_filing", c("first_filing").cast("string")).withColumn("last_filing", c("last_filing").cast("string"))
+    return p.withColumns({"first_filing": c("first_filing").cast("string"), "last_filing": c("last_filing").cast("string"), "forms": _forms()})
 
 
 _STATUS = "CASE WHEN in_index % 7 = 0 THEN 'skipped' WHEN in_index % 11 = 0 THEN 'error' ELSE 'planned' END"
@@ -365,19 +373,46 @@ def qry01(t):
                     "missing", text("years"), text("by_form"), text("by_category"), text("by_tier")))
 
 
-@query("qry07_peer_fetch_plan", src=_PEER_SRC, sql=f"""
-    WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN lpad(company_id, 10, '0') WHEN o_orderkey % 4 > 1 THEN lpad(CAST(k.c_custkey AS VARCHAR), 10, '0') END AS cik,
+_PEER_LISTS = _PEER_SRC.replace("SELECT o_orderkey,", "SELECT o_orderkey, CAST(o_orderkey - o_orderkey % 20 AS STRING) AS list,", 1)
+_NUMBERS = ["in_window", "on_disk", "to_fetch", "xbrl_flagged", "download_bytes", "disk_bytes", "requests", "seconds"]
+_PEER_PLANS = f"""p AS (SELECT o_orderkey, list, CASE WHEN o_orderkey % 4 = 0 THEN lpad(company_id, 10, '0') WHEN o_orderkey % 4 > 1 THEN lpad(CAST(k.c_custkey AS VARCHAR), 10, '0') END AS cik,
         CASE WHEN o_orderkey % 4 = 1 THEN 'invalid company_id' WHEN o_orderkey % 4 > 1 AND trim(ticker) = '' THEN 'no company_id and no ticker' WHEN o_orderkey % 4 > 1 AND k.c_custkey IS NULL THEN 'ticker not in ticker map' END AS note
       FROM src LEFT JOIN (SELECT c_custkey, 'T' || c_custkey AS tk FROM customer WHERE c_custkey % 2 = 0) k ON upper(trim(ticker)) = k.tk),
-    idx AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, count(*) FILTER (year(o_orderdate) >= 1998 AND o_orderkey NOT IN ({_ON_DISK})) AS to_fetch FROM orders GROUP BY 1)
-    SELECT p.o_orderkey, CASE WHEN p.cik IS NULL THEN 'skipped' WHEN idx.to_fetch IS NULL THEN 'error' ELSE 'planned' END AS status, p.note, coalesce(idx.to_fetch, 0) AS to_fetch
-    FROM p LEFT JOIN idx ON p.cik = idx.cik""")
-def qry07(t, src):
+    idx AS (WITH src AS ({for_check(_INDEX_SRC)}) {_PLAN_SQL}),
+    plans AS (SELECT o_orderkey, list, CASE WHEN p.cik IS NULL THEN 'skipped' WHEN idx.cik IS NULL THEN 'error' ELSE 'planned' END AS status, CASE WHEN p.cik IS NOT NULL AND idx.cik IS NULL THEN 'no index' ELSE p.note END AS note,
+        {', '.join(f'coalesce(idx.{x}, 0) AS {x}' for x in _NUMBERS)}, first_filing, last_filing, coalesce(forms, '') AS forms FROM p LEFT JOIN idx ON p.cik = idx.cik)"""
+_TOTALS_SQL = """SELECT list, count(*) AS peers, count(*) FILTER (status = 'planned') AS planned, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS error, CAST(sum(to_fetch) AS BIGINT) AS to_fetch,
+    CAST(sum(download_bytes) AS BIGINT) AS download_bytes, CAST(sum(disk_bytes) AS BIGINT) AS disk_bytes, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(seconds) AS BIGINT) AS seconds FROM plans GROUP BY list"""
+
+
+def _peer_plans(t, src):
+    """Plans of all peers of all lists, computed once for the rows and the totals."""
     tickers = t.customer.where("c_custkey % 2 = 0").select(F.concat(F.lit("T"), c("c_custkey")).alias("ticker"), F.lpad(c("c_custkey").cast("string"), 10, "0").alias("cik"))
-    index = t.select(_INDEX_SRC, "orders")
-    j = fl.resolve_peers(src, tickers).join(_plan(t, index), "cik", "left")
-    status = F.when(c("cik").isNull(), F.lit("skipped")).when(c("in_index").isNull(), F.lit("error")).otherwise(F.lit("planned"))
-    return j.select("o_orderkey", status.alias("status"), "note", F.coalesce("to_fetch", F.lit(0)).alias("to_fetch"))
+    return written(fl.peer_plans(src, tickers, _plan(t, t.select(_INDEX_SRC, "orders"))), "peer-plans")
+
+
+@query("qry07_peer_fetch_plan", src=_PEER_LISTS, sql=f"""
+    WITH {_PEER_PLANS}, totals AS ({_TOTALS_SQL})
+    SELECT o_orderkey, plans.list, status, note, {', '.join(f'plans.{x}' for x in _NUMBERS)}, first_filing, last_filing, forms,
+      peers AS list_peers, planned AS list_planned, skipped AS list_skipped, error AS list_error, totals.to_fetch AS list_to_fetch, totals.seconds AS list_seconds FROM plans JOIN totals ON plans.list = totals.list""")
+def qry07(t, src):
+    plans = _peer_plans(t, src)
+    totals = fl.plan_totals(plans, ["list"]).select("list", *(c(x).alias(f"list_{x}") for x in ("peers", "planned", "skipped", "error", "to_fetch", "seconds")))
+    return plans.join(totals, "list").select(
+        "o_orderkey", "list", "status", "note", *_NUMBERS, c("first_filing").cast("string").alias("first_filing"), c("last_filing").cast("string").alias("last_filing"), _forms(),
+        *[x for x in totals.columns if x != "list"])
+
+
+@query("snk07_plan_report", src=_PEER_LISTS, sql=f"""
+    WITH {_PEER_PLANS}, totals AS ({_TOTALS_SQL})
+    SELECT list, planned, error, peers AS n_rows, to_fetch, requests, CAST(crc AS BIGINT) AS order_sum FROM totals
+    JOIN (SELECT list, sum(o_orderkey * k) AS crc FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY o_orderkey) AS k FROM plans) GROUP BY list) USING (list)""")
+def snk07_plan(t, src):
+    path = scratch_path(t.spark, "plan-report")
+    sk.write_report(fl.plan_documents(_peer_plans(t, src), ["list"], "o_orderkey"), path)
+    read = t.spark.read.schema("list string, totals struct<peers:bigint,planned:bigint,skipped:bigint,error:bigint,to_fetch:bigint,requests:bigint>, peers array<struct<o_orderkey:bigint,status:string,line:string>>").json(path)
+    weighted = F.aggregate(F.zip_with("peers", F.sequence(F.lit(1), F.size("peers")), lambda p, k: p["o_orderkey"] * k), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return read.select("list", "totals.planned", "totals.error", F.size("peers").cast("bigint").alias("n_rows"), "totals.to_fetch", "totals.requests", weighted.alias("order_sum"))
 
 
 @query("qry10_admin_stats", views="projects log_events", sql="""

@@ -26,7 +26,7 @@ _REACT_CTE = _SERIES_CTE + """,
       FROM reports r LEFT JOIN estimates e ON e.cik = r.cik AND e.source = r.source AND e.period_end = r.period_end AND e.duration = r.duration AND e.consensus_date < r.report_date GROUP BY ALL)
     SELECT event_id, consensus_date::VARCHAR AS consensus_date, CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / eps_estimate * 100 END AS surprise_pct, coalesce(report_date - consensus_date <= 7, false) AS in_window FROM m""")
 def ext01(t):
-    near = es.estimate_before(t.reports, t.estimates, "report_date")
+    near = es.estimate_before(t.reports, t.estimates, "report_date", ["event_id"])
     return mk.surprise(near, "eps_actual", "eps_estimate", "report_date", "consensus_date", 7).select(
         "event_id", c("consensus_date").cast("string").alias("consensus_date"), "surprise_pct", "in_window")
 

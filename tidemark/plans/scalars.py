@@ -348,9 +348,9 @@ def scl29(t):
 
 _DOC_SRC = """SELECT doc_id, source, CASE doc_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'application/msword' WHEN 3 THEN 'text/plain'
       WHEN 4 THEN 'application/vnd.ms-excel' ELSE 'application/pdf' END AS mime, n_chars * 400 AS size, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS chars,
-    doc_id % 6 = 1 AS has_text FROM documents"""
+    doc_id % 6 = 1 AS has_text, CASE WHEN doc_id % 5 < 4 THEN CAST(doc_id % 5 AS INT) END AS passes FROM documents"""
 _TOKENS_SQL = """(SELECT doc_id, source, mime, size, chars, (mime LIKE 'image/%' OR (mime = 'application/pdf' AND NOT has_text)) AS img, has_text,
-     CAST(1000 + CASE WHEN mime LIKE 'image/%' THEN 1000 WHEN mime = 'application/pdf' AND NOT has_text THEN 5000 ELSE (CASE WHEN chars = 0 THEN size ELSE chars END) // 4 END AS BIGINT) AS tokens FROM src)"""
+     CAST(greatest(1, coalesce(passes, 1)) * (1000 + CASE WHEN mime LIKE 'image/%' THEN 1000 WHEN mime = 'application/pdf' AND NOT has_text THEN 5000 ELSE (CASE WHEN chars = 0 THEN size ELSE chars END) // 4 END) AS BIGINT) AS tokens FROM src)"""
 
 
 @query("scl30_strategy", src=_DOC_SRC, sql=f"""
@@ -359,7 +359,7 @@ _TOKENS_SQL = """(SELECT doc_id, source, mime, size, chars, (mime LIKE 'image/%'
       tokens > CASE WHEN img AND size > 2097152 THEN 128000 WHEN img THEN 16000 ELSE 4000 END AS over_limit FROM {_TOKENS_SQL}""")
 def scl30(t, src):
     s = docs.strategy(c("mime"), c("size"), c("has_text"))
-    tokens = docs.token_estimate(c("mime"), c("size"), c("chars"), c("has_text"))
+    tokens = docs.token_estimate(c("mime"), c("size"), c("chars"), c("has_text"), c("passes"))
     return src.select("doc_id", s["convert_to_image"].alias("convert_to_image"), s["use_ocr"].alias("use_ocr"), s["cost_tier"].alias("cost_tier"),
                       tokens.alias("tokens"), docs.over_limit(tokens, s["cost_tier"]).alias("over_limit"))
 
