@@ -267,6 +267,18 @@ def src16(t, src):
     return mk.body_snippets(docs, ["page_id"], ["position"], "html")
 
 
+@query("src16_folder_snippet", src="SELECT page_id, html FROM pages", sql=r"""
+    WITH x AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS txt FROM src),
+    y AS (SELECT page_id, txt, trim('Body ' || txt) AS other FROM x)
+    SELECT page_id, lower(substr(CASE WHEN page_id % 3 = 0 AND length(other) > 80 THEN other WHEN length(txt) > 80 THEN txt WHEN length(other) > 80 THEN other ELSE '' END, 1, 2000)) AS snippet FROM y""")
+def src16_folder(t, src):
+    named = F.when(c("page_id") % 3 == 0, "b.html").when(c("page_id") % 3 == 1, "missing.htm")
+    files = F.array(*(F.struct(F.lit(n).alias("name"), x.alias("html")) for n, x in (
+        ("z.htm", c("html")), ("a.htm", F.lit("<p>short</p>")), ("a-index.html", F.lit("<p>" + "index " * 30 + "</p>")),
+        ("b.html", F.concat(F.lit("<div>Body </div>"), c("html"))), ("a.txt", c("html")))))
+    return mk.folder_snippets(src.select("page_id", named.alias("primary"), F.inline(files)), ["page_id"], "name", "primary", "html")
+
+
 @query("src17_whole_texts", sql="SELECT doc_id, lang, length(text) AS chars, strlen(text) AS bytes, sha256(text) AS content_hash, len(string_split(text, chr(10))) AS lines FROM documents")
 def src17(t):
     return t.documents.select("doc_id", "lang", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"),
