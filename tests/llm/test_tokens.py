@@ -1,6 +1,9 @@
 """Token counts and packing against the tokenizers library and brute force."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -71,6 +74,27 @@ def test_every_letter_before_a_sign():
         assert ids[lo:hi].tolist() == e.ids + [0], w
 
 
+def test_words_are_tokenized_in_small_slices_and_one_thread(monkeypatch):
+    """A worker's memory follows the slice and the library's threads: with 12 MB and a thread a core the pipeline went over its limit."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([f"{i} river, stone. " * 512 for i in range(1500)])], ["doc_id", "text"])
+    sizes, plain = [], packing.token_ids
+    monkeypatch.setattr(packing, "token_ids", lambda texts, path: sizes.append(sum(map(len, texts.to_pylist()))) or plain(texts, path))
+    found = list(packing.tokenized(iter([batch]), public_tokenizers.path("word_bpe_49k.json")))
+    assert [i for ids, _, _ in found for i in ids] == list(range(1500)) and all(len(flat) == 4 * ends[-1] for _, flat, ends in found)
+    assert sum(sizes) == sum(map(len, batch.column(1).to_pylist())) and max(sizes) <= 4 << 20
+    threads = """
+import os, public_tokenizers
+from tidemark.llm import packing
+path = public_tokenizers.path("word_bpe_49k.json")
+packing.load(path)
+before = len(os.listdir("/proc/self/task"))
+packing.encode_words([f"w{i}" for i in range(20_000)], path)
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("TOKENIZERS_", "RAYON_"))}
+    subprocess.run([sys.executable, "-c", threads], check=True, env=env, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
 def fewest(sizes, capacity):
     best = len(sizes)
     for owner in product(*(range(i + 1) for i in range(len(sizes)))):

@@ -8,6 +8,7 @@ island's best packing migrates to the next island of its cell; the best one of a
 
 from __future__ import annotations
 
+import os
 import random
 import string
 import zlib
@@ -32,6 +33,8 @@ CELL = 16_384
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 3, 3
 #: Encoded words that a worker keeps; the store is emptied when full.
 KEPT_WORDS = 150_000
+#: Bytes of text that a worker tokenizes at a time.
+SLICE_BYTES = 4 << 20
 
 
 @lru_cache(4)
@@ -47,8 +50,10 @@ def encode_words(words: list[str], path: str) -> dict[str, bytes]:
     """The ids of each word as little-endian unsigned 32-bit numbers.
 
     Words go to the library in long texts. Words of letters are single pre-tokens, whose ends the ids show; the others are parted
-    by a special string, which the library splits off before anything else.
+    by a special string, which the library splits off before anything else. The library works in the task's own thread: threads of
+    its own would take cores that Spark gave to other tasks, and each keeps memory.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer, ends = load(path), _word_ends(path)
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
     part = next(iter(special), None)
@@ -124,6 +129,13 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return found.flatten().to_numpy(), text_ends
 
 
+def tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, bytes, list[int]]]:
+    """(doc_ids, ids, ends) of slices of SLICE_BYTES of text: all ids as bytes, and where each document's end, see ``token_ids``."""
+    for batch in slices(batches, max_bytes=SLICE_BYTES):
+        flat, ends = token_ids(batch.column(1), path)
+        yield batch.column(0).to_pylist(), flat.tobytes(), ends.tolist()
+
+
 def pieces_of(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, row (a number of the piece), and ids if asked for.
 
@@ -134,11 +146,9 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, max_bytes=12 << 20):
+        for doc_ids, flat, ends in tokenized(batches, path):
             out: list[list] = [[] for _ in names]
-            flat, ends = token_ids(batch.column(1), path)
-            flat = flat.tobytes()
-            for doc_id, begin, end in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            for doc_id, begin, end in zip(doc_ids, [0, *ends[:-1]], ends):
                 ids = flat[4 * begin:4 * end]
                 for piece, lo in enumerate(range(0, len(ids), step)):
                     part = ids[lo:lo + step]
