@@ -65,6 +65,13 @@ def test_documents_are_encoded_and_decoded(spark):
     assert Counter(tuple(r) for r in rows) == Counter((r.doc_id, *wanted(r.text)) for r in given.collect())
 
 
+def test_words_stay_behind_when_documents_are_put_in_order(spark):
+    """The shuffle by slice carries places and ids only: with the words the query went over its limit of disk."""
+    plan = pieces.encode_and_decode(table(spark, ["a b"]), MODEL)._jdf.queryExecution().executedPlan().toString()
+    group = next(line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line)
+    assert "entries#" in group and "term#" not in group
+
+
 def test_merge_order_is_watched(spark):
     """A model where a merge makes a better piece possible late: the lattice hands the word to the merge queue."""
     table_ = {c: (i, -100.0) for i, c in enumerate(" abcd")} | {"bc": (10, -5.0), "abc": (11, -1.0), "cd": (12, -2.0), " a": (13, -6.0)}

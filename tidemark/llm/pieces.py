@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tidemark.llm.postings import distinct_terms, in_order, places, postings, sum_by_document
+from tidemark.llm.postings import HEAD, distinct_terms, in_order, places, postings, sum_by_document
 from tidemark.session import written
 
 SPACE = "▁"
@@ -379,7 +379,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
         for i, raw in known.items():
             spelled[i] = raw
     # written: the words are encoded before the texts are read again, so that no worker holds parts of both jobs
-    table = written(encode_words(distinct_terms(docs, split, WORDS_BYTES), model), "pieces")
+    kind = "array<short>" if len(model.names) <= 1 << 15 else "array<int>"
+    table = written(encode_words(distinct_terms(docs, split, WORDS_BYTES), model).select("term", F.col("ids").cast(kind).alias("ids")), "pieces")
     names = ["doc_id", "n_bytes", "n_pieces", "id_sum", "ids_crc32", "text_sha256", "round_trip"]
     types = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
 
@@ -401,7 +402,9 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
                 column.append(value)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    return places(docs, split).join(table, "term", "left").groupBy("slice").applyInArrow(
+    # a slice's words are not asked for again, and they are the larger part of its rows
+    coded = places(docs, split).join(table, "term", "left").select("slice", F.col("term").startswith(HEAD).alias("head"), "entries", "ids")
+    return coded.groupBy("slice").applyInArrow(
         answer, "doc_id long, n_bytes long, n_pieces long, id_sum long, ids_crc32 long, text_sha256 string, round_trip boolean")
 
 

@@ -155,8 +155,9 @@ def places(docs: DataFrame, terms: _TERMS, slice_bytes: int = ORDERED_BYTES) ->
 
 
 def in_order(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one slice's ``places`` with a column ids: its head, the ids of all its documents in order, and where each document ends."""
-    is_head = pc.starts_with(rows.column("term"), HEAD)
+    """Of one slice's ``places``, with columns head (whether it is the head row) and ids instead of the term: its head, the ids of all
+    its documents in order, and where each document ends."""
+    is_head = rows.column("head")
     head = np.frombuffer(rows.filter(is_head).column("entries")[0].as_py(), _ORDERED)
     rows = rows.filter(pc.invert(is_head))
     if not rows.num_rows:
