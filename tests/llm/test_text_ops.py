@@ -72,6 +72,28 @@ def test_words_stay_behind_when_documents_are_put_in_order(spark):
     assert "entries#" in group and "term#" not in group
 
 
+def test_documents_wait_for_their_answers(spark):
+    """Texts are read once and do not move: the only shuffle by slice is that of the answers, the other side is read in buckets."""
+    plan = pieces.encode_and_decode(table(spark, ["a b"]), MODEL)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(slice" in line]
+    assert len(shuffles) == 1 and "Bucketed: true" in plan and plan.count("MapInArrow ") == 1
+
+
+def test_slices_get_their_own_answers(spark):
+    """Many slices in a task, some without a word, ask for the same words and get them in their own order."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    texts = [*given, *[""] * 5, None, "the end of the end", *given[:10], "x" * 5000, "end of the"]
+    df = table(spark, texts).repartition(2)
+    slices = pieces.numbered(df, pieces.Words(pieces.load(MODEL)), 3000).where("entries is not null")
+    assert slices.count() > 10 and slices.select("slice").distinct().count() == slices.count()
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32, r.round_trip) for r in pieces.encode_and_decode(df, MODEL, 3000).collect()}
+    ids = {r.doc_id: sp.encode(r.text or "") for r in df.collect()}
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes()), True) for d, x in ids.items()}
+    empty = pieces.encode_and_decode(table(spark, [None, "", ""]), MODEL, 3000).collect()
+    assert [(r.n_bytes, r.n_pieces) for r in empty] == [(0, 0)] * 3
+
+
 def test_merge_order_is_watched(spark):
     """A model where a merge makes a better piece possible late: the lattice hands the word to the merge queue."""
     table_ = {c: (i, -100.0) for i, c in enumerate(" abcd")} | {"bc": (10, -5.0), "abc": (11, -1.0), "cd": (12, -2.0), " a": (13, -6.0)}

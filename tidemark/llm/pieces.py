@@ -15,20 +15,22 @@ import hashlib
 import heapq
 import re
 import string
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from tidemark.llm.postings import HEAD, distinct_terms, in_order, places, postings, sum_by_document
-from tidemark.session import written
+from tidemark.llm.postings import NUMBERED_BYTES, asked, by_slice, distinct_terms, in_order, numbered, postings, sum_by_document
+from tidemark.session import scratch_path
 
 SPACE = "▁"
 #: Characters of a word that the lattice takes: its positions are bits of one long.
@@ -37,10 +39,10 @@ LONGEST = 48
 BROADCAST_PIECES = 1_000_000
 #: Characters of a piece by which its possible lengths are looked up before substrings are exploded.
 HEAD_LENGTH = 3
-#: Bytes of text of which a worker gathers the distinct words at a time.
-WORDS_BYTES = 2 << 20
-#: The id in the edge of a character that is no piece: ids have 24 bits.
-NO_PIECE = (1 << 24) - 1
+#: Ids have 24 bits in an edge.
+ID_MASK = (1 << 24) - 1
+#: The bit of a fold's mask that says an edge came too late; boundaries are below it.
+LATE = 1 << 62
 _SIGNS = re.escape(string.punctuation)
 _WORD = re.compile(f" *[{_SIGNS}]+| *[^{_SIGNS} ]+| +")
 _WHOLE_WORD = re.compile(" *[^ ]+| +")
@@ -174,49 +176,53 @@ def _late_able(model: Model) -> set[str]:
     return {p for p in rank if any(later(p, p[:i]) or later(p, p[i:]) for i in range(1, len(p)))}
 
 
-def _heads(spark: SparkSession, model: Model) -> DataFrame:
-    """(head, lengths): for the first HEAD_LENGTH characters of longer pieces, the lengths that such pieces have, and all shorter ones."""
+def _heads(spark: SparkSession, model: Model, least: int) -> DataFrame:
+    """(head, lengths): for the first HEAD_LENGTH characters of longer pieces, the lengths that such pieces have, and all shorter ones
+    from ``least``."""
     lengths: dict[str, set[int]] = {}
     for p in model.pieces:
         if len(p) >= HEAD_LENGTH:
             lengths.setdefault(p[:HEAD_LENGTH], set()).add(len(p))
     schema = T.StructType([T.StructField("head", T.StringType()), T.StructField("lengths", T.ArrayType(T.IntegerType()))])
-    return spark.createDataFrame([(h, [*range(1, HEAD_LENGTH), *sorted(k)]) for h, k in lengths.items()], schema)
+    return spark.createDataFrame([(h, [*range(least, HEAD_LENGTH), *sorted(k)]) for h, k in lengths.items()], schema)
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(term, edges): the edges of each distinct word, sorted by score, start and end.
+    """(term, edges): the edges of each distinct word, sorted by score, start and end. Other columns of ``words`` are kept.
 
-    Positions count from 1; e is behind the last character. For BPE an edge is one number, see ``_edge``; for unigram models it is
-    a struct (cost, s, e, id). Words over LONGEST have no edges. Only those substrings are exploded whose length some piece with
-    the same first characters has, besides single characters; no piece is left out by that. The words are dealt by term
+    Positions count from 1; e is behind the last character. For unigram models an edge is a struct (cost, s, e, id). For BPE it is a
+    struct (x, ends, span) of longs: x is its order by score, start (6 bits), end (6 bits), whether it can come late (1 bit) and id
+    (24 bits), ends has the bits of its two boundaries, span those from one to the other; single characters, which need no merge,
+    have no edges there. Words over LONGEST have no edges. Only those substrings are exploded whose length some piece with
+    the same first characters has; no piece is left out by that. The words are dealt by term
     already, and substrings stay with their word, so grouping them needs no further shuffle.
     """
     spark = words.sparkSession
-    n, s = F.length("term"), F.col("s")
-    starts = words.select("term", F.explode(F.when(n <= LONGEST, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0)))).alias("s"))
-    headed = starts.withColumn("head", F.when(s > 0, F.substring("term", s, F.lit(HEAD_LENGTH)))).join(_bounded(_heads(spark, model), model), "head", "left")
-    short = F.array(*(F.lit(k) for k in range(1, HEAD_LENGTH)))
-    sized = headed.select("term", "s", F.explode(F.coalesce("lengths", short)).alias("k")).where((s + F.col("k") <= n + 1) | (F.col("k") == 1))
-    subs = sized.withColumn("piece", F.when(s > 0, F.substring("term", s, F.col("k"))))
+    n, s, k = F.length("term"), F.col("s"), F.col("k")
+    least = 1 if model.unigram else 2
+    more = [c for c in words.columns if c != "term"]
+    starts = words.select("term", *more, F.explode(F.when(n <= LONGEST, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(0)))).alias("s"))
+    # the first start of a word carries its other columns, in a row (k = 1) that is there also without an edge
+    starts = starts.select("term", "s", *(F.when(s <= 1, F.col(c)).alias(c) for c in more))
+    headed = starts.withColumn("head", F.when(s > 0, F.substring("term", s, F.lit(HEAD_LENGTH)))).join(_bounded(_heads(spark, model, least), model), "head", "left")
+    lengths = F.coalesce("lengths", F.array(*(F.lit(i) for i in range(least, HEAD_LENGTH))))
+    if least > 1:
+        lengths = F.when(s <= 1, F.concat(F.array(F.lit(1)), lengths)).otherwise(lengths)
+    sized = headed.select("term", *more, "s", F.explode(lengths).alias("k")).where((s + k <= n + 1) | (k == 1))
+    subs = sized.withColumn("piece", F.when((s > 0) & (k >= least), F.substring("term", s, k)))
     pieces = piece_table(spark, model)
     if not model.unigram:
         order = {score: i for i, score in enumerate(sorted({score for _, score in model.pieces.values()}, reverse=True))}
         late = _late_able(model)
         schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("code", T.LongType())])
-        pieces = spark.createDataFrame([(p, order[score] << 37 | (p in late) << 24 | i) for p, (i, score) in model.pieces.items()], schema)
-        code = F.when(F.col("code").isNotNull(), F.col("code")).when((F.col("k") == 1) & (s > 0), F.lit(NO_PIECE))
-        edge = code + s.cast("long") * (1 << 31) + (s + F.col("k")).cast("long") * (1 << 25)
+        pieces = spark.createDataFrame([(p, order[score] << 37 | (p in late) << 24 | i) for p, (i, score) in model.pieces.items() if len(p) >= least], schema)
+        x = F.col("code") + s.cast("long") * (1 << 31) + (s + k).cast("long") * (1 << 25)
+        edge = F.when(F.col("code").isNotNull(), F.struct(x.alias("x"), (_bit(s) + _bit(s + k)).alias("ends"), (_bit(s + k + 1) - _bit(s)).alias("span")))
     else:
-        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (s + F.col("k")).alias("e"), "id"))
+        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", (s + k).alias("e"), "id"))
     joined = subs.join(_bounded(pieces, model), "piece", "left").withColumn("edge", edge).where("edge is not null or s <= 1 and k <= 1")
-    return joined.groupBy("term").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def _edge(x: Column) -> dict[str, Column]:
-    """The parts of a BPE edge: order of its score, start (6 bits), end (6 bits), whether it can come late (1 bit) and id (24 bits)."""
-    part = lambda shift, mask: F.shiftright(x, shift).bitwiseAND(F.lit(mask)).cast("int")
-    return {"s": part(31, 63), "e": part(25, 63), "late": part(24, 1), "id": x.bitwiseAND(F.lit(NO_PIECE)).cast("int")}
+    kept = (F.first(F.when(k == 1, F.col(c)), ignorenulls=True).alias(c) for c in more)
+    return joined.groupBy("term").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *kept)
 
 
 def _bit(i: Column) -> Column:
@@ -229,27 +235,17 @@ def _once(x: Column, use) -> Column:
 
 
 def _merged(edges: Column, n: Column) -> Column:
-    """The fold of a BPE lattice: struct of a bit per boundary and whether an edge came too late."""
-    def spans(x: Column, i: Column) -> Column:
-        part = _edge(x)
-        s, e = _bit(part["s"]), _bit(part["e"])
-        return F.struct(i.alias("i"), (s + e).alias("ends"), (e - s - s).alias("inner"), (part["late"] == 1).alias("late"))
-
-    bits = F.transform(edges, spans)
-    start = F.struct((_bit(n + 2) - F.lit(2)).alias("mask"), F.lit(False).alias("late"))
+    """The fold of a BPE lattice: a bit per boundary of the path, and LATE if an edge came too late."""
+    def joins(mask: Column, x: Column) -> Column:  # both ends and just one boundary between
+        return (F.bit_count(mask.bitwiseAND(x["span"])) == 3) & (mask.bitwiseAND(x["ends"]) == x["ends"])
 
-    def joins(mask: Column, x: Column) -> Column:
-        return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
-
-    def fold(known: Column) -> Column:
-        def folded(able: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                after = acc["mask"].bitwiseAND(F.bitwise_not(x["inner"]))
-                late = acc["late"] | F.exists(able, lambda y: (y["i"] < x["i"]) & joins(after, y))
-                return F.when(joins(acc["mask"], x), F.struct(after.alias("mask"), late.alias("late"))).otherwise(acc)
-            return F.aggregate(known, start, step)
-        return _once(F.filter(known, lambda x: x["late"]), folded)
-    return _once(F.filter(bits, lambda x: x["inner"] != 0), fold)
+    def folded(able: Column) -> Column:
+        def step(mask: Column, x: Column) -> Column:
+            def watched(after: Column) -> Column:
+                return F.when(F.exists(able, lambda y: (y["x"] < x["x"]) & joins(after, y)), after.bitwiseOR(F.lit(LATE))).otherwise(after)
+            return F.when(joins(mask, x), _once(mask - mask.bitwiseAND(x["span"]) + x["ends"], watched)).otherwise(mask)
+        return F.aggregate(edges, _bit(n + 2) - F.lit(2), step)
+    return _once(F.filter(edges, lambda x: x["x"].bitwiseAND(F.lit(1 << 24)) != 0), folded)
 
 
 def _viterbi(edges: Column, n: Column, least: float) -> Column:
@@ -264,14 +260,59 @@ def _viterbi(edges: Column, n: Column, least: float) -> Column:
     # walk back from the end, collecting the boundaries as bits
     walk = F.aggregate(F.sequence(F.lit(1), n), F.struct((n + 1).alias("at"), _bit(n + 1).alias("mask")), lambda acc, _: F.when(
         acc["at"] > 1, F.struct((-F.element_at(best, acc["at"])["back"]).alias("at"), (acc["mask"] + _bit(-F.element_at(best, acc["at"])["back"])).alias("mask"))).otherwise(acc))
-    return F.struct(walk["mask"].alias("mask"), F.lit(False).alias("late"))
+    return walk["mask"]
+
+
+def _filled(terms: pa.Array, paths: pa.Array, model: Model) -> pa.Array:
+    """Ids of words by their BPE paths (numbers of start, end and id, in order): what lies between two edges is single characters.
+    A word without a path goes through the queue of merges."""
+    flat, lengths = paths.flatten().to_numpy(), pc.fill_null(pc.list_value_length(paths), 0).to_numpy()
+    covered = np.concatenate([[0], np.cumsum((flat >> 25 & 63) - (flat >> 31 & 63))])
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    others = np.flatnonzero((np.diff(covered[offsets]) != pc.utf8_length(terms).to_numpy()) | paths.is_null().to_numpy(zero_copy_only=False))
+    plain = pa.ListArray.from_arrays(pa.array(offsets), pa.array((flat & ID_MASK).astype(np.int32)))
+    if not len(others):
+        return plain
+    mixed, some = [], pa.array(others)
+    for term, path in zip(terms.take(some).to_pylist(), paths.take(some).to_pylist()):
+        if path is None:
+            mixed.append(merge_word(term, model))
+            continue
+        ids, at = [], 0
+        for x in path:
+            ids += ids_of(term[at:(x >> 31 & 63) - 1], model)
+            ids.append(x & ID_MASK)
+            at = (x >> 25 & 63) - 1
+        mixed.append(ids + ids_of(term[at:], model))
+    place = np.arange(len(terms))
+    place[others] = len(terms) + np.arange(len(others))
+    return pa.concat_arrays([plain, pa.array(mixed, pa.list_(pa.int32()))]).take(pa.array(place))
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(term, ids) of distinct words (column term, one row each)."""
+def encode_words(words: DataFrame, model: Model, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: str = "") -> DataFrame:
+    """(term, ids) of distinct words (column term, one row each). Other columns of ``words`` are kept.
+
+    ``then`` makes rows of ``schema`` from the batches of that, in the same Python worker.
+    """
     n = F.length("term")
+    more = [c for c in words.columns if c != "term"]
+    kinds = "".join(f", {c} {words.schema[c].dataType.simpleString()}" for c in more)
     edges = lattice(words, model)
-    fold = _viterbi(F.col("edges"), n, min(s for _, s in model.pieces.values()) - 10) if model.unigram else _merged(F.col("edges"), n)
+
+    def along(mask: Column) -> Column:
+        """The edges of a BPE path, those from boundary to boundary with none between, by their start."""
+        path = F.filter("edges", lambda x: mask.bitwiseAND(x["span"]) == x["ends"])
+        return F.when(mask < F.lit(LATE), F.sort_array(F.transform(path, lambda x: x["x"].bitwiseAND(F.lit((1 << 37) - 1)))))
+
+    if not model.unigram:
+        paths = edges.select("term", F.when(n <= LONGEST, _once(_merged(F.col("edges"), n), along)).alias("path"), *more)
+
+        def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("term"), _filled(batch.column("term"), batch.column("path"), model), *(batch.column(c) for c in more)], ["term", "ids", *more])
+        return paths.mapInArrow(lambda batches: then(filled(batches)), schema or f"term string, ids array<int>{kinds}")
+
+    fold = _viterbi(F.col("edges"), n, min(s for _, s in model.pieces.values()) - 10)
     byte = sorted(model.byte_ids.items())
     byte_ids = F.array(*(F.lit(i) for _, i in byte)) if len(byte) == 256 else None
 
@@ -289,35 +330,15 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         cuts = F.filter(F.sequence(F.lit(1), n + 1), lambda i: mask.bitwiseAND(_bit(i)) != 0)
         return _once(cuts, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: piece_ids(c[k], c[k + 1]))))
 
-    def on_path(mask: Column) -> Column:
-        """Ids of a BPE path: of the edges from boundary to boundary with none between, by their start."""
-        def chosen(x: Column) -> Column:
-            s, e = _bit(_edge(x)["s"]), _bit(_edge(x)["e"])
-            return mask.bitwiseAND(e + e - s) == s + e
-
-        path = F.sort_array(F.transform(F.filter("edges", chosen), lambda x: x.bitwiseAND(F.lit((1 << 37) - 1))))
-
-        def named(found: Column) -> Column:
-            parts = lambda x: _edge(x)
-            plain = F.transform(found, lambda x: parts(x)["id"])
-            mixed = F.flatten(F.transform(found, lambda x: F.when(parts(x)["id"] == NO_PIECE, without_piece(parts(x)["s"], parts(x)["e"])).otherwise(F.array(parts(x)["id"]))))
-            return F.when(F.exists(found, lambda x: parts(x)["id"] == NO_PIECE), mixed).otherwise(plain)
-        return _once(path, named)
-
-    def ids(f: Column) -> Column:
-        return F.when(~f["late"], spelled(f["mask"]) if model.unigram else on_path(f["mask"]))
-
-    done = edges.select("term", F.when(n <= LONGEST, _once(fold, ids)).alias("ids"))
+    done = edges.select("term", F.when(n <= LONGEST, _once(fold, spelled)).alias("ids"), *more)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = best_word if model.unigram else merge_word
         for batch in batches:
-            if batch.column("ids").null_count:
-                terms, ids = batch.column("term").to_pylist(), batch.column("ids").to_pylist()
-                ids = [one(t, model) if i is None else i for t, i in zip(terms, ids)]
-                batch = pa.RecordBatch.from_arrays([batch.column("term"), pa.array(ids, pa.list_(pa.int32()))], ["term", "ids"])
-            yield batch
-    return done.mapInArrow(finish, "term string, ids array<int>")
+            ids = batch.column("ids")
+            if ids.null_count:
+                ids = pa.array([best_word(t, model) if i is None else i for t, i in zip(batch.column("term").to_pylist(), ids.to_pylist())], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("term"), ids, *(batch.column(c) for c in more)], ["term", "ids", *more])
+    return done.mapInArrow(lambda batches: then(finish(batches)), schema or f"term string, ids array<int>{kinds}")
 
 
 def decode(rows: DataFrame, key: str, model: Model, prefix: bool | None = None) -> DataFrame:
@@ -361,7 +382,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFra
     return words.join(table, "term", "left").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
 
 
-def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, slice_bytes: int = NUMBERED_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_pieces, id_sum, ids_crc32, text_sha256 and round_trip.
 
     Every document is encoded, and its ids are decoded: ids_crc32 is that of its ids in order as little-endian unsigned 32-bit
@@ -369,8 +390,8 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     U+2581, which decodes to a space). Null texts are empty. Rows that repeat an id or lack one are answered one by one. Extra columns are ignored; an
     empty table gives an empty result.
 
-    Each distinct word is encoded once; a slice of documents has a row per distinct word with all its places, from which the ids of
-    its documents are put in order.
+    Texts are read once. A slice of documents numbers its distinct words and is written; each distinct word of the corpus is encoded
+    once and its ids go back to the slices that asked, where they meet the documents as sequences of numbers.
     """
     model = load(path)
     split, strip = Words(model), model.prefix
@@ -378,36 +399,45 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     for known in ({i: p.encode() for p, (i, _) in model.pieces.items()}, {i: bytes([b]) for b, i in model.byte_ids.items()}):
         for i, raw in known.items():
             spelled[i] = raw
-    # written: the words are encoded before the texts are read again, so that no worker holds parts of both jobs
-    kind = "array<short>" if len(model.names) <= 1 << 15 else "array<int>"
-    table = written(encode_words(distinct_terms(docs, split, WORDS_BYTES), model).select("term", F.col("ids").cast(kind).alias("ids")), "pieces")
+    rows, buckets = _by_bucket(numbered(docs, split, slice_bytes))
+    answers = encode_words(asked(rows), model, by_slice, "slice long, answers binary")
     names = ["doc_id", "n_bytes", "n_pieces", "id_sum", "ids_crc32", "text_sha256", "round_trip"]
     types = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
 
     def answer(rows: pa.Table) -> pa.Table:
-        head, ids, ends = in_order(rows)
-        pool = pa.array(spelled, pa.large_binary()).take(pa.array(ids))
-        bounds = np.frombuffer(pool.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-        data = pool.buffers()[2].to_pybytes() if len(ids) else b""
         out: list[list] = [[] for _ in names]
-        for doc, lo, hi in zip(head, [0, *ends[:-1].tolist()], ends.tolist()):
-            part = ids[lo:hi]
-            raw = data[bounds[lo]:bounds[hi]]
-            if strip and raw.startswith(b" "):
-                raw = raw[1:]
-            digest = hashlib.sha256(raw)
-            values = [int(doc["doc_id"]) if doc["has_id"] else None, int(doc["n_bytes"]), hi - lo, int(part.sum(dtype=np.int64)),
-                      zlib.crc32(part.astype("<u4").tobytes()), digest.hexdigest(), digest.digest() == doc["sha256"].tobytes()]
-            for column, value in zip(out, values):
-                column.append(value)
+        raws = pa.array(spelled, pa.large_binary())
+        for head, ids, ends in in_order(rows):
+            pool = raws.take(pa.array(ids))
+            bounds = np.frombuffer(pool.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            data = pool.buffers()[2].to_pybytes() if len(ids) else b""
+            for doc, lo, hi in zip(head, [0, *ends[:-1].tolist()], ends.tolist()):
+                part = ids[lo:hi]
+                raw = data[bounds[lo]:bounds[hi]]
+                if strip and raw.startswith(b" "):
+                    raw = raw[1:]
+                digest = hashlib.sha256(raw)
+                values = [int(doc["doc_id"]) if doc["has_id"] else None, int(doc["n_bytes"]), hi - lo, int(part.sum(dtype=np.int64)),
+                          zlib.crc32(part.astype("<u4").tobytes()), digest.hexdigest(), digest.digest() == doc["sha256"].tobytes()]
+                for column, value in zip(out, values):
+                    column.append(value)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    # a slice's words are not asked for again, and they are the larger part of its rows
-    coded = places(docs, split).join(table, "term", "left").select("slice", F.col("term").startswith(HEAD).alias("head"), "entries", "ids")
-    return coded.groupBy("slice").applyInArrow(
+    back = answers.repartition(buckets, "slice").groupBy("slice").agg(F.collect_list("answers").alias("answers"))
+    met = rows.where("entries is not null").select("slice", "entries").join(back.hint("merge"), "slice", "left")
+    return met.groupBy("slice").applyInArrow(
         answer, "doc_id long, n_bytes long, n_pieces long, id_sum long, ids_crc32 long, text_sha256 string, round_trip boolean")
 
 
+def _by_bucket(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``numbered``, written to the shared scratch folder in buckets by slice, so that the documents need no shuffle to meet
+    their answers; and the number of buckets."""
+    spark = rows.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"numbered_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "slice").option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name), buckets
+
+
 def piece_totals(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_pieces, id_sum (sum of its ids) and round_trip.
 

@@ -3,12 +3,15 @@
 A slice of documents becomes one row per distinct term with a packed list of (place of the document in the slice, frequency).
 These rows join a table with one row per term; the sums are gathered per slice before the last shuffle. One more row per slice
 carries its document ids.
+
+Where documents are to be put together again (``numbered``), a slice numbers its distinct terms: only terms and numbers go out, what
+belongs to each number comes back (``by_slice``), and the texts as sequences of numbers move once, to meet it (``in_order``).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,8 +31,12 @@ _TIMES = 7
 _HEAD = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8")])
 _NAMES = ["term", "slice", "entries"]
 _ORDERED = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("n_bytes", "<i8"), ("n_words", "<i8"), ("sha256", "u1", (32,))])
-#: Bytes of text in a slice whose documents are put together again.
-ORDERED_BYTES = 4 << 20
+#: Bytes of text in a slice whose terms are numbered, and in a part of it: each part has a row with its documents.
+NUMBERED_BYTES, PART_BYTES = 32 << 20, 4 << 20
+#: A term's number has 28 bits; a slice's number is that of the task and 15 bits for the slice within it.
+TERM_BITS, WITHIN_TASK = 28, 15
+#: Answers that a worker gathers before it sorts them by slice.
+HELD_ANSWERS = 1 << 18
 #: Begins the term of a slice's head row; no term may begin so.
 HEAD = "\0\0slice "
 _TERMS = Callable[[str], Iterable[str]]
@@ -125,53 +132,117 @@ def postings(docs: DataFrame, terms: _TERMS, slice_bytes: int = SLICE_BYTES) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary")
 
 
-def places(docs: DataFrame, terms: _TERMS, slice_bytes: int = ORDERED_BYTES) -> DataFrame:
-    """Rows (term, slice, entries) with all places of a term among the terms of a slice, and one head row per slice about its documents."""
+def numbered(docs: DataFrame, terms: _TERMS, slice_bytes: int = NUMBERED_BYTES) -> DataFrame:
+    """Rows (slice, first, terms, entries): of each slice its distinct terms, ``first`` the number of a row's first one, and a row with
+    entries only, the parts of its documents with their terms' numbers in order. Frequent terms have small numbers.
+    """
+    schema = pa.schema([("slice", pa.int64()), ("first", pa.int32()), ("terms", pa.list_(pa.string())), ("entries", pa.list_(pa.binary()))])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for ids, texts in _capped(batches, slice_bytes):
-            named: dict[str, int] = {}
+        number = TaskContext.get().partitionId() << WITHIN_TASK
+        last = number + (1 << WITHIN_TASK) - 1
+        named: defaultdict[str, int] = defaultdict()
+        named.default_factory = named.__len__
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if number > last:
+                raise ValueError("a task has too many slices")
+            times = sum(np.bincount(owner, minlength=len(named)) for _, owner in parts)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(named), np.int64)
+            rank[order] = np.arange(len(named))
+            names = pa.array(list(named), pa.string()).take(pa.array(order))
+            for lo in range(0, len(named), 20_000):
+                some = names.slice(lo, 20_000)
+                row = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lo], pa.int32()), row, pa.nulls(1, schema.field("entries").type)], schema=schema)
+            entries = []
+            for head, owner in parts:
+                stream = write_numbers(rank[owner])[0]
+                entries.append(np.array([len(head), len(stream)], "<i8").tobytes() + head.tobytes() + pa.compress(stream, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, schema.field("terms").type), pa.array([entries], schema.field("entries").type)], schema=schema)
+
+        held = 0
+        for ids, texts in _capped(batches, min(PART_BYTES, slice_bytes)):
             head, owner = np.zeros(len(ids), _ORDERED), []
             for at, (i, text) in enumerate(zip(ids, texts)):
-                owner.append(np.array([named.setdefault(t, len(named)) for t in terms(text)], np.int32))
+                found = terms(text)
+                owner.append(np.fromiter(map(named.__getitem__, found), np.int32, len(found)))
                 raw = text.encode()
-                head[at] = (i or 0, i is not None, len(raw), len(owner[-1]), np.frombuffer(hashlib.sha256(raw).digest(), np.uint8))
-            owner = np.concatenate(owner)
-            order = np.argsort(owner, kind="stable")
-            owner = owner[order]
-            gaps = np.diff(order, prepend=0)
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            gaps[first] = order[first]
-            stream, lengths = write_numbers(gaps)
-            ends = np.cumsum(np.bincount(owner, lengths, len(named))).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(named), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), ends])), pa.py_buffer(stream)])
-            names = pa.array(list(named), pa.string())
-            for lo in range(0, len(named), 20_000):
-                n = min(20_000, len(named) - lo)
-                yield pa.RecordBatch.from_arrays([names.slice(lo, n), pa.array(np.full(n, number)), packed.slice(lo, n)], _NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{HEAD}{number}"]), pa.array([number]), pa.array([head.tobytes()], pa.binary())], _NAMES)
-            number += 1
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "term string, slice long, entries binary")
+                head[at] = (i or 0, i is not None, len(raw), len(found), np.frombuffer(hashlib.sha256(raw).digest(), np.uint8))
+                held += len(text)
+            parts.append((head, np.concatenate(owner)))
+            if held >= slice_bytes:
+                yield from rows()
+                number, held = number + 1, 0
+                named.clear()
+                parts.clear()
+        if parts:
+            yield from rows()
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "slice long, first int, terms array<string>, entries array<binary>")
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """(term, who): each distinct term of ``numbered`` rows, with the slices that ask for it and its number in each, as one number."""
+    listed = rows.where("terms is not null").select("slice", "first", F.posexplode("terms").alias("at", "term"))
+    one = listed.select("term", (F.shiftleft("slice", TERM_BITS) + F.col("first") + F.col("at")).alias("who"))
+    # a term is asked for once a slice: grouping within the task first would find hardly anything
+    return one.repartition("term").groupBy("term").agg(F.collect_list("who").alias("who"))
+
+
+def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, answers) of batches with who and ids: the ids of the terms that a slice asked for, many in a row."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+
+    def flush() -> pa.RecordBatch:
+        who, ids = (pa.concat_arrays(x) for x in zip(*held))
+        held.clear()
+        row = np.repeat(np.arange(len(who)), pc.list_value_length(who).to_numpy())
+        who = who.flatten().to_numpy()
+        order = np.argsort(who)
+        who, found = who[order], ids.take(pa.array(row[order]))
+        counts = pc.list_value_length(found).to_numpy().astype(np.int64)
+        flat, ends = found.flatten().to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+        numbers, first = np.unique(who >> TERM_BITS, return_index=True)
+        out = []
+        for lo, hi in zip(first, [*first[1:], len(who)]):
+            gaps = np.diff(who[lo:hi] & (1 << TERM_BITS) - 1, prepend=0)
+            out.append(write_numbers(np.concatenate([[hi - lo], gaps, counts[lo:hi], flat[ends[lo]:ends[hi]]]))[0])
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(out, pa.binary())], ["slice", "answers"])
+
+    total = 0
+    for batch in batches:
+        held.append((batch.column("who"), batch.column("ids")))
+        total += len(batch.column("who").flatten())
+        if total >= HELD_ANSWERS:
+            yield flush()
+            total = 0
+    if total:
+        yield flush()
 
 
-def in_order(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one slice's ``places``, with columns head (whether it is the head row) and ids instead of the term: its head, the ids of all
-    its documents in order, and where each document ends."""
-    is_head = rows.column("head")
-    head = np.frombuffer(rows.filter(is_head).column("entries")[0].as_py(), _ORDERED)
-    rows = rows.filter(pc.invert(is_head))
-    if not rows.num_rows:
-        return head, np.empty(0, np.int32), np.zeros(len(head), np.int64)
-    entries = rows.column("entries")
-    gaps, behind = read_numbers(b"".join(entries.to_pylist()))
-    rows_end = np.searchsorted(behind, np.cumsum(pc.binary_length(entries).to_numpy()), side="right")
-    lengths = np.diff(rows_end, prepend=0)
-    run, begin = np.cumsum(gaps), rows_end - lengths
-    row_at = np.empty(len(gaps), np.int64)
-    row_at[run - np.repeat(run[begin] - gaps[begin], lengths)] = np.repeat(np.arange(len(lengths)), lengths)
-    found = pa.concat_arrays(rows.column("ids").chunks).take(pa.array(row_at))
-    bounds = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py()
-    return head, found.flatten().to_numpy(), bounds[np.cumsum(head["n_words"])]
+def in_order(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one slice's row, the entries of ``numbered`` and the answers of ``by_slice``: for each part of its documents the head, the ids
+    of all of them in order, and where each document ends."""
+    ranks, counts, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for blob in rows.column("answers")[0].values or ():  # null where no document has a term
+        found, _ = read_numbers(blob.as_buffer())
+        n = found[0]
+        ranks.append(np.cumsum(found[1:n + 1]))
+        counts.append(found[n + 1:2 * n + 1])
+        ids.append(found[2 * n + 1:])
+    place = np.argsort(np.concatenate(ranks))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    answers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+    for blob in rows.column("entries")[0].values:
+        blob = blob.as_buffer()
+        n, size = np.frombuffer(blob, "<i8", 2).tolist()
+        head = np.frombuffer(blob, _ORDERED, n, 16)
+        words, _ = read_numbers(pa.decompress(blob[16 + n * _ORDERED.itemsize:], size, "zstd"))
+        found = answers.take(pa.array(place[words]))
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy().astype(np.int64))])
+        yield head, found.flatten().to_numpy(), bounds[np.cumsum(head["n_words"])]
 
 
 def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_slices: int = 64) -> DataFrame:
