@@ -178,8 +178,13 @@ def numbered(docs: DataFrame, terms: _TERMS, slice_bytes: int = NUMBERED_BYTES)
                 number, held = number + 1, 0
                 named.clear()
                 parts.clear()
+                pa.default_memory_pool().release_unused()
         if parts:
             yield from rows()
+        # the worker stays for later tasks beside a JVM that needs the memory
+        named.clear()
+        parts.clear()
+        pa.default_memory_pool().release_unused()
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "slice long, first int, terms array<string>, entries array<binary>")
 
 
@@ -220,6 +225,7 @@ def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
     if total:
         yield flush()
+    pa.default_memory_pool().release_unused()
 
 
 def in_order(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -243,6 +249,7 @@ def in_order(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         found = answers.take(pa.array(place[words]))
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy().astype(np.int64))])
         yield head, found.flatten().to_numpy(), bounds[np.cumsum(head["n_words"])]
+    pa.default_memory_pool().release_unused()
 
 
 def sum_by_document(rows: DataFrame, table: DataFrame, values: list[str], held_slices: int = 64) -> DataFrame:
