@@ -261,9 +261,11 @@ def star(documents: DataFrame) -> DataFrame:
     without their context or unit are left out; of several contexts of one id in a document the smallest counts. Rows stay where their filing is.
     """
     of = lambda array, ids, key: F.get(array, F.array_position(ids, key).cast("int") - 1)
-    ids = documents.withColumn("_cids", F.transform("contexts", lambda x: x["context_id"])).withColumn("_uids", F.transform("units", lambda x: x["unit_id"]))
-    found = F.transform("facts", lambda f: F.struct(f.alias("f"), of(c("contexts"), c("_cids"), f["context_id"]).alias("x"), of(c("units"), c("_uids"), f["unit_id"]).alias("u")))
-    kept = ids.withColumn("_found", F.filter(found, lambda j: j["x"].isNotNull() & j["u"].isNotNull()))
+    held = F.struct("contexts", "units", F.transform("contexts", lambda x: x["context_id"]).alias("cids"), F.transform("units", lambda x: x["unit_id"]).alias("uids"))
+    joined = lambda d: F.transform("facts", lambda f: F.struct(f.alias("f"), of(d["contexts"], d["cids"], f["context_id"]).alias("x"), of(d["units"], d["uids"], f["unit_id"]).alias("u")))
+    # the ids are bound to a variable: a column mentioned inside a lambda is computed anew for each element
+    found = F.transform(F.array(held), joined)[0]
+    kept = documents.withColumn("_found", F.filter(found, lambda j: j["x"].isNotNull() & j["u"].isNotNull()))
     rest = [x for x in documents.columns if x not in ("contexts", "units", "facts")]
     rows = kept.select(*rest, F.inline("_found"))
     return rows.select(*rest, "f.*", *[f"x.{n}" for n in ("start_date", "end_date", "instant", "n_dims", "axis", "member")], "u.kind")
@@ -305,16 +307,16 @@ def pick_candidates(documents: DataFrame) -> DataFrame:
     rows = star(documents.drop("dei")).where("n_dims = 0").join(F.broadcast(aliases), "element").where(c("kind") == wanted_unit).withColumn("slot", slot).where("slot IS NOT NULL")
     shown = F.array_max(F.transform(F.filter("rendered", lambda r: (r["statement"] == c("statement")) & (r["element"] == c("element"))), lambda r: r["rendered_value"]))
     kept = F.struct(*[x for x in documents.columns if x == "cik"], c("chosen.period_end").alias("period_end"), c("chosen.duration").alias("duration"), c("chosen.label").alias("label"))
-    values = (rows.select("accession", "key", "metric_unit", "slot", "alias_rank", "value", F.struct("fact_no", "decimals", "element", shown.alias("shown")).alias("_f"), kept.alias("_k"))
-              .groupBy("accession", "key", "metric_unit", "slot", "alias_rank", "value").agg(F.min("_f").alias("_f"), F.first("_k").alias("_k")))
-    per_rank = (values.groupBy("accession", "key", "metric_unit", "slot", "alias_rank")
-                .agg(F.count("*").alias("n"), F.min(F.struct("_f.fact_no", "value", "_f.decimals", "_f.element", "_f.shown")).alias("_first"), F.first("_k").alias("_k")))
-    best = lambda s: F.min(F.when(c("slot") == s, F.struct("alias_rank", "n", "_first")))
-    out = per_rank.groupBy("accession", "key", "metric_unit").agg(best("cur").alias("_c"), best("prior").alias("_p"), F.first("_k").alias("_k"))
+    # the smallest of a slot's structs is the first fact of its best alias; -0.0 and 0.0 are one value
+    fact = F.struct("alias_rank", "fact_no", (c("value") + 0.0).alias("value"), "decimals", "element", shown.alias("shown"))
+    first = lambda s: F.min(F.when(c("slot") == s, c("_f")))
+    known = rows.select("accession", "key", "metric_unit", "slot", fact.alias("_f"), kept.alias("_k")).where("_f IS NOT NULL")
+    out = known.groupBy("accession", "key", "metric_unit").agg(
+        first("cur").alias("_c"), first("prior").alias("_p"), F.collect_set(F.when(c("slot") == "cur", F.struct("_f.alias_rank", "_f.value"))).alias("_values"), F.first("_k").alias("_k"))
     return out.where("_c IS NOT NULL").select(
-        "accession", "key", "metric_unit", c("_c._first.element").alias("element"), c("_c._first.value").alias("value"),
-        c("_c._first.decimals").alias("decimals"), c("_c.n").alias("n_candidates"), c("_p._first.value").alias("prior_value"),
-        c("_c._first.shown").alias("rendered_value"), "_k.*")
+        "accession", "key", "metric_unit", c("_c.element").alias("element"), c("_c.value").alias("value"), c("_c.decimals").alias("decimals"),
+        F.size(F.filter("_values", lambda v: v["alias_rank"] == c("_c.alias_rank"))).cast("bigint").alias("n_candidates"), c("_p.value").alias("prior_value"),
+        c("_c.shown").alias("rendered_value"), "_k.*")
 
 
 def signals(n_candidates: Column, decimals: Column, value: Column, unit: Column) -> Column:
