@@ -109,7 +109,7 @@ def _collected(t, src):
     from tidemark.sources.sinks import TableStore
     companies = t.companies.select("cik", "cik_no", "fye")
     row = F.struct(c("eps_actual").alias("actual"), c("eps_actual").alias("estimate"), "period", F.lit(2024).alias("year"), "quarter")
-    docs = src.join(companies, "cik").select("cik", "cik_no", "fye", "event_id", c("event_id").alias("position"), F.when(c("cik_no") % 7 == 0, F.lit("[]")).otherwise(F.to_json(F.array(row))).alias("doc"), F.lit(None).cast("string").alias("error"))
+    docs = src.join(companies.hint("merge"), "cik").select("cik", "cik_no", "fye", "event_id", c("event_id").alias("position"), F.when(c("cik_no") % 7 == 0, F.lit("[]")).otherwise(F.to_json(F.array(row))).alias("doc"), F.lit(None).cast("string").alias("error"))
     known = es.with_period(es.normalize_estimates(earnings_rows(docs.drop("error"), "doc")))
     own = known.groupBy("cik", "period_end", "duration").agg(F.min_by("eps_actual", "event_id").alias("own_eps"))
     snaps = companies.select("cik", F.to_json(F.struct((c("cik_no") * 1.0).alias("targetMean"))).alias("targets_doc"), F.to_json(F.array(F.struct(F.lit(1).alias("buy"), F.lit(2).alias("sell")))).alias("ratings_doc"))

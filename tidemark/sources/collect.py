@@ -1,4 +1,8 @@
-"""A collection run of analyst estimates: what is due, what came back, and one commit of all that follows from it."""
+"""A collection run of analyst estimates: what is due, what came back, and one commit of all that follows from it.
+
+Joins by company are told to sort: Spark takes the size of a table from its compressed files, where a company is a few bytes, and would
+send all of them to the driver to broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -15,16 +19,16 @@ COVERAGE = "cik string, status string, provider string, note string, last_attemp
 
 def _covered(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Coverage after a run: the new row, with the last success kept where there is no new one."""
-    old = current.select("cik", c("last_success_at").alias("_old"))
+    old = current.select("cik", c("last_success_at").alias("_old")).hint("merge")
     new = incoming.join(old, "cik", "left").withColumn("last_success_at", F.coalesce("last_success_at", "_old")).drop("_old")
-    return current.join(incoming.select("cik"), "cik", "left_anti").unionByName(new)
+    return current.join(incoming.select("cik").hint("merge"), "cik", "left_anti").unionByName(new)
 
 
 def due_targets(targets: DataFrame, coverage: DataFrame, as_of: Column, force: bool = False) -> DataFrame:
     """The targets (cik, ...) that were not fetched with success within the last day, or all of them with ``force``."""
     if force:
         return targets
-    recent = coverage.where(pr.recently_done(c("last_success_at"), as_of)).select("cik")
+    recent = coverage.where(pr.recently_done(c("last_success_at"), as_of)).select("cik").hint("merge")
     return targets.join(recent, "cik", "left_anti")
 
 
@@ -41,12 +45,12 @@ def collect_run(store: TableStore, targets: DataFrame, responses: DataFrame, sna
     stored = store.read("coverage")
     coverage = stored if stored is not None else store.spark.createDataFrame([], COVERAGE)
     due = written(due_targets(targets, coverage, as_of, force), "due")
-    answers = responses.join(due, "cik")
+    answers = responses.join(due.hint("merge"), "cik")
     errors = answers.where("error IS NOT NULL").groupBy("cik").agg(F.min("error").alias("error"))
-    rows = earnings_rows(answers.join(errors.select("cik"), "cik", "left_anti").select("cik", "fye", "position", "doc"), "doc")
+    rows = earnings_rows(answers.join(errors.select("cik").hint("merge"), "cik", "left_anti").select("cik", "fye", "position", "doc"), "doc")
     rows = written(es.normalize_estimates(rows.where(c("consensus_date").between(*window))), "normalized")
     counts = es.count_dropped(rows, ["cik"])
-    report = due.select("cik").join(errors, "cik", "left").join(counts, "cik", "left")
+    report = due.select("cik").join(errors.hint("merge"), "cik", "left").join(counts.hint("merge"), "cik", "left")
     kept, dropped = F.coalesce("kept", F.lit(0)), F.coalesce("dropped", F.lit(0))
     status = (F.when(c("error").isNotNull(), "error").when(kept + dropped == 0, "no_data").when(dropped > 0, "partial").otherwise("ok"))
     note = (F.when(c("error").isNotNull(), c("error")).when(kept + dropped == 0, F.lit("no data"))
@@ -54,7 +58,7 @@ def collect_run(store: TableStore, targets: DataFrame, responses: DataFrame, sna
     report = written(report.select("cik", status.alias("status"), kept.alias("rows"), dropped.alias("dropped"), note.alias("note")), "report")
 
     values = ["period_end", "eps_estimate", "eps_actual", "eps_surprise", "eps_surprise_pct", "currency", "basis"]
-    based = es.with_basis(es.with_period(rows), own_eps).withColumn("source", F.lit(provider))
+    based = es.with_basis(es.with_period(rows), own_eps.hint("merge")).withColumn("source", F.lit(provider))
     last = based.groupBy(*es.ESTIMATE_KEYS).agg(F.max(F.struct("position", *values)).alias("_v"))
     estimates = last.select(*es.ESTIMATE_KEYS, *[c(f"_v.{x}").alias(x) for x in values], as_of.alias("fetched_at"), as_of.alias("created_at"))
     success = F.when(c("status") != "error", as_of)
@@ -63,8 +67,8 @@ def collect_run(store: TableStore, targets: DataFrame, responses: DataFrame, sna
     commit = store.begin()
     commit.merge("estimates", ["cik"], estimates, es.upsert_estimates)
     if snapshots is not None:
-        served = snapshots.join(report.where("status IN ('ok', 'partial')").select("cik"), "cik")
-        one = snapshot_rows(served.select("cik", c("targets_doc").alias("doc")), served.select("cik", c("ratings_doc").alias("doc")), ["cik"], "doc")
+        served = snapshots.join(report.where("status IN ('ok', 'partial')").select("cik").hint("merge"), "cik")
+        one = snapshot_rows(served.select("cik", c("targets_doc").alias("doc")), served.select("cik", c("ratings_doc").alias("doc")).hint("merge"), ["cik"], "doc")
         one = one.select("cik", F.lit(provider).alias("source"), F.to_date(as_of).cast("string").alias("as_of"), *[x for x in one.columns if x != "cik"], as_of.alias("fetched_at"))
         commit.merge("snapshots", ["cik"], one, es.upsert_snapshots)
     commit.merge("coverage", ["cik"], covered, _covered)
